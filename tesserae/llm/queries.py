@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import read
 
 
+def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.grid_join import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.simhash import near_duplicates
 
@@ -36,7 +42,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op10_media_columns)}
 
 _MIX_SQL = r"""
 WITH d AS (
