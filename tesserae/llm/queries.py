@@ -36,13 +36,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tesserae.llm.rans import read_back, write
+
+    return read_back(*write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mjpeg import media_digest
 
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op9_rans_tokens, op10_media_columns)}
 
 _MIX_SQL = r"""
 WITH d AS (
