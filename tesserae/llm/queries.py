@@ -36,6 +36,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.html_text import extract_column
+
+    found = extract_column(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +57,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op9_rans_tokens, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
 
 _MIX_SQL = r"""
 WITH d AS (
