@@ -21,6 +21,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.pii import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mixing import mix
 
@@ -57,7 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op5_mix_sources, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op5_mix_sources, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
 
 _MIX_SQL = r"""
 WITH d AS (
