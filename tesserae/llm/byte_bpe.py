@@ -108,29 +108,33 @@ def decode_column(df: DataFrame, rank_file: str, pattern: str, ids: str = "token
     return _map(df, pa.schema([(to, pa.binary())]), f"`{to}` binary", row)
 
 
-def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Encode each whole text and decode its ids in one pass over the text.
 
     Returns the columns of ``keep`` and ``n_tokens``, ``ids_sha256`` (of the ids
-    as little-endian unsigned 32-bit integers) and ``decoded_sha256``.
+    as little-endian unsigned 32-bit integers), ``decoded_sha256`` and, if asked
+    for, ``token_ids`` (array<int>).
     """
     import numpy as np
 
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    new = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    new = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("token_ids", pa.list_(pa.int32()))] if with_ids else [])])
     _clash(df.select(*keep), new.names)
 
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for batch in batches:
-            out = ([], [], [])
-            for t in batch.column(batch.num_columns - 1):
-                ids = encode(enc, pattern, t.as_py() or "")
-                out[0].append(len(ids))
-                out[1].append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-                out[2].append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v, f.type) for v, f in zip(out, new, strict=True)]], names=[*keep, *new.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                out: tuple = tuple([] for _ in new)
+                for t in batch.column(batch.num_columns - 1):
+                    ids = encode(enc, pattern, t.as_py() or "")
+                    raw = np.asarray(ids, "<u4")
+                    row = (len(ids), hashlib.sha256(raw.tobytes()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest(), raw.astype("i4"))
+                    for values, value in zip(out, row, strict=False):
+                        values.append(value)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v, f.type) for v, f in zip(out, new, strict=True)]], names=[*keep, *new.names])
 
     narrow = df.select(*keep, df[text].alias("__text"))
     have = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep]
-    return narrow.mapInArrow(run, ", ".join([*have, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]))
+    return narrow.mapInArrow(run, ", ".join([*have, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(["token_ids array<int>"] if with_ids else [])]))

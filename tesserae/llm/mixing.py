@@ -56,13 +56,15 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def _key(doc_id: str, text: str) -> Column:
+    """The hash-random key of a row."""
+    body = F.md5(F.coalesce(F.col(text), F.lit("")))
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), body))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken``, one row per row of ``docs``."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-        F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.md5(body))).alias("key"),
-    )
+    """``doc_id, source, key, size, source_size, target, taken``, one row per row of ``docs``."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), _key(doc_id, text).alias("key"))
     spark = docs.sparkSession
     rows = cut(rows)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -86,18 +88,37 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
             if last == (names[0].as_py(),):  # the source goes on from the batch before
                 before[: cuts[0] if len(cuts) else len(sizes)] += total
             total, last = int(before[-1] + sizes[-1]), (names[len(sizes) - 1].as_py(),)
-            yield pa.RecordBatch.from_arrays([b.column(0), names, b.column(2), pa.array(np.full(len(sizes), part, "int32")), pa.array(before)], names=["doc_id", "source", "size", "part", "before"])
+            yield pa.RecordBatch.from_arrays([b.column(0), names, b.column(2), pa.array(np.full(len(sizes), part, "int32")), pa.array(before), b.column(3)], names=["doc_id", "source", "size", "part", "before", "key"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    summed = cut(ranged.mapInArrow(running, f"doc_id {id_type}, source string, size bigint, part int, before bigint"))
+    summed = cut(ranged.mapInArrow(running, f"doc_id {id_type}, source string, size bigint, part int, before bigint, key string"))
     parts = summed.groupBy("part", "source").agg(F.sum("size").alias("part_size"))
     along = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.select("part", "source", F.coalesce(F.sum("part_size").over(along), F.lit(0)).alias("offset"))
     goals = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), most)
     known = offsets.alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("part", F.col("o.source").alias("src"), "offset", "source_size", "target")
-    placed = summed.join(known, (summed.part == known.part) & summed.source.eqNullSafe(known.src)).select(summed.doc_id, summed.source, "size", "source_size", "target", (F.col("before") + F.col("offset")).alias("place"))
+    placed = summed.join(known, (summed.part == known.part) & summed.source.eqNullSafe(known.src)).select(summed.doc_id, summed.source, "key", "size", "source_size", "target", (F.col("before") + F.col("offset")).alias("place"))
     budget = F.floor("target").cast("bigint")
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0).cast("bigint")
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+
+
+def take(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
+    """The mix itself: ``docs`` with a row for each time that the mix takes it.
+
+    The document at a source's cut is taken up to the word where the budget
+    ends.  Rows equal in id, source and text are copies of one row (their extra
+    columns come from one of them); documents without words are in no mix.
+    """
+    plan = mix(docs, text, source, doc_id, most).where("taken > 0")
+    plan = plan.groupBy("key", "source").agg(F.sum(F.expr("taken div size")).alias("__whole"), F.sum(F.expr("taken % size")).cast("int").alias("__rest"))
+    blank = r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+"
+    rows = docs.withColumn("__key", _key(doc_id, text)).dropDuplicates(["__key", source])
+    plan = plan.withColumnsRenamed({"key": "__key", "source": "__source"})
+    both = rows.join(plan, (rows["__key"] == plan["__key"]) & rows[source].eqNullSafe(plan["__source"])).drop(plan["__key"])
+    every = both.withColumn("__turn", F.explode(F.sequence(F.lit(1), (F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0)).cast("int"))))
+    after = F.element_at(F.split(F.col(text), blank, F.col("__rest") + 1), -1)  # what follows the last word taken
+    part = F.left(F.col(text), F.length(text) - F.length(after))
+    return every.withColumn(text, F.when(F.col("__turn") > F.col("__whole"), part).otherwise(F.col(text))).select(*docs.columns)

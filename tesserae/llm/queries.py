@@ -27,6 +27,13 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
 
 
+def op4_quality_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.cotrain import classify
+
+    scored = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mixing import mix
 
@@ -63,7 +70,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op5_mix_sources, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op4_quality_cotrain, op5_mix_sources, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
 
 _MIX_SQL = r"""
 WITH d AS (

@@ -101,25 +101,31 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, component_id``, the smallest id reachable."""
     rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle))
-    return classes(rows)
+    return classes(rows).select("doc_id", "fp", "component_id")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` -> also ``component_id``."""
+    """``fp`` and other columns -> also ``root`` (its class's least fingerprint) and ``component_id``.
+
+    ``rows`` has ``doc_id``; ``component_id`` is the smallest of the class.
+    """
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(nodes.select("fp")))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = cut(labelled.join(named, "root").select("fp", "component_id"))
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = cut(labelled.join(named, "root").select("fp", "root", "component_id"))
+    return rows.join(known, "fp")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each class: its smallest ``doc_id`` (repeats of that row: one).
+    """``docs`` with one row of each class: the one with the smallest ``doc_id``.
 
-    Rows with a null id are kept, as no other row can be told to stand for them.
+    Among rows of that id the least hash of the text decides, rows equal in both
+    are one; null ids come last.
     """
-    found = near_duplicates(docs, text, doc_id, shingle)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([doc_id])
-    return with_id.unionByName(docs.where(F.col(doc_id).isNull()))
+    key = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    rows = classes(cut(fingerprints(key, keep=["doc_id", "h"], shingle=shingle)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    chosen = docs.withColumn("__hash", F.xxhash64(text)).join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
+    return chosen.dropDuplicates([doc_id, "__hash"]).drop("__hash")
