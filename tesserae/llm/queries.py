@@ -40,6 +40,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.licenses import scan
+
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.concat(F.col("doc_id"), F.lit(".txt"))).alias("path"), "text")
+    return scan(files, keep=["doc_id"])
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +78,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op4_quality_cotrain, op5_mix_sources, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op4_quality_cotrain, op5_mix_sources, op6_license_scan, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
 
 _MIX_SQL = r"""
 WITH d AS (
