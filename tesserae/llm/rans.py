@@ -37,10 +37,11 @@ LOW = 31  #: a state is at least 2**LOW between steps
 BLOCK = 1 << 18
 LANES = 1024
 FILE_TOKENS = 1 << 20
-CACHED = 500_000  #: chunks a worker remembers, about 100 MB
+CACHED = 1_000_000  #: chunks a worker remembers, about 200 MB
 MAGIC, VERSION = b"TRNS", 1
 _HEAD = struct.Struct("<4sHIIQIQ")
-_TAIL = re.compile(r"(.*[A-Za-z0-9])([.,!?;:]+)", re.S)
+_TAIL = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?;:]+)", re.S)
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _tokenizers: dict = {}
 
 
@@ -50,8 +51,10 @@ class ChunkTokenizer:
     The tokenizer drops white space and never joins what it parts, so the ids of
     a text are those of its chunks between ASCII blanks; and the ids of a chunk
     that ends in an ASCII letter or digit and a run of ``.,!?;:`` are those of the
-    two parts.  Chunks met before come from a cache of bounded size.  Only for
-    tokenizers that drop white space before they split; :meth:`check` tests it.
+    two parts.  A chunk of Latin letters is one piece to the library's BPE model,
+    which then gets it in lower case and in its byte alphabet.  Chunks met before
+    come from a cache of bounded size.  Only for tokenizers that drop white space
+    before they split and lower the case; :meth:`check` tests it.
     """
 
     def __init__(self, file: str):
@@ -61,6 +64,17 @@ class ChunkTokenizer:
         self.tok.encode_special_tokens = True
         self.word = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {"": b""}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        small = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
+        self.letters = {ord(c): "".join(piece for piece, _ in alphabet.pre_tokenize_str(c)) for c in small}
+        self.model = self.tok.model
+
+    def _word(self, letters: str) -> bytes:
+        import numpy as np
+
+        return np.array([t.id for t in self.model.tokenize(letters.lower().translate(self.letters))], self.word).tobytes()
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
@@ -74,11 +88,17 @@ class ChunkTokenizer:
 
         def parts_of(c: str) -> list[str]:
             m = _TAIL.fullmatch(c)
-            return [p.lower() if p.isascii() else p for p in (m.groups() if m else (c,))]
+            return [p.lower() if p.isascii() or _LETTERS.fullmatch(p) else p for p in (m.groups() if m else (c,))]
 
         plan = {c: parts_of(c) for c in missing}
         need = [p for p in {p for parts in plan.values() for p in parts} if p not in self.cache]
-        self.cache.update(zip(need, self._encode(need), strict=True))
+        rest = []
+        for p in need:
+            if _LETTERS.fullmatch(p):
+                self.cache[p] = self._word(p)
+            else:
+                rest.append(p)
+        self.cache.update(zip(rest, self._encode(rest), strict=True))
         for c, parts in plan.items():
             self.cache[c] = b"".join(self.cache[p] for p in parts)
 
