@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tesserae.functions import commands as C
 from tesserae.functions import text as X
 from tesserae.functions import vector as M
-from tesserae.operators import index, lifecycle, logs, memory, search, transcripts
+from tesserae.operators import drift, index, lifecycle, logs, memory, search, transcripts
 from tesserae.plans import stand_ins as S
+from tesserae.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,8 +95,6 @@ def m5_float_range(spark, sf):
 
 @query(f"SELECT e.n AS query_n, max(round(list_dot_product(e.vector, h.vector) / (sqrt(list_dot_product(e.vector, e.vector)) * sqrt(list_dot_product(h.vector, h.vector))), 9)) AS best FROM entries e JOIN entries h ON h.n > e.n AND h.n <= e.n + 3 GROUP BY e.n", "entries")
 def m6_best_hit(spark, sf):
-    from tesserae.operators import drift
-
     e = S.entries(spark, sf)
     turns = e.select(F.col("n").alias("turn_id"), F.transform(F.sequence(F.col("n") + 1, F.col("n") + 3), lambda k: F.concat(F.lit("c"), F.lpad(k.cast("string"), 6, "0"))).alias("hit_ids"))
     best = drift.best_hit(e.select(F.col("n").alias("turn_id"), F.col("vector").alias("qvec")), drift.hit_vectors(turns, e))
@@ -775,3 +774,169 @@ def u4_dead_letters(spark, sf):
 @query("SELECT event_id, CASE WHEN event_id > 0 AND value > 0 THEN (20000 - event_id) * value / event_id END AS eta FROM events")
 def a26_eta(spark, sf):
     return S.table(spark, sf, "events").select("event_id", lifecycle.eta(F.col("event_id"), F.lit(20000), F.col("value")).alias("eta"))
+
+
+# -- evaluation -----------------------------------------------------------------
+
+_LABEL_SQL = "CASE n % 4 WHEN 0 THEN 'truly_redundant' WHEN 1 THEN 'truly_missed' WHEN 2 THEN 'neither' ELSE 'unclear' END"
+_T1, _T2 = M.float_range(0.1, 0.3, 0.1), M.float_range(0.3, 0.4, 0.1)
+_SIM = "list_dot_product({0}.vector, {1}.vector) / (sqrt(list_dot_product({0}.vector, {0}.vector)) * sqrt(list_dot_product({1}.vector, {1}.vector)))"
+_SEEN_SQL = f"""t AS (SELECT n, n % 3 <> 0 AS used, n % 7 <> 0 AS tried, n % 11 <> 0 AS has_prompt, {_LABEL_SQL} AS label FROM entries WHERE n < 120),
+bh AS (SELECT a.n, max({_SIM.format('a', 'b')}) AS best_hit FROM entries a JOIN entries b ON b.n IN (a.n + 1, a.n + 2) GROUP BY a.n),
+bc AS (SELECT a.n, greatest(max({_SIM.format('a', 'b')}), 0) AS best_chunk FROM entries a, entries b WHERE b.n >= 120 AND a.n < 120 GROUP BY a.n),
+seen AS (SELECT t.*, best_hit, best_chunk FROM t LEFT JOIN bh USING (n) LEFT JOIN bc USING (n))"""
+
+
+def _evidence(spark, sf) -> DataFrame:
+    e = S.entries(spark, sf)
+    label = F.expr("case n % 4 when 0 then 'truly_redundant' when 1 then 'truly_missed' when 2 then 'neither' else 'unclear' end")
+    cid = lambda k: F.concat(F.lit("c"), F.lpad((F.col("n") + k).cast("string"), 6, "0"))
+    few = e.where("n < 120")
+    turns = few.select(F.col("n").alias("turn_id"), F.when(F.col("n") % 7 != 0, F.array(cid(1), cid(2), F.lit("gone"))).otherwise(F.array().cast("array<string>")).alias("hit_ids"), F.lit(1).alias("n_queries"), F.when(F.col("n") % 3 != 0, 1).otherwise(0).alias("n_tools"), label.alias("label"))
+    prompts = few.where("n % 11 <> 0").select(F.col("n").alias("turn_id"), F.col("vector").alias("pvec"))
+    queries = few.select(F.col("n").alias("turn_id"), F.col("vector").alias("qvec"))
+    stored = e.select("id", "n", "vector")
+    return drift.evidence(turns, prompts, queries, stored, 600).drop("best_chunk").join(drift.replay(prompts, stored.where("n >= 120"), 1), "turn_id", "left")
+
+
+@query(f"WITH {_SEEN_SQL} SELECT n AS turn_id, used AND tried AS hits, round(CASE WHEN tried THEN best_hit END, 9) AS best_hit, round(CASE WHEN has_prompt THEN best_chunk END, 9) AS best_chunk FROM seen", "entries")
+def j6_j7_evidence(spark, sf):
+    got = _evidence(spark, sf)
+    return rounded(got.select("turn_id", ((F.col("n_tools") > 0) & (F.col("found") > 0)).alias("hits"), "best_hit", "best_chunk"), "best_hit", "best_chunk")
+
+
+_GRID = f"""WITH {_SEEN_SQL}, g AS (SELECT t1, t2 FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x in _T1)}) a(t1), (VALUES {', '.join(f'({x}::DOUBLE)' for x in _T2)}) b(t2)),
+v AS (SELECT t1, t2, label, used AND tried AND best_hit >= t1 AS r, NOT used AND best_chunk >= t2 AS m FROM seen, g WHERE has_prompt),
+c AS (SELECT t1, t2, count(*) AS n_turns_scored, count(*) FILTER (label <> 'unclear' AND r AND label = 'truly_redundant') AS tp_redundant, count(*) FILTER (label <> 'unclear' AND r AND label <> 'truly_redundant') AS fp_redundant,
+ count(*) FILTER (label <> 'unclear' AND NOT r AND label = 'truly_redundant') AS fn_redundant, count(*) FILTER (label <> 'unclear' AND NOT r AND label <> 'truly_redundant') AS tn_redundant,
+ count(*) FILTER (label <> 'unclear' AND m AND label = 'truly_missed') AS tp_missed, count(*) FILTER (label <> 'unclear' AND m AND label <> 'truly_missed') AS fp_missed,
+ count(*) FILTER (label <> 'unclear' AND NOT m AND label = 'truly_missed') AS fn_missed, count(*) FILTER (label <> 'unclear' AND NOT m AND label <> 'truly_missed') AS tn_missed FROM v GROUP BY t1, t2),
+p AS (SELECT *, CASE WHEN tp_redundant + fp_redundant = 0 THEN 0 ELSE tp_redundant::DOUBLE / (tp_redundant + fp_redundant) END AS precision_redundant, CASE WHEN tp_redundant + fn_redundant = 0 THEN 0 ELSE tp_redundant::DOUBLE / (tp_redundant + fn_redundant) END AS recall_redundant,
+ CASE WHEN tp_missed + fp_missed = 0 THEN 0 ELSE tp_missed::DOUBLE / (tp_missed + fp_missed) END AS precision_missed, CASE WHEN tp_missed + fn_missed = 0 THEN 0 ELSE tp_missed::DOUBLE / (tp_missed + fn_missed) END AS recall_missed FROM c)
+SELECT *, CASE WHEN precision_redundant + recall_redundant = 0 THEN 0 ELSE 2 * precision_redundant * recall_redundant / (precision_redundant + recall_redundant) END AS f1_redundant, CASE WHEN precision_missed + recall_missed = 0 THEN 0 ELSE 2 * precision_missed * recall_missed / (precision_missed + recall_missed) END AS f1_missed FROM p"""
+
+
+@query(_GRID, "entries")
+def j12_a15_grid(spark, sf):
+    return drift.confusion(drift.verdicts(_evidence(spark, sf), [(a, b) for a in _T1 for b in _T2]))
+
+
+@query(f"SELECT t1, t2 FROM ({_GRID.replace('WITH ', 'WITH ', 1)}) ORDER BY precision_redundant + precision_missed DESC, f1_redundant + f1_missed DESC, t1, t2 LIMIT 3", "entries")
+def o3_best_points(spark, sf):
+    return drift.best_points(j12_a15_grid(spark, sf), 3).select("t1", "t2")
+
+
+@query(f"SELECT l AS label, count(n) AS n FROM (VALUES ('truly_redundant'), ('truly_missed'), ('neither'), ('unclear')) v(l) LEFT JOIN (SELECT n, {_LABEL_SQL} AS label FROM entries WHERE n % 4 <> 2) t ON t.label = l GROUP BY 1", "entries")
+def a16_label_counts(spark, sf):
+    e = S.entries(spark, sf).where("n % 4 <> 2")
+    return drift.label_counts(e.select(F.expr("case n % 4 when 0 then 'truly_redundant' when 1 then 'truly_missed' when 2 then 'neither' else 'unclear' end").alias("label")))
+
+
+_LEVELS = f"""levels AS (SELECT query_id, unnest(['summary', 'snippet', 'full']) AS level, unnest([s, p, f]) AS tokens FROM (SELECT label AS query_id, sum((strlen(CASE WHEN summary <> '' THEN summary ELSE {clip_sql('content', 120)} END) + 3) // 4)::BIGINT AS s, sum((strlen({clip_sql('content', 200)}) + 3) // 4)::BIGINT AS p, sum((strlen(content) + 3) // 4)::BIGINT AS f FROM entries GROUP BY label))"""
+
+
+def _level_tokens(spark, sf) -> DataFrame:
+    return drift.level_tokens(S.entries(spark, sf).select(F.col("label").alias("query_id"), "content", "summary"))
+
+
+@query(f"WITH {_LEVELS} SELECT level, avg(tokens) AS mean, quantile_disc(tokens, 0.5)::DOUBLE AS p50, quantile_disc(tokens, 0.95)::DOUBLE AS p95, sum(tokens)::BIGINT AS total, count(*) AS n FROM levels GROUP BY level", "entries")
+def a17_token_summary(spark, sf):
+    return drift.summarise(_level_tokens(spark, sf), "tokens", ["level"])
+
+
+@query(f"WITH {_LEVELS}, t AS (SELECT sum(tokens) FILTER (level = 'summary') AS s, sum(tokens) FILTER (level = 'full') AS f FROM levels) SELECT s + f * 0.2::DOUBLE AS blend, round((1 - (s + f * 0.2::DOUBLE) / f) * 100, 9) AS saving_percent FROM t", "entries")
+def a18_token_savings(spark, sf):
+    return rounded(drift.savings(drift.summarise(_level_tokens(spark, sf), "tokens", ["level"])), "saving_percent")
+
+
+@query(f"""WITH {_SEEN_SQL} SELECT CASE WHEN used AND b >= 0.1 THEN CASE WHEN b <= 0.1 + 0.05 THEN 'redundant_near' ELSE 'redundant' END WHEN used THEN 'used' WHEN NOT has_prompt THEN 'skipped_no_prompt'
+ WHEN best_chunk >= 0.3 THEN CASE WHEN best_chunk <= 0.3 + 0.05 THEN 'missed_near' ELSE 'missed' END ELSE 'quiet' END AS counter, count(*) AS n FROM (SELECT *, CASE WHEN tried THEN best_hit ELSE -1 END AS b FROM seen) GROUP BY 1""", "entries")
+def a19_drift_report(spark, sf):
+    return drift.drift(_evidence(spark, sf), 0.1, 0.3)
+
+
+@query(f"SELECT coalesce(t.session, h.session) AS session, n, prompts FROM (SELECT session, count(*) AS n FROM messages GROUP BY 1) t FULL JOIN ({_SESSION.replace('session <>', 'session <>')}) h ON h.session = concat('s', t.session)", "messages log")
+def j9_session_report(spark, sf):
+    t = S.messages(spark, sf).groupBy("session").agg(F.count("*").alias("n")).withColumn("own", F.col("session")).withColumn("session", F.concat(F.lit("s"), "session"))
+    h = logs.by_session(S.log(spark, sf)).select("session", "prompts")
+    none = h.select("session").where("false")
+    return drift.session_report(t, h, none).select(F.coalesce("own", "session").alias("session"), "n", "prompts")
+
+
+# -- more sources and writers ----------------------------------------------------
+
+
+@query("SELECT substring(sha256(doc_id::VARCHAR), 1, 12) AS hash, CASE WHEN doc_id % 4 = 0 THEN 77 ELSE doc_id END AS ts, 'Subject ' || doc_id AS subject, CASE WHEN doc_id % 2 = 0 THEN 'Body' || chr(10) || chr(10) || 'line' ELSE '' END AS body FROM documents WHERE doc_id % 5 <> 0")
+def s8_git_log(spark, sf):
+    h = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 12)
+    block = F.concat(h, F.lit("\n"), F.when(F.col("doc_id") % 4 == 0, "zero").otherwise(F.col("doc_id").cast("string")), F.lit("\n"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("Subject "), "doc_id")), F.when(F.col("doc_id") % 2 == 0, "\nBody\n\nline\n").otherwise(""), F.lit("\n---COMMIT_END---\n"))
+    docs = S.table(spark, sf, "documents").groupBy(F.col("doc_id") % 8).agg(F.concat_ws("", F.collect_list(block)).alias("value")).select("value")
+    return readers.commits(docs, 77)
+
+
+@query("SELECT 'commit:' || substring(sha256(doc_id::VARCHAR), 1, 12) AS id, concat('S', doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'b' ELSE '' END) AS content FROM documents")
+def s9_commit_chunks(spark, sf):
+    c = S.table(spark, sf, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("hash"), F.lit(1).alias("ts"), F.concat(F.lit("S"), "doc_id").alias("subject"), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("").alias("body"))
+    return readers.commit_chunks(c).select("id", "content")
+
+
+@query("SELECT concat('skill-', p_partkey) AS dir, CASE WHEN p_partkey % 3 = 0 THEN concat('skill-', p_partkey) ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS description, concat('# Body ', p_partkey) AS body FROM part")
+def s11_skill_files(spark, sf):
+    p = S.table(spark, sf, "part")
+    head = F.when((F.col("p_partkey") % 3 == 0) & (F.col("p_partkey") % 2 == 1), "").otherwise(F.concat(F.lit("---\n# c\n"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit('name: "'), "p_name", F.lit('"\n'))).otherwise(""), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("description: "), "p_type", F.lit("\n"))).otherwise(""), F.lit("---\n")))
+    files = p.select(F.concat(F.lit("skill-"), "p_partkey", F.lit("/SKILL.md")).alias("path"), F.concat(head, F.lit("\n# Body "), "p_partkey", F.lit("\n")).alias("content"))
+    return readers.skill_files(files).select(F.split("path", "/")[0].alias("dir"), "name", "description", "body")
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_id < 500 GROUP BY 1")
+def s19_length_prefixed(spark, sf):
+    e = S.table(spark, sf, "events").where("event_id < 500")
+    one = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("event_type")), 8, "0")), F.encode("event_type", "utf-8"), F.unhex(F.lit("00000000")))
+    return readers.length_prefixed(e.select(one.alias("content"))).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority AS query, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")
+def s21_query_lines(spark, sf):
+    o = S.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), "o_orderpriority", F.lit("\t"))).when(F.col("o_orderkey") % 3 == 1, "# no").otherwise("  ").alias("value"))
+    return readers.query_lines(o).groupBy("query").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n AS k, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM (SELECT vec_id AS n, CASE WHEN vec_id % 2 = 0 THEN embedding ELSE [0.0::FLOAT] END AS embedding FROM embeddings)")
+def s24_lookup_embedder(spark, sf):
+    e = S.table(spark, sf, "embeddings").withColumn("content", F.col("vec_id").cast("string"))
+    got = readers.lookup_embedder(e.select("vec_id", "content"), e.where("vec_id % 2 = 0").select(F.col("content").alias("text"), F.col("embedding").alias("v")), 64)
+    return got.select(F.col("vec_id").alias("k"), F.round(F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(p, 'src1/') THEN substring(p, 6) ELSE '' END AS scope, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN 'x' || doc_id ELSE '' END, ''), CASE WHEN starts_with(p, 'src1/') THEN substring(p, 6) ELSE '' END) AS path FROM (SELECT doc_id, source || '/' || lang AS p FROM documents)")
+def f16_x29_scopes(spark, sf):
+    d = S.table(spark, sf, "documents").withColumn("p", F.concat_ws("/", "source", "lang"))
+    scope = readers.scope_of(F.col("p"), F.lit("src1"))
+    return d.select("doc_id", scope.alias("scope"), X.memory_context(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ./x"), "doc_id")), scope).alias("path"))
+
+
+@query("SELECT arg_max(dir, (t, c)) AS dir, g FROM (SELECT n % 9 AS g, CASE WHEN n % 2 = 0 THEN 'legacy' ELSE 'canonical' END AS dir, n // 50 AS t, n % 2 AS c FROM entries) GROUP BY g", "entries")
+def f18_newer_directory(spark, sf):
+    e = S.entries(spark, sf).select((F.col("n") % 9).alias("g"), F.when(F.col("n") % 2 == 0, "legacy").otherwise("canonical").alias("dir"), F.expr("n div 50").alias("max_mod_time"), (F.col("n") % 2).alias("canonical"))
+    return e.groupBy("g").agg(readers.newer_directory(e).alias("dir"))
+
+
+# -- memory writers ---------------------------------------------------------------
+
+
+@query("SELECT 'mem:' || id AS id, CASE WHEN n % 5 = 0 THEN 'updated' ELSE 'kept' END AS status FROM entries UNION ALL SELECT 'mem:explicit:' || sha256('new ' || id), 'created' FROM entries WHERE n % 50 = 7", "entries")
+def k11_remember(spark, sf):
+    m = S.memories(spark, sf).withColumn("content", F.concat("id", F.lit(" text"))).withColumn("content_hash", X.content_hash(F.col("content")))
+    exact = m.where("cast(substring(id, 6) as int) % 5 = 0").select("content", F.array(F.lit("t1")).alias("tags"), F.lit("decision").alias("type"), "project", "vector", "context_path")
+    fresh = m.where("cast(substring(id, 6) as int) % 50 = 7").select(F.concat(F.lit("new "), F.substring("id", 5, 99)).alias("content"), F.array(F.lit("t2")).alias("tags"), F.lit("fact").alias("type"), "project", F.transform("vector", lambda x: -x).alias("vector"), "context_path")
+    return memory.remember(m, exact.unionByName(fresh), NOW, 0.9).select("id", "status")
+
+
+@query("SELECT project, action, count(*) AS n FROM (SELECT concat('p', (turn % 4)::VARCHAR) AS project, CASE WHEN row_number() OVER (PARTITION BY turn % 4, h ORDER BY conv_id, turn, i) > 1 THEN 'skipped' ELSE 'created' END AS action FROM (SELECT conv_id, turn, i, sha256(c) AS h FROM (SELECT conv_id, turn, 0 AS i, lower(role || ' ' || (conv_id % 10)::VARCHAR) AS c FROM conversations))) GROUP BY ALL")
+def k12_session_ingest(spark, sf):
+    c = S.table(spark, sf, "conversations")
+    text = F.concat("role", F.lit(" "), (F.col("conv_id") % 10).cast("string"))
+    rows = c.select(F.concat(F.lit("p"), (F.col("turn") % 4).cast("string")).alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("ordinal"), text.alias("content"))
+    bits = F.split(F.lpad(F.conv(F.substring(F.sha2("content", 256), 1, 4), 16, 2), 16, "0"), "")  # equal texts, and hardly others, have equal vectors
+    rows = memory.prepare(rows).withColumn("vector", F.transform(F.slice(bits, 1, 16), lambda b: F.when(b == "1", 1.0).otherwise(-1.0).cast("float")))
+    return memory.ingest_sessions(S.memories(spark, sf).limit(0), rows, NOW, 0.9999).groupBy("project", "action").agg(F.count("*").alias("n"))
