@@ -71,47 +71,54 @@ class ChunkTokenizer:
         self.letters = {ord(c): "".join(piece for piece, _ in alphabet.pre_tokenize_str(c)) for c in small}
         self.model = self.tok.model
 
-    def _word(self, letters: str) -> bytes:
-        import numpy as np
-
-        return np.array([t.id for t in self.model.tokenize(letters.lower().translate(self.letters))], self.word).tobytes()
+    def _word(self, low: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}{'H' if self.word == '<u2' else 'I'}", *ids)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, self.word).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _fill(self, missing: set[str]) -> None:
-        if len(self.cache) + len(missing) > CACHED:  # chunks of few ids are the frequent ones
-            short = {c: v for c, v in self.cache.items() if len(v) <= 4}
-            self.cache = short if len(short) + len(missing) < CACHED // 2 else {"": b""}
-
-        def parts_of(c: str) -> list[str]:
-            m = _TAIL.fullmatch(c)
-            return [p.lower() if p.isascii() or _LETTERS.fullmatch(p) else p for p in (m.groups() if m else (c,))]
-
-        plan = {c: parts_of(c) for c in missing}
-        need = [p for p in {p for parts in plan.values() for p in parts} if p not in self.cache]
-        rest = []
-        for p in need:
-            if _LETTERS.fullmatch(p):
-                self.cache[p] = self._word(p)
+    def _fill(self, missing) -> None:
+        cache = self.cache
+        if len(cache) + len(missing) > CACHED:  # chunks of few ids are the frequent ones
+            short = {c: v for c, v in cache.items() if len(v) <= 4}
+            self.cache = cache = short if len(short) + len(missing) < CACHED // 2 else {"": b""}
+        rest: list[str] = []
+        later: list[tuple[str, str, str]] = []
+
+        def one(p: str) -> None:
+            if p not in cache:
+                if _LETTERS.fullmatch(p):
+                    low = p.lower()
+                    if low not in cache:
+                        cache[low] = self._word(low)
+                    cache[p] = cache[low]
+                else:
+                    rest.append(p)
+
+        for c in missing:
+            m = None if c.isalpha() else _TAIL.fullmatch(c)
+            if m:
+                head, tail = m.groups()
+                one(head)
+                one(tail)
+                later.append((c, head, tail))
             else:
-                rest.append(p)
-        self.cache.update(zip(rest, self._encode(rest), strict=True))
-        for c, parts in plan.items():
-            self.cache[c] = b"".join(self.cache[p] for p in parts)
+                one(c)
+        cache.update(zip(rest, self._encode(rest), strict=True))
+        for c, head, tail in later:
+            cache[c] = cache[head] + cache[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of ``self.word``."""
         chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        out = []
-        for c in chunks:
-            words = set(c)
-            if missing := {w for w in words if w not in self.cache}:
-                self._fill(words if len(self.cache) + len(missing) > CACHED else missing)
-            out.append(b"".join(map(self.cache.__getitem__, c)))
-        return out
+        words = set().union(*chunks)
+        if missing := [w for w in words if w not in self.cache]:
+            self._fill(words if len(self.cache) + len(missing) > CACHED else missing)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
 
     def check(self, text: str) -> bool:
         return self.encode([text]) == self._encode([text])
