@@ -102,7 +102,8 @@ def tokens_ceil(s: Column) -> Column:
 
 def tags(content: Column) -> Column:
     """Topics in order, then up to five CamelCase words in lower case, distinct."""
-    topics = F.array(*[F.when(content.rlike(word_pattern("|".join(f"<{w}>" for w in words.split("|")))), name) for name, words in TOPICS.items()])
+    low = F.lower(content)  # one plain alternation between two boundaries a topic, without case folding in the matcher
+    topics = F.array(*[F.when(low.rlike(f"{LEFT}(?:{words}){RIGHT}"), name) for name, words in TOPICS.items()])
     camel = F.regexp_extract_all(content, F.lit(rf"{LEFT}([A-Z][a-z]+(?:[A-Z][a-z]+)+){RIGHT}"), F.lit(1))
     return F.array_distinct(F.concat(F.array_compact(topics), F.transform(F.slice(camel, 1, 5), F.lower)))
 
