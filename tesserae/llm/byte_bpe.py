@@ -44,7 +44,7 @@ def safe_parts(text: str, part: int = PART) -> Iterator[str]:
     """``text`` in pieces of about ``part`` characters, cut at safe boundaries only."""
     at, n = 0, len(text)
     while n - at > part:
-        found = _SAFE.search(text, at + part - 1)
+        found = _SAFE.search(text, at + max(1, part - 1))
         if not found:
             break
         yield text[at : found.start()]
