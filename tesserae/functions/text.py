@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\f\r ]"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 CHUNK_BYTES = 1500
+MOST_BYTES = {"content": 100 * 1024, "summary": 50 * 1024, "query": 10 * 1024}
+MOST_TAGS, MOST_TAG_BYTES = 20, 100
 SUMMARY_CHUNK = 500
 SKILL_CHUNK = 1800
 
@@ -235,3 +237,20 @@ def tool_name(name: Column) -> Column:
 
 def transcript_slug(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("-"))
+
+
+def one_line(s: Column) -> Column:
+    """A front-matter value on one line, without the quotes around it."""
+    return F.regexp_replace(collapse(trim(s)), r"""^(["'])(.*)\1$""", "$2")
+
+
+def refusal(kind: str, s: Column) -> Column:
+    """Why a text of ``kind`` (content, summary, query) can't be taken, null if it can: it is missing, or over the kind's bytes."""
+    most = MOST_BYTES[kind]
+    return F.when(F.coalesce(s, F.lit("")) == "", f"{kind} is required").when(F.octet_length(s) > most, f"{kind} exceeds maximum size of {most // 1024}KB")
+
+
+def refused_tags(tags_: Column) -> Column:
+    """Why a list of tags can't be taken, null if it can: more than 20, or one over 100 bytes."""
+    long = F.filter(tags_, lambda t: F.octet_length(t) > MOST_TAG_BYTES)
+    return F.when(F.size(tags_) > MOST_TAGS, "too many tags").when(F.size(long) > 0, "a tag is too long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 DAY = 86_400
 ACTIVE_DAYS, ARCHIVE_DAYS, MOST_CHUNKS = 30, 90, 10_000
+STALE_SECONDS = 1800
 MARK = "... [archived]"
 CACHE_BYTES = 32 * 1024
 
@@ -115,3 +116,8 @@ def dead_letters(current: DataFrame, snapshot: DataFrame, survivors: DataFrame)
 def eta(done: Column, total: Column, elapsed: Column) -> Column:
     """Seconds left at the speed so far; null before the first item."""
     return F.when((done > 0) & (elapsed > 0), (total - done) * elapsed / done)
+
+
+def index_stale(last_modified: Column, now: int, after: int = STALE_SECONDS) -> Column:
+    """Whether an index is due for another run; one that never was written isn't."""
+    return (F.coalesce(last_modified, F.lit(0)) != 0) & (F.lit(now) - last_modified > after)

@@ -62,6 +62,11 @@ def skill_files(files: DataFrame, path: str = "path", text: str = "content") ->
     return out.select("path", name.alias("name"), F.coalesce(fm["description"], F.lit("")).alias("description"), "body", "frontmatter")
 
 
+def skill_count(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``n``: folders right under the root, hidden ones left out, that hold a skill file."""
+    return paths.where(F.col(path).rlike(r"^[^./][^/]*/SKILL\.md$")).agg(F.countDistinct(path).alias("n"))
+
+
 def split_skill(body: str, limit: int = X.SKILL_CHUNK) -> list[str]:
     """A skill's body in parts of ``limit`` characters: at headings, else at blank lines, else anywhere.
 

@@ -23,3 +23,16 @@ def find_by_path(rows: DataFrame, projects: list[tuple[str, str]], column: str =
     hits = F.filter(options, lambda p: (F.col(column) == p["root"]) | F.startswith(F.col(column), F.concat(p["root"], F.lit("/"))))
     best = rows.withColumn("_p", F.array_max(hits)).where("_p is not null")
     return best.select(*rows.columns, "_p.name", "_p.root")
+
+
+def members(projects: DataFrame, anchor: str, name: str = "") -> DataFrame:
+    """``projects`` (``name, path``) at or below the path ``anchor``: the anchor first, then by name.
+
+    ``name``: one member alone (none if it isn't there), ``__root__`` the anchor alone.
+    """
+    path = F.regexp_replace("path", "/+$", "")
+    root = F.lit(anchor.rstrip("/"))
+    found = projects.where(is_under(path, root)).withColumn("is_anchor", path == root)
+    if name:
+        found = found.where(F.col("is_anchor") if name == "__root__" else F.col("name") == name)
+    return found.orderBy(F.col("is_anchor").desc(), "name")
