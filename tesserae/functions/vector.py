@@ -1,8 +1,11 @@
-"""Vector and number expressions; all stay in the JVM but the byte codec."""
+"""Vector and number expressions in the JVM; the byte codec and scans of many vectors run on Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +68,6 @@ def encode_f32(column: str) -> Column:
     """ARRAY<FLOAT> as little-endian bytes, Arrow batch by batch."""
     @F.pandas_udf("binary")
     def run(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
     return run(column)
@@ -76,8 +77,79 @@ def decode_f32(column: str) -> Column:
     """Little-endian bytes as ARRAY<FLOAT>; up to three bytes that are left over go."""
     @F.pandas_udf("array<float>")
     def run(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         return v.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4"))
 
     return run(column)
+
+
+def as_matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's vectors as doubles, and which of them have ``dim`` components, none null; the others are zeros."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten()  # of the rows that are not null
+    if dim and flat.null_count == 0 and (sizes == dim).all():
+        return flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype("f8"), np.ones(len(sizes), bool)
+    out, fine = np.zeros((len(sizes), dim)), np.zeros(len(sizes), bool)
+    rows = np.flatnonzero(sizes == dim) if dim else np.zeros(0, "i8")
+    if len(rows):
+        starts = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])[rows]
+        at = starts[:, None] + np.arange(dim)
+        whole = flat.is_valid().to_numpy(zero_copy_only=False)[at].all(axis=1)
+        out[rows[whole]] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)[at[whole]]
+        fine[rows[whole]] = True
+    return out, fine
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed from left to right as :func:`dot` does, so equal rows have equal sums wherever they stand."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, np.broadcast_to(b, a.shape).T):
+        out += x * y
+    return out
+
+
+def cosine_to(vector: Column, query: list[float]) -> Column:
+    """:func:`cosine` with one vector, Arrow batch by batch: the same bits, without an expression step a component."""
+    q = np.asarray(query, "f8")
+    norm_q = np.sqrt(dots(q[None], q)[0])
+
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
+        m, fine = as_matrix(v, len(q))
+        with np.errstate(all="ignore"):
+            n = np.sqrt(dots(m, m))
+            fine &= ~(n <= 0) & ~(norm_q <= 0)
+            return pa.array(np.where(fine, dots(m, q) / (n * norm_q), 0.0))
+
+    return run(vector)
+
+
+def best_cosines(batches, ids: list[int], queries: np.ndarray, k: int, rows: int = 2048):
+    """From batches of ``id, vector``: batches of ``query_id, id, score`` that hold each query's best ``k``, and few others.
+
+    A matrix product finds what can be among the best ``k`` of the rows seen so
+    far; only that is scored exactly.  Rows and queries without a cosine score 0.
+    """
+    slack = 1e-9  #: more than the rounding of a matrix product of unit vectors
+    queries = np.asarray(queries, "f8")
+    with np.errstate(all="ignore"):
+        norms = np.sqrt(dots(queries, queries))
+        unit = np.where((norms > 0)[:, None], queries / norms[:, None], 0.0)
+    seen = np.full((len(ids), k), -np.inf)
+    names = np.asarray(ids, "i8")
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            m, fine = as_matrix(part.column(1), queries.shape[1])
+            with np.errstate(all="ignore"):
+                n = np.sqrt(dots(m, m))
+                fine &= ~(n <= 0)
+                rough = np.where(fine[:, None], (m / np.where(fine, n, 1.0)[:, None]) @ unit.T, 0.0)
+            rough = np.where(np.isnan(rough), np.inf, rough)
+            both = np.concatenate([seen, rough.T], axis=1)
+            seen = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            r, q = np.nonzero(rough >= seen.min(axis=1) - slack)
+            for lo in range(0, len(r), 1 << 14):
+                i, j = r[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
+                with np.errstate(all="ignore"):
+                    score = np.where(fine[i] & ~(norms[j] <= 0), dots(m[i], queries[j]) / (n[i] * norms[j]), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(names[j]), part.column(0).take(pa.array(i)), pa.array(score)], names=["query_id", "id", "score"])

@@ -8,6 +8,7 @@ operator needs only the columns it names.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,9 +86,7 @@ def same_model(a: str, b: str) -> bool:
 
 def score(chunks: DataFrame, query: list[float], now: int | None = None) -> DataFrame:
     """``chunks`` with ``score``: cosine, times freshness if ``now`` is given.  One pass, no shuffle."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    q_norm = F.lit(sum(float(x) ** 2 for x in query) ** 0.5)
-    s = M.cosine(F.col("vector"), q, norm_b=q_norm)
+    s = M.cosine_to(F.col("vector"), [float(x) for x in query])
     return chunks.withColumn("score", s if now is None else s * M.freshness(F.col("last_accessed"), now))
 
 
@@ -110,26 +109,28 @@ QUERY_ROUND = 1024
 def search_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top ``k`` for each of many queries (``query_id, qvec``): ``query_id, id, score, rank``.
 
-    A round's queries are one array beside each chunk, so chunks are read once a
-    round and no pair is shuffled before each task has cut it to its best ``k``.
+    A round's queries are a matrix that each task multiplies its chunks with, so
+    chunks are read once a round, and only what can be among a task's best ``k``
+    leaves it.  Queries of one length make a round; null ones score 0.
     """
-    out = None
+    kind = chunks.schema["id"].dataType.simpleString()
     rows = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).orderBy("query_id").toLocalIterator()
-    part: list = []
+    narrow, parts, rounds = chunks.select("id", "vector"), {}, []
 
     def scored(some: list) -> DataFrame:
-        spark = chunks.sparkSession
-        q = spark.createDataFrame(some, "query_id bigint, qvec array<double>").withColumn("qn", M.norm(F.col("qvec")))
-        pairs = chunks.select("id", "vector", M.norm(F.col("vector")).alias("vn")).join(F.broadcast(q))  # at most QUERY_ROUND rows
-        return pairs.select("query_id", "id", M.cosine(F.col("vector"), F.col("qvec"), F.col("vn"), F.col("qn")).alias("score"))
+        ids, vectors = [i for i, _ in some], [v for _, v in some]
+        return narrow.mapInArrow(lambda batches: M.best_cosines(batches, ids, vectors, k), f"query_id bigint, id {kind}, score double")
 
     for r in rows:
-        part.append((r.query_id, r.qvec))
-        if len(part) == QUERY_ROUND:
-            out = scored(part) if out is None else out.unionByName(scored(part))
-            part = []
-    if part or out is None:
-        out = scored(part) if out is None else out.unionByName(scored(part))
+        fine = r.qvec is not None and None not in r.qvec
+        vector = list(r.qvec) if fine else []
+        parts.setdefault(len(vector), []).append((r.query_id, vector))
+        if len(parts[len(vector)]) == QUERY_ROUND:
+            rounds.append(scored(parts.pop(len(vector))))
+    rounds += [scored(some) for some in parts.values()]
+    if not rounds:
+        return narrow.selectExpr("cast(null as bigint) query_id", "id", "0D score", "0 rank").limit(0)
+    out = reduce(DataFrame.unionByName, rounds)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -65,6 +65,34 @@ def test_many_queries_in_rounds(spark, chunks, monkeypatch):
     assert search.search_many(chunks, qs.limit(0), 1).count() == 0
 
 
+def test_scans_agree_with_the_expression(spark, monkeypatch):
+    import random
+
+    from tesserae.functions import vector as M
+
+    r = random.Random(3)
+    vectors = [[r.choice([-1.0, 0.5, 2.0, 0.0]) for _ in range(4)] for _ in range(300)]
+    odd = [None, [], [0.0] * 4, [1.0], [1.0, None, 2.0, 3.0], [1e-30, 0.0, 0.0, 0.0], [3e38, 3e38, 0.0, 0.0]]
+    rows = [(f"v{i:03}", v) for i, v in enumerate(vectors * 2 + odd)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>").repartition(3).cache()
+    asked = [(i, v) for i, v in enumerate([*vectors[:12], None, [], [0.0] * 4, [1.0], [1.0, None, 2.0, 3.0]])]
+    queries = spark.createDataFrame(asked, "query_id bigint, qvec array<double>")
+    want = {}
+    for i, v in asked:
+        plain = [0.0 if x is None else x for x in v or []] if v is None or None not in v else []
+        q = F.lit(None).cast("array<double>") if v is None or None in v else F.array(*map(F.lit, plain)).cast("array<double>")
+        scores = {x.id: x.s for x in df.select("id", F.coalesce(M.cosine(F.col("vector"), q), F.lit(0.0)).alias("s")).collect()}
+        if plain:
+            assert {x.id: x.score for x in search.score(df, plain).collect()} == scores
+        want[i] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:9]
+    for rounds in (1024, 3):
+        monkeypatch.setattr(search, "QUERY_ROUND", rounds)
+        got = {}
+        for x in search.search_many(df, queries, 9).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append((x.id, x.score))
+        assert got == want
+
+
 def test_listing_has_the_prefix_quirk(chunks):
     assert [tuple(r) for r in index.listing(chunks, "internal/cli").collect()] == [("", 1), ("ent", 1), ("sub", 1)]
     assert [tuple(r) for r in index.listing(chunks, "internal/cli", "path").collect()] == [("", 1), ("sub", 1)]
