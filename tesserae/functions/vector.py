@@ -153,3 +153,38 @@ def best_cosines(batches, ids: list[int], queries: np.ndarray, k: int, rows: int
                 with np.errstate(all="ignore"):
                     score = np.where(fine[i] & ~(norms[j] <= 0), dots(m[i], queries[j]) / (n[i] * norms[j]), 0.0)
                 yield pa.RecordBatch.from_arrays([pa.array(names[j]), part.column(0).take(pa.array(i)), pa.array(score)], names=["query_id", "id", "score"])
+
+
+def nearest(batches, known: pa.Table, threshold: float, kind: pa.DataType, rows: int = 256):
+    """From batches of ``new_id, vector``: ``new_id, id, score`` of each row's most similar ``known`` (``id, vector``) above ``threshold``.
+
+    Ties go to the smallest id.  ``threshold`` is 0 or more; vectors without a
+    finite cosine are similar to nothing.
+    """
+    slack = 1e-9
+    ids, vectors = known.column(0).to_numpy(zero_copy_only=False), known.column(1).combine_chunks()
+    groups = []
+    for dim in pc.unique(pc.list_value_length(vectors)).to_pylist():
+        if dim:
+            m, fine = as_matrix(vectors, dim)
+            n = np.sqrt(dots(m, m))
+            at = np.flatnonzero(fine & (n > 0) & np.isfinite(n))
+            groups.append((dim, ids[at], m[at], n[at], (m[at] / n[at, None]).T))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            for dim, names, m, n, unit in groups:
+                mine, fine = as_matrix(part.column(1), dim)
+                with np.errstate(all="ignore"):
+                    norms = np.sqrt(dots(mine, mine))
+                    at = np.flatnonzero(fine & (norms > 0) & np.isfinite(norms))
+                if not len(at) or not len(names):
+                    continue
+                mine, norms = mine[at], norms[at]
+                rough = (mine / norms[:, None]) @ unit
+                r, q = np.nonzero(rough >= np.maximum(rough.max(axis=1, keepdims=True), threshold) - slack)
+                score = dots(mine[r], m[q]) / (norms[r] * n[q])
+                r, q, score = (x[score > threshold] for x in (r, q, score))
+                order = np.lexsort((names[q].astype(str), -score, r))
+                first = order[np.unique(r[order], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[r[first]])), pa.array(names[q[first]], kind), pa.array(score[first])], names=["new_id", "id", "score"])

@@ -52,23 +52,24 @@ def not_stored(new: DataFrame, memories: DataFrame) -> DataFrame:
     return new.join(memories.select("content_hash"), "content_hash", "left_anti")
 
 
-#: New rows are compared in blocks of this many against each partition of the memories.
-BLOCK = 512
-
-
 def similar(new: DataFrame, memories: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """For each new row (``new_id, new_vector``) its most similar memory strictly above ``threshold``: ``new_id, id, score``.
 
     The memories are the store's dedup cache of at most ``CACHE_MOST`` rows (the
-    step is off above that), so they are sent to every executor.
+    step is off above that), so they are sent to every executor as a matrix.
+    Vectors without a finite cosine are similar to nothing.
     """
+    if threshold < 0:
+        raise ValueError("a threshold of 0 or more is needed")
     if memories.limit(CACHE_MOST + 1).count() > CACHE_MOST:
         return new.select("new_id", F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("score")).limit(0)
-    cache = memories.select("id", "vector", M.norm(F.col("vector")).alias("vn"))
-    pairs = new.select("new_id", "new_vector", M.norm(F.col("new_vector")).alias("nn")).join(F.broadcast(cache))  # CACHE_MOST rows at most, counted above
-    scored = pairs.withColumn("score", M.cosine(F.col("new_vector"), F.col("vector"), F.col("nn"), F.col("vn"))).where(F.col("score") > threshold)
+    known = memories.select("id", "vector").toArrow()
+    kind = known.schema.field("id").type
+    sent = new.sparkSession.sparkContext.broadcast(known)  # CACHE_MOST rows at most, counted above
+    schema = f"new_id {new.schema['new_id'].dataType.simpleString()}, id {memories.schema['id'].dataType.simpleString()}, score double"
+    found = new.select("new_id", "new_vector").mapInArrow(lambda batches: M.nearest(batches, sent.value, threshold, kind), schema)
     best = F.min(F.struct((-F.col("score")).alias("s"), "id"))
-    return scored.groupBy("new_id").agg(best.alias("b")).select("new_id", "b.id", (-F.col("b.s")).alias("score"))
+    return found.groupBy("new_id").agg(best.alias("b")).select("new_id", "b.id", (-F.col("b.s")).alias("score"))
 
 
 def remember(memories: DataFrame, new: DataFrame, now: int, threshold: float = SIMILAR) -> DataFrame:

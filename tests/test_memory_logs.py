@@ -22,6 +22,16 @@ def test_similarity_is_strict(spark, store):
     assert {(r.new_id, r.id) for r in memory.similar(new, store).collect()} == {("n1", "m1"), ("n3", "m2")}
 
 
+def test_similarity_edge_cases(spark):
+    kinds = "id string, vector array<float>"
+    known = spark.createDataFrame([("b", [2.0, 0.0]), ("a", [1.0, 0.0]), ("c", None), ("d", []), ("e", [0.0, 0.0]), ("f", [None, 1.0]), ("g", [float("nan"), 1.0]), ("h", [1.0, 1.0, 1.0])], kinds)
+    new = spark.createDataFrame([("1", [3.0, 0.0]), ("2", None), ("3", [0.0, 0.0]), ("4", [1.0, None]), ("5", [float("inf"), 1.0]), ("6", [2.0, 2.0, 2.0]), ("1", [3.0, 0.0]), ("7", [-1.0, 0.0])], "new_id string, new_vector array<float>")
+    assert sorted((r.new_id, r.id, round(r.score, 9)) for r in memory.similar(new, known).collect()) == [("1", "a", 1.0), ("6", "h", 1.0)]
+    assert memory.similar(new, known.limit(0)).count() == 0 and memory.similar(new.limit(0), known).count() == 0
+    with pytest.raises(ValueError):
+        memory.similar(new, known, -0.1)
+
+
 def test_remember_rules(spark, store):
     rows = [("OLD  one", ["z"], "decision", "p", [0.0, 1.0, 0.0], "here"), ("brand new", ["q"], "fact", "p", [0.0, 1.0, 0.0], "there"), ("like two", ["c"], "context", "p", [0.0, 0.1, 1.0], "over")]
     new = spark.createDataFrame(rows, "content string, tags array<string>, type string, project string, vector array<float>, context_path string")
