@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import byte_bpe, cotrain, mixing, pii, simhash
+from tesserae.llm import byte_bpe, cotrain, jaccard, mixing, pii
 from tesserae.llm.common import read, staged
 
 
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, as in all stages on shingles)."""
-    return simhash.dedup(docs, shingle=5)
+    """One document of each group of near duplicates stays: verified Jaccard 0.8 or more of five-word shingles."""
+    return jaccard.dedup(docs, shingle=5, least=0.8)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
