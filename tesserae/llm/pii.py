@@ -1,7 +1,8 @@
 """PII surrogates: keyed, type-consistent, distinct, the same for each mention.
 
 Found are e-mail addresses, phone, card and social security numbers, IPv4
-addresses, IBANs, access keys and assigned secrets, and names after a title.
+addresses, IBANs, access keys and assigned secrets, and names after a title
+(initials too).  A secret runs to its closing quote or the next white space.
 An entity is a kind and a canonical value (digits of a number, lower case of an
 address or name), so the mentions of one entity share it whatever their format.
 
@@ -35,17 +36,21 @@ KEY = b"tesserae demonstration key"  #: a deployment passes its own secret key
 ROUNDS = 8
 #: From this attempt on a surrogate has two symbols more, for formats that are used up.
 WIDER = 16
+#: Longer secrets are permuted in blocks of so many characters.
+BLOCK = 256
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMBER = re.compile(
     rf"(?<![\w.])(?P<ip>(?:{_OCTET}\.){{3}}{_OCTET})(?!\.?\w)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w.+-])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{8,15})(?![\w-])"
+    r"|(?<![\w.+-])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{8,15}"
+    r"|(?=\+(?:[ ./()-]{0,2}\d){8})\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{1,4}(?:[ .-]\d{2,4}){2,5}|(?:\d{1,5}[ ./-])?\d{4,10})"  # groups of two, a long last group
+    r"|0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{5,9})(?![\w-])"
     r"|(?<![\w.-])(?P<card>\d{4}(?:[ -]?\d{4}){3}(?:\d{1,3})?|3\d{3}[ -]?\d{6}[ -]?\d{4,5}|\d{13,19})(?![\w-])"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}(?:\"([^\"\s]{6,200})\"|'([^'\s]{6,200})'|([^\s\"',;#&*%$!]{6,200}))")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}(?:\"((?:[^\"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|(?=[^\s\"']\S{5})(?=\S*[^\W_])(\S*[^\s.,;:!?)\]}>\"']))")
 _LOCAL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _DIGIT = re.compile(r"\d")
@@ -67,7 +72,9 @@ GIVEN = {
 _GENDER = {n: k for k, names in GIVEN.items() for n in names}
 _LETTER = r"[^\W\d_]"
 _TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?={_LETTER})")
-_NAME = re.compile(rf"{_LETTER}{{2,30}}(?:[ -]{_LETTER}{{2,30}}){{0,3}}(?!\w)")
+_PART = rf"(?:(?:{_LETTER}\.-?){{1,4}}|{_LETTER}['’]{_LETTER}{{2,30}}|{_LETTER}{{2,30}}(?:['’]{_LETTER}{{2,30}})?(?!\w)|{_LETTER}(?= {_LETTER}))"  # initials, O'Brien, a word
+_NAME = re.compile(rf"{_PART}(?:[ -]{_PART}){{0,4}}(?!\w)")
+_LETTERS = re.compile(rf"{_LETTER}+")
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýñç"
@@ -169,6 +176,17 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return f"{permute(local + 'aa' * wider, tag, key)}@{permute(front, 'domain', key)}{domain[len(front):]}"
     if kind == "access":
         return value[:4] + permute(value[4:], tag, key)
+    if kind == "initial":
+        sets, i = _NAMES.get(value, (value, 0))
+        step = int.from_bytes(hashlib.blake2b(f"{tag}|{sets}".encode(), key=key[:64], digest_size=8).digest(), "big")
+        return sets[(i + 1 + step % max(1, len(sets) - 1)) % len(sets)]
+    if kind == "secret" and len(value) > BLOCK:  # in blocks, each keyed by those before it: still a permutation, in time in proportion
+        classes = _HEX if re.fullmatch(r"[0-9a-f]+", value) else None
+        value, new = value + "00" * wider, []
+        for at in range(0, len(value), BLOCK):
+            new.append(permute(value[at : at + BLOCK], tag, key, classes))
+            tag = hashlib.blake2b(f"{tag}|{value[at : at + BLOCK]}".encode("utf-8", "surrogatepass"), key=key[:64]).hexdigest()
+        return "".join(new)
     if kind == "secret":
         return permute(value + "00" * wider, tag, key, _HEX if re.fullmatch(r"[0-9a-f]+", value) else None)
     if kind == "given":
@@ -216,11 +234,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 if not w[0].isupper() or w in TITLES:
                     break
                 words.append(w)
+            while words and len(words[-1]) == 1:  # no initial without a name
+                words.pop()
             for i, w in enumerate(words):
-                for part in w.split("-"):
-                    low = part.lower()
-                    found.append((start, start + len(part), "given" if i + 1 < len(words) or low in _GENDER else "family", low))
-                    start += len(part) + 1
+                for part in _LETTERS.finditer(w):
+                    a, b, low = start + part.start(), start + part.end(), part[0].lower()
+                    if len(part[0]) > 1:
+                        found.append((a, b, "given" if i + 1 < len(words) or low in _GENDER else "family", low))
+                    elif w[part.end() : part.end() + 1] not in ("'", "’"):  # the O of O'Brien stays
+                        found.append((a, b, "initial", low))
+                start += len(w) + 1
     found.sort(key=lambda f: (f[0], -f[1]))
     out, end = [], 0
     for f in found:
@@ -239,7 +262,7 @@ def render(mention: str, kind: str, value: str) -> str:
     if kind == "iban":
         chars = iter(value)
         return "".join(c if c == " " else next(chars) for c in mention)
-    if kind in ("email", "family", "given"):
+    if kind in ("email", "family", "given", "initial"):
         if mention.isupper():
             return value.upper()
         if kind != "email" and mention[0].isupper():
@@ -269,7 +292,7 @@ def entities(docs: DataFrame, text: str = "text", of_text: bool = False) -> Data
             for t in b.column(0):
                 t = t.as_py()
                 h = hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() if of_text and t else ""
-                seen.update((kind, value, h) for _, _, kind, value in find(t or ""))
+                seen.update((kind, value, h) for _, _, kind, value in find(t or "") if kind != "initial")  # all letters are initials
             kinds, values, hs = zip(*sorted(seen), strict=True) if seen else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(hs, pa.string())], names=["kind", "value", "h"])
 

@@ -73,3 +73,41 @@ def test_columns(spark):
 def test_long_text_takes_time_in_proportion():
     text = "a" * 300_000 + "@" * 2000 + "1" * 300_000 + " 1.2.3.4 " + "x1." * 100_000
     assert "1.2.3.4" not in pii.replace(text)[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "lost"),
+    [
+        ("password=Tr0ub4dor&3 end", ["Tr0ub4dor", "&3 end"]),
+        ("password=p@$$w0rd1", ["w0rd1"]),
+        ('"token": "' + "eyJhbGciOi.J9" * 40 + '", x', ["eyJhbGciOi"]),
+        ("token=" + "Zm9vYmFy" * 60 + " x", ["Zm9vYmFy"]),
+        ('passphrase: "correct horse battery"', ["correct", "horse", "battery"]),
+        ("call +33 1 23 45 67 89 now", ["23 45 67 89"]),
+        ("call +49 30 1234567 now", ["1234567"]),
+        ("call +49 (0)30 1234567, 01 23 45 67 89 or 030/7654321", ["1234567", "23 45 67 89", "7654321"]),
+        ("call +44 7911 123456 or +41 44 668 18 00", ["123456", "668 18 00"]),
+        ("Dr. J. Smith came", ["J.", "Smith"]),
+        ("Dr. J.-P. Smith and Prof. J. R. Miller", ["J.", "P.", "Smith", "R.", "Miller"]),
+        ("Mrs. O'Brien came", ["Brien"]),
+        ("Mrs. Mary O’Brien’s hat", ["Mary", "Brien"]),
+    ],
+)
+def test_whole_values_are_replaced(text, lost):
+    new = pii.replace(text)[0]
+    assert [x for x in lost if x in new] == []
+    assert len(pii.find(new)) == len(pii.find(text)) and len(new) == len(text) or "Mary" in text
+
+
+def test_what_is_no_secret_or_initial_stays():
+    for text in ("password=******** x", "Mr A went", "Sum +1 2 3 of 05-12-2024", "secret: no"):
+        assert pii.replace(text) == (text, 0)
+    assert pii.find("password=Abc123xyz, Mr Smith's")[0][3] == "Abc123xyz" and pii.find("Mr Smith's")[0][3] == "smith"
+    new = {pii.surrogate("secret", "a" * 300 + f"{i:03d}") for i in range(1000)}
+    assert len(new) == 1000 and pii.replace("token=" + "a1b" * 300_000)[1] == 1
+    assert pii.replace("password=\"" * 50_000)[1] > 0 and len({pii.surrogate("initial", c) for c in "bcdfgh"}) == 6
+
+
+def test_initials_take_no_part_in_collisions(spark):
+    docs = spark.createDataFrame([(i, f"Dr. {c}. Smith") for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")], "doc_id bigint, text string")
+    assert all(r.text != f"Dr. {chr(65 + r.doc_id)}. Smith" for r in pii.pseudonymise(docs).collect())
