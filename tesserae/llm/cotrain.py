@@ -2,14 +2,16 @@
 
 The text-content view sees what the words and characters are like, the metadata
 view what surrounds the text (language, source, sizes, line layout).  Each is a
-logistic regression.  A round scores every document without a label by both
-views; from each view the ``PER_ROUND`` most confident documents of each class,
-over all of them, join the *other* view's training rows.  After ``ROUNDS`` the
+logistic regression.  A round scores every distinct text without a label by both
+views; from each view the most confident new ones of each class, a ``SHARE`` of
+all confident ones and ``PER_ROUND`` at least (ties come along), join the *other*
+view's training rows.  After ``ROUNDS`` the
 views are calibrated on held-out labelled rows (Platt) and combined by a
 logistic regression of their calibrated log odds, and all documents are scored.
 
 The driver holds at most ``LABELLED`` labelled rows (the first by a hash of the
-id; documented bound) and ``4 * PER_ROUND`` rows a round, of about 70 numbers.
+id; documented bound) of about 70 numbers.  Rows that the views give each other
+stay distributed; a fit takes sums of gradients over them, one row a partition.
 Texts are never shuffled: features are one pass, scoring a table is another.
 
 Edge cases: a null text is an empty one; null metadata is a value of its own;
@@ -33,6 +35,7 @@ from tesserae.llm.common import cut
 
 LABELLED = 20_000
 PER_ROUND = 400
+SHARE = 0.02
 ROUNDS = 3
 HELD_OUT = 5  #: one labelled row in so many calibrates instead of trains
 PSEUDO_WEIGHT = 0.3
@@ -84,19 +87,29 @@ class Logistic:
     def __init__(self, ridge: float = 1.0):
         self.ridge = ridge
 
-    def fit(self, x, y, w=None):
+    def fit(self, x, y, w=None, more=None):
+        """``more``: sums a function of ``x, y, w`` over further, distributed rows."""
         import numpy as np
 
         x, y = np.asarray(x, "f8"), np.asarray(y, "f8")
         w = np.ones(len(y)) if w is None else np.asarray(w, "f8")
-        self.mean = np.average(x, axis=0, weights=w)
-        self.scale = np.sqrt(np.average((x - self.mean) ** 2, axis=0, weights=w)) + 1e-9
-        z = np.column_stack((np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(y))))
-        beta = np.zeros(z.shape[1])
-        penalty = np.diag([self.ridge] * (len(beta) - 1) + [1e-6])
+        k = x.shape[1]
+        total = lambda f: f(x, y, w) + (more(f) if more else 0.0)
+        first = total(lambda x, y, w: np.append(w @ x, w.sum()))
+        weight, mean = first[-1], first[:-1] / first[-1]
+        scale = np.sqrt(total(lambda x, y, w: w @ (x - mean) ** 2) / weight) + 1e-9
+        self.mean, self.scale = mean, scale
+        beta = np.zeros(k + 1)
+        penalty = np.diag([self.ridge] * k + [1e-6])
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            step = np.linalg.solve((z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (w * (y - p)) - penalty @ beta)
+
+            def sums(x, y, w, beta=beta.copy()):
+                z = np.column_stack((np.clip((x - mean) / scale, -8, 8), np.ones(len(y))))
+                p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                return np.append(((z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z).ravel(), z.T @ (w * (y - p)))
+
+            both = total(sums)
+            step = np.linalg.solve(both[: -k - 1].reshape(k + 1, k + 1) + penalty, both[-k - 1 :] - penalty @ beta)
             beta += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -144,6 +157,54 @@ def _matrix(column, width: int):
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def distinct_pool(marked: DataFrame) -> DataFrame:
+    """``h, t, m, y0, y1``: one row of each text without a label; ``y0`` and ``y1`` are what the views are given."""
+    one = marked.where("y is null").groupBy("h").agg(F.min(F.struct("doc_id", "t", "m")).alias("r"))
+    none = F.lit(None).cast("double")
+    return cut(one.select("h", "r.t", "r.m", none.alias("y0"), none.alias("y1")))
+
+
+def exchange(state: DataFrame, views: list[Logistic]) -> tuple[DataFrame, bool]:
+    """``state`` after each view has labelled its most confident texts that the other one does not have yet; whether there were any."""
+    text_view, meta_view = views
+
+    def margins(batches):
+        for b in batches:
+            if b.num_rows:
+                made = [pa.array(v.margin(_matrix(b.column(i), k))) for v, i, k in ((text_view, 1, N_TEXT), (meta_view, 2, N_META))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=["h", "t", "m", "y0", "y1", "by0", "by1"])
+
+    scored = cut(state.mapInArrow(margins, "h bigint, t array<float>, m array<float>, y0 double, y1 double, by0 double, by1 double"))
+    cases = [(teacher, sign) for teacher in (0, 1) for sign in (1, -1)]
+    sure = {(k, s): F.when((F.col(f"by{k}") * s > 1) & F.col(f"y{1 - k}").isNull(), F.col(f"by{k}") * s) for k, s in cases}
+    n = scored.agg(*[F.count(sure[c]) for c in cases]).first()
+    if not any(n):
+        return state, False
+    wanted = [max(PER_ROUND, round(SHARE * k)) for k in n]
+    from_ = scored.agg(*[F.percentile_approx(sure[c], max(0.0, 1 - w / max(1, k)), 10_000) for c, w, k in zip(cases, wanted, n, strict=True)]).first()
+    picked = {c: sure[c] >= (1.0 if k <= w else at) for c, w, k, at in zip(cases, wanted, n, from_, strict=True) if k}
+    given = lambda pupil: F.coalesce(f"y{pupil}", *[F.when(picked[c], F.lit(float(c[1] > 0))) for c in cases if c[0] == 1 - pupil and c in picked])
+    return cut(scored.select("h", "t", "m", given(0).alias("y0"), given(1).alias("y1"))), True
+
+
+def summing(state: DataFrame, side: int):
+    """What sums a function of ``x, y, w`` over the rows that view ``side`` was given."""
+    import numpy as np
+
+    rows = cut(state.where(F.col(f"y{side}").isNotNull()).select("m" if side else "t", f"y{side}"))
+    width = N_META if side else N_TEXT
+
+    def more(f):
+        def run(batches):
+            parts = [f(_matrix(b.column(0), width).astype("f8"), y := b.column(1).to_numpy(), np.full(len(y), PSEUDO_WEIGHT)) for b in batches if b.num_rows]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(parts)], pa.list_(pa.float64()))], names=["s"])
+
+        return sum((np.array(r.s) for r in rows.mapInArrow(run, "s array<double>").collect()), 0.0)
+
+    return more
+
+
 def train(features: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id") -> CoTrained | None:
     """Co-train on ``features`` (of :func:`featurise`) and ``labels`` (an id and 0 or 1)."""
     import numpy as np
@@ -161,33 +222,12 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", doc_id
     fit = ~held
     rows = [(t[fit], y[fit], np.ones(fit.sum())), (m[fit], y[fit], np.ones(fit.sum()))]
     views = [Logistic().fit(*r) for r in rows]
-    pool = marked.where("y is null").select("doc_id", "h", "t", "m")
-    taken: list[set] = [set(), set()]
+    state = distinct_pool(marked)
     for _ in range(ROUNDS):
-        text_view, meta_view = views
-
-        def confident(batches, text_view=text_view, meta_view=meta_view):
-            for b in batches:
-                if b.num_rows:
-                    made = [pa.array(v.margin(_matrix(b.column(i), k))) for v, i, k in ((text_view, 2, N_TEXT), (meta_view, 3, N_META))]
-                    yield pa.RecordBatch.from_arrays([*b.columns, *made], names=["doc_id", "h", "t", "m", "by_text", "by_meta"])
-
-        scored = pool.mapInArrow(confident, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pool.schema)}, by_text double, by_meta double")
-        grown = False
-        for teacher, by in enumerate(("by_text", "by_meta")):
-            pupil = 1 - teacher
-            for sign in (1.0, 0.0):
-                best = scored.orderBy(F.col(by).desc() if sign else F.col(by), "doc_id", "h").limit(PER_ROUND).collect()
-                sure = [r for r in best if (r[by] > 0) == bool(sign) and abs(r[by]) > 1 and (r.doc_id, r.h) not in taken[pupil]]
-                if sure:
-                    taken[pupil] |= {(r.doc_id, r.h) for r in sure}
-                    x = np.array([r.m if pupil else r.t for r in sure], "f4")
-                    old = rows[pupil]
-                    rows[pupil] = (np.vstack((old[0], x)), np.append(old[1], [sign] * len(sure)), np.append(old[2], [PSEUDO_WEIGHT] * len(sure)))
-                    grown = True
+        state, grown = exchange(state, views)
         if not grown:
             break
-        views = [Logistic().fit(*r) for r in rows]
+        views = [Logistic().fit(*r, more=summing(state, side)) for side, r in enumerate(rows)]
     judge = held if held.any() else np.ones(len(y), bool)
     odds = [v.margin(x[judge])[:, None] for v, x in zip(views, (t, m), strict=True)]
     calibrated = [Logistic().fit(o, y[judge]) for o in odds]

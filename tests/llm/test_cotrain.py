@@ -39,3 +39,30 @@ def test_edge_cases(spark):
     tie = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id bigint, quality int")
     assert cotrain.keep_good(docs, tie).count() == 4
     assert cotrain.classify(docs.limit(0), labels).count() == 0
+
+
+def test_copies_teach_one_text_and_rounds_go_on(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(1, r.normal(3, 0.1, cotrain.N_TEXT), 4.0)] * 1000 + [(k, r.normal(0, 1, cotrain.N_TEXT), r.normal()) for k in range(2, 1500)]
+    made = [(i, h, [float(x) for x in t], [float(a)] * cotrain.N_META, None) for i, (h, t, a) in enumerate(rows)]
+    marked = spark.createDataFrame(made, "doc_id bigint, h bigint, t array<float>, m array<float>, y boolean")
+    views = []
+    for k in (cotrain.N_TEXT, cotrain.N_META):
+        v = cotrain.Logistic()
+        v.mean, v.scale, v.beta = np.zeros(k), np.ones(k), np.array([8.0] + [0.0] * k)
+        views.append(v)
+    state, sizes = cotrain.distinct_pool(marked), []
+    assert state.count() == 1499
+    for _ in range(2):
+        state, grown = cotrain.exchange(state, views)
+        sizes.append((state.where("y0 = 1").count(), state.where("y0 = 0").count(), state.where("y1 = 1").count()))
+        assert grown
+    assert all(abs(x - cotrain.PER_ROUND) <= 1 for x in sizes[0]) and all(b > a + 100 for a, b in zip(*sizes))
+    got = state.where("y0 is not null").collect()
+    x, y, one = np.array([g.t for g in got], "f8"), np.array([g.y0 for g in got]), np.array([0.0, 1.0])
+    start = np.vstack((np.zeros(17), np.ones(17)))
+    apart = cotrain.Logistic().fit(start, one, None, cotrain.summing(state, 0))
+    here = cotrain.Logistic().fit(np.vstack((start, x)), np.append(one, y), np.append(np.ones(2), np.full(len(y), cotrain.PSEUDO_WEIGHT)))
+    assert np.allclose(apart.beta, here.beta, atol=1e-5)
