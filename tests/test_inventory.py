@@ -35,3 +35,13 @@ def test_one_line(spark):
 def test_every_plan_query_has_sql():
     own = {n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline"}
     assert own <= set(__spark_entry__.oracle_sql())
+
+
+def test_tags_of_whole_texts(spark, tmp_path):
+    from tesserae.plans.inventory import QUERIES
+
+    rows = list(enumerate(["a" * 3000 + " b" * 30, "a" * 3000, "c d", " ".join(["e" * 100] * 20), "f " * 2000]))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.refused for r in QUERIES["f13_tag_limits"](spark, str(tmp_path)).collect()}
+    want = {i: "too many tags" if len(p := t.split(" ")) > 20 else "a tag is too long" if max(len(x.encode()) for x in p) > 100 else None for i, t in rows}
+    assert got == want
