@@ -1,23 +1,30 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
-The text-content view sees what the words and characters are like, the metadata
-view what surrounds the text (language, source, sizes, line layout).  Each is a
-logistic regression.  A round scores every distinct text without a label by both
+The text-content view sees the words (counts of words and word pairs, hashed into
+``WORDS`` signed buckets) and what words and characters are like; the metadata
+view what surrounds the text (language, source, sizes, line layout; sizes and
+layout are measured on the text, so the views share no column but aren't
+independent).  Each is a logistic regression.  A round scores every distinct text without a label by both
 views; from each view the most confident new ones of each class, a ``SHARE`` of
 all confident ones and ``PER_ROUND`` at least (ties come along), join the *other*
 view's training rows.  After ``ROUNDS`` the
 views are calibrated on held-out labelled rows (Platt) and combined by a
 logistic regression of their calibrated log odds, and all documents are scored.
 
-The driver holds at most ``LABELLED`` labelled rows (the first by a hash of the
-id; documented bound) of about 70 numbers.  Rows that the views give each other
-stay distributed; a fit takes sums of gradients over them, one row a partition.
-Texts are never shuffled: features are one pass, scoring a table is another.
+The driver holds about ``labelled`` labelled rows (those with the least hashes of
+their ids; a documented bound and a parameter) of about 130 numbers: a threshold
+on the hash is applied where the rows are, so no more are sent whatever the number
+of partitions.  Rows that the views give each other stay distributed; a fit takes
+sums of gradients over them, one row a partition.  Texts are never shuffled, and
+features are made once.
 
 Edge cases: a null text is an empty one; null metadata is a value of its own;
 repeated labels of one id are averaged, a tie counts as no label; labels without
 a document are ignored; without labels of both classes every document scores 1,
-as nothing speaks against it; an empty table gives no rows.
+as nothing speaks against it; repeated rows get equal scores; ties of a score are
+taken together; whole texts are read, however long; columns beside the named ones
+pass through :func:`keep_good` untouched (``__t`` and ``__m`` are refused); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +32,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, staged
 
 LABELLED = 20_000
 PER_ROUND = 400
@@ -40,17 +49,34 @@ ROUNDS = 3
 HELD_OUT = 5  #: one labelled row in so many calibrates instead of trains
 PSEUDO_WEIGHT = 0.3
 SOURCES, LANGS = 32, 8  #: hash buckets of the metadata view
-N_TEXT, N_META = 17, 10 + SOURCES + LANGS
+WORDS = 64  #: hash buckets of words and word pairs
+SHAPES = 17
+N_TEXT, N_META = SHAPES + WORDS, 10 + SOURCES + LANGS
+
+FLAT = 1e-6  #: added to a column's deviation, so one without any has no say
 
 _CUTS = re.compile(r"[.!?\n]+")
 
 
+def word_features(words: list[str]) -> list[float]:
+    """Signed counts of words and word pairs in lower case by hash bucket, scaled to length 1."""
+    import numpy as np
+
+    total = np.zeros(WORDS)
+    for counted in (Counter(words), Counter(map(" ".join, pairwise(words)))):
+        if counted:
+            at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in counted), "i8", len(counted))
+            n = np.fromiter(counted.values(), "f8", len(counted))
+            total += np.bincount(at % WORDS, np.where(at >> 16 & 1, n, -n), WORDS)
+    return (total / (np.sqrt(total @ total) or 1.0)).tolist()
+
+
 def text_features(text: str) -> list[float]:
     """The text-content view."""
     import numpy as np
 
     if not text:
-        return [0.0] * (N_TEXT - 1) + [1.0]
+        return [0.0] * (SHAPES - 1) + [1.0] + [0.0] * WORDS
     raw = text.encode("utf-8", "surrogatepass")
     h = np.bincount(np.frombuffer(raw, "u1"), minlength=256)
     n = max(1, len(raw) - int(h[32] + h[9:14].sum()))
@@ -68,7 +94,7 @@ def text_features(text: str) -> list[float]:
     return [
         up / n, shouted, symbols / n, math.sqrt(symbols / n), digits / n, int(h[33] + h[63]) / n, int(h[124]) / n, stops / n,
         float(-(p * np.log2(p)).sum()), n / k, short, distinct / k, math.log1p(distinct) / math.log1p(k), min(1.0, follows),
-        len(set(parts)) / max(1, len(parts)), float(h.argmax() != 32), 0.0,
+        len(set(parts)) / max(1, len(parts)), float(h.argmax() != 32), 0.0, *word_features(text.lower().split()),
     ]
 
 
@@ -84,8 +110,8 @@ def meta_features(text: str, lang: str | None, source: str | None) -> list[float
 class Logistic:
     """Ridge logistic regression by Newton steps, on standardised columns."""
 
-    def __init__(self, ridge: float = 1.0):
-        self.ridge = ridge
+    def __init__(self, ridge: float = 1.0, near: Logistic | None = None):
+        self.ridge, self.near = ridge, near  #: an earlier fit to start from
 
     def fit(self, x, y, w=None, more=None):
         """``more``: sums a function of ``x, y, w`` over further, distributed rows."""
@@ -97,21 +123,39 @@ class Logistic:
         total = lambda f: f(x, y, w) + (more(f) if more else 0.0)
         first = total(lambda x, y, w: np.append(w @ x, w.sum()))
         weight, mean = first[-1], first[:-1] / first[-1]
-        scale = np.sqrt(total(lambda x, y, w: w @ (x - mean) ** 2) / weight) + 1e-9
+        scale = np.sqrt(total(lambda x, y, w: w @ (x - mean) ** 2) / weight) + FLAT
         self.mean, self.scale = mean, scale
-        beta = np.zeros(k + 1)
         penalty = np.diag([self.ridge] * k + [1e-6])
-        for _ in range(25):
 
-            def sums(x, y, w, beta=beta.copy()):
+        def at(beta):
+            def sums(x, y, w):
                 z = np.column_stack((np.clip((x - mean) / scale, -8, 8), np.ones(len(y))))
-                p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-                return np.append(((z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z).ravel(), z.T @ (w * (y - p)))
+                odds = z @ beta
+                p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+                loss = w @ (np.logaddexp(0, odds) - y * odds)
+                return np.concatenate(((z.T @ (z * (w * p * (1 - p) + 1e-9)[:, None])).ravel(), z.T @ (w * (y - p)), [loss]))
 
             both = total(sums)
-            step = np.linalg.solve(both[: -k - 1].reshape(k + 1, k + 1) + penalty, both[-k - 1 :] - penalty @ beta)
-            beta += step
-            if np.abs(step).max() < 1e-8:
+            return both[-1] + beta @ penalty @ beta / 2, both[: -k - 2].reshape(k + 1, k + 1) + penalty, both[-k - 2 : -1] - penalty @ beta
+
+        beta = np.zeros(k + 1)
+        if self.near is not None:
+            old, self.near = self.near, None
+            beta[:-1] = np.where(old.scale > FLAT, old.beta[:-1] * scale / old.scale, 0)
+            beta[-1] = old.beta[-1] + beta[:-1] @ ((mean - old.mean) / scale)
+        loss, bend, slope = at(beta)
+        for _ in range(25):  # Newton steps, halved while they lead up
+            step = np.linalg.solve(bend, slope)
+            for _ in range(20):
+                new = at(beta + step)
+                if new[0] <= loss:
+                    break
+                step /= 2
+            else:
+                break
+            beta, gain = beta + step, loss - new[0]
+            loss, bend, slope = new
+            if gain < 1e-7 * (1 + loss):
                 break
         self.beta = beta
         return self
@@ -164,7 +208,7 @@ def distinct_pool(marked: DataFrame) -> DataFrame:
     return cut(one.select("h", "r.t", "r.m", none.alias("y0"), none.alias("y1")))
 
 
-def exchange(state: DataFrame, views: list[Logistic]) -> tuple[DataFrame, bool]:
+def exchange(state: DataFrame, views: list[Logistic], per_round: int = PER_ROUND, share: float = SHARE) -> tuple[DataFrame, bool]:
     """``state`` after each view has labelled its most confident texts that the other one does not have yet; whether there were any."""
     text_view, meta_view = views
 
@@ -180,7 +224,7 @@ def exchange(state: DataFrame, views: list[Logistic]) -> tuple[DataFrame, bool]:
     n = scored.agg(*[F.count(sure[c]) for c in cases]).first()
     if not any(n):
         return state, False
-    wanted = [max(PER_ROUND, round(SHARE * k)) for k in n]
+    wanted = [max(per_round, round(share * k)) for k in n]
     from_ = scored.agg(*[F.percentile_approx(sure[c], max(0.0, 1 - w / max(1, k)), 10_000) for c, w, k in zip(cases, wanted, n, strict=True)]).first()
     picked = {c: sure[c] >= (1.0 if k <= w else at) for c, w, k, at in zip(cases, wanted, n, from_, strict=True) if k}
     given = lambda pupil: F.coalesce(f"y{pupil}", *[F.when(picked[c], F.lit(float(c[1] > 0))) for c in cases if c[0] == 1 - pupil and c in picked])
@@ -205,14 +249,28 @@ def summing(state: DataFrame, side: int):
     return more
 
 
-def train(features: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id") -> CoTrained | None:
+def labelled_rows(marked: DataFrame, most: int = LABELLED) -> list:
+    """About ``most`` of the rows with a label, all if there are no more: those with the least hashes of ``doc_id, h``.
+
+    The hash is compared with a threshold in each task, so the driver gets
+    ``most`` rows give or take their square root, from however many partitions.
+    """
+    known = marked.where("y is not null").withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "h"), 1))
+    n = known.count()
+    if n > most:
+        known = known.where(F.col("draw") < int((1 << 63) * most / n))
+    return sorted(known.collect(), key=lambda r: (r.draw, str(r.doc_id), r.h))
+
+
+def train(
+    features: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND, share: float = SHARE
+) -> CoTrained | None:
     """Co-train on ``features`` (of :func:`featurise`) and ``labels`` (an id and 0 or 1)."""
     import numpy as np
 
     mean = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(label).alias("y"))
     marked = cut(features.join(mean.where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).alias("y")), "doc_id", "left"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
-    known = marked.where("y is not null").orderBy(*order).limit(LABELLED).collect()
+    known = labelled_rows(marked, labelled)
     if len({r.y for r in known}) < 2:
         return None
     t, m, y = np.array([r.t for r in known], "f4"), np.array([r.m for r in known], "f4"), np.array([r.y for r in known], "f8")
@@ -223,11 +281,11 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", doc_id
     rows = [(t[fit], y[fit], np.ones(fit.sum())), (m[fit], y[fit], np.ones(fit.sum()))]
     views = [Logistic().fit(*r) for r in rows]
     state = distinct_pool(marked)
-    for _ in range(ROUNDS):
-        state, grown = exchange(state, views)
+    for _ in range(rounds):
+        state, grown = exchange(state, views, per_round, share)
         if not grown:
             break
-        views = [Logistic().fit(*r, more=summing(state, side)) for side, r in enumerate(rows)]
+        views = [Logistic(near=v).fit(*r, more=summing(state, side)) for side, (r, v) in enumerate(zip(rows, views, strict=True))]
     judge = held if held.any() else np.ones(len(y), bool)
     odds = [v.margin(x[judge])[:, None] for v, x in zip(views, (t, m), strict=True)]
     calibrated = [Logistic().fit(o, y[judge]) for o in odds]
@@ -257,19 +315,31 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, untouched."""
-    features = cut(featurise(docs, text, lang, source))
+    """The rows of ``docs`` that score ``threshold`` or more, untouched.
+
+    The rows are written once with their features beside them, so that scoring
+    the table neither makes features again nor moves a text.
+    """
+    if clash := {"__t", "__m"} & set(docs.columns):
+        raise ValueError(f"the input already has {sorted(clash)}")
+    at = [docs.columns.index(c) for c in (text, lang, source)]
+
+    def make(batches):
+        for b in batches:
+            t, m = _views(*(b.column(i).cast(pa.string()).to_pylist() for i in at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], names=[*b.schema.names, "__t", "__m"])
+
+    both = staged(docs.mapInArrow(make, T.StructType([*docs.schema, *T.StructType.fromDDL("__t array<float>, __m array<float>")])), "quality")
+    features = both.select(F.col("doc_id"), F.xxhash64(text).alias("h"), F.col("__t").alias("t"), F.col("__m").alias("m"))
     model = train(features, labels, label)
+    columns = docs.columns
     if model is None:
-        return docs
-    at = [docs.columns.index(c) for c in (text, lang, source)]
+        return both.select(*columns)
 
     def run(batches):
-        import numpy as np
-
         for b in batches:
             if b.num_rows:
-                t, m = _views(*(b.column(i).cast(pa.string()).to_pylist() for i in at))
-                yield b.filter(pa.array(model.score(np.array(t, "f4"), np.array(m, "f4")) >= threshold))
+                good = model.score(*(_matrix(b.column(len(columns) + k), n) for k, n in ((0, N_TEXT), (1, N_META)))) >= threshold
+                yield pa.RecordBatch.from_arrays(b.columns[:-2], names=columns).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return both.mapInArrow(run, docs.schema)

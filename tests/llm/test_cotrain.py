@@ -62,7 +62,83 @@ def test_copies_teach_one_text_and_rounds_go_on(spark):
     assert all(abs(x - cotrain.PER_ROUND) <= 1 for x in sizes[0]) and all(b > a + 100 for a, b in zip(*sizes))
     got = state.where("y0 is not null").collect()
     x, y, one = np.array([g.t for g in got], "f8"), np.array([g.y0 for g in got]), np.array([0.0, 1.0])
-    start = np.vstack((np.zeros(17), np.ones(17)))
+    start = np.vstack((np.zeros(cotrain.N_TEXT), np.ones(cotrain.N_TEXT)))
     apart = cotrain.Logistic().fit(start, one, None, cotrain.summing(state, 0))
     here = cotrain.Logistic().fit(np.vstack((start, x)), np.append(one, y), np.append(np.ones(2), np.full(len(y), cotrain.PSEUDO_WEIGHT)))
     assert np.allclose(apart.beta, here.beta, atol=1e-5)
+
+
+def test_labelled_rows_are_bounded(spark):
+    marked = spark.range(5000).selectExpr("id doc_id", "id h", "id % 7 <> 0 y").repartition(40)
+    some = cotrain.labelled_rows(marked, 600)
+    assert 500 < len(some) < 700 and some == cotrain.labelled_rows(marked.coalesce(1), 600)
+    assert len(cotrain.labelled_rows(marked)) == 5000
+
+
+def plain_fit(x, y, w):
+    """Ridge logistic regression by plain Newton steps on all rows at once."""
+    import numpy as np
+
+    mean = w @ x / w.sum()
+    scale = np.sqrt(w @ (x - mean) ** 2 / w.sum()) + cotrain.FLAT
+    z = np.column_stack((np.clip((x - mean) / scale, -8, 8), np.ones(len(y))))
+    beta, ridge = np.zeros(z.shape[1]), np.diag([1.0] * x.shape[1] + [1e-6])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        beta = beta + np.linalg.solve(z.T @ (z * (w * p * (1 - p) + 1e-9)[:, None]) + ridge, z.T @ (w * (y - p)) - ridge @ beta)
+    return lambda q: np.column_stack((np.clip((q - mean) / scale, -8, 8), np.ones(len(q)))) @ beta
+
+
+def test_rounds_calibration_and_combination_against_brute_force(spark):
+    """Few enough texts that every confident one is exchanged: the whole loop by hand, in one process."""
+    import zlib
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    n = 240
+    truth = r.random(n) < 0.5
+    t = (r.normal(0, 1, (n, cotrain.N_TEXT)) + truth[:, None] * 0.6).astype("f4")
+    m = (r.normal(0, 1, (n, cotrain.N_META)) + truth[:, None] * 0.5).astype("f4")
+    features = spark.createDataFrame([(i, 1000 + i, t[i].tolist(), m[i].tolist()) for i in range(n)], "doc_id bigint, h bigint, t array<float>, m array<float>").repartition(3)
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(90)], "doc_id bigint, quality int")
+    got = {x.doc_id: x.score for x in cotrain.score_features(features, cotrain.train(features, labels)).collect()}
+
+    x, y, known = (t.astype("f8"), m.astype("f8")), truth.astype("f8"), np.arange(n) < 90
+    held = known & np.array([zlib.crc32(str(i).encode()) % cotrain.HELD_OUT == 0 for i in range(n)])
+    fit = known & ~held
+    given = [np.full(n, np.nan), np.full(n, np.nan)]
+
+    def views():
+        out = []
+        for side in (0, 1):
+            more = ~np.isnan(given[side])
+            w = np.concatenate((np.ones(fit.sum()), np.full(more.sum(), cotrain.PSEUDO_WEIGHT)))
+            out.append(plain_fit(np.vstack((x[side][fit], x[side][more])), np.concatenate((y[fit], given[side][more])), w))
+        return out
+
+    now = views()
+    for _ in range(cotrain.ROUNDS):
+        margins = [v(q) for v, q in zip(now, x, strict=True)]
+        new = [g.copy() for g in given]
+        for teacher in (0, 1):
+            sure = ~known & (np.abs(margins[teacher]) > 1) & np.isnan(given[1 - teacher])
+            new[1 - teacher][sure] = margins[teacher][sure] > 0
+        if all(np.array_equal(a, b, equal_nan=True) for a, b in zip(new, given)):
+            break
+        given = new
+        now = views()
+    one = lambda q: np.ones(q.sum())
+    odds = [v(q)[:, None] for v, q in zip(now, x, strict=True)]
+    calibrated = np.column_stack([plain_fit(o[held], y[held], one(held))(o) for o in odds])
+    want = 1 / (1 + np.exp(-plain_fit(calibrated[held], y[held], one(held))(calibrated)))
+    assert np.allclose([got[i] for i in range(n)], want, atol=1e-4)
+
+
+def test_equal_texts_and_very_long_ones(spark):
+    text = "word other " * 200_000
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, text, "en", "a"), (3, "x", "en", "a")], "doc_id bigint, text string, lang string, source string")
+    score = {x.doc_id: x.score for x in cotrain.classify(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, quality int")).collect()}
+    assert score[1] == score[2]
+    with pytest.raises(ValueError):
+        cotrain.keep_good(docs.withColumnRenamed("source", "__t").withColumn("source", docs.lang), docs.limit(0), source="source")
