@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Session setting with the secret key of surrogates, and what stands for it in a demonstration.
+PII_KEY, DEMONSTRATION = "spark.tesserae.pii.key", "not a secret"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The key that the session is configured with; without one a demonstration key, with a warning."""
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        warnings.warn(f"{PII_KEY} is not set: surrogates can be undone by anybody", stacklevel=2)
+    return (key or DEMONSTRATION).encode()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,47 +1,50 @@
-"""Near-dedup by exact Jaccard similarity of word shingles: MinHash bands find candidates, sets verify them.
+"""Verified near duplicates for :mod:`tesserae.llm.simhash`: candidates and exact Jaccard similarity of word shingles.
 
-A text's ``BANDS`` keys each hash ``ROWS`` minima of its shingles; two texts at
-Jaccard ``j`` share a key with probability ``1 - (1 - j**ROWS) ** BANDS``:
-0.99993 at 0.8, more above.  No pair is linked by its keys alone: the shingle
-sets of both texts are compared whole.
+Candidates share a SimHash link (blocks, then Hamming distance) or a key of
+MinHash bands.  SimHash blocks alone can't give right results here: at Jaccard
+0.8 two fingerprints differ in about 9 of 64 bits, and keys selective enough for
+a large corpus reach 4 at most.  A text's ``BANDS`` keys each hash ``ROWS``
+minima of its shingles; two texts at Jaccard ``j`` share one with probability
+``1 - (1 - j**ROWS) ** BANDS``: 0.99993 at 0.8, more above.  No pair is linked
+by its keys alone: the shingle sets of both texts are compared whole.
 
 Only *distinct* texts are nodes; a group of copies is one.  Each key first
 compares its members with its least and its greatest one.  What these links
-already connect needs no other pair; members of one key in different components
-are then all compared with each other, so no candidate pair that could connect
-anything is left out, and a large group of near copies costs rows in proportion.
+already connect needs no other pair.  In a key that still holds several
+components, members of different ones are compared: as pairs where the key has
+up to ``SMALL`` members, else in tiles, in which two slices of the key's members
+meet in one task that emits links only.  A pair that shares several keys is
+compared under the first of them.  So no candidate that could connect anything is
+left out, a large group of near copies that its ends connect costs rows in
+proportion, and one that they don't costs tiles: its members' square over
+``SLICE`` in bytes moved, its square in comparisons.
 
 Edge cases: texts without words (null too) are alike; repeated rows are one; an
-empty table gives no rows; null ids come last.
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import simhash
 from tesserae.llm.common import components, cut
 
 BANDS, ROWS = 24, 5
 SEED = 42
+#: A key with more members than this is compared in tiles.
+SMALL = 24
+#: Members and bytes of sets that a slice of a key holds on average.
+SLICE, SLICE_BYTES = 512, 8 << 20
 
 
 def shingles(text: str | None, shingle: int = 5):
     """Hashes of the distinct shingles of a whole text, sorted; a shorter text is one shingle."""
     import numpy as np
-    import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, "<u8")
-    line = b" ".join(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    k = min(shingle, len(words))
-    of = xxhash.xxh64_intdigest
-    return np.unique(np.array([of(line[a : b - 1], SEED) for a, b in zip(starts, starts[k:])], "<u8"))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def band_keys(hashes):
@@ -66,14 +69,51 @@ def jaccard(x, y) -> float:
     return both / n if (n := len(x) + len(y) - both) else 1.0
 
 
+def compare_tile(hs, roots, keys, sets, sides, key: int, least: float):
+    """Links ``(i, j)`` of a tile's rows: of different roots and (between two slices) of different sides, that share ``key`` first."""
+    import numpy as np
+
+    n = len(hs)
+    of = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = np.concatenate(sets) if n else np.zeros(0, "<u8")
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]  # postings: the rows that hold each shingle
+    sizes = np.array([len(s) for s in sets])
+    two = len(set(sides)) > 1
+    out: list[tuple[int, int]] = []
+    for i in range(n):
+        rest = np.arange(i + 1, n)
+        rest = rest[(roots[rest] != roots[i]) & ((sides[rest] != sides[i]) | (not two))]
+        small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        rest = rest[small >= least * large]
+        if not len(rest):
+            continue
+        same = keys[rest] == keys[i]
+        rest = rest[keys[i][same.argmax(axis=1)] == key]
+        if not len(rest):
+            continue
+        both = np.zeros(n, "i8")
+        for at in range(0, len(sets[i]), 4096):  # a book is taken in slices of fixed memory
+            part = sets[i][at : at + 4096]
+            low, high = np.searchsorted(flat, part, "left"), np.searchsorted(flat, part, "right")
+            many = high - low
+            ends = np.cumsum(many)
+            both += np.bincount(of[np.arange(ends[-1]) + np.repeat(low - ends + many, many)], minlength=n)
+        union = sizes[rest] + sizes[i] - both[rest]
+        out += [(i, int(j)) for j in rest[both[rest] >= least * union]]
+    return out
+
+
 def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Edges ``a``, ``b`` between the ``h`` of verified near duplicates; ``texts``: ``h, text``."""
     import numpy as np
 
     def keyed(batches):
         for b in batches:
-            keys = [band_keys(shingles(t.as_py(), shingle)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["h", "keys"])
+            hashes = [simhash.shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            fps = np.array([simhash.of_hashes(x) for x in hashes], "u8").view("i8")
+            keys = [band_keys(np.unique(x)) for x in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(fps)], names=["h", "keys", "fp"])
 
     def sets(batches):
         for b in batches:
@@ -85,11 +125,16 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
             near = [min(len(p), len(q)) >= least * max(len(p), len(q)) and jaccard(p, q) >= least for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    nodes = texts.mapInArrow(keyed, "h bigint, keys array<bigint>").groupBy("h").agg(F.first("keys").alias("keys"))
-    bands = cut(nodes.select("h", F.explode("keys").alias("key")))
-    crowded = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1").drop("n")
+    nodes = cut(texts.mapInArrow(keyed, "h bigint, keys array<bigint>, fp bigint").groupBy("h").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp")))
+    bands = nodes.select("h", F.explode("keys").alias("key"))
+    crowded = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1")
     members = cut(bands.join(crowded, "key"))
-    wanted = members.select("h").distinct()
+    by_print = nodes.groupBy("fp").agg(F.min("h").alias("rep"))
+    reps = lambda end: by_print.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
+    near_prints = simhash.links(by_print.select("fp")).join(reps("a"), "a").join(reps("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    same_print = nodes.join(by_print, "fp").select(F.col("rep").alias("a"), F.col("h").alias("b"))
+    of_prints = cut(near_prints.unionByName(same_print).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    wanted = members.select("h").unionByName(of_prints.select(F.explode(F.array("a", "b")).alias("h"))).distinct()
     known = cut(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sets, "h bigint, s binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -97,27 +142,28 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint")
 
     ends = members.select("h", F.explode(F.array("low", "high")).alias("end")).where("h <> end")
-    stars = cut(verify(ends.select(F.least("h", "end").alias("a"), F.greatest("h", "end").alias("b")).distinct()))
+    stars = cut(verify(ends.select(F.least("h", "end").alias("a"), F.greatest("h", "end").alias("b")).unionByName(of_prints).distinct()))
     roots = components(stars).withColumnRenamed("node", "h")
-    placed = members.select("key", "h").join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    placed = members.select("key", "h", "n").join(roots, "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
     rest = cut(placed.join(mixed, "key"))
-    l, r = rest.alias("l"), rest.alias("r")
+    l, r = rest.where(F.col("n") <= SMALL).alias("l"), rest.where(F.col("n") <= SMALL).alias("r")
     across = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")))
     others = across.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b")).distinct()
-    return stars.unionByName(verify(others))
-
-
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: the one with the smallest ``doc_id``.
-
-    Among rows of that id the least hash of the text decides, rows equal in both
-    are one; null ids come last.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    roots = components(links(rows.select("h", "text"), shingle, least)).withColumnRenamed("node", "h")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    nodes = rows.groupBy("h").agg(first).join(roots, "h", "left")
-    kept = nodes.groupBy(F.coalesce("root", "h")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    chosen = docs.withColumn("__hash", F.xxhash64(text)).join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return chosen.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+
+    many = rest.where(F.col("n") > SMALL).drop("n").join(nodes.select("h", "keys"), "h").join(known, "h")
+    slices = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum(F.octet_length("s")) / SLICE_BYTES)).cast("int").alias("slices"))
+    side = F.pmod(F.xxhash64("h"), F.col("slices")).cast("int")
+    cells = many.join(slices, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = cells.select("key", F.least("side", "other").alias("s1"), F.greatest("side", "other").alias("s2"), "side", "h", "root", "keys", "s")
+
+    def tile(key, table):
+        table = table.combine_chunks()
+        hs, root, side = (table[c].to_numpy() for c in ("h", "root", "side"))
+        bands = np.array(table["keys"].to_pylist(), "i8").reshape(len(hs), BANDS)
+        found = compare_tile(hs, root, bands, [np.frombuffer(x.as_py(), "<u8") for x in table["s"]], side, key[0].as_py(), least)
+        a, b = ([int(hs[p[k]]) for p in found] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tiled = cells.groupBy("key", "s1", "s2").applyInArrow(tile, "a bigint, b bigint")
+    return stars.unionByName(verify(others)).unionByName(tiled)

@@ -11,7 +11,8 @@ a whole source.  The driver sees one row per (range, source) and one per source.
 
 Edge cases: null text: size 0; a null source is a source of its own, last in
 order; repeated rows are mixed as rows of their own; a source without words has
-target 0; an empty table gives no rows.
+target 0; a long text counts whole; other columns, whatever their names, aren't
+read by :func:`mix`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,13 +112,15 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
     The document at a source's cut is taken up to the word where the budget
     ends.  Rows equal in id, source and text are copies of one row (their extra
     columns come from one of them); documents without words are in no mix.
+    ``__key``, ``__whole``, ``__rest`` and ``__turn`` are refused as columns.
     """
+    if clash := {"__key", "__whole", "__rest", "__turn"} & set(docs.columns):
+        raise ValueError(f"the input already has {sorted(clash)}")
     plan = mix(docs, text, source, doc_id, most).where("taken > 0")
-    plan = plan.groupBy("key", "source").agg(F.sum(F.expr("taken div size")).alias("__whole"), F.sum(F.expr("taken % size")).cast("int").alias("__rest"))
+    named = lambda k, name: F.md5(F.concat(k, F.coalesce(F.concat(F.lit("="), name), F.lit("-"))))
+    plan = plan.groupBy(named(F.col("key"), F.col("source")).alias("__key")).agg(F.sum(F.expr("taken div size")).alias("__whole"), F.sum(F.expr("taken % size")).cast("int").alias("__rest"))
     blank = r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+"
-    rows = docs.withColumn("__key", _key(doc_id, text)).dropDuplicates(["__key", source])
-    plan = plan.withColumnsRenamed({"key": "__key", "source": "__source"})
-    both = rows.join(plan, (rows["__key"] == plan["__key"]) & rows[source].eqNullSafe(plan["__source"])).drop(plan["__key"])
+    both = docs.withColumn("__key", named(_key(doc_id, text), F.col(source))).dropDuplicates(["__key"]).join(plan, "__key")  # one exchange: texts move once
     every = both.withColumn("__turn", F.explode(F.sequence(F.lit(1), (F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0)).cast("int"))))
     after = F.element_at(F.split(F.col(text), blank, F.col("__rest") + 1), -1)  # what follows the last word taken
     part = F.left(F.col(text), F.length(text) - F.length(after))

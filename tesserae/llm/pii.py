@@ -5,6 +5,8 @@ addresses, IBANs, access keys and assigned secrets, and names after a title
 (initials too).  A secret runs to its closing quote or the next white space.
 An entity is a kind and a canonical value (digits of a number, lower case of an
 address or name), so the mentions of one entity share it whatever their format.
+A card number is one that an issuer may give (first digit 2 to 6) and whose check
+digit is right; an unquoted secret after a colon holds a digit or both cases.
 
 A surrogate comes from a keyed Feistel permutation of the value's own format:
 digits to digits, letters to letters of the same script and case (vowels to
@@ -14,10 +16,16 @@ What they can't see is whether a surrogate is another entity's real value; so
 the distinct entities of all documents are joined with their surrogates, and
 whoever meets a real value or another surrogate tries the next permutation until
 nobody does.  Only documents with such an entity are joined with the exceptions.
+Listed given names are shared by many people, so one may stand for another
+although somebody bears it: they are only permuted within their list, in which
+each keeps its gender and different ones stay different, and no other name's
+surrogate is a listed one.  The key is an argument without a default: whoever
+knows it can undo the permutations.
 
 Edge cases: a null text stays null; whole texts are searched, with work in
 proportion to their length; equal texts get equal results; other columns pass
-through untouched; an empty table gives an empty table.
+through untouched (``__odd`` and ``__md5`` are refused); repeated rows stay; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +40,6 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut
 
-KEY = b"tesserae demonstration key"  #: a deployment passes its own secret key
 ROUNDS = 8
 #: From this attempt on a surrogate has two symbols more, for formats that are used up.
 WIDER = 16
@@ -92,7 +99,7 @@ def _classes(sets: list[str]) -> dict[str, tuple[str, int]]:
 _PLAIN, _NAMES, _HEX = _classes(_PLAIN_SETS), _classes(_NAME_SETS), {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
 
 
-def permute(value: str, tag: str, key: bytes = KEY, classes: dict | None = None) -> str:
+def permute(value: str, tag: str, key: bytes, classes: dict | None = None) -> str:
     """A keyed bijection of the strings of ``value``'s format; symbols of no class stay."""
     classes = _PLAIN if classes is None else classes
     at = [i for i, c in enumerate(value) if c in classes]
@@ -154,14 +161,13 @@ def _reach(address: str) -> int:
 
 
 @lru_cache(maxsize=65_536)
-def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, attempt: int = 0, *, key: bytes) -> str:
     """The surrogate of a canonical value."""
     tag = f"{kind}|{attempt}"
     wider = attempt >= WIDER
     if kind == "card":
-        off = (int(value[-1]) - _luhn(value[:-1])) % 10
         body = value[0] + permute(value[1:-1], tag + value[0], key)
-        return f"{body}{(_luhn(body) + off) % 10}"
+        return f"{body}{_luhn(body)}"
     if kind == "ip":
         address = bytes(map(int, value.split("."))).hex()
         return ".".join(map(str, bytes.fromhex(_walk(address, lambda x: permute(x, tag, key, _HEX), _reach))))
@@ -191,7 +197,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return permute(value + "00" * wider, tag, key, _HEX if re.fullmatch(r"[0-9a-f]+", value) else None)
     if kind == "given":
         group = _GENDER.get(value)
-        if group and attempt < len(GIVEN[group]) - 1:
+        if group:
             names = sorted(GIVEN[group], key=lambda n: hashlib.blake2b(n.encode(), key=key[:64]).digest())
             return names[(names.index(value) + 1 + attempt) % len(names)]
         end = value[-1]  # the end of a name tells its gender
@@ -217,7 +223,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
             kind = m.lastgroup
-            found.append((*m.span(), kind, m[0] if kind == "ip" else re.sub(r"\D", "", m[0])))
+            value = m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
+            if kind != "card" or value[0] in "23456" and _luhn(value[:-1]) == int(value[-1]):
+                found.append((*m.span(), kind, value))
         for m in _IBAN.finditer(text):
             found.append((*m.span(), "iban", m[0].replace(" ", "")))
     if "AKIA" in text or "ASIA" in text:
@@ -225,6 +233,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
             k = m.lastindex
+            plain = k == 3 and ":" in text[m.start() : m.start(k)]  # "secret: nothing-here" is prose
+            if plain and not _DIGIT.search(m[k]) and (m[k].islower() or m[k].isupper() or m[k][1:].islower()):
+                continue
             found.append((*m.span(k), "secret", m[k]))
     if any(t in text for t in TITLES):
         for title in _TITLE.finditer(text):
@@ -270,14 +281,14 @@ def render(mention: str, kind: str, value: str) -> str:
     return value
 
 
-def replace(text: str, attempts: dict | None = None, key: bytes = KEY) -> tuple[str, int]:
+def replace(text: str, attempts: dict | None = None, *, key: bytes) -> tuple[str, int]:
     """``text`` with surrogates, and the number of mentions."""
     found = find(text)
     if not found:
         return text, 0
     parts, at = [], 0
     for start, end, kind, value in found:
-        new = surrogate(kind, value, (attempts or {}).get(f"{kind}|{value}", 0), key)
+        new = surrogate(kind, value, (attempts or {}).get(f"{kind}|{value}", 0), key=key)
         parts += [text[at:start], render(text[start:end], kind, new)]
         at = end
     return "".join([*parts, text[at:]]), len(found)
@@ -299,15 +310,16 @@ def entities(docs: DataFrame, text: str = "text", of_text: bool = False) -> Data
     return docs.select(text).mapInArrow(run, "kind string, value string, h string").distinct()
 
 
-def exceptions(known: DataFrame, key: bytes = KEY, max_rounds: int = 40) -> DataFrame | None:
+def exceptions(known: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame | None:
     """``kind, value, attempt`` of the entities whose first surrogate is taken, or None.
 
-    ``known``: distinct ``kind, value``.
+    ``known``: distinct ``kind, value``.  Listed given names take no part.
     """
+    known = known.where(~((F.col("kind") == "given") & F.col("value").isin(sorted(_GENDER))))
 
     def run(batches):
         for b in batches:
-            got = [surrogate(k, v, a, key) for k, v, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            got = [surrogate(k, v, a, key=key) for k, v, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=["kind", "value", "attempt", "new"])
 
     real = known.select("kind", F.col("value").alias("new"))
@@ -326,18 +338,18 @@ def exceptions(known: DataFrame, key: bytes = KEY, max_rounds: int = 40) -> Data
     raise RuntimeError(f"some surrogates are still taken after {max_rounds} rounds")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", count: str | None = None, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; ``count`` names a new column with the number of mentions."""
-    if count in docs.columns:
-        raise ValueError(f"the input already has {count!r}")
+    if clash := {count, "__odd", "__md5"} & set(docs.columns):
+        raise ValueError(f"the input already has {sorted(clash)}")
     columns = docs.columns
     odd = exceptions(cut(entities(docs, text).select("kind", "value")), key)
     if odd is None:
         rows = docs.withColumn("__odd", F.lit(None).cast("map<string,int>"))
     else:
         of = entities(docs, text, of_text=True).join(odd, ["kind", "value"])
-        by_text = of.groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__odd"))
-        rows = docs.join(by_text, F.md5(F.col(text)) == F.col("h"), "left").select(*[docs[c] for c in columns], "__odd")
+        by_text = of.groupBy(F.col("h").alias("__md5")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__odd"))
+        rows = docs.join(by_text, F.md5(F.col(text)) == F.col("__md5"), "left").select(*[docs[c] for c in columns], "__odd")
     rest = [c for c in columns if c != text]
 
     def run(batches):
@@ -345,7 +357,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", count: str | None = None,
             new, n = [], []
             for t, o in zip(b.column(len(rest)), b.column(len(rest) + 1), strict=True):
                 t = t.as_py()
-                r = (None, 0) if t is None else replace(t, dict(o.as_py()) if o.is_valid else None, key)
+                r = (None, 0) if t is None else replace(t, dict(o.as_py()) if o.is_valid else None, key=key)
                 new.append(r[0])
                 n.append(r[1])
             made = {text: pa.array(new, pa.string())} | {c: b.column(i) for i, c in enumerate(rest)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import read
+from tesserae.llm.common import pii_key, read
 
 
 def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.pii import pseudonymise
 
-    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), count="n_entities")
 
 
 def op4_quality_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,16 @@ name if and only if their distance is 2 or less, and every name links its
 members to its least one, so the work is 33 rows a fingerprint and no link is
 lost between components.
 
+:func:`dedup` keeps one document of each class.  With ``least`` it takes what the
+fingerprints link as candidates, adds those of MinHash bands
+(:mod:`tesserae.llm.jaccard`, where it says why) and keeps only links whose
+shingle sets have that Jaccard similarity.
+
 Edge cases: a null text or a text without words has fingerprint zero and is
 linked like any other; repeated rows repeat in the result; an empty table gives
-no rows; a null ``doc_id`` keeps its row but never names a component.
+no rows; a null ``doc_id`` keeps its row but never names a component; very long
+texts are summed in slices; other columns, whatever their names, pass through
+:func:`dedup` (``__key`` is refused) and aren't read by :func:`near_duplicates`.
 """
 
 from __future__ import annotations
@@ -37,19 +44,25 @@ DISTANCE = 2
 SMALL = 24
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one whole text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE):
+    """Hashes (uint64) of the shingles of one whole text, repeats included; none without words."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     k = min(shingle, len(words))
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(line[a : b - 1], SEED) for a, b in zip(starts, starts[k:])], "<u8")
+    return np.array([of(line[a : b - 1], SEED) for a, b in zip(starts, starts[k:])], "<u8")
+
+
+def of_hashes(hashes) -> int:
+    """The fingerprint, unsigned, of shingles given by their hashes."""
+    import numpy as np
+
     counts = np.zeros(BITS, "int64")
     for at in range(0, len(hashes), 1 << 16):  # a book is summed in slices of fixed memory
         some = hashes[at : at + (1 << 16)]
@@ -57,6 +70,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int((2 * counts > len(hashes)).astype("u8") @ (np.uint64(1) << np.arange(BITS, dtype="u8")))
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one whole text, unsigned."""
+    return of_hashes(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
     """The columns of ``keep`` and ``fp`` (bigint, the fingerprint's bits)."""
     keep = ["doc_id"] if keep is None else keep
@@ -117,15 +135,26 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.join(known, "fp")
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest ``doc_id``.
 
-    Among rows of that id the least hash of the text decides, rows equal in both
-    are one; null ids come last.
+    ``least``: the Jaccard similarity of shingle sets that links have to reach;
+    without it fingerprints at distance 2 or less link.  Among rows of one id the
+    least hash of the text decides, rows equal in both are one; null ids come
+    last.  Texts move once, in the join that keeps the chosen rows.
     """
-    key = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    rows = classes(cut(fingerprints(key, keep=["doc_id", "h"], shingle=shingle)))
+    if "__key" in docs.columns:
+        raise ValueError("the input already has '__key'")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    if least is None:
+        placed = classes(cut(fingerprints(rows, keep=["doc_id", "h"], shingle=shingle)))
+    else:
+        from tesserae.llm import jaccard
+
+        roots = components(jaccard.links(rows.select("h", "text"), shingle, least)).withColumnRenamed("node", "h")
+        placed = rows.select("doc_id", "h").join(roots, "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    chosen = docs.withColumn("__hash", F.xxhash64(text)).join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return chosen.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    key = lambda i, h: F.xxhash64(i.isNull(), i, h)
+    kept = placed.groupBy("root").agg(first).select(key(F.col("first.doc_id"), F.col("first.h")).alias("__key"))
+    keyed = docs.withColumn("__key", key(F.col(doc_id), F.xxhash64(text)))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -4,7 +4,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from functools import partial
+
 from tesserae.llm import pii
+from tests.conftest import SF
+
+KEY = b"tesserae demonstration key"
+replace, surrogate = partial(pii.replace, key=KEY), partial(pii.surrogate, key=KEY)
 
 TEXT = (
     'Bosbt.42@mail8.example.com BOSBT.42@MAIL8.EXAMPLE.COM!! a@corp.de. +1 (988) 555-2485; 988-555-2485 42.144.35.254, 10.0.0.1 4337166598464399 '
@@ -16,7 +22,7 @@ TEXT = (
 def test_kinds_formats_and_coreference():
     found = pii.find(TEXT)
     assert [f[2] for f in found] == "email email email phone phone ip ip card card access secret secret ssn iban given family family family family given family family".split()
-    new, n = pii.replace(TEXT)
+    new, n = replace(TEXT)
     assert n == len(found)
     for start, end, _, _ in found:
         assert TEXT[start:end] not in new
@@ -27,34 +33,34 @@ def test_kinds_formats_and_coreference():
             assert re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", TEXT[s:e].lower())) == re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", new[s2:e2].lower())) or k == "given"
     values = [f[3] for f in again]
     assert values[0] == values[1] and values[7] == values[8] and values[15] == values[16]
-    assert pii._luhn(values[7][:-1]) == int(values[7][-1]) or pii._luhn("433716659846439") != 9
-    assert pii.surrogate("given", "anna") in pii.GIVEN["latin", "f"] and new.endswith("said 2.0 in 1999.")
+    assert pii._luhn(values[7][:-1]) == int(values[7][-1])
+    assert surrogate("given", "anna") in pii.GIVEN["latin", "f"] and new.endswith("said 2.0 in 1999.")
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from(["phone", "card", "ssn", "email", "family", "secret", "ip"]), st.integers(0, 5))
 def test_surrogates_are_distinct(kind, attempt):
-    make = {"phone": lambda i: f"1{2000000000 + i * 7919}", "card": lambda i: f"4{i:015d}", "ssn": lambda i: f"{i:09d}", "email": lambda i: f"{'abcdefgh'[i % 8]}{i:04d}@x.example.com", "family": lambda i: f"m{'aeiou'[i % 5]}{'bcdfg'[i // 5 % 5]}{'aeiou'[i // 25 % 5]}n{'aeiou'[i // 125]}", "secret": lambda i: f"{i:08x}", "ip": lambda i: f"{20 + i % 90}.{i % 251}.3.{i // 3 % 250}"}[kind]
+    make = {"phone": lambda i: f"1{2000000000 + i * 7919}", "card": lambda i: f"4{i:014d}{pii._luhn(f'4{i:014d}')}", "ssn": lambda i: f"{i:09d}", "email": lambda i: f"{'abcdefgh'[i % 8]}{i:04d}@x.example.com", "family": lambda i: f"m{'aeiou'[i % 5]}{'bcdfg'[i // 5 % 5]}{'aeiou'[i // 25 % 5]}n{'aeiou'[i // 125]}", "secret": lambda i: f"{i:08x}", "ip": lambda i: f"{20 + i % 90}.{i % 251}.3.{i // 3 % 250}"}[kind]
     values = {make(i) for i in range(300)}
-    new = {pii.surrogate(kind, v, attempt) for v in values}
+    new = {surrogate(kind, v, attempt) for v in values}
     assert len(new) == len(values) and len(values) > 80
 
 
 def test_permutation_of_a_whole_domain():
     every = [f"{a}{b}" for a in "aeiou" for b in "bcd"]
-    assert len({pii.permute(x, "t", classes=pii._NAMES) for x in every}) == len(every)
+    assert len({pii.permute(x, "t", KEY, pii._NAMES) for x in every}) == len(every)
     digits = [f"{i:03d}" for i in range(1000)]
-    assert sorted(pii.permute(x, "t") for x in digits) == digits
-    assert sorted(pii.surrogate("given", n) for n in pii.GIVEN["latin", "m"]) == sorted(pii.GIVEN["latin", "m"])
+    assert sorted(pii.permute(x, "t", KEY) for x in digits) == digits
+    assert sorted(surrogate("given", n) for n in pii.GIVEN["latin", "m"]) == sorted(pii.GIVEN["latin", "m"])
 
 
 def test_collisions_are_resolved(spark):
     names = ["".join(x) for x in (("Mr B" + v + w) for v in "aei" for w in "bcdf")]  # few values of one small format, all of them real
     rows = [(i, f"Dear {n}. Text {i}, as {n} said.", "k") for i, n in enumerate(names)] + [(90, None, "k"), (91, "", None), (91, "", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
-    odd = pii.exceptions(pii.entities(docs).select("kind", "value").distinct())
+    odd = pii.exceptions(pii.entities(docs).select("kind", "value").distinct(), KEY)
     assert odd is not None and odd.count() > 0
-    got = {r.doc_id: r for r in pii.pseudonymise(docs, count="n").collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, KEY, count="n").collect()}
     real = {n.split()[1].lower() for n in names}
     new = [pii.find(got[i].text) for i in range(len(names))]
     assert all(len({v for *_, v in f}) == 1 for f in new)
@@ -65,14 +71,14 @@ def test_collisions_are_resolved(spark):
 
 def test_columns(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, n int")
-    assert pii.pseudonymise(docs).columns == ["doc_id", "text", "n"] and pii.pseudonymise(docs).count() == 0
+    assert pii.pseudonymise(docs, KEY).columns == ["doc_id", "text", "n"] and pii.pseudonymise(docs, KEY).count() == 0
     with pytest.raises(ValueError):
-        pii.pseudonymise(docs, count="n")
+        pii.pseudonymise(docs, KEY, count="n")
 
 
 def test_long_text_takes_time_in_proportion():
     text = "a" * 300_000 + "@" * 2000 + "1" * 300_000 + " 1.2.3.4 " + "x1." * 100_000
-    assert "1.2.3.4" not in pii.replace(text)[0]
+    assert "1.2.3.4" not in replace(text)[0]
 
 
 @pytest.mark.parametrize(
@@ -94,20 +100,58 @@ def test_long_text_takes_time_in_proportion():
     ],
 )
 def test_whole_values_are_replaced(text, lost):
-    new = pii.replace(text)[0]
+    new = replace(text)[0]
     assert [x for x in lost if x in new] == []
     assert len(pii.find(new)) == len(pii.find(text)) and len(new) == len(text) or "Mary" in text
 
 
 def test_what_is_no_secret_or_initial_stays():
     for text in ("password=******** x", "Mr A went", "Sum +1 2 3 of 05-12-2024", "secret: no"):
-        assert pii.replace(text) == (text, 0)
+        assert replace(text) == (text, 0)
     assert pii.find("password=Abc123xyz, Mr Smith's")[0][3] == "Abc123xyz" and pii.find("Mr Smith's")[0][3] == "smith"
-    new = {pii.surrogate("secret", "a" * 300 + f"{i:03d}") for i in range(1000)}
-    assert len(new) == 1000 and pii.replace("token=" + "a1b" * 300_000)[1] == 1
-    assert pii.replace("password=\"" * 50_000)[1] > 0 and len({pii.surrogate("initial", c) for c in "bcdfgh"}) == 6
+    new = {surrogate("secret", "a" * 300 + f"{i:03d}") for i in range(1000)}
+    assert len(new) == 1000 and replace("token=" + "a1b" * 300_000)[1] == 1
+    assert replace("password=\"" * 50_000)[1] > 0 and len({surrogate("initial", c) for c in "bcdfgh"}) == 6
 
 
 def test_initials_take_no_part_in_collisions(spark):
     docs = spark.createDataFrame([(i, f"Dr. {c}. Smith") for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")], "doc_id bigint, text string")
-    assert all(r.text != f"Dr. {chr(65 + r.doc_id)}. Smith" for r in pii.pseudonymise(docs).collect())
+    assert all(r.text != f"Dr. {chr(65 + r.doc_id)}. Smith" for r in pii.pseudonymise(docs, KEY).collect())
+
+
+def test_genders_are_kept_with_all_listed_names_present(spark):
+    titled = [(g, f"Mr. {n.capitalize()} Bode") for g, names in pii.GIVEN.items() for n in names]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(titled)], "doc_id bigint, text string")
+    new = {r.doc_id: r.text.split()[1].lower() for r in pii.pseudonymise(docs, KEY).collect()}
+    assert all(new[i] in pii.GIVEN[g] and new[i] != t.split()[1].lower() for i, (g, t) in enumerate(titled)) and len(set(new.values())) == len(titled)
+
+
+def test_numbers_and_words_that_are_no_entities():
+    for text in ("at 1700000000000 ms", "id 9000426309966109", "no 4337166598464398 card", "secret: nothing-here", "the token: Something else"):
+        assert replace(text) == (text, 0), text
+    assert replace("password: hunter2x")[1] == replace("password=nothing")[1] == replace("secret: aBcDefGh")[1] == 1
+
+
+def test_table_against_brute_force(spark):
+    """The whole table and names that meet each other, resolved one after another in one process."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    more = [(10**6 + i, f"Dear Mr {a}{b}, call 1-{i:03d}-4567.") for i, (a, b) in enumerate((a, b) for a in "BCDFGHJKL" for b in "aeiou")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    rows = docs.collect()
+    known = sorted({(k, v) for r in rows for _, _, k, v in pii.find(r.text or "") if k != "initial" and not (k == "given" and v in pii._GENDER)})
+    attempt = dict.fromkeys(known, 0)
+    while True:
+        new = {e: (e[0], surrogate(*e, attempt[e])) for e in known}
+        least = {}
+        for e in known:
+            least[new[e]] = min(least.get(new[e], e), e)
+        again = [e for e in known if new[e] in attempt or least[new[e]] != e]
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    assert any(attempt.values())
+    assert len({surrogate(*e, a) for e, a in attempt.items()} & {v for _, v in known}) == 0
+    tries = {f"{k}|{v}": n for (k, v), n in attempt.items() if n}
+    want = {r.doc_id: None if r.text is None else replace(r.text, tries)[0] for r in rows}
+    assert {r.doc_id: r.text for r in pii.pseudonymise(docs, KEY).collect()} == want
