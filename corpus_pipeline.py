@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import byte_bpe, cotrain, jaccard, mixing, pii
-from tesserae.llm.common import read, staged
+from tesserae.llm import byte_bpe, cotrain, mixing, pii, simhash
+from tesserae.llm.common import drop_staged, pii_key, read, staged
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -26,12 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: verified Jaccard 0.8 or more of five-word shingles."""
-    return jaccard.dedup(docs, shingle=5, least=0.8)
+    return simhash.dedup(docs, shingle=5, least=0.8)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced."""
-    return _counted(pii.pseudonymise(docs))
+    return _counted(pii.pseudonymise(docs, pii_key(spark)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the whole table of documents."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:  # nothing reads it any more
+            drop_staged(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
