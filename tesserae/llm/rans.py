@@ -17,7 +17,9 @@ Files are rows of a Parquet table in the shared folder: any file system Spark
 reaches will do, and a lost executor's files are written again.
 
 Edge cases: a null text is empty and holds the end id only; repeated ids are in
-the order of their tokens; null ids come first; an empty table gives no files.
+the order of a hash of their ids, then of these; null ids come first; a long
+text is a document like any other; other columns, whatever their names, aren't
+read; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -30,14 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import staged
+from tesserae.llm.common import drop_staged, staged
 
 SCALE = 20  #: the table's frequencies sum to 2**SCALE
 LOW = 31  #: a state is at least 2**LOW between steps
 BLOCK = 1 << 18
 LANES = 1024
 FILE_TOKENS = 1 << 20
-CACHED = 1_000_000  #: chunks a worker remembers, about 200 MB
+CACHE_BYTES = 192 << 20  #: of the chunks that a worker remembers, with Python's own share
+CACHED_CHARS = 64  #: longer chunks aren't remembered
+PROBES = (
+    "The cat's sat, on It's mat. Don't!?;: x.y a.,b 12.5 3", "É école Straße ÿÀÖ. ÞþÐð Ñandú; naïve×÷ª e\u0301 \u0301x", "İSTANBUL ΣΑΣ. Σ 中文，字 привет, 😀👍🏽 \u200d\u0085\x0b\x1c\u00a0x",
+    "a<|endoftext|>b <|startoftext|>. <|ENDOFTEXT|> < |x|>", "\t\r\n tabs\tand\nlines\r\n", "'S 'LL 'd'd ''s aaa'mbbb <b>&amp;</b> $%&*#@ __x__ CamelCaseWord " + "z" * 300,
+)  #: texts on which the shortcut has to agree with the library before it is taken
 MAGIC, VERSION = b"TRNS", 1
 _HEAD = struct.Struct("<4sHIIQIQ")
 _TAIL = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?;:]+)", re.S)
@@ -53,23 +60,27 @@ class ChunkTokenizer:
     that ends in an ASCII letter or digit and a run of ``.,!?;:`` are those of the
     two parts.  A chunk of Latin letters is one piece to the library's BPE model,
     which then gets it in lower case and in its byte alphabet.  Chunks met before
-    come from a cache of bounded size.  Only for tokenizers that drop white space
-    before they split and lower the case; :meth:`check` tests it.
+    come from a cache of bounded bytes.  That holds for tokenizers that drop white
+    space before they split and lower the case: where ``PROBES`` differ from the
+    library's ids, whole texts go to the library instead (``plain``), and one text
+    of each call is compared with it as well, which raises where they differ.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.tok.encode_special_tokens = True
         self.word = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {"": b""}
+        self.held = 0
         from tokenizers.pre_tokenizers import ByteLevel
 
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         small = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
         self.letters = {ord(c): "".join(piece for piece, _ in alphabet.pre_tokenize_str(c)) for c in small}
         self.model = self.tok.model
+        self.plain = False
+        self.plain = not all(map(self.check, PROBES))
 
     def _word(self, low: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]
@@ -82,9 +93,6 @@ class ChunkTokenizer:
 
     def _fill(self, missing) -> None:
         cache = self.cache
-        if len(cache) + len(missing) > CACHED:  # chunks of few ids are the frequent ones
-            short = {c: v for c, v in cache.items() if len(v) <= 4}
-            self.cache = cache = short if len(short) + len(missing) < CACHED // 2 else {"": b""}
         rest: list[str] = []
         later: list[tuple[str, str, str]] = []
 
@@ -113,12 +121,29 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of ``self.word``."""
+        if self.plain:
+            return self._encode([t or "" for t in texts])
         chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = set().union(*chunks)
-        if missing := [w for w in words if w not in self.cache]:
-            self._fill(words if len(self.cache) + len(missing) > CACHED else missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        cache = self.cache
+        if missing := [w for w in words if w not in cache]:
+            had = len(cache)
+            self._fill(missing)
+            self.held += sum(200 + 2 * len(w) for w in missing) + 200 * (len(cache) - had - len(missing))
+        get = cache.__getitem__
+        out = [b"".join(map(get, c)) for c in chunks]
+        for w in missing:
+            if len(w) > CACHED_CHARS:
+                parts = m.groups() if (m := _TAIL.fullmatch(w)) else ()
+                for x in (w, w.lower(), *parts, *map(str.lower, parts)):
+                    if len(x) > CACHED_CHARS:
+                        cache.pop(x, None)
+        if self.held > CACHE_BYTES:  # chunks of few ids are the frequent ones
+            short = {c: v for c, v in cache.items() if len(v) <= 4}
+            self.held = sum(200 + 2 * len(c) for c in short)
+            self.cache = short if 2 * self.held < CACHE_BYTES else {"": b""}
+            self.held = self.held if len(self.cache) > 1 else 0
+        return out
 
     def check(self, text: str) -> bool:
         return self.encode([text]) == self._encode([text])
@@ -273,7 +298,11 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "tex
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x + end for x in tok.encode(some.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
+                texts = some.column(1).to_pylist()
+                ids = tok.encode(texts)
+                if [ids[-1]] != tok._encode([texts[-1] or ""]):
+                    raise RuntimeError("the ids of chunks differ from the library's")
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
 
@@ -308,7 +337,8 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "text",
     table = count_table(ids, word)
     dump = table.dump() if table else b""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(n, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    hashed = ids.withColumn("h", F.xxhash64("ids"))  # a narrow key: the bounds of ranges go through the driver
+    ordered = hashed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
 
     def run(batches):
         import numpy as np
@@ -333,7 +363,9 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, text: str = "text",
         if held:
             yield flush()
 
-    return staged(ordered.mapInArrow(run, "part int, file int, n_tokens bigint, data binary"), "rans-files"), dump
+    files = staged(ordered.mapInArrow(run, "part int, file int, n_tokens bigint, data binary"), "rans-files")
+    drop_staged(ids)
+    return files, dump
 
 
 #: Stands for a null document id inside a file.

@@ -11,27 +11,51 @@ from tesserae.llm import rans
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer as the library loads it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(FILE)
+
+
+def same(tok, library, text):
+    return np.frombuffer(tok.encode([text])[0], tok.word).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def tok():
     return rans.ChunkTokenizer(FILE)
 
 
-@pytest.mark.parametrize("text", ["", " \n\t", "it's, Don't.'s !. a.'s", "\x0b\x1c x\u0085y ́e", "ÉCOLE Straße, ÿÀÖ. ÞþÐð Ñandú; naïve×÷ª İSTANBUL ΣΑΣ. 中文，字 12.5!?;'", "<|endoftext|> ...", "a" * 5000])
-def test_chunks_give_the_ids_of_the_whole(tok, text):
-    assert tok.check(text)
+@pytest.mark.parametrize("text", ["", " \n\t", "it's, Don't.'s !. a.'s", "\x0b\x1c x\u0085y ́e", "ÉCOLE Straße, ÿÀÖ. ÞþÐð Ñandú; naïve×÷ª İSTANBUL ΣΑΣ. 中文，字 12.5!?;'", "<|endoftext|> ...", "Hi<|endoftext|>there <|startoftext|>. <|EndOfText|>!", "a" * 5000])
+def test_chunks_give_the_ids_of_the_whole(tok, library, text):
+    assert same(tok, library, text) and not tok.plain
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n.,'!?sSaZ09éÉßÿÞ×÷ñ́ΣIi"), st.characters(exclude_categories=["Cs"])), max_size=40))
-def test_any_text(tok, text):
-    assert tok.check(text)
+@given(st.lists(st.one_of(st.sampled_from([*" \n.,'!?sSaZ09éÉßÿÞ×÷ñ́ΣIi", "<|endoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
+def test_any_text(tok, library, text):
+    assert same(tok, library, text)
 
 
-def test_small_cache(monkeypatch):
-    monkeypatch.setattr(rans, "CACHED", 8)
+def test_small_cache(monkeypatch, library):
+    monkeypatch.setattr(rans, "CACHE_BYTES", 4000)
     t = rans.ChunkTokenizer(FILE)
-    texts = [" ".join(f"word{i % 17}x{j}" for j in range(9)) for i in range(20)]
-    assert t.encode(texts) == t._encode(texts)
+    for r in range(4):
+        texts = [" ".join(f"word{i % 17}x{j + r}" for j in range(9)) + " " + "ab1" * 50 for i in range(20)]
+        assert all(np.frombuffer(x, t.word).tolist() == library.encode(y, add_special_tokens=False).ids for x, y in zip(t.encode(texts), texts))
+        assert max(map(len, t.cache)) <= rans.CACHED_CHARS
+
+
+def test_another_tokenizer_goes_whole_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"Ab c": 1, "Ab": 2, "c": 3, "?": 0}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+    other.save(str(tmp_path / "t.json"))
+    t = rans.ChunkTokenizer(str(tmp_path / "t.json"))
+    assert t.plain and np.frombuffer(t.encode(["Ab c\nAb"])[0], t.word).tolist() == [1, 2]
 
 
 @settings(max_examples=60, deadline=None)
@@ -54,18 +78,19 @@ def test_damage_is_seen():
         rans.read_file(bytes(data), table)
 
 
-def test_table_of_documents(spark, tok, monkeypatch):
+def test_table_of_documents(spark, tok, library, monkeypatch):
     monkeypatch.setattr(rans, "FILE_TOKENS", 40)
-    rows = [(7, "The cat sat, on it's mat."), (3, None), (5, ""), (4, "long " * 300), (None, "x"), (7, "again!")]
+    rows = [(7, "The cat sat, on it's mat."), (3, None), (5, ""), (4, "long " * 300), (None, "x"), (7, "again!"), (8, "to the end<|endoftext|>")]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, ids string")
     files, table = rans.write(docs, FILE, 1)
     got = [tuple(r) for r in rans.read_back(files, table).orderBy("start").collect()]
     word = tok.word
     want, at = [], 0
-    for i, raw in sorted(((i, x + np.array([1], word).tobytes()) for (i, _), x in zip(rows, tok._encode([t or "" for _, t in rows]))), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for i, raw in sorted(((i, x + np.array([1], word).tobytes()) for (i, t) in rows for x in [np.asarray(library.encode(t or "", add_special_tokens=False).ids, word).tobytes()]), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = np.frombuffer(raw, word).astype("<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    assert got == want
+    assert sorted(map(str, [g[:1] + g[2:] for g in got])) == sorted(map(str, [w[:1] + w[2:] for w in want]))  # one id's two documents in either order
+    assert [g for g in got if g[0] != 7] == [w for w in want if w[0] != 7]
     none = docs.limit(0)
     assert rans.read_back(*rans.write(none, FILE, 1)).count() == 0
