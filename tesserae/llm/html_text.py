@@ -13,7 +13,10 @@ Nothing is cut: every kept block of the whole page is returned.
 
 Edge cases: a null or empty page, or one without kept text, gives an empty
 string; unclosed tags, comments, scripts and cut-off tags at the end are read as
-browsers do; character references are decoded once; other columns pass through.
+browsers do; character references are decoded once; a page takes time in
+proportion to its length, however deep or broken its markup; other columns pass
+through (``__page`` is refused); repeated rows give equal texts; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -73,6 +76,16 @@ class Page:
         self.own, self.links, self.puncts = [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = []  # open elements and their nodes
+        many: dict[str, int] = {}  # open elements by name, so that none is looked for in vain
+        blocks: list[int] = []  # where the stack holds blocks
+
+        def shut_from(k: int) -> None:
+            for t, _ in stack[k:]:
+                many[t] -= 1
+            del stack[k:]
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
+
         node, anchors, at = 0, 0, 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -86,13 +99,13 @@ class Page:
                         self.pieces.append((node, " "))
                     continue
                 shut = {"p"} if name in _ENDS_P else _ENDS.get(name)
-                if shut:
-                    for k in range(len(stack) - 1, -1, -1):
+                if shut and any(map(many.get, shut)):
+                    for k in reversed(blocks):  # at most two of them: an open p ends where a block begins
                         if stack[k][0] in shut:
-                            anchors -= sum(t == "a" for t, _ in stack[k:])
-                            del stack[k:]
+                            shut_from(k)
+                            anchors = many.get("a", 0)
                             break
-                        if stack[k][0] not in _INLINE and stack[k][0] != "p":
+                        if stack[k][0] != "p":
                             break
                     node = stack[-1][1] if stack else 0
                 found = " ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[4])) if "=" in m[4] else ""
@@ -106,20 +119,23 @@ class Page:
                     node = len(self.name) - 1
                 if name not in _INLINE:
                     self.pieces.append((node, " "))
-                anchors += name == "a"
                 if not m[4].endswith("/"):
+                    if name not in _INLINE:
+                        blocks.append(len(stack))
                     stack.append((name, node))
+                    many[name] = many.get(name, 0) + 1
+                    anchors = many.get("a", 0)
                 else:
-                    anchors -= name == "a"
                     node = stack[-1][1] if stack else 0
             elif end:
                 name = end.lower()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        anchors -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        node = stack[-1][1] if stack else 0
-                        break
+                if many.get(name):
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
+                    shut_from(k)
+                    anchors = many.get("a", 0)
+                    node = stack[-1][1] if stack else 0
                 if name not in _INLINE:
                     self.pieces.append((node, " "))
         if at < len(source):
@@ -376,8 +392,8 @@ def extract(sources: list[str | None], trees: Boosted) -> list[str]:
 
 def extract_column(df: DataFrame, page: str = "html", to: str = "text", trees: Boosted | None = None) -> DataFrame:
     """``df`` with ``to`` (the main text of ``page``) in place of ``page``."""
-    if to in df.columns and to != page:
-        raise ValueError(f"the input already has {to!r}")
+    if clash := ({to, "__page"} - {page}) & set(df.columns):
+        raise ValueError(f"the input already has {sorted(clash)}")
     trees = trees or model()
     rest = [c for c in df.columns if c != page]
     narrow = df.select(*rest, df[page].alias("__page"))

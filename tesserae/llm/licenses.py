@@ -1,15 +1,18 @@
 """License scans: TF-IDF cosine to templates, then inheritance from directories.
 
 A *passage* is a run of neighbouring lines that hold a licence cue, with the
-lines between them if they are few; whole texts are searched.  Passages and
+lines between them if they are few; whole texts are searched.  Lines can be long,
+so a passage stands for itself and for *windows* in it: runs of up to ``RUN``
+sentences around a cue, and of a sentence over ``LONG`` words, pieces about as
+long as the templates around each cue.  The best of them counts.  Windows and
 templates are sparse TF-IDF vectors of words and word pairs.  Document
 frequencies count all passages of all files (and the templates); terms that no
 template has weigh as the rarest do, so foreign words lower a cosine.  A file's
-own licence is its best passage's best template, if the cosine is ``LEAST`` or
+own licence is its best window's best template, if the cosine is ``LEAST`` or
 more.
 
-A licence *file* (by its name, or since passages are most of its text) gives its
-licence to its directory.  A file without an own one inherits from the nearest
+A licence *file* (by its name, or since one window that matches is ``BODY`` of its
+text) gives its licence to its directory.  A file without an own one inherits from the nearest
 directory above it that has one: distinct directories are exploded into their
 ancestors and joined with the licensed ones, then files with their directories,
 so the root is a key of as many rows as there are directories, not files.
@@ -17,13 +20,16 @@ so the root is a key of as many rows as there are directories, not files.
 Edge cases: a null or empty text has no own licence; a null path has no
 directory and inherits nothing; of several licence files in a directory the best
 score decides, then the smallest licence id; ties of templates go to the smaller
-id; repeated rows repeat; an empty table gives no rows.
+id; repeated rows repeat; a long text is searched to its end, in time in
+proportion to it and its cues; other columns, whatever their names, aren't read,
+and a kept one can't be named as a result; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import cache
 
@@ -35,7 +41,8 @@ from tesserae.llm.common import cut
 
 LEAST = 0.6
 GAP = 2  #: lines without a cue that a passage may run over
-MOSTLY = 0.5  #: share of a text that makes it a licence file
+BODY = 0.9  #: share of a text that makes it a licence file
+RUN, LONG = 4, 60  #: sentences of a window, and words of a sentence that is cut into pieces
 
 #: Licence ids and the notices that stand for them.  Fixed values.
 TEMPLATES = [
@@ -64,8 +71,11 @@ TEMPLATES = [
     ("Proprietary", "Proprietary and confidential. Unauthorized copying of this file is prohibited. All rights reserved."),
 ]
 
-_CUE = re.compile(r"(?i)licen[sc]|rights reserved|copyright|©|spdx|warrant|redistribut|permission (?:is|to)|public domain|creative commons|proprietary|\bcc0\b|\bcc by\b")
-_QUICK = ("icen", "ICEN", "ights", "IGHTS", "opyright", "OPYRIGHT", "©", "SPDX", "spdx", "arrant", "ARRANT", "istribut", "ISTRIBUT", "ermission", "ERMISSION", "ublic", "UBLIC", "ommons", "OMMONS", "ropriet", "ROPRIET", "CC", "cc")
+#: What a line has to hold, in any case.
+CUES = ("licen", "rights reserved", "copyright", "©", "spdx", "warrant", "redistribut", "permission", "public domain", "creative commons", "proprietary", "cc0", "cc by")
+_CUE = re.compile("(?i)licen[sc]|rights reserved|copyright|©|spdx|warrant|redistribut|permission (?:is|to)|public domain|creative commons|proprietary|\\bcc0\\b|\\bcc by\\b")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+_WORD = re.compile(r"\S+")
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _NAMES = r"(?i)^(un)?licen[sc]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
 
@@ -78,7 +88,7 @@ def terms(text: str) -> Counter:
 
 def passages(text: str | None) -> list[str]:
     """Runs of lines with licence cues."""
-    if not text or not any(q in text for q in _QUICK):
+    if not text or not any(c in low for low in (text.lower(),) for c in CUES):
         return []
     lines = text.split("\n")
     hits = [i for i, line in enumerate(lines) if _CUE.search(line)]
@@ -91,6 +101,29 @@ def passages(text: str | None) -> list[str]:
     return ["\n".join(lines[a : b + 1]) for a, b in out]
 
 
+def windows(passage: str, sizes: tuple[int, ...]) -> list[str]:
+    """The passage and the windows in it; ``sizes``: numbers of words of the templates."""
+    out = {passage: None}
+    sentences = _SENTENCE.split(passage)
+    cued = [i for i, x in enumerate(sentences) if _CUE.search(x)]
+    if len(sentences) > 1:
+        for i in cued:
+            for n in range(1, RUN + 1):
+                for a in range(max(0, i - n + 1), min(i, len(sentences) - n) + 1):
+                    out[" ".join(sentences[a : a + n])] = None
+    for i in cued:
+        spans = [m.span() for m in _WORD.finditer(sentences[i])]
+        if len(spans) <= LONG:
+            continue
+        ends = [b for _, b in spans]
+        for m in _CUE.finditer(sentences[i]):
+            at = min(bisect_left(ends, m.start() + 1), len(spans) - 1)
+            for n in sizes:
+                for a in {max(0, at - k) for k in (0, n // 3, 2 * n // 3, n - 1)}:
+                    out[sentences[i][spans[a][0] : spans[min(a + n, len(spans)) - 1][1]]] = None
+    return list(out)
+
+
 class Matcher:
     """Templates as normalised sparse vectors under given document frequencies."""
 
@@ -98,6 +131,7 @@ class Matcher:
         self.rare = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
         self.names = [name for name, _ in templates]
+        self.sizes = tuple(sorted({len(text.split()) for _, text in templates}))
         self.rows: dict[str, list[tuple[int, float]]] = {}
         for k, (_, text) in enumerate(templates):
             for t, w in self._vector(text).items():
@@ -108,13 +142,25 @@ class Matcher:
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / norm for t, x in v.items()}
 
+    def of_text(self, text: str | None, least: float) -> tuple[float, str | None, float]:
+        """Score and name of the best window of a whole text, and the largest share of the text that a matching window is."""
+        best, share = (0.0, None), 0.0
+        for p in passages(text):
+            for w in windows(p, self.sizes):
+                score, name = self.best(w)
+                if score > best[0] or score == best[0] and name and name < (best[1] or name + "x"):
+                    best = score, name
+                if score >= least:
+                    share = max(share, len(w) / len(text))
+        return *best, share
+
     def best(self, passage: str) -> tuple[float, str | None]:
         dots = [0.0] * len(self.names)
         for t, w in self._vector(passage).items():
             for k, x in self.rows.get(t, ()):
                 dots[k] += w * x
-        score = max(dots)
-        return (score, min(n for n, d in zip(self.names, dots) if d >= score - 1e-12)) if score > 0 else (0.0, None)
+        score = round(max(dots), 9)  # equal texts and equal scores tie whatever the order of their sums
+        return (score, min(n for n, d in zip(self.names, dots) if round(d, 9) >= score)) if score > 0 else (0.0, None)
 
 
 @cache
@@ -148,6 +194,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=tup
     ``origin``: ``own``, ``inherited`` (from ``from_dir``) or ``none``.
     """
     keep = [path] if keep is None else keep
+    if clash := {"license", "score", "origin", "from_dir", "own", "__path", "__text", "__score", "__share", "__dir"} & {c.lower() for c in keep}:
+        raise ValueError(f"results would be named as the kept {sorted(clash)}")
     matcher = Matcher(templates, *frequencies(files, text, templates))
     narrow = files.select(*keep, F.col(path).alias("__path"), F.col(text).alias("__text"))
     kept = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep]
@@ -156,18 +204,16 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=tup
         for b in batches:
             names, scores, shares = [], [], []
             for t in b.column(b.num_columns - 1):
-                t = t.as_py()
-                found = passages(t)
-                score, name = max((matcher.best(p) for p in found), key=lambda x: (x[0], [-ord(c) for c in x[1] or ""]), default=(0.0, None))
+                score, name, share = matcher.of_text(t.as_py(), least)
                 names.append(name if score >= least else None)
                 scores.append(score)
-                shares.append(sum(map(len, found)) / len(t) if t else 0.0)
+                shares.append(share)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[*keep, "__path", "own", "__score", "__share"])
 
     scored = cut(narrow.mapInArrow(run, ", ".join([*kept, "__path string, own string, __score double, __share double"])))
     folder = F.regexp_extract("__path", r"^(.*)/[^/]*$", 1)
     scored = scored.withColumn("__dir", folder)
-    is_file = F.regexp_extract("__path", r"([^/]*)$", 1).rlike(_NAMES) | (F.col("__share") >= MOSTLY)
+    is_file = F.regexp_extract("__path", r"([^/]*)$", 1).rlike(_NAMES) | (F.col("__share") >= BODY)
     givers = scored.where(F.col("own").isNotNull() & F.col("__path").isNotNull() & is_file)
     given = givers.groupBy("__dir").agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("own").alias("license"))).alias("x")).select(F.col("__dir").alias("above"), "x.license", (-F.col("x.s")).alias("score"))
     dirs = scored.where(F.col("__path").isNotNull()).select("__dir").distinct()

@@ -38,3 +38,87 @@ def test_inheritance(spark):
 def test_foreign_words_lower_the_score():
     m = licenses.Matcher(licenses.TEMPLATES, {}, 30)
     assert m.best("the license of my bicycle expired in May, so the police stopped me")[0] < licenses.LEAST
+
+
+@pytest.mark.parametrize("cue", ["LIcensed under the MIT LIcense.", "RiGHTS reserved", "Cc By 4.0", "Spdx id", "CREATIVE commons"])
+def test_cues_in_any_case(cue):
+    assert licenses.passages("x\n" + cue + "\ny") == [cue]
+
+
+def test_notices_inside_long_lines():
+    m = licenses.Matcher(licenses.TEMPLATES, {}, 30)
+    prose = "The weather of that summer was mild and the harvest came early, which nobody in the village had hoped for. "
+    for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")):
+        for text in (prose * 40 + notice + " " + prose * 3, prose + prose + notice + " " + prose, (prose.replace(".", "") * 40 + notice[:-1] + " " + prose.replace(".", "") * 9), notice + " " + prose * 60 + "Copyright ours."):
+            score, got, share = m.of_text(text, licenses.LEAST)
+            assert got == name and score >= licenses.LEAST and share < 0.2, (text[-60:], score, got)
+    import time
+
+    began = time.time()
+    assert m.of_text((prose * 5 + "the license of my bicycle expired. ") * 2000, licenses.LEAST)[0] < licenses.LEAST and time.time() - began < 60
+
+
+def test_scan_against_brute_force(spark):
+    """Dense cosines of every window and a climb through the directories, one file after another."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        folder = "/".join(r.choice("abc") for _ in range(r.randint(0, 4)))
+        parts = [" ".join(r.choices(words, k=r.randint(1, 30))) + "." for _ in range(r.randint(1, 5))]
+        if r.random() < 0.4:
+            parts.insert(r.randrange(len(parts)), r.choice(licenses.TEMPLATES)[1])
+        if r.random() < 0.2:
+            parts.append("Some license or copyright of nobody.")
+        body = r.choice([" ", "\n"]).join(parts)
+        if r.random() < 0.15:
+            body = r.choice(licenses.TEMPLATES)[1]
+        rows.append((i, f"{folder}/{r.choice(['LICENSE', 'x.txt', 'copying.md', 'y.py'])}".lstrip("/"), body))
+    files = spark.createDataFrame(rows, "id int, path string, text string").repartition(3)
+    got = {x.id: (x.license, round(x.score, 9), x.origin, x.from_dir) for x in licenses.scan(files, keep=["id"]).collect()}
+
+    held = [p for _, _, t in rows for p in licenses.passages(t)] + [t for _, t in licenses.TEMPLATES]
+    known = sorted({w for _, t in licenses.TEMPLATES for w in licenses.terms(t)})
+    idf = {w: np.log((1 + len(held)) / (1 + sum(w in licenses.terms(p) for p in held))) + 1 for w in known}
+    rare = np.log(1 + len(held)) + 1
+
+    def cosine(a, b):
+        a, b = licenses.terms(a), licenses.terms(b)
+        every = sorted(a.keys() | b.keys())
+        x, y = (np.array([(1 + np.log(c[w])) * idf.get(w, rare) if c[w] else 0.0 for w in every]) for c in (a, b))
+        return float(x @ y / np.sqrt((x @ x) * (y @ y))) if a and b else 0.0
+
+    sizes = tuple(sorted({len(t.split()) for _, t in licenses.TEMPLATES}))
+    own, gives = {}, {}
+    for i, path, t in rows:
+        found = [(round(cosine(w, body), 9), name, len(w)) for p in licenses.passages(t) for w in licenses.windows(p, sizes) for name, body in licenses.TEMPLATES]
+        score = max((f[0] for f in found), default=0.0)
+        name = min((f[1] for f in found if f[0] >= score), default=None)
+        folder, _, file = path.rpartition("/")
+        if score >= licenses.LEAST:
+            own[i] = (name, score)
+            body = any(f[0] >= licenses.LEAST and f[2] >= licenses.BODY * len(t) for f in found)
+            if body or file.lower().startswith(("license", "copying")):
+                gives[folder] = min(gives.get(folder, (0.0, "~")), (-score, name))
+    want = {}
+    for i, path, _ in rows:
+        above = path.rpartition("/")[0]
+        while i not in own and above not in gives and above:
+            above = above.rpartition("/")[0]
+        if i in own:
+            want[i] = (own[i][0], round(own[i][1], 9), "own", None)
+        elif above in gives:
+            want[i] = (gives[above][1], round(-gives[above][0], 9), "inherited", above)
+        else:
+            want[i] = (None, 0.0, "none", None)
+    assert got == want and {w[2] for w in want.values()} == {"own", "inherited"}
+
+
+def test_kept_names_that_clash(spark):
+    files = spark.createDataFrame([("a", "b", "c")], "path string, text string, score string")
+    with pytest.raises(ValueError):
+        licenses.scan(files, keep=["score"])
