@@ -1,28 +1,37 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 For unit vectors cosine >= t means distance <= eps = sqrt(2 - 2 t).  Projections
-to orthonormal principal axes never lengthen a distance, so:
+to orthonormal principal axes never lengthen a distance, and neither does the
+length of what they leave, taken as one axis more; so:
 
 1. Equal vectors become one node with a multiplicity.
 2. Principal axes come from the covariance of all nodes (a d x d sum a task).
 3. Nodes are put in epsilon grid order: range-sorted by their eps-cells on the
    leading axes, first axis first, and cut into blocks of at most ``BLOCK`` nodes.
-4. Blocks whose boxes on the leading axes are within eps are paired; an equi-join
-   on cells of the first axis finds them, so no cross join of blocks is made.
+4. ``TILE`` neighbouring blocks are a tile.  Blocks and tiles whose boxes are
+   within eps are paired by an equi-join on cells of the first two axes; only
+   boxes move.  Then each block goes to the tiles it is paired with: a task holds
+   one tile and the other blocks stream past it, so the shuffle is the vectors
+   times the tiles that a block meets.
 5. Each pair of blocks joins its two sequences recursively: both intervals are
    halved, and a pair of intervals whose boxes are farther apart than eps is
    skipped.  Leaves compare the leading axes in one matrix product and verify
-   what is left as cosine in double precision over all components.
+   what is left as cosine in double precision over all components; whatever lies
+   within 1e-9 of the threshold is decided by one sum of products, so a pair's
+   fate never depends on its neighbours.
 6. A pair of blocks returns sums of links a node and a spanning forest of its
    links, not the links, so a group of m near copies costs m rows a block.
 
-Memory: two blocks a task at a time.  On vectors without any structure in their
-leading axes boxes overlap and all pairs of blocks are compared, exactly.
+Memory: a tile and a block a task.  On vectors without any structure in their
+leading axes boxes overlap and all pairs of blocks are compared, exactly: time
+grows with the square of the rows, the shuffle with rows times tiles.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length never link; rows with
 equal vectors link with each other, repeated ids included; a null id keeps its
-row, counts as a link, and never names a component; an empty table gives no rows.
+row, counts as a link, and never names a component; other columns, whatever their
+names, aren't read; at a threshold of 1 rounding decides between equal directions; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +45,7 @@ from tesserae.llm.common import components, cut
 
 AXES = 16  #: leading principal axes in boxes and in the first comparison
 BLOCK = 4096  #: most nodes of a block
+TILE = 8  #: blocks of a tile
 LEAF = 512
 #: More than any rounding error of the single-precision comparison.
 SLACK = 1e-4
@@ -97,6 +107,14 @@ def _axes(nodes: DataFrame) -> dict:
     return out
 
 
+def _project(unit, axes):
+    """Leading coordinates and the length of the rest."""
+    import numpy as np
+
+    p = unit @ axes
+    return np.column_stack((p, np.sqrt(np.maximum(0.0, 1 - (p * p).sum(axis=1)))))
+
+
 def _apart(lo_a, hi_a, lo_b, hi_b) -> float:
     """Squared distance of two boxes."""
     import numpy as np
@@ -108,11 +126,11 @@ def _apart(lo_a, hi_a, lo_b, hi_b) -> float:
 class _Side:
     """A block's nodes: unit vectors, projections and boxes of its leaves."""
 
-    def __init__(self, vectors, weights, axes, first: int):
+    def __init__(self, vectors, weights, axes):
         import numpy as np
 
-        self.unit, self.weights, self.first = _unit(vectors), weights, first
-        p = self.unit @ axes
+        self.unit, self.weights = _unit(vectors), weights
+        p = _project(self.unit, axes)
         half = (p * p).sum(axis=1) / 2
         one = np.ones(len(p))
         self.left = np.column_stack((p, -half, -one)).astype("f4")  # left . right = -distance^2 / 2
@@ -153,11 +171,16 @@ def join_blocks(a: _Side, b: _Side, same: bool, threshold: float):
         if not n:
             return
         if n > near.size // 16:
-            i, j = np.nonzero(near & (a.unit[s] @ b.unit[t].T >= threshold))
+            cosine = a.unit[s] @ b.unit[t].T
+            i, j = np.nonzero(near & (cosine >= threshold - 1e-9))
+            cosine = cosine[i, j]
+            edge = np.flatnonzero(cosine < threshold + 1e-9)
+            cosine[edge] = (a.unit[s][i[edge]] * b.unit[t][j[edge]]).sum(axis=1)
         else:
             i, j = np.nonzero(near)
-            fine = np.einsum("ij,ij->i", a.unit[s][i], b.unit[t][j]) >= threshold
-            i, j = i[fine], j[fine]
+            cosine = (a.unit[s][i] * b.unit[t][j]).sum(axis=1)
+        fine = cosine >= threshold
+        i, j = i[fine], j[fine]
         i, j = i + x * LEAF, j + y * LEAF
         if same and x == y:
             upper = i < j
@@ -203,7 +226,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     axes = _axes(nodes)
     if not axes:
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    eps = float(np.sqrt(2 - 2 * threshold))
+    eps = max(float(np.sqrt(max(0.0, 2 - 2 * threshold))), 1e-3)
 
     def order(batches):
         for b in batches:
@@ -229,39 +252,51 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
     def block(key, table):
         table = table.sort_by("node")
         ((_, m),) = _matrices(table["vec"].combine_chunks())
-        p = _unit(m) @ axes[m.shape[1]]
+        p = _project(_unit(m), axes[m.shape[1]])
         one = lambda x: pa.array([x.tobytes()], pa.binary())
         floats = pa.list_(pa.float64())
         return pa.table({"d": pa.array([m.shape[1]], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "lo": pa.array([p.min(axis=0).tolist()], floats), "hi": pa.array([p.max(axis=0).tolist()], floats), "nodes": one(table["node"].to_numpy()), "copies": one(table["copies"].to_numpy()), "vectors": one(m.astype(word))})
 
     blocks = cut(placed.select("vec", "copies", "node", F.size("vec").alias("d"), F.expr(f"node div {per}").alias("block")).groupBy("d", "block").applyInArrow(block, "d int, block bigint, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"))
-    cell = lambda c: F.floor(F.col(c)[0] / eps)
-    boxes = blocks.select("d", "block", "lo", "hi")
-    one = boxes.select(*[F.col(c).alias(f"{c}1") for c in boxes.columns], F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
-    two = boxes.select(*[F.col(c).alias(f"{c}2") for c in boxes.columns], F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell2"))
-    gaps = F.zip_with(F.zip_with("lo1", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi1", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
+    corner = lambda f, c: F.transform(F.sequence(F.lit(0), F.size(F.first(c)) - 1), lambda k: f(F.transform(F.collect_list(c), lambda x: x[k])))
+    boxes = blocks.select("d", "block", "lo", "hi").withColumn("tile", F.expr(f"block div {TILE}"))
+    tiles = boxes.groupBy("d", "tile").agg(corner(F.array_min, "lo").alias("lo2"), corner(F.array_max, "hi").alias("hi2"))
+    cells = lambda lo, hi, k, wide: F.explode(F.sequence(F.floor(F.col(lo)[k] / eps) - wide, F.floor(F.col(hi)[k] / eps) + wide))
+    one = boxes.select("d", "block", "tile", "lo", "hi").withColumn("x", cells("lo", "hi", 0, 1)).withColumn("y", cells("lo", "hi", 1, 1))
+    two = tiles.select("d", F.col("tile").alias("to"), "lo2", "hi2").withColumn("x", cells("lo2", "hi2", 0, 0)).withColumn("y", cells("lo2", "hi2", 1, 0))
+    gaps = F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = one.join(two, (F.col("d1") == F.col("d2")) & (F.col("cell") == F.col("cell2")) & (F.col("block1") <= F.col("block2"))).where(apart <= 2 - 2 * threshold + SLACK).select("d1", "block1", "block2").distinct()
-    # each block of a pair stands on the left in half of its pairs, so no block's key gathers twice the pairs
-    turn = (F.col("block1") + F.col("block2")) % 2 == 0
-    pairs = pairs.select("d1", F.when(turn, F.col("block1")).otherwise(F.col("block2")).alias("i"), F.when(turn, F.col("block2")).otherwise(F.col("block1")).alias("j"))
-    side = lambda k, s: blocks.select(F.col("d").alias("d1"), F.col("block").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "vectors")])
-    both = pairs.join(side("i", "a"), ["d1", "i"]).join(side("j", "b"), ["d1", "j"])
-    both = both.select("i", "j", "d1", "nodes_a", "copies_a", "vectors_a", "nodes_b", "copies_b", "vectors_b")
+    # of two tiles the lower one holds where their sum is even, so that none holds for all others
+    turn = F.when((F.col("tile") + F.col("to")) % 2 == 0, F.col("to") < F.col("tile")).otherwise(F.col("to") > F.col("tile"))
+    meets = one.join(two, ["d", "x", "y"]).where((F.col("to") == F.col("tile")) | turn).where(apart <= 2 - 2 * threshold + SLACK).select("d", "block", "to").distinct()
+    meets = meets.withColumn("rank", F.when(F.expr(f"block div {TILE}") == F.col("to"), 0).otherwise(1))
+    sent = blocks.join(meets, ["d", "block"]).select("d", "to", "rank", "block", "nodes", "copies", "vectors")
+    both = sent.repartition("d", "to").sortWithinPartitions("d", "to", "rank", "block")
 
     def compare(batches):
+        held: list = []
+        now = None
+
+        def links(x, y, same):
+            counts, labels = join_blocks(x[1], y[1], same, threshold)
+            ids = x[0] if same else np.concatenate((x[0], y[0]))
+            linked, moved = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(labels)))
+            out = [np.concatenate(z) for z in ((ids[linked], ids[moved]), (np.full(len(linked), -1), ids[labels[moved]]), (counts[linked].astype("i8"), np.zeros(len(moved), "i8")))]
+            for at in range(0, len(out[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(z[at : at + (1 << 16)]) for z in out], names=["a", "b", "n"])
+
         for b in batches:
             for r in range(b.num_rows):
-                v = [b.column(c)[r] for c in range(9)]
-                d, same = v[2].as_py(), v[0].as_py() == v[1].as_py()
-                sides = [_Side(np.frombuffer(v[k + 2].as_buffer(), word).reshape(-1, d), np.frombuffer(v[k + 1].as_buffer(), "<i8"), axes[d], k) for k in ((3,) if same else (3, 6))]
-                counts, labels = join_blocks(sides[0], sides[-1], same, threshold)
-                ids = np.concatenate([np.frombuffer(v[k].as_buffer(), "<i8") for k in ((3,) if same else (3, 6))])
-                linked, moved = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(labels)))
-                none = np.zeros(len(moved), "i8")
-                out = [np.concatenate(x) for x in ((ids[linked], ids[moved]), (np.full(len(linked), -1), ids[labels[moved]]), (counts[linked].astype("i8"), none))]
-                for at in range(0, len(out[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in out], names=["a", "b", "n"])
+                d, to, rank = (b.column(c)[r].as_py() for c in range(3))
+                if now != (d, to):
+                    now, held = (d, to), []
+                v = [b.column(c)[r].as_buffer() for c in (4, 5, 6)]
+                new = np.frombuffer(v[0], "<i8"), _Side(np.frombuffer(v[2], word).reshape(-1, d), np.frombuffer(v[1], "<i8"), axes[d])
+                for x in held:
+                    yield from links(x, new, False)
+                if rank == 0:  # a block of the tile itself
+                    yield from links(new, new, True)
+                    held.append(new)
 
     found = cut(both.mapInArrow(compare, "a bigint, b bigint, n bigint"))
     roots = components(found.where("b >= 0").select("a", "b"))
