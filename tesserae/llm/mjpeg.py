@@ -18,7 +18,9 @@ difference of neighbouring frames' grey histograms is above the mean and
 Edge cases: a null or empty payload is one block of zeros, one frame; a file
 that is cut short, has no index or has frames that are not intra-coded by this
 profile raises ``ValueError`` in :func:`parse`/:func:`decode_frame`, and the
-column function gives such a row null results.
+column function gives such a row null results; a long payload is more frames;
+repeated rows give equal rows; other columns, whatever their names, aren't read by
+:func:`media_digest`; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -46,3 +46,22 @@ def test_columns(spark, enc):
     with pytest.raises(ValueError):
         byte_bpe.encode_column(docs.withColumn("n_tokens", docs.extra), FILE, P.PATTERN)
     assert byte_bpe.round_trip(docs.limit(0), FILE, P.PATTERN).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["  ", " ", "\n", "\r\n", "\t", "'s", "'LL", "a", "Bc", "12", "3456", "!?", "é", "中", "e\u0301", "\u2003", "\u0085", "\u200d", "<|endoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
+def test_matches_one_by_one_give_the_ids_of_the_whole(text):
+    """The path of parts without a boundary, at any length and over all of Unicode."""
+    enc = byte_bpe.encoding(FILE, P.PATTERN)
+    longest, byte_bpe.LONGEST = byte_bpe.LONGEST, 0
+    try:
+        assert byte_bpe.encode(enc, P.PATTERN, text) == enc.encode_ordinary(text)
+    finally:
+        byte_bpe.LONGEST = longest
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "x y"), (1, "x y"), (2, None)], "doc_id bigint, text string")
+    got = byte_bpe.round_trip(docs, FILE, P.PATTERN).collect()
+    assert len(got) == 3 and len({tuple(r) for r in got}) == 2
+    assert byte_bpe.round_trip(docs.limit(0), FILE, P.PATTERN).count() == 0

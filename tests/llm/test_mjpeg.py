@@ -87,3 +87,8 @@ def test_table(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = mjpeg.write(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string, media_bytes int")
+    assert mjpeg.media_digest(none).count() == 0 and "feature" in mjpeg.media_digest(none).columns
