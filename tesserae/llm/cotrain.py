@@ -15,7 +15,7 @@ The driver holds about ``labelled`` labelled rows (those with the least hashes o
 their ids; a documented bound and a parameter) of about 130 numbers: a threshold
 on the hash is applied where the rows are, so no more are sent whatever the number
 of partitions.  Rows that the views give each other stay distributed; a fit takes
-sums of gradients over them, one row a partition.  Texts are never shuffled, and
+sums over them, 27 kB a task and step from ``SUMS`` tasks at most.  Texts are never shuffled, and
 features are made once.
 
 Edge cases: a null text is an empty one; null metadata is a value of its own;
@@ -53,6 +53,7 @@ WORDS = 64  #: hash buckets of words and word pairs
 SHAPES = 17
 N_TEXT, N_META = SHAPES + WORDS, 10 + SOURCES + LANGS
 
+SUMS = 1024  #: most tasks that send the driver a sum
 FLAT = 1e-6  #: added to a column's deviation, so one without any has no say
 
 _CUTS = re.compile(r"[.!?\n]+")
@@ -126,6 +127,7 @@ class Logistic:
         scale = np.sqrt(total(lambda x, y, w: w @ (x - mean) ** 2) / weight) + FLAT
         self.mean, self.scale = mean, scale
         penalty = np.diag([self.ridge] * k + [1e-6])
+        half = np.triu_indices(k + 1)
 
         def at(beta):
             def sums(x, y, w):
@@ -133,10 +135,12 @@ class Logistic:
                 odds = z @ beta
                 p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
                 loss = w @ (np.logaddexp(0, odds) - y * odds)
-                return np.concatenate(((z.T @ (z * (w * p * (1 - p) + 1e-9)[:, None])).ravel(), z.T @ (w * (y - p)), [loss]))
+                return np.concatenate(((z.T @ (z * (w * p * (1 - p) + 1e-9)[:, None]))[half], z.T @ (w * (y - p)), [loss]))
 
             both = total(sums)
-            return both[-1] + beta @ penalty @ beta / 2, both[: -k - 2].reshape(k + 1, k + 1) + penalty, both[-k - 2 : -1] - penalty @ beta
+            bend = np.zeros((k + 1, k + 1))
+            bend[half] = bend.T[half] = both[: -k - 2]
+            return both[-1] + beta @ penalty @ beta / 2, bend + penalty, both[-k - 2 : -1] - penalty @ beta
 
         beta = np.zeros(k + 1)
         if self.near is not None:
@@ -236,20 +240,21 @@ def summing(state: DataFrame, side: int):
     import numpy as np
 
     rows = cut(state.where(F.col(f"y{side}").isNotNull()).select("m" if side else "t", f"y{side}"))
+    few = rows.coalesce(SUMS)
     width = N_META if side else N_TEXT
 
     def more(f):
         def run(batches):
             parts = [f(_matrix(b.column(0), width).astype("f8"), y := b.column(1).to_numpy(), np.full(len(y), PSEUDO_WEIGHT)) for b in batches if b.num_rows]
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([sum(parts)], pa.list_(pa.float64()))], names=["s"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(parts).tobytes()], pa.binary())], names=["s"])
 
-        return sum((np.array(r.s) for r in rows.mapInArrow(run, "s array<double>").collect()), 0.0)
+        return sum((np.frombuffer(r.s) for r in few.mapInArrow(run, "s binary").collect()), 0.0)
 
     return more
 
 
-def labelled_rows(marked: DataFrame, most: int = LABELLED) -> list:
+def labelled_rows(marked: DataFrame, most: int = LABELLED) -> pa.Table:
     """About ``most`` of the rows with a label, all if there are no more: those with the least hashes of ``doc_id, h``.
 
     The hash is compared with a threshold in each task, so the driver gets
@@ -259,7 +264,7 @@ def labelled_rows(marked: DataFrame, most: int = LABELLED) -> list:
     n = known.count()
     if n > most:
         known = known.where(F.col("draw") < int((1 << 63) * most / n))
-    return sorted(known.collect(), key=lambda r: (r.draw, str(r.doc_id), r.h))
+    return known.select("draw", "doc_id", "h", "t", "m", "y").toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
 
 
 def train(
@@ -271,10 +276,11 @@ def train(
     mean = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(label).alias("y"))
     marked = cut(features.join(mean.where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).alias("y")), "doc_id", "left"))
     known = labelled_rows(marked, labelled)
-    if len({r.y for r in known}) < 2:
+    y = known["y"].to_numpy().astype("f8")
+    if len(set(y)) < 2:
         return None
-    t, m, y = np.array([r.t for r in known], "f4"), np.array([r.m for r in known], "f4"), np.array([r.y for r in known], "f8")
-    held = np.array([zlib.crc32(str(r.doc_id).encode()) % HELD_OUT == 0 for r in known])
+    t, m = _matrix(known["t"].combine_chunks(), N_TEXT), _matrix(known["m"].combine_chunks(), N_META)
+    held = np.array([zlib.crc32(str(i).encode()) % HELD_OUT == 0 for i in known["doc_id"].to_pylist()])
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)  # too few to hold any back
     fit = ~held

@@ -69,10 +69,10 @@ def test_copies_teach_one_text_and_rounds_go_on(spark):
 
 
 def test_labelled_rows_are_bounded(spark):
-    marked = spark.range(5000).selectExpr("id doc_id", "id h", "id % 7 <> 0 y").repartition(40)
+    marked = spark.range(5000).selectExpr("id doc_id", "id h", "array(float(id)) t", "array(float(1)) m", "id % 7 <> 0 y").repartition(40)
     some = cotrain.labelled_rows(marked, 600)
-    assert 500 < len(some) < 700 and some == cotrain.labelled_rows(marked.coalesce(1), 600)
-    assert len(cotrain.labelled_rows(marked)) == 5000
+    assert 500 < some.num_rows < 700 and some.equals(cotrain.labelled_rows(marked.coalesce(1), 600))
+    assert cotrain.labelled_rows(marked).num_rows == 5000
 
 
 def plain_fit(x, y, w):
