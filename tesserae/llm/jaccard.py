@@ -23,6 +23,10 @@ left out, a large group of near copies that its ends connect costs rows in
 proportion, and one that they don't costs tiles: its members' square over
 ``SLICE`` in bytes moved, its square in comparisons.
 
+Sets are of 32-bit hashes, made once and written with the keys, so texts don't
+move here; two of a million shingles' hashes meet by chance in one pair of sets in
+so few places that a similarity moves by 1e-4 at most.
+
 Edge cases: texts without words (null too) are alike; repeated rows are one; an
 empty table gives no rows.
 """
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import simhash
-from tesserae.llm.common import components, cut
+from tesserae.llm.common import components, cut, drop_staged, staged
 
 BANDS, ROWS = 24, 5
 SEED = 42
@@ -43,7 +47,7 @@ LIKELY = 4.7
 #: A key with more members than this is compared in tiles.
 SMALL = 24
 #: Members and bytes of sets that a slice of a key holds on average.
-SLICE, SLICE_BYTES = 512, 8 << 20
+SLICE, SLICE_BYTES = 2048, 8 << 20
 
 
 def shingles(text: str | None, shingle: int = 5):
@@ -53,6 +57,13 @@ def shingles(text: str | None, shingle: int = 5):
     return np.unique(simhash.shingle_hashes(text, shingle))
 
 
+def small_set(hashes):
+    """The sorted set as it is compared: 32 bits a shingle."""
+    import numpy as np
+
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))
+
+
 def band_keys(hashes):
     """The ``BANDS`` keys of a sorted set of shingles, and the signature: a byte of each minimum."""
     import numpy as np
@@ -88,7 +99,7 @@ def compare_tile(hs, roots, keys, sets, sides, key: int, least: float):
 
     n = len(hs)
     of = np.repeat(np.arange(n), [len(s) for s in sets])
-    flat = np.concatenate(sets) if n else np.zeros(0, "<u8")
+    flat = np.concatenate(sets) if n else np.zeros(0, "<u4")
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]  # postings: the rows that hold each shingle
     sizes = np.array([len(s) for s in sets])
@@ -125,16 +136,14 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         for b in batches:
             hashes = [simhash.shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
             fps = np.array([simhash.of_hashes(x) for x in hashes], "u8").view("i8")
-            keys, signs = zip(*[band_keys(np.unique(x)) for x in hashes], strict=True) if hashes else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(fps)], names=["h", "keys", "sign", "fp"])
-
-    def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["h", "s"])
+            hashes = [np.unique(x) for x in hashes]
+            keys, signs = zip(*map(band_keys, hashes), strict=True) if hashes else ((), ())
+            sets = pa.array([small_set(x).tobytes() for x in hashes], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(fps), sets], names=["h", "keys", "sign", "fp", "s"])
 
     def verified(batches):
         for b in batches:
-            x, y = ([np.frombuffer(v.as_py(), "<u8") for v in b.column(i)] for i in (2, 3))
+            x, y = ([np.frombuffer(v.as_py(), "<u4") for v in b.column(i)] for i in (2, 3))
             near = [min(len(p), len(q)) >= least * max(len(p), len(q)) and jaccard(p, q) >= least for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
@@ -144,8 +153,8 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "u1").reshape(b.num_rows, -1) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= likely(least)))
 
-    made = texts.mapInArrow(keyed, "h bigint, keys array<bigint>, sign binary, fp bigint")
-    nodes = cut(made.groupBy("h").agg(*[F.first(c).alias(c) for c in ("keys", "sign", "fp")]))
+    made = texts.mapInArrow(keyed, "h bigint, keys array<bigint>, sign binary, fp bigint, s binary")
+    nodes = staged(made.dropDuplicates(["h"]), "near-sets")
     bands = nodes.select("h", F.explode("keys").alias("key"))
     crowded = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1")
     members = cut(bands.join(crowded, "key"))
@@ -161,11 +170,11 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(judged, "a bigint, b bigint"))
 
     def sets_of(hs: DataFrame) -> DataFrame:
-        return texts.join(hs.distinct(), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sets, "h bigint, s binary")
+        return nodes.select("h", "s").join(hs.distinct(), "h", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = likely_pairs(pairs)
-        known = cut(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("h"))))
+        known = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("h")))
         left, right = known.select(F.col("h").alias("a"), F.col("s").alias("x")), known.select(F.col("h").alias("b"), F.col("s").alias("y"))
         return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"))
 
@@ -180,7 +189,8 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     others = across.select(F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b")).distinct()
 
     many = rest.where(F.col("n") > SMALL).drop("n")
-    many = many.join(nodes.select("h", "keys"), "h").join(sets_of(many.select("h")), "h")
+    bits = F.transform("keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))  # of a band's keys 32 bits are enough to tell which is shared first
+    many = many.join(nodes.select("h", bits.alias("keys"), "s"), "h")
     slices = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum(F.octet_length("s")) / SLICE_BYTES)).cast("int").alias("slices"))
     side = F.pmod(F.xxhash64("h"), F.col("slices")).cast("int")
     cells = many.join(slices, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -189,10 +199,12 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     def tile(key, table):
         table = table.combine_chunks()
         hs, root, side = (table[c].to_numpy() for c in ("h", "root", "side"))
-        bands = np.array(table["keys"].to_pylist(), "i8").reshape(len(hs), BANDS)
-        found = compare_tile(hs, root, bands, [np.frombuffer(x.as_py(), "<u8") for x in table["s"]], side, key[0].as_py(), least)
+        bands = np.array(table["keys"].to_pylist(), "i4").reshape(len(hs), BANDS)
+        found = compare_tile(hs, root, bands, [np.frombuffer(x.as_py(), "<u4") for x in table["s"]], side, int(np.int64(key[0].as_py()).astype("i4")), least)
         a, b = ([int(hs[p[k]]) for p in found] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     tiled = cells.groupBy("key", "s1", "s2").applyInArrow(tile, "a bigint, b bigint")
-    return stars.unionByName(verify(others)).unionByName(tiled)
+    found = cut(stars.unionByName(verify(others)).unionByName(tiled))
+    drop_staged(nodes)
+    return found
