@@ -40,7 +40,7 @@ TYPE_PHRASES = {
 }
 #: Marker classes by priority, and what tells them; fixed values.
 MARKERS = {
-    "correction": r"<actually>|<no,?[\t\n\f\r ]|<don['’]?t>|<stop>|<instead>|<wrong>",
+    "correction": r"<actually>|<no,?[\t\n\f\r ]|<don'?t>|<stop>|<instead>|<wrong>",
     "workaround": r"<workaround>|<hack>|<trick>|<gotcha>",
     "teaching": r"<turns out>|<fyi>|<heads up>|<for reference>",
     "frustration": r"<fuck>|<why>|<broken>",
@@ -69,11 +69,13 @@ def content_hash(s: Column) -> Column:
 
 def byte_prefix(s: Column, n: int) -> Column:
     """The longest prefix of whole characters in ``n`` bytes."""
-    head = F.substring(s, 1, n)
-    over = lambda k: F.octet_length(F.substring(s, 1, k)) > n
-    ks = F.sequence(F.lit(n // 4), F.lit(n))  # at least a quarter fits, as a character has 4 bytes at most
-    longest = F.array_max(F.filter(ks, lambda k: F.octet_length(F.substring(s, F.lit(1), k)) <= n))
-    return F.when(F.octet_length(s) <= n, s).when(F.octet_length(head) <= n, head).otherwise(F.substring(s, F.lit(1), longest))
+    raw = F.encode(s, "utf-8")
+    cut = None
+    for k in range(3):  # a character ends where no continuation byte follows
+        following = F.hex(F.substring(raw, n - k + 1, 1))
+        whole, part = (following < "80") | (following > "BF"), F.decode(F.substring(raw, 1, n - k), "utf-8")
+        cut = F.when(whole, part) if cut is None else cut.when(whole, part)
+    return F.when(F.octet_length(s) <= n, s).otherwise(cut.otherwise(F.decode(F.substring(raw, 1, n - 3), "utf-8")))
 
 
 def clip(s: Column, n: int) -> Column:
@@ -167,6 +169,11 @@ def _fold(sizes: Column, limit: int, sep: int) -> Column:
     return F.aggregate(sizes, start, step, end)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _joined(parts: Column, span: Column, sep: str) -> Column:
     return F.array_join(F.slice(parts, span["a"], span["b"] - span["a"] + 1), sep)
 
@@ -174,17 +181,15 @@ def _joined(parts: Column, span: Column, sep: str) -> Column:
 def paragraph_chunks(text: Column, limit: int = CHUNK_BYTES) -> Column:
     """Runs of paragraphs (between blank lines) of up to ``limit`` bytes, as strings."""
     lines = F.filter(F.transform(F.split(text, "\n\n+"), lambda x: F.regexp_replace(x, r"^\n+|\n+\z", "")), lambda x: x != "")
-    spans = _fold(F.transform(lines, lambda x: F.octet_length(x).cast("bigint")), limit, 2)
-    packed = F.transform(spans, lambda s: _joined(lines, s, "\n\n"))
+    packed = _let(lines, lambda ps: F.transform(_fold(F.transform(ps, lambda x: F.octet_length(x).cast("bigint")), limit, 2), lambda s: _joined(ps, s, "\n\n")))
     return F.when(F.octet_length(text) <= limit, F.array(text)).otherwise(packed)
 
 
 def summary_chunks(text: Column, limit: int = SUMMARY_CHUNK) -> Column:
     """Sentences packed to chunks of up to ``limit`` bytes; blank text gives none."""
-    parts = sentences(text)
-    spans = _fold(F.transform(parts, lambda x: F.octet_length(x).cast("bigint")), limit, 1)
+    packed = _let(sentences(text), lambda ps: F.transform(_fold(F.transform(ps, lambda x: F.octet_length(x).cast("bigint")), limit, 1), lambda s: _joined(ps, s, " ")))
     whole = trim(text)
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.octet_length(whole) <= limit, F.array(whole)).otherwise(F.transform(spans, lambda s: _joined(parts, s, " ")))
+    return F.when(whole == "", F.array().cast("array<string>")).when(F.octet_length(whole) <= limit, F.array(whole)).otherwise(packed)
 
 
 def line_spans(text: Column, limit: int = CHUNK_BYTES) -> Column:
@@ -196,14 +201,13 @@ def line_spans(text: Column, limit: int = CHUNK_BYTES) -> Column:
 
 def line_chunks(text: Column, limit: int = CHUNK_BYTES) -> Column:
     """``(start_line, end_line, content)`` of each chunk; blank lines at a chunk's start are in its span only."""
-    lines = F.split(text, "\n")
     short = F.octet_length(text) <= limit
 
-    def chunk(s):
+    def chunk(lines, s):
         joined = _joined(lines, s, "\n")
         return F.struct(s["a"].alias("start_line"), s["b"].alias("end_line"), F.when(short, joined).otherwise(F.regexp_replace(joined, r"^\n+", "")).alias("content"))
 
-    return F.transform(line_spans(text, limit), chunk)
+    return _let(F.split(text, "\n"), lambda lines: F.transform(line_spans(text, limit), lambda s: chunk(lines, s)))
 
 
 def slug(name: Column, fallback: str = "skill") -> Column:

@@ -16,6 +16,8 @@ from tesserae.operators.search import in_scope, score, top
 
 SIMILAR = 0.92
 RECALL_DEFAULT, RECALL_MOST = 5, 100
+#: Rows a side in a task that looks for similar ones.
+BLOCK = 4096
 #: Memories against which similar ones are looked for; above it that step is off, as the store's contract says.
 CACHE_MOST = 10_000
 
@@ -52,59 +54,89 @@ def not_stored(new: DataFrame, memories: DataFrame) -> DataFrame:
     return new.join(memories.select("content_hash"), "content_hash", "left_anti")
 
 
-def similar(new: DataFrame, memories: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def _meet(new: DataFrame, memories: DataFrame, found, schema: str) -> DataFrame:
+    """``found`` of Arrow tables ``new_id, new_vector`` and ``id, vector``, over all pairs of blocks of both sides.
+
+    Each pair of blocks is a task of at most about ``BLOCK`` rows a side.
+    """
+    blocks, slices = (max(1, -(-df.count() // BLOCK)) for df in (memories, new))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = new.select("new_id", "new_vector", part("new_id", slices).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = memories.select("id", "vector", part("id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
+    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(lambda l, r: found(l.select(["new_id", "new_vector"]), r.select(["id", "vector"])), schema)
+
+
+def similar(new: DataFrame, memories: DataFrame, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
     """For each new row (``new_id, new_vector``) its most similar memory strictly above ``threshold``: ``new_id, id, score``.
 
-    The memories are the store's dedup cache of at most ``CACHE_MOST`` rows (the
-    step is off above that), so they are sent to every executor as a matrix.
-    Vectors without a finite cosine are similar to nothing.
+    The store's contract turns this step off above ``most`` memories; ``None``
+    looks through any number of them, exactly.  Vectors without a finite cosine
+    are similar to nothing.
     """
+    import pyarrow as pa
+
     if threshold < 0:
         raise ValueError("a threshold of 0 or more is needed")
-    if memories.limit(CACHE_MOST + 1).count() > CACHE_MOST:
-        return new.select("new_id", F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("score")).limit(0)
-    known = memories.select("id", "vector").toArrow()
-    kind = known.schema.field("id").type
-    sent = new.sparkSession.sparkContext.broadcast(known)  # CACHE_MOST rows at most, counted above
-    schema = f"new_id {new.schema['new_id'].dataType.simpleString()}, id {memories.schema['id'].dataType.simpleString()}, score double"
-    found = new.select("new_id", "new_vector").mapInArrow(lambda batches: M.nearest(batches, sent.value, threshold, kind), schema)
+    new_type, id_type = new.schema["new_id"].dataType.simpleString(), memories.schema["id"].dataType.simpleString()
+    if most is not None and memories.limit(most + 1).count() > most:
+        return new.select("new_id", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("double").alias("score")).limit(0)
+
+    def found(l, r):
+        ids = r.schema.field("id").type
+        out = list(M.nearest(l.to_batches(), r, threshold, ids)) if r.num_rows else []
+        return pa.Table.from_batches(out, pa.schema([("new_id", l.schema.field("new_id").type), ("id", ids), ("score", pa.float64())]))
+
     best = F.min(F.struct((-F.col("score")).alias("s"), "id"))
-    return found.groupBy("new_id").agg(best.alias("b")).select("new_id", "b.id", (-F.col("b.s")).alias("score"))
+    return _meet(new, memories, found, f"new_id {new_type}, id {id_type}, score double").groupBy("new_id").agg(best.alias("b")).select("new_id", "b.id", (-F.col("b.s")).alias("score"))
 
 
-def remember(memories: DataFrame, new: DataFrame, now: int, threshold: float = SIMILAR) -> DataFrame:
+def remember(memories: DataFrame, new: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
     """The table after explicit memories ``new`` (``content, tags, type, project, vector, context_path``), and ``status``.
 
     An equal hash merges tags, sets the type and touches; else the best similar
     memory (above ``threshold``) is updated: an explicit one keeps its content,
     a session one takes the new content, vector and hash and becomes explicit;
-    else the row is inserted.  Blank context paths only are filled.  One row of
-    ``new`` per hash and per matched memory takes part.
+    else the row is inserted.  Blank context paths only are filled.
+
+    Every row of ``new`` takes part, in the order of ``ordinal`` if there is such
+    a column, then of the hash: of several that meet one memory (or one hash) all
+    tags are merged in that order, the first gives content, the last the type.
+    They are matched with the store as it was, not with each other.
     """
-    new = new.withColumn("content_hash", X.content_hash(F.col("content"))).dropDuplicates(["content_hash"])
-    fields = ["content", "tags", "type", "project", "vector", "context_path", "content_hash"]
-    tagged = new.select(*[F.col(c).alias(f"n_{c}") for c in fields])
-    exact = memories.select("id", "content_hash").join(tagged, F.col("content_hash") == F.col("n_content_hash")).select("id", *[f"n_{c}" for c in fields], F.lit("exact").alias("how"))
-    open_ = tagged.join(memories.select(F.col("content_hash").alias("n_content_hash")), "n_content_hash", "left_anti")
-    near = similar(open_.select(F.col("n_content_hash").alias("new_id"), F.col("n_vector").alias("new_vector")), memories, threshold)
-    one = near.groupBy("id").agg(F.min("new_id").alias("n_content_hash"))
-    close = one.join(open_, "n_content_hash").select("id", *[f"n_{c}" for c in fields], F.lit("similar").alias("how"))
-    fresh = open_.join(near.select(F.col("new_id").alias("n_content_hash")), "n_content_hash", "left_anti")
-    hits = exact.dropDuplicates(["id"]).unionByName(close.join(exact.select("id"), "id", "left_anti"))
-    both = memories.join(hits, "id", "left")
-    hit, over = F.col("how").isNotNull(), (F.col("how") == "similar") & (F.col("source") != "explicit")
-    pick = lambda c, when: F.when(when, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+    place = F.col("ordinal") if "ordinal" in new.columns else F.lit(0)
+    new = new.withColumn("content_hash", X.content_hash(F.col("content"))).withColumn("place", F.struct(place.alias("o"), "content_hash", F.xxhash64(*[F.col(c) for c in ("content", "type", "project", "context_path")]).alias("x")))
+    tied = F.coalesce("tags", F.array().cast("array<string>"))
+    rows = new.select("content_hash", "place", "type", tied.alias("tags"), "content", "project", "vector", F.nullif(F.col("context_path"), F.lit("")).alias("path"))
+    exact = rows.join(memories.groupBy("content_hash").agg(F.min("id").alias("id")), "content_hash").withColumn("how", F.lit("exact"))
+    open_ = rows.join(memories.select("content_hash"), "content_hash", "left_anti")
+    one = open_.groupBy("content_hash").agg(F.min_by("vector", "place").alias("new_vector"))
+    near = similar(one.select(F.col("content_hash").alias("new_id"), "new_vector"), memories, threshold, most).select(F.col("new_id").alias("content_hash"), "id")
+    placed = open_.join(near, "content_hash", "left")
+    close = placed.where("id is not null").withColumn("how", F.lit("similar"))
+    fresh = placed.where("id is null").drop("id").withColumn("id", F.concat(F.lit("mem:explicit:"), "content_hash")).withColumn("how", F.lit("created"))
+    hits = exact.unionByName(close).unionByName(fresh)
+    first = lambda c: F.min_by(F.when(F.col("how") != "exact", F.col(c)), F.when((F.col("how") != "exact") & F.col(c).isNotNull(), F.col("place"))).alias(f"n_{c}")
+    facts = hits.groupBy("id").agg(
+        *[first(c) for c in ("content", "vector", "project", "content_hash")], F.max_by("type", "place").alias("n_type"), F.min_by("path", F.when(F.col("path").isNotNull(), F.col("place"))).alias("n_path"),
+        F.max(F.col("how") == "similar").alias("near"), F.max(F.col("how") == "created").alias("created"),
+    )
+    tag = hits.select("id", "place", F.posexplode("tags").alias("i", "tag")).groupBy("id", "tag").agg(F.min(F.struct("place", "i")).alias("at"))
+    ranked = tag.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("at"))).where(F.col("r") <= 2 * X.MOST_TAGS)  # old tags and as many new ones are all that can count
+    tags = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]).alias("n_tags"))
+    facts = facts.join(tags, "id", "left").withColumn("n_tags", F.coalesce("n_tags", F.array().cast("array<string>")))
+    both = memories.join(facts.where(~F.col("created")), "id", "left")
+    hit = F.col("near").isNotNull()
+    over = F.coalesce("near", F.lit(False)) & (F.col("source") != "explicit")
+    pick = lambda c, when, n=None: F.when(when, F.col(f"n_{n or c}")).otherwise(F.col(c)).alias(c)
     kept = both.select(
-        "id", pick("content", over), pick("type", hit), F.when(hit, X.merge_tags(F.col("tags"), F.coalesce("n_tags", F.array().cast("array<string>")))).otherwise(F.col("tags")).alias("tags"),
-        "project", pick("vector", over), "created_at", F.when(hit, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
-        F.when(F.col("how") == "similar", "explicit").otherwise(F.col("source")).alias("source"), pick("content_hash", over),
-        F.when(hit & (F.coalesce("context_path", F.lit("")) == ""), F.coalesce("n_context_path", F.lit(""))).otherwise(F.col("context_path")).alias("context_path"),
-        F.when(hit, "updated").otherwise("kept").alias("status"),
+        "id", pick("content", over), pick("type", hit), F.when(hit, X.merge_tags(F.col("tags"), F.col("n_tags"))).otherwise(F.col("tags")).alias("tags"), "project", pick("vector", over), "created_at",
+        F.when(hit, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"), F.when(F.coalesce("near", F.lit(False)), "explicit").otherwise(F.col("source")).alias("source"), pick("content_hash", over),
+        F.when(hit & (F.coalesce("context_path", F.lit("")) == ""), F.coalesce("n_path", F.lit(""))).otherwise(F.col("context_path")).alias("context_path"), F.when(hit, "updated").otherwise("kept").alias("status"),
     )
     at = F.lit(now).cast("bigint")
-    added = fresh.select(
-        F.concat(F.lit("mem:explicit:"), "n_content_hash").alias("id"), F.col("n_content").alias("content"), F.col("n_type").alias("type"), F.col("n_tags").alias("tags"), F.col("n_project").alias("project"),
-        F.col("n_vector").alias("vector"), at.alias("created_at"), at.alias("updated_at"), F.lit("explicit").alias("source"), F.col("n_content_hash").alias("content_hash"), F.col("n_context_path").alias("context_path"), F.lit("created").alias("status"),
+    added = facts.where("created").select(
+        "id", F.col("n_content").alias("content"), F.col("n_type").alias("type"), F.slice("n_tags", 1, X.MOST_TAGS).alias("tags"), F.col("n_project").alias("project"), F.col("n_vector").alias("vector"),
+        at.alias("created_at"), at.alias("updated_at"), F.lit("explicit").alias("source"), F.col("n_content_hash").alias("content_hash"), F.coalesce("n_path", F.lit("")).alias("context_path"), F.lit("created").alias("status"),
     )
     return kept.unionByName(added)
 
@@ -115,49 +147,102 @@ def session_chunks(sessions: DataFrame, text: str = "summary", limit: int = X.SU
     return prepare(rows)
 
 
-def ingest_sessions(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR) -> DataFrame:
-    """Ingest embedded session chunks (:func:`session_chunks` and ``vector``), in order, project by project.
+def ingest_sessions(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
+    """Ingest embedded session chunks (:func:`session_chunks` and ``vector``) in the order of ``ordinal``, then project.
 
-    Returns ``project, ordinal, content_hash, action, id``: ``skipped`` (equal
-    hash), ``updated`` (best match strictly above the threshold, also among
-    chunks created before in the same call, whose vectors stay as they were) or
-    ``created``.  Order matters and greedy matching isn't transitive, so a
-    project is folded in sequence, with at most ``CACHE_MOST`` vectors.
+    Returns ``project, ordinal, content_hash, action, id``: ``skipped`` (an equal
+    hash in the whole store, whatever its project, or before in the call),
+    ``updated`` (best match strictly above the threshold, in the store or among
+    chunks that this call created before, whose vectors stay as they were) or
+    ``created``.  A chunk that updated an explicit memory left no hash, so its
+    equals update too.  Hashes are looked up in the store as it was.  Above
+    ``most`` memories the store's contract has no semantic step.
+
+    Hashes and similarities are joins over the whole store and all chunks.  Order
+    matters and greedy matching isn't transitive, so the links between new chunks
+    stream, in order, past one task that remembers a flag for each chunk that has
+    such a link; other chunks never come there.
     """
-    cache = memories.groupBy("project").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "content_hash", "vector"))), 1, CACHE_MOST + 1).alias("known"))
-    grouped = chunks.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content_hash", "vector"))).alias("new"))
-    rows = grouped.join(cache, "project", "left")
+    import pyarrow as pa
 
-    def fold(batches):
+    stored = memories.groupBy("content_hash").agg(F.min("id").alias("stored"))
+    rows = chunks.select("project", "ordinal", "content_hash", "vector").join(stored, "content_hash", "left")
+    first = W.partitionBy("content_hash").orderBy("ordinal", "project")
+    rows = rows.withColumn("turn", F.when(F.col("stored").isNull(), F.row_number().over(first)))
+    heads = rows.where("turn = 1").select(F.col("content_hash").alias("new_id"), F.col("vector").alias("new_vector"), F.struct("ordinal", "project").alias("place"))
+    off = most is not None and memories.limit(most + 1).count() > most
+    known = similar(heads, memories, threshold, 0 if off else None)
+
+    def pairs(l, r):
         import numpy as np
-        import pandas as pd
 
-        for pdf in batches:
+        out: list[tuple] = []
+        for dim in {len(v) for v in l["new_vector"].to_pylist() if v}:
+            a, b = ([(i, v) for i, v in zip(t[0].to_pylist(), t[1].to_pylist(), strict=True) if v and len(v) == dim] for t in (l, r))
+            if a and b:
+                x, y = (np.array([v for _, v in t], "f8") for t in (a, b))
+                x, y = (t / np.maximum(np.sqrt((t * t).sum(axis=1)), 1e-300)[:, None] for t in (x, y))
+                i, j = np.nonzero(x @ y.T > threshold)
+                out += [(a[p][0], b[q][0], float(x[p] @ y[q])) for p, q in zip(i, j) if a[p][0] != b[q][0]]
+        new_id, other, score = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"new_id": pa.array(new_id, pa.string()), "other": pa.array(other, pa.string()), "score": pa.array(score, pa.float64())})
+
+    near = _meet(heads, heads.select(F.col("new_id").alias("id"), F.col("new_vector").alias("vector")), pairs, "new_id string, other string, score double").where(F.lit(not off))
+    place = heads.select("new_id", "place")
+    links = near.join(place, "new_id").join(place.select(F.col("new_id").alias("other"), F.col("place").alias("before")), "other")
+    best = known.select("new_id", F.col("id").alias("best"), F.col("score").alias("best_score"))
+    links = links.join(best, "new_id", "left").withColumn("other", F.when(F.col("before") < F.col("place"), F.col("other")))
+    # in the order of the chunk that decides; among its links by score, then id
+    ordered = links.repartition(1).sortWithinPartitions("place", "new_id", F.col("score").desc(), "other")
+
+    def fold(batches):
+        created: set[str] = set()
+        now_id = verdict = None
+        for b in batches:
             out = []
-            for r in pdf.itertuples():
-                known = [] if r.known is None else list(r.known)
-                hashes = {k["content_hash"]: k["id"] for k in known}
-                unit = lambda v: np.asarray(v, "f8") / (np.linalg.norm(np.asarray(v, "f8")) or 1.0)
-                ids, units = [k["id"] for k in known], [unit(k["vector"]) for k in known]
-                for c in r.new:
-                    if c["content_hash"] in hashes:
-                        out.append((r.project, c["ordinal"], c["content_hash"], "skipped", hashes[c["content_hash"]]))
-                        continue
-                    u = unit(c["vector"])
-                    scores = np.array([float(u @ v) if len(u) == len(v) else 0.0 for v in units]) if len(units) <= CACHE_MOST else np.zeros(0)
-                    best = int(scores.argmax()) if len(scores) else -1
-                    if best >= 0 and scores[best] > threshold:
-                        hashes[c["content_hash"]] = ids[best]
-                        out.append((r.project, c["ordinal"], c["content_hash"], "updated", ids[best]))
-                    else:
-                        new_id = f"mem:session:{c['content_hash']}"
-                        ids.append(new_id)
-                        units.append(u)
-                        hashes[c["content_hash"]] = new_id
-                        out.append((r.project, c["ordinal"], c["content_hash"], "created", new_id))
-            yield pd.DataFrame(out, columns=["project", "ordinal", "content_hash", "action", "id"])
-
-    return rows.mapInPandas(fold, "project string, ordinal int, content_hash string, action string, id string")
+            for new_id, other, score, stored_id, stored_score in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if new_id != now_id:
+                    if now_id is not None:
+                        out.append((now_id, verdict))
+                        if verdict is None:
+                            created.add(now_id)
+                    now_id, verdict, found = new_id, stored_id, stored_score if stored_id is not None else threshold
+                if other in created and score > found:
+                    verdict, found = f"mem:session:{other}", score
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=["new_id", "to"])
+        if now_id is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now_id], pa.string()), pa.array([verdict], pa.string())], names=["new_id", "to"])
+
+    folded = ordered.select("new_id", "other", "score", "best", "best_score").mapInArrow(fold, "new_id string, to string")
+    alone = heads.join(near.select("new_id"), "new_id", "left_anti").join(best, "new_id", "left").select("new_id", F.col("best").alias("to"))
+    explicit = memories.where("source = 'explicit'").select(F.col("id").alias("to"), F.lit(True).alias("explicit"))
+    fate = folded.unionByName(alone).join(explicit, "to", "left").select(F.col("new_id").alias("content_hash"), "to", F.coalesce("explicit", F.lit(False)).alias("explicit"))
+    done = rows.join(fate, "content_hash", "left")
+    action = F.when(F.col("stored").isNotNull() | ((F.col("turn") > 1) & ~F.col("explicit")), "skipped").when(F.col("to").isNotNull(), "updated").otherwise("created")
+    return done.select("project", "ordinal", "content_hash", action.alias("action"), F.coalesce("stored", "to", F.concat(F.lit("mem:session:"), "content_hash")).alias("id"))
+
+
+def ingested(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
+    """The table after :func:`ingest_sessions` of ``chunks`` (also ``content, tags, type``).
+
+    A session memory takes the last update's content, vector and hash, and all
+    their tags; an explicit one is only touched.
+    """
+    did = ingest_sessions(memories, chunks, now, threshold, most).where("action <> 'skipped'")
+    rows = did.join(chunks, ["project", "ordinal", "content_hash"]).withColumn("place", F.struct("ordinal", "project"))
+    last = lambda c, when: F.max_by(F.when(when, F.col(c)), F.when(when, F.col("place")))
+    up, made = F.col("action") == "updated", F.col("action") == "created"
+    tags = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "tags"))), lambda x: x["tags"])))
+    facts = rows.groupBy("id").agg(*[last(c, up).alias(f"n_{c}") for c in ("content", "vector", "content_hash")], *[last(c, made).alias(f"c_{c}") for c in ("content", "vector", "content_hash", "project", "type", "tags")], F.max(made).alias("created"), tags.alias("n_tags"))
+    both = memories.join(facts.where(~F.col("created")), "id", "left")
+    hit = F.col("created").isNotNull()
+    over = hit & (F.col("source") != "explicit")
+    pick = lambda c: F.when(over, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+    kept = both.select("id", pick("content"), "type", F.when(over, X.merge_tags(F.col("tags"), F.col("n_tags"))).otherwise(F.col("tags")).alias("tags"), "project", pick("vector"), "created_at", F.when(hit, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"), "source", pick("content_hash"), "context_path")
+    at = F.lit(now).cast("bigint")
+    newest = lambda c: F.coalesce(f"n_{c}", f"c_{c}").alias(c)
+    added = facts.where("created").select("id", newest("content"), F.col("c_type").alias("type"), X.merge_tags(F.col("c_tags"), F.col("n_tags")).alias("tags"), F.col("c_project").alias("project"), newest("vector"), at.alias("created_at"), at.alias("updated_at"), F.lit("session").alias("source"), newest("content_hash"), F.lit("").alias("context_path"))
+    return kept.unionByName(added)
 
 
 def statistics(memories: DataFrame) -> DataFrame:

@@ -212,11 +212,11 @@ def j1_w1_topk_per_query(spark, sf):
     return rounded(search.search_many(e, queries, 5), "score")
 
 
-@query("SELECT n, kind, target, coalesce(snippet, '') AS snippet FROM (SELECT n, kind, concat('src', (n % 25)::VARCHAR, '/en') AS target FROM entries WHERE n % 9 = 0) x LEFT JOIN (SELECT context_path, arg_min(content, id) AS snippet FROM entries GROUP BY 1) f ON f.context_path = target", "entries")
+@query("SELECT n, kind, target, coalesce(snippet, '') AS snippet FROM (SELECT n, kind, concat('src', (n % 25)::VARCHAR, '/en') AS target FROM entries) x LEFT JOIN (SELECT context_path, arg_min(content, id) AS snippet FROM entries GROUP BY 1) f ON f.context_path = target", "entries")
 def j5_relationships(spark, sf):
     e = S.entries(spark, sf).withColumn("file_path", F.col("context_path"))
     rel = F.to_json(F.array(F.struct(F.lit("uses").alias("type"), F.concat(F.lit("src"), (F.col("n") % 25).cast("string"), F.lit("/en")).alias("target"))))
-    edges = search.edges_of(e.where("n % 9 = 0").withColumn("relationships", rel))
+    edges = search.edges_of(e.withColumn("relationships", rel))
     got = search.related(e, edges)
     return got.join(e.select("id", "n", "kind"), "id").select("n", "kind", "target", "snippet")
 
@@ -226,12 +226,12 @@ def a14_explain(spark, sf):
     return search.explain(S.entries(spark, sf), first_vector(spark, sf))
 
 
-@query("SELECT context_path AS file_path, min(rank) AS rank FROM (SELECT context_path, row_number() OVER (ORDER BY id) AS rank FROM (SELECT * FROM entries ORDER BY id LIMIT 60)) GROUP BY 1 ORDER BY 2, 1 LIMIT 4", "entries")
+@query(f"SELECT context_path AS file_path, min(rank) AS rank FROM (SELECT context_path, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT *, {COS} AS s FROM entries ORDER BY s DESC, id LIMIT 60)) GROUP BY 1 ORDER BY 2, 1 LIMIT 4", "entries")
 def w8_first_files(spark, sf):
     from pyspark.sql import Window as W
 
-    head = S.entries(spark, sf).orderBy("id").limit(60)
-    ranked = head.select(F.col("context_path").alias("file_path"), F.row_number().over(W.orderBy("id")).alias("rank"))
+    hits = search.search(S.entries(spark, sf), first_vector(spark, sf), 60)
+    ranked = hits.select(F.col("context_path").alias("file_path"), F.row_number().over(W.orderBy(F.col("score").desc(), "id")).alias("rank"))
     return search.first_files(ranked, 4)
 
 
@@ -450,7 +450,7 @@ _PAIR = "list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector,
 def j2_similar_memory(spark, sf):
     e = S.entries(spark, sf)
     new = e.where("n % 10 = 1").select(F.col("id").alias("new_id"), F.col("vector").alias("new_vector"))
-    return rounded(memory.similar(new, S.memories(spark, sf).where("n % 10 <> 1"), 0.3), "score")
+    return rounded(memory.similar(new, S.memories(spark, sf).where("n % 10 <> 1"), 0.3, None), "score")
 
 
 @query("SELECT g, unnest(list_concat(o, list_slice(list_filter(w, lambda x: NOT list_contains(o, x)), 1, greatest(20 - len(o), 0)))) AS tag FROM (SELECT g, list_transform(range(g), lambda i: 't' || i) AS o, list_transform(range(g - 2, g + 4), lambda i: 't' || i) AS w FROM range(2, 26) r(g))")
@@ -491,9 +491,9 @@ def k5_delete_memory(spark, sf):
     return memory.delete(m, m.where("n % 8 = 0")).select("id")
 
 
-@query(f"SELECT o_custkey, sha256(concat({prefix_sql('t', 2048)}, chr(0), 'sc', chr(0), 'v', '7')) AS key, substring(sha256(concat('p', chr(0), t)), 1, 32) AS suppress FROM (SELECT o_custkey, regexp_replace(lower(trim(concat('  Prompt   ', o_orderpriority, ' '))), '[\\t\\n\\f\\r ]+', ' ', 'g') AS t FROM orders WHERE o_orderkey % 7 = 0)")
+@query(f"SELECT o_custkey, sha256(concat({prefix_sql('t', 2048)}, chr(0), 'sc', chr(0), 'v', '7')) AS key, substring(sha256(concat('p', chr(0), t)), 1, 32) AS suppress FROM (SELECT o_custkey, regexp_replace(lower(trim(concat('  Prompt   ', o_orderpriority, ' '))), '[\\t\\n\\f\\r ]+', ' ', 'g') AS t FROM orders)")
 def x21_x22_keys(spark, sf):
-    o = S.table(spark, sf, "orders").where("o_orderkey % 7 = 0").withColumn("p", F.concat(F.lit("  Prompt   "), "o_orderpriority", F.lit(" ")))
+    o = S.table(spark, sf, "orders").withColumn("p", F.concat(F.lit("  Prompt   "), "o_orderpriority", F.lit(" ")))
     t = X.collapse(F.lower(X.trim(F.col("p"))))
     return o.select("o_custkey", X.cache_key(F.col("p"), F.lit("sc"), F.lit(7)).alias("key"), X.suppress_key(F.lit("p"), t).alias("suppress"))
 
@@ -593,7 +593,8 @@ def w3_turn_index(spark, sf):
 
 
 _WORDS = lambda p: "(?i)(?:" + p.replace("(?:", "\0").replace("<", "\\b").replace(">", "\\b").replace("\0", "(?:").replace("'’", "''’") + ")"
-_MARK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_WORDS(p)}') THEN '{m}'" for m, p in X.MARKERS.items()) + " END"
+_QUOTED = lambda p: _WORDS(p).replace("'", "''")
+_MARK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_QUOTED(p)}') THEN '{m}'" for m, p in X.MARKERS.items()) + " END"
 _HITS = f"""(SELECT session, idx, marker, {prefix_sql('text', 200)} AS excerpt, concat(CASE WHEN pr = 'assistant' AND pt <> '' THEN concat('assistant: ', {prefix_sql('pt', 800)}, chr(10), chr(10)) ELSE '' END, 'user: ', {prefix_sql('text', 800)}) AS "window"
  FROM (SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt, {_MARK_SQL} AS marker FROM messages WINDOW w AS (PARTITION BY session ORDER BY idx)) WHERE role = 'user' AND marker IS NOT NULL)"""
 
@@ -623,8 +624,8 @@ def x23_session_summary(spark, sf):
     return transcripts.session_summary(S.messages(spark, sf)).select("session", F.sha2("summary", 256).alias("summary"))
 
 
-_FIX = _WORDS(X.MARKERS["correction"])
-_PLAN = _WORDS(X.PLANNING)
+_FIX = _QUOTED(X.MARKERS["correction"])
+_PLAN = _QUOTED(X.PLANNING)
 
 
 def _rules(spark, sf) -> DataFrame:
@@ -781,9 +782,9 @@ def a26_eta(spark, sf):
 _LABEL_SQL = "CASE n % 4 WHEN 0 THEN 'truly_redundant' WHEN 1 THEN 'truly_missed' WHEN 2 THEN 'neither' ELSE 'unclear' END"
 _T1, _T2 = M.float_range(0.1, 0.3, 0.1), M.float_range(0.3, 0.4, 0.1)
 _SIM = "list_dot_product({0}.vector, {1}.vector) / (sqrt(list_dot_product({0}.vector, {0}.vector)) * sqrt(list_dot_product({1}.vector, {1}.vector)))"
-_SEEN_SQL = f"""t AS (SELECT n, n % 3 <> 0 AS used, n % 7 <> 0 AS tried, n % 11 <> 0 AS has_prompt, {_LABEL_SQL} AS label FROM entries WHERE n < 120),
+_SEEN_SQL = f"""t AS (SELECT n, n % 3 <> 0 AS used, n % 7 <> 0 AS tried, n % 11 <> 0 AS has_prompt, {_LABEL_SQL} AS label FROM entries),
 bh AS (SELECT a.n, max({_SIM.format('a', 'b')}) AS best_hit FROM entries a JOIN entries b ON b.n IN (a.n + 1, a.n + 2) GROUP BY a.n),
-bc AS (SELECT a.n, greatest(max({_SIM.format('a', 'b')}), 0) AS best_chunk FROM entries a, entries b WHERE b.n >= 120 AND a.n < 120 GROUP BY a.n),
+bc AS (SELECT a.n, greatest(max({_SIM.format('a', 'b')}), 0) AS best_chunk FROM entries a, entries b WHERE b.source_type IN ('web', 'doc') GROUP BY a.n),
 seen AS (SELECT t.*, best_hit, best_chunk FROM t LEFT JOIN bh USING (n) LEFT JOIN bc USING (n))"""
 
 
@@ -791,22 +792,21 @@ def _evidence(spark, sf) -> DataFrame:
     e = S.entries(spark, sf)
     label = F.expr("case n % 4 when 0 then 'truly_redundant' when 1 then 'truly_missed' when 2 then 'neither' else 'unclear' end")
     cid = lambda k: F.concat(F.lit("c"), F.lpad((F.col("n") + k).cast("string"), 6, "0"))
-    few = e.where("n < 120")
-    turns = few.select(F.col("n").alias("turn_id"), F.when(F.col("n") % 7 != 0, F.array(cid(1), cid(2), F.lit("gone"))).otherwise(F.array().cast("array<string>")).alias("hit_ids"), F.lit(1).alias("n_queries"), F.when(F.col("n") % 3 != 0, 1).otherwise(0).alias("n_tools"), label.alias("label"))
-    prompts = few.where("n % 11 <> 0").select(F.col("n").alias("turn_id"), F.col("vector").alias("pvec"))
-    queries = few.select(F.col("n").alias("turn_id"), F.col("vector").alias("qvec"))
-    stored = e.select("id", "n", "vector")
-    return drift.evidence(turns, prompts, queries, stored, 600).drop("best_chunk").join(drift.replay(prompts, stored.where("n >= 120"), 1), "turn_id", "left")
+    turns = e.select(F.col("n").alias("turn_id"), F.when(F.col("n") % 7 != 0, F.array(cid(1), cid(2), F.lit("gone"))).otherwise(F.array().cast("array<string>")).alias("hit_ids"), F.lit(1).alias("n_queries"), F.when(F.col("n") % 3 != 0, 1).otherwise(0).alias("n_tools"), label.alias("label"))
+    prompts = e.where("n % 11 <> 0").select(F.col("n").alias("turn_id"), F.col("vector").alias("pvec"))
+    queries = e.select(F.col("n").alias("turn_id"), F.col("vector").alias("qvec"))
+    stored = e.select("id", "n", "source_type", "vector")  # prompts are replayed against the chunks of pages and documents
+    return drift.evidence(turns, prompts, queries, stored, 1).drop("best_chunk").join(drift.replay(prompts, stored.where("source_type in ('web', 'doc')"), 1), "turn_id", "left")
 
 
-@query(f"WITH {_SEEN_SQL} SELECT n AS turn_id, used AND tried AS hits, round(CASE WHEN tried THEN best_hit END, 9) AS best_hit, round(CASE WHEN has_prompt THEN best_chunk END, 9) AS best_chunk FROM seen", "entries")
+@query(f"WITH {_SEEN_SQL} SELECT n AS turn_id, used AND tried AND best_hit IS NOT NULL AS hits, round(CASE WHEN tried THEN best_hit END, 9) AS best_hit, round(CASE WHEN has_prompt THEN best_chunk END, 9) AS best_chunk FROM seen", "entries")
 def j6_j7_evidence(spark, sf):
     got = _evidence(spark, sf)
     return rounded(got.select("turn_id", ((F.col("n_tools") > 0) & (F.col("found") > 0)).alias("hits"), "best_hit", "best_chunk"), "best_hit", "best_chunk")
 
 
 _GRID = f"""WITH {_SEEN_SQL}, g AS (SELECT t1, t2 FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x in _T1)}) a(t1), (VALUES {', '.join(f'({x}::DOUBLE)' for x in _T2)}) b(t2)),
-v AS (SELECT t1, t2, label, used AND tried AND best_hit >= t1 AS r, NOT used AND best_chunk >= t2 AS m FROM seen, g WHERE has_prompt),
+v AS (SELECT t1, t2, label, used AND tried AND best_hit >= t1 AS r, NOT used AND best_chunk >= t2 AS m FROM seen, g WHERE has_prompt AND NOT (used AND tried AND best_hit IS NULL)),
 c AS (SELECT t1, t2, count(*) AS n_turns_scored, count(*) FILTER (label <> 'unclear' AND r AND label = 'truly_redundant') AS tp_redundant, count(*) FILTER (label <> 'unclear' AND r AND label <> 'truly_redundant') AS fp_redundant,
  count(*) FILTER (label <> 'unclear' AND NOT r AND label = 'truly_redundant') AS fn_redundant, count(*) FILTER (label <> 'unclear' AND NOT r AND label <> 'truly_redundant') AS tn_redundant,
  count(*) FILTER (label <> 'unclear' AND m AND label = 'truly_missed') AS tp_missed, count(*) FILTER (label <> 'unclear' AND m AND label <> 'truly_missed') AS fp_missed,
@@ -888,9 +888,9 @@ def s11_skill_files(spark, sf):
     return readers.skill_files(files).select(F.split("path", "/")[0].alias("dir"), "name", "description", "body")
 
 
-@query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_id < 500 GROUP BY 1")
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
 def s19_length_prefixed(spark, sf):
-    e = S.table(spark, sf, "events").where("event_id < 500")
+    e = S.table(spark, sf, "events")
     one = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("event_type")), 8, "0")), F.encode("event_type", "utf-8"), F.unhex(F.lit("00000000")))
     return readers.length_prefixed(e.select(one.alias("content"))).groupBy("value").agg(F.count("*").alias("n"))
 
@@ -929,14 +929,18 @@ def k11_remember(spark, sf):
     m = S.memories(spark, sf).withColumn("content", F.concat("id", F.lit(" text"))).withColumn("content_hash", X.content_hash(F.col("content")))
     exact = m.where("cast(substring(id, 6) as int) % 5 = 0").select("content", F.array(F.lit("t1")).alias("tags"), F.lit("decision").alias("type"), "project", "vector", "context_path")
     fresh = m.where("cast(substring(id, 6) as int) % 50 = 7").select(F.concat(F.lit("new "), F.substring("id", 5, 99)).alias("content"), F.array(F.lit("t2")).alias("tags"), F.lit("fact").alias("type"), "project", F.transform("vector", lambda x: -x).alias("vector"), "context_path")
-    return memory.remember(m, exact.unionByName(fresh), NOW, 0.9).select("id", "status")
+    return memory.remember(m, exact.unionByName(fresh), NOW, 0.9, None).select("id", "status")
 
 
-@query("SELECT project, action, count(*) AS n FROM (SELECT concat('p', (turn % 4)::VARCHAR) AS project, CASE WHEN row_number() OVER (PARTITION BY turn % 4, h ORDER BY conv_id, turn, i) > 1 THEN 'skipped' ELSE 'created' END AS action FROM (SELECT conv_id, turn, i, sha256(c) AS h FROM (SELECT conv_id, turn, 0 AS i, lower(role || ' ' || (conv_id % 10)::VARCHAR) AS c FROM conversations))) GROUP BY ALL")
+@query(f"""WITH c AS (SELECT concat('p', (turn % 4)::VARCHAR) AS project, conv_id * 1000 + turn AS o, {_HASH} AS h FROM conversations WHERE text IS NOT NULL
+  UNION ALL SELECT concat('d', (doc_id % 3)::VARCHAR), -1 - doc_id, {_HASH} FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 3),
+s AS (SELECT DISTINCT {_HASH.replace('text', 'content')} AS h FROM entries)
+SELECT project, action, count(*) AS n FROM (SELECT project, CASE WHEN h IN (SELECT h FROM s) OR row_number() OVER (PARTITION BY h ORDER BY o, project) > 1 THEN 'skipped' ELSE 'created' END AS action FROM c) GROUP BY ALL""", "entries")
 def k12_session_ingest(spark, sf):
-    c = S.table(spark, sf, "conversations")
-    text = F.concat("role", F.lit(" "), (F.col("conv_id") % 10).cast("string"))
-    rows = c.select(F.concat(F.lit("p"), (F.col("turn") % 4).cast("string")).alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("ordinal"), text.alias("content"))
-    bits = F.split(F.lpad(F.conv(F.substring(F.sha2("content", 256), 1, 4), 16, 2), 16, "0"), "")  # equal texts, and hardly others, have equal vectors
-    rows = memory.prepare(rows).withColumn("vector", F.transform(F.slice(bits, 1, 16), lambda b: F.when(b == "1", 1.0).otherwise(-1.0).cast("float")))
-    return memory.ingest_sessions(S.memories(spark, sf).limit(0), rows, NOW, 0.9999).groupBy("project", "action").agg(F.count("*").alias("n"))
+    """Whole turns, and every tenth document again under other projects, against the whole store."""
+    c = S.table(spark, sf, "conversations").where("text is not null").select(F.concat(F.lit("p"), (F.col("turn") % 4).cast("string")).alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("ordinal"), F.col("text").alias("content"))
+    d = S.table(spark, sf, "documents").where("text is not null and doc_id % 10 = 3").select(F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("project"), (-1 - F.col("doc_id")).cast("bigint").alias("ordinal"), F.col("text").alias("content"))
+    rows = memory.prepare(c.unionByName(d))
+    bits = F.split(F.concat(*[F.lpad(F.conv(F.substring("content_hash", 8 * k + 1, 8), 16, 2), 32, "0") for k in range(2)]), "")  # equal texts, and no others, have equal vectors
+    rows = rows.withColumn("vector", F.transform(F.slice(bits, 1, 64), lambda b: F.when(b == "1", 1.0).otherwise(-1.0).cast("float")))
+    return memory.ingest_sessions(S.memories(spark, sf), rows, NOW, 0.9999, None).groupBy("project", "action").agg(F.count("*").alias("n"))

@@ -50,7 +50,9 @@ def test_ingest_is_sequential(spark, store):
     rows = [("p", 0, "h0", near(0.5)), ("p", 1, "h1", near(0.55)), ("p", 2, "h0", near(0.0)), ("p", 3, "h3", near(0.99)), ("q", 0, "h0", near(0.99))]
     chunks = spark.createDataFrame(rows, "project string, ordinal int, content_hash string, vector array<float>")
     got = {(r.project, r.ordinal): (r.action, r.id) for r in memory.ingest_sessions(store, chunks, 9).collect()}
-    assert got == {("p", 0): ("created", "mem:session:h0"), ("p", 1): ("updated", "mem:session:h0"), ("p", 2): ("skipped", "mem:session:h0"), ("p", 3): ("updated", "m1"), ("q", 0): ("created", "mem:session:h0")}
+    assert got == {("p", 0): ("created", "mem:session:h0"), ("p", 1): ("updated", "mem:session:h0"), ("p", 2): ("skipped", "mem:session:h0"), ("p", 3): ("updated", "m1"), ("q", 0): ("skipped", "mem:session:h0")}
+    after = {r.id: r for r in memory.ingested(store, chunks.selectExpr("*", "concat('c', content_hash) content", "array('n') tags", "'fact' type"), 9).collect()}
+    assert len(after) == store.count() + 1 and after["mem:session:h0"].content == "ch1" and after["m1"].updated_at == 9
 
 
 def test_recall(store):
@@ -123,3 +125,32 @@ def test_cache(spark):
     assert [r.key for r in lifecycle.cache_get(cache, keys, 100, 10).collect()] == ["b"]
     assert {(r.key, r.hit_count) for r in lifecycle.cache_hit(cache, keys).collect()} == {("a", 4), ("b", 3)}
     assert tuple(lifecycle.cache_stats(cache.limit(0)).first()) == (0, 0, 0)
+
+
+def test_hashes_and_vectors_count_in_every_project(spark, store):
+    stored = store.where("id = 'm1'").first()
+    rows = [("zz", 0, stored.content_hash, [0.0, 0.0, 1.0]), ("yy", 1, "h9", list(stored.vector)), ("r", 2, "same", [0.0, -1.0, 0.0]), ("u", 3, "same", [0.0, -1.0, 0.0])]
+    got = {r.ordinal: (r.action, r.id) for r in memory.ingest_sessions(store, spark.createDataFrame(rows, "project string, ordinal int, content_hash string, vector array<float>"), 9).collect()}
+    assert got == {0: ("skipped", "m1"), 1: ("updated", "m1"), 2: ("created", "mem:session:same"), 3: ("skipped", "mem:session:same")}
+
+
+def test_no_new_memory_is_lost(spark, store):
+    m1 = store.where("id = 'm1'").first()
+    new = spark.createDataFrame([("first near", ["x"], "fact", "p", list(m1.vector), "", 1), ("second near", ["y"], "decision", "p", list(m1.vector), "c", 2), ("far", ["t"], "fact", "p", [0.0, 0.0, -1.0], "", 3), ("far", ["u"], "fact", "p", [0.0, 0.0, -1.0], "", 4)], "content string, tags array<string>, type string, project string, vector array<float>, context_path string, ordinal int")
+    got = {r.id: r for r in memory.remember(store, new, 9).collect()}
+    assert {"x", "y"} <= set(got["m1"].tags) and got["m1"].type == "decision" and len(got) == store.count() + 1
+    assert next(r for i, r in got.items() if i.startswith("mem:explicit:")).tags == ["t", "u"]
+
+
+def test_similar_over_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(memory, "BLOCK", 7)
+    r = random.Random(1)
+    vec = lambda: [r.gauss(0, 1) for _ in range(4)]
+    known, new = [(f"m{i:03d}", vec()) for i in range(40)], [(f"n{i}", vec()) for i in range(20)]
+    got = {x.new_id: (x.id, round(x.score, 9)) for x in memory.similar(spark.createDataFrame(new, "new_id string, new_vector array<double>"), spark.createDataFrame(known, "id string, vector array<double>"), 0.5, None).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {n: max(((round(cos(v, w), 9), i) for i, w in known)) for n, v in new}
+    assert got == {n: (i, s) for n, (s, i) in want.items() if s > 0.5}
+    assert memory.similar(spark.createDataFrame(new, "new_id string, new_vector array<double>"), spark.createDataFrame(known, "id string, vector array<double>"), 0.5, 39).count() == 0
