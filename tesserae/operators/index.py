@@ -93,25 +93,81 @@ def chunk_files(files: DataFrame, path: str = "path", text: str = "content", lim
     return rows.select("file_path", "c.start_line", "c.end_line", "kind", "c.content")
 
 
+#: What a source name is made of, and the kinds of external texts; fixed values.
+SOURCE = r"^[a-zA-Z0-9_.:#/@\-\s]+$"
+SOURCE_TYPES = ("ticket", "doc", "pr", "message", "changelog", "note", "custom")
+#: Most bytes of a source name, of a text, and of its metadata or its relationships; most relationships.
+SOURCE_BYTES, TEXT_BYTES, FACT_BYTES, MOST_RELATED = 500, 100 * 1024, 10 * 1024, 50
+
+
+def valid_source(source: Column) -> Column:
+    fine = (F.octet_length(source) <= SOURCE_BYTES) & ~source.contains("..") & ~source.rlike(r"[\x00\n\r]") & source.rlike(SOURCE)
+    return F.coalesce(fine, F.lit(False))
+
+
+def source_type(kind: Column) -> Column:
+    """The kind of an external text, ``custom`` where blank; null where it is none."""
+    return F.when(F.coalesce(kind, F.lit("")) == "", "custom").when(kind.isin(*SOURCE_TYPES), kind)
+
+
+def valid_metadata(facts: Column) -> Column:
+    """Blank, or a JSON object of up to 10 KB."""
+    is_object = F.trim(facts).eqNullSafe("null") | F.from_json(facts, "map<string,string>").isNotNull()
+    return (F.coalesce(facts, F.lit("")) == "") | ((F.octet_length(facts) <= FACT_BYTES) & is_object)
+
+
+def valid_relationships(facts: Column) -> Column:
+    """Blank, or a JSON array of up to 50 ``{type, target}`` in up to 10 KB."""
+    related = F.from_json(facts, "array<struct<type string, target string>>")
+    fine = F.trim(facts).eqNullSafe("null") | (facts.rlike(r"^\s*\[") & F.coalesce(F.size(related) <= MOST_RELATED, F.lit(False)))
+    return (F.coalesce(facts, F.lit("")) == "") | ((F.octet_length(facts) <= FACT_BYTES) & fine)
+
+
 def index_text(docs: DataFrame, limit: int = X.CHUNK_BYTES) -> DataFrame:
     """External texts (``source, url, content, type``) as chunk rows with a source line and ids ``ext:<source>:<i>``.
 
-    Sources over 500 characters, with ``..`` or strange characters, and contents over 100 KB fail the query.
+    ``metadata`` and ``relationships`` may stand beside them.  A source, content,
+    type or fact that is not valid fails the query.
     """
-    fine = (F.length("source") <= 500) & ~F.col("source").contains("..") & F.col("source").rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/@?&=#%+~ -]*$") & (F.octet_length("content") <= 100 * 1024)
-    source = F.when(fine, F.col("source")).otherwise(F.raise_error("a source or content is not valid").cast("string"))
+    for c in ("metadata", "relationships"):
+        if c not in docs.columns:
+            docs = docs.withColumn(c, F.lit(None).cast("string"))
+    fine = valid_source(F.col("source")) & (F.octet_length("content") <= TEXT_BYTES) & source_type(F.col("type")).isNotNull() & valid_metadata(F.col("metadata")) & valid_relationships(F.col("relationships"))
+    source = F.when(fine, F.col("source")).otherwise(F.raise_error("a source, content, type or fact is not valid").cast("string"))
     head = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("[Source: "), source, F.lit("]("), F.col("url"), F.lit(")\n\n"))).otherwise(F.concat(F.lit("[Source: "), source, F.lit("]\n\n")))
-    rows = docs.select("source", "url", "type", head.alias("head"), F.posexplode(X.paragraph_chunks(F.col("content"), limit)).alias("i", "chunk"))
-    return rows.select(F.concat(F.lit("ext:"), "source", F.lit(":"), "i").alias("id"), F.col("source").alias("file_path"), (F.col("i") + 1).alias("start_line"), F.concat("head", "chunk").alias("content"), F.lit("external").alias("kind"), F.col("type").alias("source_type"))
+    filled = [F.when(F.coalesce(c, F.lit("")) == "", blank).otherwise(F.col(c)).alias(c) for c, blank in BLANKS.items() if c != "source_type"]
+    rows = docs.select("source", "url", source_type(F.col("type")).alias("source_type"), *filled, head.alias("head"), F.posexplode(X.paragraph_chunks(F.col("content"), limit)).alias("i", "chunk"))
+    return rows.select(F.concat(F.lit("ext:"), "source", F.lit(":"), "i").alias("id"), F.col("source").alias("file_path"), (F.col("i") + 1).alias("start_line"), F.concat("head", "chunk").alias("content"), F.lit("external").alias("kind"), "source_type", "metadata", "relationships")
+
+
+#: What a chunk has where nothing is given; fixed values.
+BLANKS = {"source_type": "code", "metadata": "{}", "relationships": "[]"}
+
+
+def completed(new: DataFrame) -> DataFrame:
+    """``new`` with what its chunks leave blank: defaults, and summary and context path from content and file path."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    filled = {c: F.when(blank(c), value).otherwise(F.col(c)) for c, value in BLANKS.items() if c in new.columns}
+    if {"summary", "content", "kind", "identifier"} <= set(new.columns):
+        filled["summary"] = F.when(blank("summary"), X.summary(F.col("content"), F.col("kind"), F.col("identifier"))).otherwise(F.col("summary"))
+    if {"context_path", "file_path"} <= set(new.columns):
+        filled["context_path"] = F.when(blank("context_path"), X.context_path(F.col("file_path"))).otherwise(F.col("context_path"))
+    return new.withColumns(filled) if filled else new
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``table`` with the rows of ``new`` in place of those of equal key; new chunks count as never accessed."""
+    """``table`` with the rows of ``new``, completed, in place of those of equal key; new chunks count as never accessed.
+
+    Of several new rows of one key the last one in the order of ``new`` counts.
+    """
+    new = completed(new)
     if "content" in new.columns:
         new = new.withColumn("content", F.replace("content", F.lit("\0"), F.lit("")))
     if "last_accessed" in table.columns:
         new = new.withColumn("last_accessed", F.lit(0).cast(table.schema["last_accessed"].dataType))
-    return table.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    row = F.struct(F.monotonically_increasing_id().alias("_at"), F.struct(*new.columns).alias("_row"))
+    last = new.select(F.col(key).alias("_key"), row.alias("r")).groupBy("_key").agg(F.max_by("r._row", "r._at").alias("_row")).select("_row.*")
+    return table.join(new.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def remove_file(table: DataFrame, path: str) -> DataFrame:

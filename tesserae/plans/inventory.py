@@ -312,9 +312,15 @@ def r2_debounced(spark, sf):
     return rules.debounced(_edits(spark, sf), "1 hour")
 
 
-@query(f"SELECT project, time_bucket(INTERVAL 2 HOURS, ts) AS start, list_sort(list_distinct(list(path))) AS paths FROM {_EDITS} GROUP BY 1, 2")
+@query(f"""WITH RECURSIVE e AS {_EDITS},
+g AS (SELECT project, min(ts) AS start FROM e GROUP BY project UNION ALL SELECT g.project, min(e.ts) FROM g JOIN e ON e.project = g.project AND e.ts >= g.start + INTERVAL 2 HOURS GROUP BY g.project, g.start)
+SELECT g.project, g.start, list_sort(list_distinct(list(e.path))) AS paths FROM g JOIN e ON e.project = g.project AND e.ts >= g.start AND e.ts < g.start + INTERVAL 2 HOURS GROUP BY 1, 2""")
 def r2_debounced_from_first(spark, sf):
-    return rules.debounced_from_first(_edits(spark, sf), "2 hours")
+    """As a stream; an edit far ahead ends the groups, and a watermark as far behind counts none as late."""
+    e = _edits(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    ahead = e.agg(F.max("ts").alias("ts")).selectExpr("'end' project", "'' path", "ts + interval 30000 days ts")
+    groups = rules.replay(spark, e.unionByName(ahead), lambda s: rules.debounced_from_first(s, "2 hours", "20000 days"), shared_folder(spark))
+    return groups.where("project <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT file, ((n - 1) % 10 + 1)::INT AS attempt, n % 10 = 0 AS dropped FROM (SELECT concat('f', (user_id % 50)::VARCHAR) AS file, row_number() OVER (PARTITION BY user_id % 50) AS n FROM events)")

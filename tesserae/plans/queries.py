@@ -176,10 +176,10 @@ def f12_up_to_date(spark, sf):
     return index.stale(files, facts).select("n", "up_to_date")
 
 
-@query("SELECT url, length(url) <= 500 AND NOT contains(url, '..') AND regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9._:/@?&=#%+~ -]*$') AS fine FROM pages")
+@query(r"SELECT url, strlen(url) <= 500 AND NOT contains(url, '..') AND regexp_matches(url, '^[a-zA-Z0-9_.:#/@\-\s]+$') AND NOT regexp_matches(url, '[\x00\n\r]') AS fine, CASE WHEN page_id % 3 = 0 THEN 'custom' WHEN page_id % 3 = 1 THEN 'doc' END AS kind FROM pages")
 def f14_valid_source(spark, sf):
-    u = F.col("url")
-    return S.table(spark, sf, "pages").select("url", ((F.length(u) <= 500) & ~u.contains("..") & u.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/@?&=#%+~ -]*$")).alias("fine"))
+    kind = F.element_at(F.array(*map(F.lit, ("", "doc", "web"))), (F.col("page_id") % 3 + 1).cast("int"))
+    return S.table(spark, sf, "pages").select("url", index.valid_source(F.col("url")).alias("fine"), index.source_type(kind).alias("kind"))
 
 
 @query("SELECT doc_id, arg_max(root, length(root)) AS root FROM (SELECT doc_id, source || '/' || lang || '/' || doc_id AS p FROM documents) d JOIN (VALUES ('src1'), ('src1/en'), ('src2'), ('src1/e')) r(root) ON p = root OR starts_with(p, root || '/') GROUP BY doc_id")
@@ -320,10 +320,11 @@ def x2_paragraph_chunks(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.explode(X.paragraph_chunks(t)).alias("chunk"))
 
 
-@query("SELECT url, concat('ext:', url, ':0') AS id, concat('[Source: ', url, '](', url, ')', chr(10), chr(10), 'T ', page_id::VARCHAR) AS content FROM pages")
+@query("SELECT concat('pages/', page_id) AS source, concat('ext:pages/', page_id, ':0') AS id, concat('[Source: pages/', page_id, '](', url, ')', chr(10), chr(10), 'T ', page_id::VARCHAR) AS content, 'doc' AS source_type, '{\"n\":' || page_id || '}' AS metadata, '[]' AS relationships FROM pages")
 def s10_index_text(spark, sf):
-    p = S.table(spark, sf, "pages").select(F.col("url").alias("source"), "url", F.concat(F.lit("T "), F.col("page_id").cast("string")).alias("content"), F.lit("web").alias("type"))
-    return index.index_text(p).select(F.col("file_path").alias("url"), "id", "content")
+    n = F.col("page_id").cast("string")
+    p = S.table(spark, sf, "pages").select(F.concat(F.lit("pages/"), n).alias("source"), "url", F.concat(F.lit("T "), n).alias("content"), F.lit("doc").alias("type"), F.to_json(F.struct(F.col("page_id").alias("n"))).alias("metadata"))
+    return index.index_text(p).select(F.col("file_path").alias("source"), "id", "content", "source_type", "metadata", "relationships")
 
 
 _TRIM = r"regexp_replace({0}, '^[\t\n\f\r ]+|[\t\n\f\r ]+$', '', 'g')"
@@ -357,12 +358,14 @@ def a2_listing_prefix(spark, sf):
     return index.listing(S.entries(spark, sf), "src1")
 
 
-@query("SELECT id, content_hash, last_accessed FROM entries WHERE n % 10 <> 0 UNION ALL SELECT id, 'new', 0 FROM entries WHERE n % 10 = 0 UNION ALL SELECT 'z' || id, 'new', 0 FROM entries WHERE n % 50 = 0", "entries")
+@query("SELECT id, content_hash, last_accessed, source_type FROM (SELECT id, content_hash, last_accessed, 'x' AS source_type, n FROM entries WHERE n % 10 <> 0) UNION ALL SELECT id, CASE WHEN n % 20 = 0 THEN 'newer' ELSE 'new' END, 0, 'code' FROM entries WHERE n % 10 = 0 UNION ALL SELECT 'z' || id, 'new', 0, 'code' FROM entries WHERE n % 50 = 0", "entries")
 def k1_upsert(spark, sf):
-    e = S.entries(spark, sf).select("id", "n", "content_hash", "last_accessed")
-    new = e.where("n % 10 = 0").withColumn("content_hash", F.lit("new"))
-    added = e.where("n % 50 = 0").select(F.concat(F.lit("z"), "id").alias("id"), "n", F.lit("new").alias("content_hash"), "last_accessed")
-    return index.upsert(e, new.unionByName(added)).select("id", "content_hash", "last_accessed")
+    e = S.entries(spark, sf).select("id", "n", "content_hash", "last_accessed", F.lit("x").alias("source_type"))
+    new = e.where("n % 10 = 0").withColumn("source_type", F.lit(""))
+    first = new.withColumn("content_hash", F.lit("new"))
+    again = new.where("n % 20 = 0").withColumn("content_hash", F.lit("newer"))
+    added = first.where("n % 50 = 0").withColumn("id", F.concat(F.lit("z"), "id"))
+    return index.upsert(e, first.unionByName(added).unionByName(again)).select("id", "content_hash", "last_accessed", "source_type")
 
 
 @query("SELECT id FROM entries WHERE context_path <> 'src3/en'", "entries")

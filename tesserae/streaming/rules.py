@@ -104,15 +104,43 @@ def buffers(lines: DataFrame, most: int = BUFFER_BYTES, idle_ms: int = IDLE_MS)
 def debounced(edits: DataFrame, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
     """``project, start, paths``: a project's edits (``project, path, ts``) until a pause of ``gap``, each path once.
 
-    The pause counts from the last edit (the actor that waits a fixed time from
-    the first one is ``gap`` as a tumbling window; a test tells them apart).
+    The pause counts from the last edit; :func:`debounced_from_first` waits a fixed time from the first one.
     """
     w = edits.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "project")
     return w.agg(F.array_sort(F.collect_set("path")).alias("paths")).select("project", F.col("session_window.start").alias("start"), "paths")
 
 
 def debounced_from_first(edits: DataFrame, wait: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    return edits.withWatermark("ts", late).groupBy(F.window("ts", wait), "project").agg(F.array_sort(F.collect_set("path")).alias("paths")).select("project", F.col("window.start").alias("start"), "paths")
+    """``project, start, paths``: a project's edits (``project, path, ts``) within ``wait`` of the first one, each path once.
+
+    The next edit after that is a first one again.  A key's state holds the edits
+    that the watermark has not passed by ``wait`` yet, so the groups do not depend
+    on the order in which edits within ``late`` come in.
+    """
+    wait_us = int(pd.Timedelta(wait) / pd.Timedelta(microseconds=1))
+
+    def step(key, batches, state):
+        held = list(zip(*state.get)) if state.exists else []
+        if not state.hasTimedOut:
+            held += [r for pdf in batches for r in zip(pdf["at"].tolist(), pdf["path"].tolist())]
+        held.sort()
+        out, passed = [], state.getCurrentWatermarkMs() * 1000
+        while held and held[0][0] + wait_us <= passed:
+            start = held[0][0]
+            n = next((i for i, (t, _) in enumerate(held) if t >= start + wait_us), len(held))
+            out.append((*key, start, sorted({p for _, p in held[:n]})))
+            held = held[n:]
+        if held:
+            state.update(tuple(map(list, zip(*held))))
+            state.setTimeoutTimestamp((held[0][0] + wait_us) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["project", "start", "paths"])
+
+    kind = edits.schema["project"].dataType.simpleString()
+    rows = edits.withWatermark("ts", late).select("project", "path", "ts", F.unix_micros("ts").alias("at"))
+    groups = rows.groupBy("project").applyInPandasWithState(step, f"project {kind}, start bigint, paths array<string>", "at array<bigint>, path array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return groups.withColumn("start", F.timestamp_micros("start"))
 
 
 def reindex(stream: DataFrame, run: Callable[[DataFrame], None], checkpoint: str):

@@ -113,12 +113,33 @@ def test_up_to_date_cases(spark, chunks):
     assert [(r.path, r.mtime, r.up_to_date) for r in index.stale(files, facts).orderBy("path", "mtime").collect()] == [("new", 1, False), ("x/a.go", 6, True), ("x/a.go", 9, True), ("y/b.go", 99, True), ("z.go", 0, False)]
 
 
+def test_the_last_new_row_counts_and_blanks_are_filled(spark, chunks):
+    kind = chunks.schema["id"].dataType.simpleString()
+    new = spark.createDataFrame([("c", "old"), ("q", "only"), ("c", "mid"), ("c", "last")], f"id {kind}, content string").repartition(1)
+    whole = chunks.select("id", "content")
+    assert {r.id: r.content for r in index.upsert(whole, new).where("id in ('c', 'q')").collect()} == {"c": "last", "q": "only"}
+    rows = [("a", "x/y.go", "# c\nfirst", "", "", None, "", "[]", "", None), ("b", "z.go", "t", "func", "F", "doc", '{"k":1}', "", "mine", "p")]
+    got = index.completed(spark.createDataFrame(rows, "id string, file_path string, content string, kind string, identifier string, source_type string, metadata string, relationships string, summary string, context_path string"))
+    assert [tuple(r)[5:] for r in got.orderBy("id").collect()] == [("code", "{}", "[]", "first", "x"), ("doc", '{"k":1}', "[]", "mine", "p")]
+
+
 def test_external_text_is_checked(spark):
-    docs = spark.createDataFrame([("s1", "", "body", "web")], "source string, url string, content string, type string")
-    assert index.index_text(docs).first().content == "[Source: s1]\n\nbody"
-    for bad in ("a/../b", "", "é", "x" * 501):
-        with pytest.raises(Exception, match="not valid"):
-            index.index_text(docs.withColumn("source", F.lit(bad))).collect()
+    docs = spark.createDataFrame([("s1", "", "body", "")], "source string, url string, content string, type string")
+    assert tuple(index.index_text(docs).select("content", "source_type", "metadata", "relationships").first()) == ("[Source: s1]\n\nbody", "custom", "{}", "[]")
+    related = lambda n: "[" + ",".join(['{"type":"t","target":"x"}'] * n) + "]"
+    good = {"source": ["a/b c#1", "-x", " "], "type": ["ticket", "note"], "metadata": ["", "{}", '{"a":[1,{"b":2}]}'], "relationships": ["", "[]", related(50)]}
+    bad = {
+        "source": ["a/../b", "", "é", "x" * 501, "a?b", "a\nb", "a\n", "a\0"], "content": ["x" * (100 * 1024 + 1)], "type": ["web", "Ticket"],
+        "metadata": ["[1]", "x", '"s"', '{"a":"' + "x" * 10 * 1024 + '"}'], "relationships": ["{}", "x", related(51)],
+    }
+    rows = [(c, v, fine) for values, fine in ((good, True), (bad, False)) for c, vs in values.items() for v in vs]
+    for c, v, fine in rows:
+        one = index.index_text(docs.withColumn(c, F.lit(v)))
+        if fine:
+            assert one.count() == 1 and one.collect(), (c, v)
+        else:
+            with pytest.raises(Exception, match="not valid"):
+                one.collect()
 
 
 def test_registry():

@@ -124,5 +124,16 @@ def test_debounce_shapes(spark, tmp_path):
     df = spark.createDataFrame(rows, "project string, path string, s double").select("project", "path", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("ts"))
     late = rules.replay(spark, df, rules.debounced, str(tmp_path / "l"), 1)
     assert ["a", "b"] in [list(r.paths) for r in late.collect()]
+    df = df.withColumn("ts", F.expr("ts + interval 1 day"))  # a stream begins with a watermark of 0, which an edit at 0 does not pass
     first = rules.replay(spark, df, rules.debounced_from_first, str(tmp_path / "f"), 1)
     assert [list(r.paths) for r in first.orderBy("start").collect()][:2] == [["a", "b"], ["a"]]
+
+
+def test_debounce_counts_from_the_first_edit(spark, tmp_path):
+    """Groups begin at an edit, not at a fixed clock, whatever the order and the micro-batch of the edits."""
+    rows = [("p", "a", 1.9), ("p", "b", 2.1), ("p", "c", 3.899999), ("p", "d", 3.9), ("q", "x", 5.0), ("p", "e", 7.5), ("q", "y", 6.999999), ("q", "x", 7.0), ("end", "", 1010.0)]
+    df = spark.createDataFrame(rows, "project string, path string, s double").select("project", "path", F.timestamp_micros(F.round(F.col("s") * 1e6).cast("bigint")).alias("ts"))
+    want = {("p", 1900000, ("a", "b", "c")), ("p", 3900000, ("d",)), ("p", 7500000, ("e",)), ("q", 5000000, ("x", "y")), ("q", 7000000, ("x",))}
+    for parts in (1, 3):
+        got = rules.replay(spark, df, lambda s: rules.debounced_from_first(s, "2 seconds", "1000 seconds"), str(tmp_path / str(parts)), parts)
+        assert {(r.project, r.us, tuple(r.paths)) for r in got.withColumn("us", F.unix_micros("start")).collect()} == want
