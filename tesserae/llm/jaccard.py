@@ -204,7 +204,8 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         a, b = ([int(hs[p[k]]) for p in found] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    tiled = cells.groupBy("key", "s1", "s2").applyInArrow(tile, "a bigint, b bigint")
+    # dealt by tile: the join before leaves a key's rows together, which would do all its tiles in one task
+    tiled = cells.repartition("key", "s1", "s2").groupBy("key", "s1", "s2").applyInArrow(tile, "a bigint, b bigint")
     found = cut(stars.unionByName(verify(others)).unionByName(tiled))
     drop_staged(nodes)
     return found
