@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import pii_key, read
+from tesserae.llm.common import WORD, pii_key, read
 
 
 def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,44 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op4_quality_cotrain, op5_mix_sources, op6_license_scan, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns)}
+def op11_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.heap_lloyd import compress, with_label_error
+
+    coded, books = compress(read(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    coded = with_label_error(coded.withColumn("code", F.lower(F.hex("code"))))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in the documents that the contract names, words from one place on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    at = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("g", F.expr("h div 10")).withColumn("n", F.size("words"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    at = at.withColumn("a", a.cast("int")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)]), ' ')")
+    return at.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.periodic_runs import find_runs, longest
+
+    found = find_runs(with_planted_periods(read(spark, sf_dir, "documents"))).withColumn("best", longest("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.repeats import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_grid_order_join, op2_simhash_near_dedup, op3_pii_surrogates, op4_quality_cotrain, op5_mix_sources, op6_license_scan, op7_byte_bpe, op8_html_text, op9_rans_tokens, op10_media_columns, op11_heap_lloyd_codes, op12_periodic_runs, op13_substring_dedup)}
 
 _MIX_SQL = r"""
 WITH d AS (
