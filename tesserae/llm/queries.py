@@ -147,4 +147,66 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM p
 """
 
-ORACLE_SQL = {"op5_mix_sources": _MIX_SQL}
+
+
+def _lloyd_sql() -> str:
+    """Plain Lloyd: four rounds over 4 parts and 256 entries, then the last assignment."""
+    steps = []
+    for k in range(5):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d, any_value(x) AS x
+  FROM (SELECT r, p.p, e, x, list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)])::BIGINT AS d FROM p JOIN c{k} AS c ON p.p = c.p)
+  GROUP BY r, p
+), m{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, e, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT p, e, unnest(x) AS x, unnest(range(len(x))) AS i FROM a{k}) GROUP BY p, e, i)
+  GROUP BY p, e
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM c{k} AS c LEFT JOIN m{k} AS m ON c.p = m.p AND c.e = m.e
+)""")
+    rounds = ", ".join(steps)
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS x, len(embedding) // 4 AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id, x) - 1 AS r FROM v
+), p AS (
+  SELECT r, p, x[p * w + 1 : (p + 1) * w] AS x FROM n, range(4) AS t(p)
+), c0 AS (
+  SELECT p, r AS e, x AS c FROM p WHERE r < 256
+), {rounds}, f AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY r
+), h AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c4
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM n JOIN f ON n.r = f.r, h
+"""
+
+
+#: Every window of 50 words by its least document; a word goes if one of the 50 windows over it is another's.
+_REPEATS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL
+), s AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p
+), f AS (
+  SELECT r, i, min(doc_id) OVER (PARTITION BY k) < doc_id AS again FROM s
+), m AS (
+  SELECT r, list(i ORDER BY i) AS at FROM f WHERE again GROUP BY r
+), x AS (
+  SELECT d.r, unnest(range(1, len(w) + 1)) AS i FROM d JOIN m ON d.r = m.r
+), c AS (
+  SELECT x.r, x.i, max(CASE WHEN f.again THEN x.i END) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NULL AS kept
+  FROM x LEFT JOIN f ON x.r = f.r AND x.i = f.i
+), k AS (
+  SELECT r, list(i ORDER BY i) FILTER (WHERE kept) AS left_over FROM c GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN k.r IS NULL THEN 0 ELSE len(w) - coalesce(len(left_over), 0) END::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN k.r IS NULL THEN w ELSE [w[i] for i in coalesce(left_over, [])] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+ORACLE_SQL = {"op5_mix_sources": _MIX_SQL, "op11_heap_lloyd_codes": _lloyd_sql(), "op13_substring_dedup": _REPEATS_SQL}

@@ -60,18 +60,19 @@ def product_codes(rows, parts=4, entries=256, rounds=4, scale=1024):
     if not rows:
         return [], []
     w = len(rows[0][1]) // parts
-    x = np.array([r[1] for r in rows], object)
+    top = max(abs(c) for r in rows for c in r[1])
+    x = np.array([r[1] for r in rows], object if 4 * w * top * top >> 62 else "i8")
     books = [[list(x[k, p * w : (p + 1) * w]) for k in range(min(entries, len(rows)))] for p in range(parts)]
 
     def assign():
         at = np.zeros((len(rows), parts), int)
-        off = np.zeros((len(rows), parts), object)
+        off = np.zeros((len(rows), parts), object)  # Python's integers where 64 bits don't do
         for p in range(parts):
-            mine, book = x[:, p * w : (p + 1) * w], np.array(books[p], object)
+            mine, book = x[:, p * w : (p + 1) * w], np.array(books[p], x.dtype)
             for n in range(len(rows)):
                 d = ((book - mine[n]) ** 2).sum(axis=1)
-                at[n, p] = min(range(len(d)), key=lambda k: (d[k], k))
-                off[n, p] = d[at[n, p]]
+                at[n, p] = int(d.argmin())  # the first of the least
+                off[n, p] = int(d[at[n, p]])
         return at, off
 
     for _ in range(rounds):
@@ -79,7 +80,7 @@ def product_codes(rows, parts=4, entries=256, rounds=4, scale=1024):
         for p in range(parts):
             for k in set(at[:, p]):
                 mine = x[at[:, p] == k, p * w : (p + 1) * w]
-                books[p][k] = [sum(c) // len(mine) for c in mine.T]
+                books[p][k] = [sum(map(int, c)) // len(mine) for c in mine.T]
     at, off = assign()
     errors = [int(e) for e in off.sum(axis=1)]
     labels = {}
