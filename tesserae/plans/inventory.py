@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tesserae.operators import drift, index, lifecycle, logs, memory, search, tr
 from tesserae.plans import queries as Q
 from tesserae.plans import stand_ins as S
 from tesserae.plans.queries import NOW, ORACLE_SQL, QUERIES, query
-from tesserae.sources import readers, registry, tables
+from tesserae.sources import growing, readers, registry, tables
 from tesserae.streaming import rules
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -52,11 +53,35 @@ def s14_log_tail(spark, sf):
 
 @query(f"SELECT {_LINE} AS value FROM log WHERE k % 2 = 1 AND event = 'stop'", "log")
 def r1_s14_follow(spark, sf):
+    """Half of the lines are followed, then the files are appended to and one is rotated, then the query starts again."""
     folder = shared_folder(spark)
-    _log_lines(spark, sf).repartition(2).write.text(f"{folder}/in")
-    stream = logs.tail(rules.follow(spark, f"{folder}/in"), level="WARN", event="stop")
-    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
-    q.awaitTermination()
+    logs_in = growing.mounted(f"{folder}/in")
+    os.makedirs(logs_in, exist_ok=True)
+    both = _log_lines(spark, sf).select("value", (F.xxhash64("value") % 2 == 0).cast("int").alias("late"))
+    dealt = both.repartition(4, F.xxhash64("value")).sortWithinPartitions("late", "value").withColumn("file", F.spark_partition_id())
+
+    def write(rows, late):
+        # the early lines stand first, so a task that runs again writes the same bytes at the same place
+        f = None
+        for r in rows:
+            if f is None:
+                name = f"{logs_in}/{r.file}.log"
+                f = open(name, "r+b" if late else "wb")  # noqa: SIM115
+            line = r.value.encode() + b"\n"
+            f.seek(len(line), 1) if late and not r.late else f.write(line)
+        if f is not None:
+            f.close()
+
+    def run():
+        stream = logs.tail(rules.follow(spark, f"{folder}/in"), level="WARN", event="stop")
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+
+    dealt.where("late = 0").foreachPartition(lambda rows: write(rows, False))
+    run()
+    dealt.foreachPartition(lambda rows: write(rows, True))
+    for name in os.listdir(logs_in)[:1]:
+        os.rename(f"{logs_in}/{name}", f"{logs_in}/{name}.1")
+    run()
     return spark.read.schema("value string").parquet(f"{folder}/out")
 
 

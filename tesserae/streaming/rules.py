@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tesserae.sources import growing
+
 IDLE_MS = 48 * 3600 * 1000
 MOST_ATTEMPTS = 10
 BUFFER_BYTES = 2 * 1024 * 1024
@@ -148,9 +150,9 @@ def reindex(stream: DataFrame, run: Callable[[DataFrame], None], checkpoint: str
     return stream.writeStream.foreachBatch(lambda batch, _: run(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def follow(spark, folder: str) -> DataFrame:
-    """The lines of a growing log folder; rotated files come in as new ones."""
-    return spark.readStream.text(folder)
+def follow(spark, folder: str, pattern: str = "*") -> DataFrame:
+    """``value``: the lines of a folder of growing logs, through appends, truncation and rotation; see :mod:`tesserae.sources.growing`."""
+    return growing.lines(spark, folder, pattern).select("value")
 
 
 def replay(spark, df: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, files: int = 2) -> DataFrame:
