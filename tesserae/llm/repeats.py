@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import staged
+from tesserae.llm.common import cut, staged
 
 LENGTH = 50
 SEED = 20
@@ -180,14 +180,15 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("id is not null")
     places = staged(occurrences(rows, length, seed), "repeats-places")
     ends = lambda of: [F.min(of).alias("least"), F.max(of).alias("most")]
-    shared = places.groupBy("anchor").agg(*ends("id")).where("least < most").select("anchor")
+    # what is joined below is written first: then both sides of a join are plain shuffles, of which Spark splits hot keys
+    shared = cut(places.groupBy("anchor").agg(*ends("id")).where("least < most").select("anchor"))
     seeded = staged(places.join(shared, "anchor", "left_semi"), "repeats-seeded")
-    classes = seeded.groupBy("anchor", "context").agg(F.min(F.struct("id", "h", "place", "before", "after")).alias("first"))
-    groups = classes.groupBy("anchor").agg(*ends("first.id")).where("least < most").select("anchor")
+    classes = cut(seeded.groupBy("anchor", "context").agg(F.min(F.struct("id", "h", "place", "before", "after")).alias("first")))
+    groups = cut(classes.groupBy("anchor").agg(*ends("first.id")).where("least < most").select("anchor"))
     several = classes.join(groups, "anchor", "left_semi").where(F.col("first.before") + F.col("first.after") >= arm)
     wanted = several.select("first.*", "anchor", "context").groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "context", "place", "before", "after")).alias("wanted"))
     stated = staged(windows(rows.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"]), length, seed), "repeats-windows")
-    least = stated.groupBy("anchor", "window").agg(*ends("id")).where("least < most").select("anchor", "window", "least")
+    least = cut(stated.groupBy("anchor", "window").agg(*ends("id")).where("least < most").select("anchor", "window", "least"))
     wide = stated.join(least, ["anchor", "window"]).where("id > least").groupBy("anchor", "context").agg(F.min("shift").alias("low"), F.max("shift").alias("high"))
     found = seeded.join(classes.select("anchor", "context", F.col("first.id").alias("least")), ["anchor", "context"]).join(wide, ["anchor", "context"], "left")
     whole = (F.col("id") > F.col("least")) & (F.col("before") + F.col("after") >= arm)
