@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators.ordered import split
+from tesserae.sources.shared import cut
+
 DAY = 86_400
 ACTIVE_DAYS, ARCHIVE_DAYS, MOST_CHUNKS = 30, 90, 10_000
 STALE_SECONDS = 1800
@@ -31,17 +34,18 @@ def prune(chunks: DataFrame, now: int, keep: int = ARCHIVE_DAYS) -> DataFrame:
 
 
 def cap(chunks: DataFrame, most: int = MOST_CHUNKS) -> DataFrame:
-    """At most ``most`` rows: the ones read longest ago go, never-read ones first; exempt ones stay.
+    """At most ``most`` rows: the ones read longest ago go, never-read ones first (ties by id); exempt ones stay.
 
-    A sorted limit picks the rows to go, so no window spans the table.
+    What goes lies before the key of the last one to go, found by counts
+    (:func:`tesserae.operators.ordered.split`): no task sorts what goes.
     """
     if most <= 0:
         return chunks
     excess = chunks.count() - most
     if excess <= 0:
         return chunks
-    gone = chunks.where(_subject()).orderBy("last_accessed", "id").limit(excess).select("id")
-    return chunks.join(gone, "id", "left_anti")
+    subject = F.coalesce(_subject(), F.lit(False))
+    return chunks.where(~subject).unionByName(split(chunks.where(subject), excess, "last_accessed", "id")[1])
 
 
 def run(chunks: DataFrame, now: int, active: int = ACTIVE_DAYS, keep: int = ARCHIVE_DAYS, most: int = MOST_CHUNKS) -> DataFrame:
@@ -50,15 +54,21 @@ def run(chunks: DataFrame, now: int, active: int = ACTIVE_DAYS, keep: int = ARCH
 
 
 def cache_put(cache: DataFrame, new: DataFrame, now: int, ttl: int = 0, most: int = 0) -> DataFrame:
-    """The cache after ``new`` (``key, stdout``): replaced rows start at 0 hits; over 32 KB is refused; the old and the oldest excess go."""
-    fine = new.where(F.octet_length("stdout") <= CACHE_BYTES).dropDuplicates(["key"]).select("key", "stdout", F.lit(now).cast("bigint").alias("created_at"), F.lit(0).cast("bigint").alias("hit_count"))
+    """The cache after ``new`` (``key, stdout``): replaced rows start at 0 hits; over 32 KB is refused; the old and the oldest excess go.
+
+    Of several new rows of one key the last counts, by ``ordinal`` if there is such a
+    column, else the greatest text.
+    """
+    place = F.struct("ordinal", "stdout") if "ordinal" in new.columns else F.struct("stdout")
+    fine = new.where(F.octet_length("stdout") <= CACHE_BYTES).groupBy("key").agg(F.max_by("stdout", place).alias("stdout"))
+    fine = fine.select("key", "stdout", F.lit(now).cast("bigint").alias("created_at"), F.lit(0).cast("bigint").alias("hit_count"))
     all_ = cache.join(fine.select("key"), "key", "left_anti").unionByName(fine)
     if ttl > 0:
         all_ = all_.where(F.col("created_at") >= now - ttl)
-    if most > 0:
-        young = all_.orderBy(F.col("created_at").desc(), F.col("key").desc()).limit(most)
-        return young
-    return all_
+    if most <= 0:
+        return all_
+    all_ = cut(all_)  # read several times below
+    return split(all_, max(0, all_.count() - most), "created_at", "key")[1]
 
 
 def cache_get(cache: DataFrame, keys: DataFrame, now: int, ttl: int = 0) -> DataFrame:
@@ -77,20 +87,117 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("stdout")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hits"))
 
 
-def suppress(events: DataFrame, window: int) -> DataFrame:
-    """``project, code, ts, emit``: the first event of a key emits, and again each time ``window`` seconds have passed since the last that did.
+def _last_emits(times, window: int):
+    """For each of some ascending times: the last that emits if it is the first one to."""
+    import numpy as np
+
+    to = np.searchsorted(times, times + window)
+    end = np.where(to < len(times), to, np.arange(len(times)))
+    while (end[end] != end).any():  # pointers doubled: every round halves the way that is left
+        end = end[end]
+    return end
 
-    A fold over a key's times in order; a key's times are longs, not rows.
+
+def _steps(times, window: int) -> list[tuple[int, int]]:
+    """How a range goes on for a key that entered it: (``upto``, ``exit``), ascending.
+
+    If the next to emit has to be at ``t`` or later, the first step with ``upto >= t``
+    has the last time that emits here; beyond all steps none does.
     """
-    grouped = events.groupBy("project", "code").agg(F.array_sort(F.collect_list("ts")).alias("times"))
-    kind = "array<struct<ts:bigint,emit:boolean>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(kind).alias("out"))
+    import numpy as np
 
-    def step(acc, t):
-        emit = acc["last"].isNull() | (t - acc["last"] >= window)
-        return F.struct(F.when(emit, t).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(t.alias("ts"), emit.alias("emit")))).alias("out"))
+    end = _last_emits(times, window)
+    most = min(len(times), int(np.searchsorted(times, times[0] + window)) + 1)  # what emitted before lies before the first time
+    change = np.flatnonzero(np.append(np.diff(end[:most]) != 0, True))
+    return [(int(times[i]), int(times[end[i]])) for i in change]
 
-    return grouped.select("project", "code", F.explode(F.aggregate("times", start, step, lambda a: a["out"])).alias("x")).select("project", "code", "x.ts", "x.emit")
+
+def suppress(events: DataFrame, window: int) -> DataFrame:
+    """``project, code, ts, emit``: the first event of a key emits, and again each time ``window`` seconds have passed since the last that did.
+
+    All events lie in one order by key and time, cut into ranges, so a key with any
+    number of events spreads over tasks.  Only the key that a range begins with
+    depends on the range before, and only by the last time that emitted there.  So a first pass
+    tells for each range how its first key goes on from any such time, a few steps; these are
+    chained key by key, which gives each range the time it is entered with; a second
+    pass over the ranges gives the rows, with one number in memory.  The first pass holds the
+    times of one key in one range.  Rows without a time are dropped; of rows of equal
+    key and time one emits at most.
+    """
+    import pyarrow as pa
+
+    if window <= 0:
+        return events.where("ts is not null").select("project", "code", F.col("ts").cast("bigint").alias("ts"), F.lit(True).alias("emit"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.where("ts is not null").select("project", "code", F.col("ts").cast("bigint").alias("ts"))
+    rows = rows.repartitionByRange(parts, "project", "code", "ts").sortWithinPartitions("project", "code", "ts")
+    rows = cut(rows.withColumn("part", F.spark_partition_id()))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("project", "code"))
+
+    def keys(batch):
+        """The keys of a batch, each with its times."""
+        p, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        starts = [0, *(i for i in range(1, len(p)) if p[i] != p[i - 1] or c[i] != c[i - 1])]
+        return [(p[i], c[i], batch.column(2)[i:j].to_numpy(zero_copy_only=False)) for i, j in zip(starts, [*starts[1:], len(p)], strict=True)] if p else []
+
+    def told(batches):
+        import numpy as np
+
+        first = now = part = None
+        held: list = []
+        out: list = []
+        steps = lambda key: [(*key, part, upto, end) for upto, end in _steps(np.concatenate(held), window)]
+        for b in batches:
+            for p, c, times in keys(b):
+                part = b.column(3)[0].as_py()
+                if (p, c) != now:
+                    if now is not None and now == first:
+                        out = steps(now)
+                    first, now, held = first or (p, c), (p, c), []
+                held.append(times)
+        if now is not None:
+            out += steps(now)  # of the last key, which may go on in the next range
+            columns = zip(*out, strict=True)
+            types = (b.schema.field(0).type, b.schema.field(1).type, pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["project", "code", "part", "upto", "exit"])
+
+    def chained(batches):
+        key = part = None
+        last = entered = None
+        settled = False
+        for b in batches:
+            out: list = []
+            for p, c, k, upto, end in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (p, c) != key:
+                    key, part, last = (p, c), None, None
+                if k != part:
+                    part, entered, settled = k, last, False
+                    if entered is not None:
+                        out.append((k, entered))
+                if not settled and (entered is None or upto >= entered + window):
+                    last, settled = end, True
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in ((0, pa.int32()), (1, pa.int64()))], names=["part", "entered"])
+
+    steps = rows.mapInArrow(told, f"{kinds}, part int, upto bigint, exit bigint")
+    ways = steps.repartition("project", "code").sortWithinPartitions("project", "code", "part", "upto").mapInArrow(chained, "part int, entered bigint")
+    # a part is entered by the key that it begins with: one number a range
+    begins = dict(map(tuple, ways.collect()))
+
+    def judged(batches):
+        now, last = None, None
+        for b in batches:
+            emit: list = []
+            for p, c, times in keys(b):
+                if (p, c) != now:
+                    last = begins.get(b.column(3)[0].as_py()) if now is None else None
+                    now = (p, c)
+                for t in times.tolist():
+                    emits = last is None or t - last >= window
+                    last = t if emits else last
+                    emit.append(emits)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(emit, pa.bool_())], names=["project", "code", "ts", "emit"])
+
+    return rows.mapInArrow(judged, f"{kinds}, ts bigint, emit boolean")
 
 
 def nag(turns: DataFrame, every: int = 5) -> DataFrame:

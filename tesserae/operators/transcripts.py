@@ -129,12 +129,22 @@ def has_tool(blocks: Column, tool: str) -> Column:
 
 
 def result_names(rows: DataFrame) -> DataFrame:
-    """Each tool result with the name of the latest earlier call of its id: ``session, idx, tool_use_id, name, content``."""
-    b = rows.select("session", "idx", F.posexplode("blocks").alias("pos", "b"))
-    uses = b.where("b.type = 'tool_use'").select("session", F.col("idx").alias("use_idx"), F.col("b.id").alias("tool_use_id"), F.col("b.name").alias("name"))
-    results = b.where("b.type = 'tool_result'").select("session", "idx", "pos", F.col("b.tool_use_id").alias("tool_use_id"), content_text(F.col("b.content")).alias("content"))
-    both = results.join(uses, ["session", "tool_use_id"], "left").where("use_idx is null or use_idx < idx")
-    return both.groupBy("session", "idx", "pos", "tool_use_id", "content").agg(F.max_by("name", "use_idx").alias("name")).drop("pos")
+    """Each tool result with the name of the latest earlier call of its id: ``session, idx, tool_use_id, name, content``.
+
+    Calls and results of an id lie in one order, and each result takes the last name
+    before it, so many calls and results of one id cost one sort and no pairs.  Of calls
+    in one message the last counts; a result without an id has no name.
+    """
+    b = rows.select("session", "idx", F.posexplode("blocks").alias("pos", "b")).where("b.type in ('tool_use', 'tool_result')")
+    use = F.col("b.type") == "tool_use"
+    both = b.select(
+        "session", "idx", "pos", use.alias("use"), F.when(use, F.col("b.id")).otherwise(F.col("b.tool_use_id")).alias("tool_use_id"),
+        F.when(use, F.struct(F.col("b.name").alias("name"))).alias("call"), F.when(~use, content_text(F.col("b.content"))).alias("content"),
+    )
+    # a result stands before the calls of its own message
+    before = W.partitionBy("session", "tool_use_id").orderBy("idx", "use", "pos").rowsBetween(W.unboundedPreceding, 0)
+    name = F.when(F.col("tool_use_id").isNotNull(), F.last("call", ignorenulls=True).over(before)["name"])
+    return both.withColumn("name", name).where(~F.col("use")).select("session", "idx", "tool_use_id", "content", "name")
 
 
 def external(name: Column, own: str = "memory") -> Column:
