@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
 from tesserae.functions import vector as M
+from tesserae.operators import ordered, pivots
 from tesserae.operators.search import in_scope, score, top
+from tesserae.sources.shared import cut
 
 SIMILAR = 0.92
 RECALL_DEFAULT, RECALL_MOST = 5, 100
-#: Rows a side in a task that looks for similar ones.
-BLOCK = 4096
-#: Memories against which similar ones are looked for; above it that step is off, as the store's contract says.
+#: ``most`` of the store's contract: above so many memories no similar ones are looked for.
 CACHE_MOST = 10_000
 
 
@@ -54,43 +54,139 @@ def not_stored(new: DataFrame, memories: DataFrame) -> DataFrame:
     return new.join(memories.select("content_hash"), "content_hash", "left_anti")
 
 
-def _meet(new: DataFrame, memories: DataFrame, found, schema: str) -> DataFrame:
-    """``found`` of Arrow tables ``new_id, new_vector`` and ``id, vector``, over all pairs of blocks of both sides.
-
-    Each pair of blocks is a task of at most about ``BLOCK`` rows a side.
-    """
-    blocks, slices = (max(1, -(-df.count() // BLOCK)) for df in (memories, new))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = new.select("new_id", "new_vector", part("new_id", slices).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = memories.select("id", "vector", part("id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
-    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(lambda l, r: found(l.select(["new_id", "new_vector"]), r.select(["id", "vector"])), schema)
-
-
-def similar(new: DataFrame, memories: DataFrame, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
+def similar(new: DataFrame, memories: DataFrame, threshold: float = SIMILAR, most: int | None = None, found_by: pivots.Pivots | None = None) -> DataFrame:
     """For each new row (``new_id, new_vector``) its most similar memory strictly above ``threshold``: ``new_id, id, score``.
 
-    The store's contract turns this step off above ``most`` memories; ``None``
-    looks through any number of them, exactly.  Vectors without a finite cosine
-    are similar to nothing.
+    Exact over any number of memories: of equal vectors one on each side is compared,
+    and of all others only those that pivots don't tell apart
+    (:mod:`tesserae.operators.pivots`; ``found_by``: stored pivots, else some are chosen).
+    ``most`` is the store's contract that turns this step off above so many
+    memories.  Vectors without a finite cosine are similar to nothing.
     """
     import pyarrow as pa
 
     if threshold < 0:
         raise ValueError("a threshold of 0 or more is needed")
-    new_type, id_type = new.schema["new_id"].dataType.simpleString(), memories.schema["id"].dataType.simpleString()
+    id_type = memories.schema["id"].dataType.simpleString()
     if most is not None and memories.limit(most + 1).count() > most:
         return new.select("new_id", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("double").alias("score")).limit(0)
 
+    asked = new.where("new_id is not null and new_vector is not null").groupBy("new_vector").agg(F.min("new_id").alias("key"))
+    known = memories.where("vector is not null").groupBy("vector").agg(F.min("id").alias("id"))
+
     def found(l, r):
-        ids = r.schema.field("id").type
+        ids = r.schema.field("key").type
         out = list(M.nearest(l.to_batches(), r, threshold, ids)) if r.num_rows else []
-        return pa.Table.from_batches(out, pa.schema([("new_id", l.schema.field("new_id").type), ("id", ids), ("score", pa.float64())]))
+        return pa.Table.from_batches([x.rename_columns(["key", "id", "score"]) for x in out], pa.schema([("key", l.schema.field("key").type), ("id", ids), ("score", pa.float64())]))
+
+    by = pivots.choose(memories) if found_by is None else found_by
+    angle = pivots.reach(threshold)
+    sides = pivots.blocks(asked, "key", "new_vector", by, angle), pivots.blocks(known, "id", "vector", by, angle)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")
+    kind = new.schema["new_id"].dataType.simpleString()
+    top = pivots.join(*sides, by, threshold, found, f"key {kind}, id {id_type}, score double").groupBy("key").agg(best)
+    hits = new.select("new_id", "new_vector").join(asked.join(top, "key"), "new_vector").select("new_id", "b.*")
+    return hits.groupBy("new_id").agg(F.min(F.struct("s", "id")).alias("b")).select("new_id", "b.id", (-F.col("b.s")).alias("score"))
+
+
+def linked(left: DataFrame, right: DataFrame, by: pivots.Pivots, threshold: float) -> DataFrame:
+    """``a, b, score`` of all pairs strictly above ``threshold``, ``b`` of ``left`` and ``a`` of ``right`` (blocks of :func:`pivots.blocks`)."""
+    import pyarrow as pa
+
+    def found(l, r):
+        import numpy as np
+
+        out: list = []
+        for dim in {len(v) for v in l["v"][:1].to_pylist()} & {len(v) for v in r["v"][:1].to_pylist()}:  # a block has one length
+            (x, _), (y, _) = (M.as_matrix(t["v"].combine_chunks(), dim) for t in (l, r))
+            n, m = np.sqrt(M.dots(x, x)), np.sqrt(M.dots(y, y))
+            for lo in range(0, len(x), 512):
+                i, j = np.nonzero((x[lo : lo + 512] / n[lo : lo + 512, None]) @ (y / m[:, None]).T > threshold - 1e-9)
+                score = M.dots(x[lo + i], y[j]) / (n[lo + i] * m[j])
+                fine = score > threshold
+                out.append(pa.table({"a": r["key"].take(pa.array(j[fine])), "b": l["key"].take(pa.array(lo + i[fine])), "score": pa.array(score[fine])}))
+        none = pa.schema([("a", r.schema.field("key").type), ("b", l.schema.field("key").type), ("score", pa.float64())])
+        return pa.concat_tables(out) if out else none.empty_table()
+
+    kinds = [t.schema["key"].dataType.simpleString() for t in (right, left)]
+    return pivots.join(left, right, by, threshold, found, f"a {kinds[0]}, b {kinds[1]}, score double")
+
 
-    best = F.min(F.struct((-F.col("score")).alias("s"), "id"))
-    return _meet(new, memories, found, f"new_id {new_type}, id {id_type}, score double").groupBy("new_id").agg(best.alias("b")).select("new_id", "b.id", (-F.col("b.s")).alias("score"))
+#: Links that one task settles in order at the end of the rounds.
+FOLD = 1 << 18
+#: The first batch of a greedy choice, and how much larger each next one is.
+PREFIX, GROWTH = 4096, 4
 
 
-def remember(memories: DataFrame, new: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
+def first_set(nodes: DataFrame, links: DataFrame, fold: int = FOLD) -> DataFrame:
+    """The greedy independent set in the order of ``n``: a node is in it if no earlier node that it is linked with is.
+
+    ``nodes``: ``n``; ``links``: ``a, b`` with ``a < b``.  Each round takes all nodes
+    whose earlier neighbours are settled.  The rounds are as many as the longest chain of
+    decisions that hang on each other; once no more than ``fold`` links are open, one
+    task settles these in order.
+    """
+    open_, undecided, taken = cut(links.select("a", "b").distinct()), nodes.select("n"), nodes.select("n").limit(0)
+    while left := open_.count():
+        if left <= fold:
+            ordered = open_.repartition(1).sortWithinPartitions("b", "a")
+            lost = undecided.join(ordered.mapInArrow(_lost, "n bigint"), "n", "left_anti")
+            return taken.unionByName(lost)
+        roots = cut(undecided.join(open_.select(F.col("b").alias("n")), "n", "left_anti"))
+        dead = cut(open_.join(roots.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
+        settled = roots.unionByName(dead)
+        undecided = cut(undecided.join(settled, "n", "left_anti"))
+        alive = open_.join(settled.withColumnRenamed("n", "a"), "a", "left_anti")
+        open_ = cut(alive.join(dead.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
+        taken = cut(taken.unionByName(roots))
+    return taken.unionByName(undecided)
+
+
+def _lost(batches):
+    """Links ``a, b`` by ``b`` -> the nodes that an earlier node of the set keeps out."""
+    import pyarrow as pa
+
+    lost: set[int] = set()
+    for batch in batches:
+        new = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if a not in lost and b not in lost:
+                lost.add(b)
+                new.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], names=["n"])
+
+
+def leaders(rows: DataFrame, by: pivots.Pivots, threshold: float, prefix: int = PREFIX, fold: int = FOLD) -> DataFrame:
+    """Of ``new_id, new_vector, place`` those that are similar to no earlier one of them, ``place`` telling rows apart.
+
+    The order is taken in batches, each several times the one before.  What is similar to
+    a leader found so far goes first, by a join; only what is left is linked
+    with itself and settled by rounds.  So a large group of near copies is linked within the batch
+    of its first ones alone.
+    """
+    angle = pivots.reach(threshold)
+    alone = rows.withColumn("angles", pivots._angles("new_vector", by)).where("angles is null").select("new_id")
+    if threshold < 1 - 1e-9:  # of equal vectors the later ones are similar to the first, or to what the first is similar to
+        rows = rows.groupBy("new_vector").agg(F.min_by(F.struct("new_id", "place"), "place").alias("f")).select("f.*", "new_vector")
+    placed = ordered.numbered(rows, "place")
+    total, start = placed.count(), 0
+    found, size = None, prefix
+    while start < total:
+        batch = pivots.blocks(placed.where((F.col("n") >= start) & (F.col("n") < start + size)), "n", "new_vector", by, angle)
+        if found is not None:
+            near = linked(batch, found, by, threshold).select(F.col("b").alias("key")).distinct()
+            batch = cut(batch.join(near, "key", "left_anti"))
+        pairs = linked(batch, batch, by, threshold).where("a < b")
+        chosen = first_set(batch.select(F.col("key").alias("n")), pairs, fold)
+        new = batch.join(chosen.withColumnRenamed("n", "key"), "key", "left_semi").select("key", "v", "angles", "block")
+        found = cut(new if found is None else found.unionByName(new))
+        start, size = start + size, size * GROWTH
+    if found is None:
+        return alone.distinct()
+    return placed.join(found.select(F.col("key").alias("n")), "n", "left_semi").select("new_id").unionByName(alone).distinct()
+
+
+def remember(memories: DataFrame, new: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = None) -> DataFrame:
     """The table after explicit memories ``new`` (``content, tags, type, project, vector, context_path``), and ``status``.
 
     An equal hash merges tags, sets the type and touches; else the best similar
@@ -147,7 +243,7 @@ def session_chunks(sessions: DataFrame, text: str = "summary", limit: int = X.SU
     return prepare(rows)
 
 
-def ingest_sessions(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
+def ingest_sessions(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = None, found_by: pivots.Pivots | None = None, prefix: int = PREFIX, fold: int = FOLD) -> DataFrame:
     """Ingest embedded session chunks (:func:`session_chunks` and ``vector``) in the order of ``ordinal``, then project.
 
     Returns ``project, ordinal, content_hash, action, id``: ``skipped`` (an equal
@@ -155,74 +251,42 @@ def ingest_sessions(memories: DataFrame, chunks: DataFrame, now: int, threshold:
     ``updated`` (best match strictly above the threshold, in the store or among
     chunks that this call created before, whose vectors stay as they were) or
     ``created``.  A chunk that updated an explicit memory left no hash, so its
-    equals update too.  Hashes are looked up in the store as it was.  Above
-    ``most`` memories the store's contract has no semantic step.
+    equals update too.  Hashes are looked up in the store as it was.  ``most`` is
+    the store's contract that has no semantic step above so many memories.
 
-    Hashes and similarities are joins over the whole store and all chunks.  Order
-    matters and greedy matching isn't transitive, so the links between new chunks
-    stream, in order, past one task that remembers a flag for each chunk that has
-    such a link; other chunks never come there.
+    Matching is greedy in the order of the chunks, and isn't transitive: which chunks are created is
+    found in batches and rounds (:func:`leaders`), where no task sees all links; each chunk's best match
+    is then a join with the store and one with what was created before it.
     """
-    import pyarrow as pa
-
     stored = memories.groupBy("content_hash").agg(F.min("id").alias("stored"))
     rows = chunks.select("project", "ordinal", "content_hash", "vector").join(stored, "content_hash", "left")
     first = W.partitionBy("content_hash").orderBy("ordinal", "project")
     rows = rows.withColumn("turn", F.when(F.col("stored").isNull(), F.row_number().over(first)))
-    heads = rows.where("turn = 1").select(F.col("content_hash").alias("new_id"), F.col("vector").alias("new_vector"), F.struct("ordinal", "project").alias("place"))
-    off = most is not None and memories.limit(most + 1).count() > most
-    known = similar(heads, memories, threshold, 0 if off else None)
-
-    def pairs(l, r):
-        import numpy as np
-
-        out: list[tuple] = []
-        for dim in {len(v) for v in l["new_vector"].to_pylist() if v}:
-            a, b = ([(i, v) for i, v in zip(t[0].to_pylist(), t[1].to_pylist(), strict=True) if v and len(v) == dim] for t in (l, r))
-            if a and b:
-                x, y = (np.array([v for _, v in t], "f8") for t in (a, b))
-                x, y = (t / np.maximum(np.sqrt((t * t).sum(axis=1)), 1e-300)[:, None] for t in (x, y))
-                i, j = np.nonzero(x @ y.T > threshold)
-                out += [(a[p][0], b[q][0], float(x[p] @ y[q])) for p, q in zip(i, j) if a[p][0] != b[q][0]]
-        new_id, other, score = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"new_id": pa.array(new_id, pa.string()), "other": pa.array(other, pa.string()), "score": pa.array(score, pa.float64())})
-
-    near = _meet(heads, heads.select(F.col("new_id").alias("id"), F.col("new_vector").alias("vector")), pairs, "new_id string, other string, score double").where(F.lit(not off))
-    place = heads.select("new_id", "place")
-    links = near.join(place, "new_id").join(place.select(F.col("new_id").alias("other"), F.col("place").alias("before")), "other")
-    best = known.select("new_id", F.col("id").alias("best"), F.col("score").alias("best_score"))
-    links = links.join(best, "new_id", "left").withColumn("other", F.when(F.col("before") < F.col("place"), F.col("other")))
-    # in the order of the chunk that decides; among its links by score, then id
-    ordered = links.repartition(1).sortWithinPartitions("place", "new_id", F.col("score").desc(), "other")
-
-    def fold(batches):
-        created: set[str] = set()
-        now_id = verdict = None
-        for b in batches:
-            out = []
-            for new_id, other, score, stored_id, stored_score in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if new_id != now_id:
-                    if now_id is not None:
-                        out.append((now_id, verdict))
-                        if verdict is None:
-                            created.add(now_id)
-                    now_id, verdict, found = new_id, stored_id, stored_score if stored_id is not None else threshold
-                if other in created and score > found:
-                    verdict, found = f"mem:session:{other}", score
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=["new_id", "to"])
-        if now_id is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now_id], pa.string()), pa.array([verdict], pa.string())], names=["new_id", "to"])
-
-    folded = ordered.select("new_id", "other", "score", "best", "best_score").mapInArrow(fold, "new_id string, to string")
-    alone = heads.join(near.select("new_id"), "new_id", "left_anti").join(best, "new_id", "left").select("new_id", F.col("best").alias("to"))
+    heads = cut(rows.where("turn = 1").select(F.col("content_hash").alias("new_id"), F.col("vector").alias("new_vector"), F.struct("ordinal", "project", "content_hash").alias("place")))
+    if most is not None and memories.limit(most + 1).count() > most:
+        fate = heads.select("new_id", F.lit(None).cast("string").alias("to"))
+    else:
+        by = pivots.choose(memories) if found_by is None else found_by
+        best = cut(similar(heads, memories, threshold, None, by).select("new_id", F.col("id").alias("best"), F.col("score").alias("best_score")))
+        own = pivots.choose(heads, "new_vector")
+        made = leaders(heads.join(best, "new_id", "left_anti"), own, threshold, prefix, fold)
+        made = cut(heads.join(made, "new_id", "left_semi"))
+        angle = pivots.reach(threshold)
+        links = linked(*(pivots.blocks(t, "new_id", "new_vector", own, angle) for t in (heads, made)), own, threshold)
+        when = lambda c: heads.select(F.col("new_id").alias(c), F.col("place").alias(f"{c}_place"))
+        earlier = links.join(when("b"), "b").join(when("a"), "a").where("a_place < b_place")
+        new = earlier.groupBy("b").agg(F.min(F.struct((-F.col("score")).alias("s"), "a")).alias("m")).select(F.col("b").alias("new_id"), "m.a", (-F.col("m.s")).alias("score"))
+        both = heads.select("new_id").join(best, "new_id", "left").join(new, "new_id", "left")
+        newer = F.col("a").isNotNull() & (F.col("score") > F.coalesce("best_score", F.lit(-1.0)))
+        fate = both.select("new_id", F.when(newer, F.concat(F.lit("mem:session:"), "a")).otherwise(F.col("best")).alias("to"))
     explicit = memories.where("source = 'explicit'").select(F.col("id").alias("to"), F.lit(True).alias("explicit"))
-    fate = folded.unionByName(alone).join(explicit, "to", "left").select(F.col("new_id").alias("content_hash"), "to", F.coalesce("explicit", F.lit(False)).alias("explicit"))
+    fate = fate.join(explicit, "to", "left").select(F.col("new_id").alias("content_hash"), "to", F.coalesce("explicit", F.lit(False)).alias("explicit"))
     done = rows.join(fate, "content_hash", "left")
     action = F.when(F.col("stored").isNotNull() | ((F.col("turn") > 1) & ~F.col("explicit")), "skipped").when(F.col("to").isNotNull(), "updated").otherwise("created")
     return done.select("project", "ordinal", "content_hash", action.alias("action"), F.coalesce("stored", "to", F.concat(F.lit("mem:session:"), "content_hash")).alias("id"))
 
 
-def ingested(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = CACHE_MOST) -> DataFrame:
+def ingested(memories: DataFrame, chunks: DataFrame, now: int, threshold: float = SIMILAR, most: int | None = None) -> DataFrame:
     """The table after :func:`ingest_sessions` of ``chunks`` (also ``content, tags, type``).
 
     A session memory takes the last update's content, vector and hash, and all

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -927,23 +928,65 @@ def f18_newer_directory(spark, sf):
 # -- memory writers ---------------------------------------------------------------
 
 
-@query("SELECT 'mem:' || id AS id, CASE WHEN n % 5 = 0 THEN 'updated' ELSE 'kept' END AS status FROM entries UNION ALL SELECT 'mem:explicit:' || sha256('new ' || id), 'created' FROM entries WHERE n % 50 = 7", "entries")
+@query(
+    """SELECT 'mem:' || id AS id, CASE WHEN n % 5 = 0 OR n % 50 = 11 THEN 'updated' ELSE 'kept' END AS status, CASE WHEN n % 5 = 0 OR n % 50 = 11 THEN 'decision' END AS type,
+  CASE WHEN n % 4 = 0 OR n % 50 = 11 THEN 'explicit' ELSE 'session' END AS source, CASE WHEN n % 50 = 11 AND n % 4 <> 0 THEN 'like ' || id ELSE 'mem:' || id || ' text' END AS content, n % 50 = 11 AS tagged FROM entries
+  UNION ALL SELECT 'mem:explicit:' || sha256('new ' || id), 'created', 'fact', 'explicit', 'new ' || id, false FROM entries WHERE n % 50 = 7""",
+    "entries",
+)
 def k11_remember(spark, sf):
+    """Equal hashes, new ones, and two new rows that are similar to one memory."""
     m = S.memories(spark, sf).withColumn("content", F.concat("id", F.lit(" text"))).withColumn("content_hash", X.content_hash(F.col("content")))
-    exact = m.where("cast(substring(id, 6) as int) % 5 = 0").select("content", F.array(F.lit("t1")).alias("tags"), F.lit("decision").alias("type"), "project", "vector", "context_path")
-    fresh = m.where("cast(substring(id, 6) as int) % 50 = 7").select(F.concat(F.lit("new "), F.substring("id", 5, 99)).alias("content"), F.array(F.lit("t2")).alias("tags"), F.lit("fact").alias("type"), "project", F.transform("vector", lambda x: -x).alias("vector"), "context_path")
-    return memory.remember(m, exact.unionByName(fresh), NOW, 0.9, None).select("id", "status")
-
-
-@query(f"""WITH c AS (SELECT concat('p', (turn % 4)::VARCHAR) AS project, conv_id * 1000 + turn AS o, {_HASH} AS h FROM conversations WHERE text IS NOT NULL
-  UNION ALL SELECT concat('d', (doc_id % 3)::VARCHAR), -1 - doc_id, {_HASH} FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 3),
-s AS (SELECT DISTINCT {_HASH.replace('text', 'content')} AS h FROM entries)
-SELECT project, action, count(*) AS n FROM (SELECT project, CASE WHEN h IN (SELECT h FROM s) OR row_number() OVER (PARTITION BY h ORDER BY o, project) > 1 THEN 'skipped' ELSE 'created' END AS action FROM c) GROUP BY ALL""", "entries")
+    n = F.substring("id", 6, 99).cast("int")
+    row = lambda content, tag, kind, vector, ordinal: [content.alias("content"), F.array(F.lit(tag)).alias("tags"), F.lit(kind).alias("type"), "project", vector.alias("vector"), "context_path", F.lit(ordinal).alias("ordinal")]
+    exact = m.where(n % 5 == 0).select(*row(F.col("content"), "t1", "decision", F.col("vector"), 1))
+    fresh = m.where(n % 50 == 7).select(*row(F.concat(F.lit("new "), F.substring("id", 5, 99)), "t2", "fact", F.transform("vector", lambda x: -x), 1))
+    like = m.where(n % 50 == 11)
+    twice = F.transform("vector", lambda x: x * 2)
+    like = like.select(*row(F.concat(F.lit("like "), F.substring("id", 5, 99)), "t3", "preference", twice, 1)).unionByName(like.select(*row(F.concat(F.lit("also "), F.substring("id", 5, 99)), "t4", "decision", twice, 2)))
+    got = memory.remember(m, exact.unionByName(fresh).unionByName(like), NOW, 0.9)
+    return got.select("id", "status", F.when(F.col("status") != "kept", F.col("type")).alias("type"), "source", "content", (F.array_contains("tags", "t3") & F.array_contains("tags", "t4")).alias("tagged"))
+
+
+_OWN = _HASH.replace("text", "content")
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT n, concat('p', (n % 4)::VARCHAR) AS project, (n * 7919) % 100003 AS o, {_OWN} AS h, id, vector, n % 4 = 0 AS explicit FROM entries),
+m AS (SELECT 'mem:' || id AS id, h, vector, explicit FROM w WHERE n % 3 = 0),
+c AS (SELECT w.*, (SELECT min(m.id) FROM m WHERE m.h = w.h) AS stored, row_number() OVER (PARTITION BY h ORDER BY o, project) AS turn FROM w),
+d AS (SELECT h, vector, row_number() OVER (ORDER BY o, project, h) AS k FROM c WHERE stored IS NULL AND turn = 1),
+b AS (SELECT a.k, arg_min(b.id, (-{_PAIR}, b.id)) AS best, max({_PAIR}) AS s FROM d a, m b WHERE {_PAIR} > 0.3 GROUP BY a.k),
+l AS (SELECT a.k, list(b.k) AS before FROM d a, d b WHERE b.k < a.k AND {_PAIR} > 0.3 GROUP BY a.k),
+x AS (SELECT d.*, b.best, b.s, coalesce(l.before, []) AS before FROM d LEFT JOIN b ON d.k = b.k LEFT JOIN l ON d.k = l.k),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS made UNION ALL
+  SELECT x.k, CASE WHEN x.best IS NULL AND NOT list_has_any(f.made, x.before) THEN list_append(f.made, x.k) ELSE f.made END FROM f JOIN x ON x.k = f.k + 1),
+g AS (SELECT unnest(made) AS k FROM f WHERE k = (SELECT max(k) FROM x)),
+e AS (SELECT a.k, arg_min(b.h, (-{_PAIR}, b.h)) AS near FROM x a, x b, g WHERE b.k = g.k AND b.k < a.k AND {_PAIR} > greatest(0.3, coalesce(a.s, 0)) GROUP BY a.k),
+t AS (SELECT x.h, CASE WHEN e.near IS NOT NULL THEN concat('mem:session:', e.near) ELSE x.best END AS id FROM x LEFT JOIN e ON x.k = e.k)
+SELECT c.project, c.o AS ordinal, CASE WHEN c.stored IS NOT NULL OR (c.turn > 1 AND NOT coalesce(m.explicit, false)) THEN 'skipped' WHEN t.id IS NOT NULL THEN 'updated' ELSE 'created' END AS action,
+  coalesce(c.stored, t.id, concat('mem:session:', c.h)) AS id FROM c LEFT JOIN t ON c.h = t.h LEFT JOIN m ON t.id = m.id""",
+    "entries",
+)
 def k12_session_ingest(spark, sf):
-    """Whole turns, and every tenth document again under other projects, against the whole store."""
-    c = S.table(spark, sf, "conversations").where("text is not null").select(F.concat(F.lit("p"), (F.col("turn") % 4).cast("string")).alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("ordinal"), F.col("text").alias("content"))
-    d = S.table(spark, sf, "documents").where("text is not null and doc_id % 10 = 3").select(F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")).alias("project"), (-1 - F.col("doc_id")).cast("bigint").alias("ordinal"), F.col("text").alias("content"))
-    rows = memory.prepare(c.unionByName(d))
-    bits = F.split(F.concat(*[F.lpad(F.conv(F.substring("content_hash", 8 * k + 1, 8), 16, 2), 32, "0") for k in range(2)]), "")  # equal texts, and no others, have equal vectors
-    rows = rows.withColumn("vector", F.transform(F.slice(bits, 1, 64), lambda b: F.when(b == "1", 1.0).otherwise(-1.0).cast("float")))
-    return memory.ingest_sessions(S.memories(spark, sf), rows, NOW, 0.9999, None).groupBy("project", "action").agg(F.count("*").alias("n"))
+    """Every entry as a chunk, in an order of its own, against a store of each third: equal hashes, matches in the store and among new chunks."""
+    m = S.memories(spark, sf)
+    chunks = m.selectExpr("concat('p', cast(n % 4 as string)) project", "(n * 7919) % 100003 ordinal", "content_hash", "vector")
+    return memory.ingest_sessions(m.where("n % 3 = 0"), chunks, NOW, 0.3).select("project", "ordinal", "action", "id")
+
+
+@query(
+    f"""WITH w AS (SELECT *, {_OWN} AS h FROM entries) SELECT 'mem:' || id AS id, CASE WHEN n % 6 = 1 AND n % 4 <> 0 THEN 'later ' || id ELSE content END AS content, CASE WHEN n % 6 = 1 THEN {NOW} ELSE mod_time END AS updated_at, 2 AS version FROM w WHERE n % 2 = 1
+  UNION ALL SELECT concat('mem:session:', sha256('only ' || id)), 'only ' || id, {NOW}, 2 FROM w WHERE n % 100 = 2""",
+    "entries",
+)
+def k5_r5_ingested_table(spark, sf):
+    """The store as a committed table: written, then merged with what sessions say; the merge is the next version."""
+    from tesserae.sources import shared, tables
+
+    root = f"{shared.folder(spark)}/memories-{uuid.uuid4().hex}"
+    tables.write(S.memories(spark, sf).where("n % 2 = 1"), root)
+    rows = lambda when, text, back: S.memories(spark, sf).where(when).select(F.lit("p").alias("project"), F.col("n").alias("ordinal"), F.concat(F.lit(f"{text} "), F.substring("id", 5, 99)).alias("content"), (F.transform("vector", lambda x: -x) if back else F.col("vector")).alias("vector"))
+    chunks = memory.prepare(rows("n % 6 = 1", "later", False).unionByName(rows("n % 100 = 2", "only", True)))
+    version = tables.update(spark, root, lambda old: memory.ingested(old.drop("n"), chunks, NOW, 0.9))
+    return tables.read(spark, root).select("id", "content", "updated_at", F.lit(version).alias("version"))
