@@ -190,7 +190,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     stated = staged(windows(rows.dropDuplicates(["id", "h"]).join(wanted, ["id", "h"]), length, seed), "repeats-windows")
     least = cut(stated.groupBy("anchor", "window").agg(*ends("id")).where("least < most").select("anchor", "window", "least"))
     wide = stated.join(least, ["anchor", "window"]).where("id > least").groupBy("anchor", "context").agg(F.min("shift").alias("low"), F.max("shift").alias("high"))
-    found = seeded.join(classes.select("anchor", "context", F.col("first.id").alias("least")), ["anchor", "context"]).join(wide, ["anchor", "context"], "left")
+    fates = cut(classes.select("anchor", "context", F.col("first.id").alias("least")).join(wide, ["anchor", "context"], "left"))
+    found = seeded.join(fates, ["anchor", "context"])
     whole = (F.col("id") > F.col("least")) & (F.col("before") + F.col("after") >= arm)
     left, right = F.when(whole, F.col("before")).otherwise(F.col("high")), F.when(whole, F.col("after")).otherwise(arm - F.col("low"))
     return found.where(whole | F.col("high").isNotNull()).select("id", "h", (F.col("place") - left).alias("start"), (F.col("place") + seed + right).alias("stop"))
