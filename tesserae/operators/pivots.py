@@ -103,10 +103,17 @@ def blocks(rows: DataFrame, key: str, vector: str, pivots: Pivots, angle: float,
     least = F.array_min("angles")
     cell = placed.withColumns({"dim": F.size("v"), "cell": F.coalesce(F.array_position("angles", least), F.lit(0)), "ring": F.coalesce(F.floor(least / F.lit(angle)), F.lit(0))})
     cell = cut(cell)
-    sizes = cell.groupBy("dim", "cell", "ring").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / rows_a_block)
-    dealt = cell.join(sizes, ["dim", "cell", "ring"]).withColumn("sub", F.pmod(F.xxhash64("key"), parts))
-    return dealt.select("key", "v", "angles", F.struct("dim", "cell", "ring", "sub").alias("block"))
+    # a few numbers for each length: pivots times rings
+    sizes = {(r.dim, r["cell"], r.ring): r["count"] for r in cell.groupBy("dim", "cell", "ring").count().collect()}
+    of_dim: dict[int, int] = {}
+    for (dim, _, _), n in sizes.items():
+        of_dim[dim] = of_dim.get(dim, 0) + n
+    # fewer rows than a block are one block; a cell with more is dealt out by key
+    cuts = {f"{d},{c},{r}": -(-n // rows_a_block) for (d, c, r), n in sizes.items() if of_dim[d] > rows_a_block}
+    parts = F.try_element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.concat_ws(",", "dim", "cell", "ring")) if cuts else F.lit(None).cast("int")
+    part = lambda x: F.when(parts.isNull(), 0).otherwise(x).cast("bigint")
+    name = F.struct("dim", part(F.col("cell")).alias("cell"), part(F.col("ring")).alias("ring"), part(F.pmod(F.xxhash64("key"), parts)).alias("sub"))
+    return cell.select("key", "v", "angles", name.alias("block"))
 
 
 def _boxes(placed: DataFrame, n: int) -> DataFrame:
