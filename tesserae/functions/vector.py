@@ -123,36 +123,44 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     return run(vector)
 
 
-def best_cosines(batches, ids: list[int], queries: np.ndarray, k: int, rows: int = 2048):
-    """From batches of ``id, vector``: batches of ``query_id, id, score`` that hold each query's best ``k``, and few others.
+class BestCosines:
+    """The best ``k`` of a task's rows for each of many queries of one length.
 
-    A matrix product finds what can be among the best ``k`` of the rows seen so
-    far; only that is scored exactly.  Rows and queries without a cosine score 0.
+    A matrix product finds what can be among the best ``k`` of the rows seen so far
+    and not below ``floor`` (a score that ``k`` rows anywhere are known to reach);
+    only that is scored exactly.  Rows and queries without a cosine score 0.
     """
-    slack = 1e-9  #: more than the rounding of a matrix product of unit vectors
-    queries = np.asarray(queries, "f8")
-    with np.errstate(all="ignore"):
-        norms = np.sqrt(dots(queries, queries))
-        unit = np.where((norms > 0)[:, None], queries / norms[:, None], 0.0)
-    seen = np.full((len(ids), k), -np.inf)
-    names = np.asarray(ids, "i8")
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            m, fine = as_matrix(part.column(1), queries.shape[1])
+
+    SLACK = 1e-9  #: more than the rounding of a matrix product of unit vectors
+    ROWS = 2048
+
+    def __init__(self, ids: pa.Array, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.queries, self.k = ids, np.asarray(queries, "f8").reshape(len(ids), -1), k
+        with np.errstate(all="ignore"):
+            self.norms = np.sqrt(dots(self.queries, self.queries))
+            self.unit = np.where((self.norms > 0)[:, None], self.queries / self.norms[:, None], 0.0).T.copy()
+        self.least = np.full(len(ids), -np.inf) if floor is None else np.where(np.isnan(floor), -np.inf, floor)
+        self.seen = np.full((len(ids), k), -np.inf)
+
+    def feed(self, batch):
+        """From a batch of ``id, vector``: batches of ``query_id, id, score`` that hold each query's best ``k`` of all so far, and few others."""
+        for at in range(0, batch.num_rows, self.ROWS):
+            part = batch.slice(at, self.ROWS)
+            m, fine = as_matrix(part.column(1), self.queries.shape[1])
             with np.errstate(all="ignore"):
                 n = np.sqrt(dots(m, m))
                 fine &= ~(n <= 0)
-                rough = np.where(fine[:, None], (m / np.where(fine, n, 1.0)[:, None]) @ unit.T, 0.0)
+                rough = np.where(fine[:, None], (m / np.where(fine, n, 1.0)[:, None]) @ self.unit, 0.0)
             rough = np.where(np.isnan(rough), np.inf, rough)
-            both = np.concatenate([seen, rough.T], axis=1)
-            seen = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            r, q = np.nonzero(rough >= seen.min(axis=1) - slack)
+            some = rough.T if len(rough) <= self.k else np.partition(rough, len(rough) - self.k, axis=0)[-self.k :].T
+            both = np.concatenate([self.seen, some], axis=1)
+            self.seen = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            r, q = np.nonzero(rough >= np.maximum(self.seen.min(axis=1), self.least) - self.SLACK)
             for lo in range(0, len(r), 1 << 14):
                 i, j = r[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
                 with np.errstate(all="ignore"):
-                    score = np.where(fine[i] & ~(norms[j] <= 0), dots(m[i], queries[j]) / (n[i] * norms[j]), 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(names[j]), part.column(0).take(pa.array(i)), pa.array(score)], names=["query_id", "id", "score"])
+                    score = np.where(fine[i] & ~(self.norms[j] <= 0), dots(m[i], self.queries[j]) / (n[i] * self.norms[j]), 0.0)
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(score)], names=["query_id", "id", "score"])
 
 
 def nearest(batches, known: pa.Table, threshold: float, kind: pa.DataType, rows: int = 256):

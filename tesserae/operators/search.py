@@ -8,7 +8,6 @@ operator needs only the columns it names.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,37 +101,94 @@ def search(chunks: DataFrame, query: list[float], k: int = 5, *, now: int | None
     return top(score(df, query, now), k).withColumn("text", detail(level))
 
 
-#: Queries of one multi-query search that may be sent to every executor; more are cut into rounds.
+#: Queries of one search that go to every task with its code; more are rows of their own.
 QUERY_ROUND = 1024
+#: Queries and chunks of a group, where both are dealt into groups that meet pair by pair.
+QUERY_GROUP, CHUNK_GROUP = 4096, 1 << 17
+#: With more groups of chunks than this a part of them gives each query a score to reach first.
+SAMPLED, SAMPLE = 16, 32
+
+
+def _usable(vector) -> list[float]:
+    """A query's components; none for one without a cosine."""
+    return [] if vector is None or None in vector else list(vector)
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top ``k`` for each of many queries (``query_id, qvec``): ``query_id, id, score, rank``.
 
-    A round's queries are a matrix that each task multiplies its chunks with, so
-    chunks are read once a round, and only what can be among a task's best ``k``
-    leaves it.  Queries of one length make a round; null ones score 0.
+    Up to ``QUERY_ROUND`` queries are matrices that go to every task: chunks are read
+    once, in place, and only what can be among a task's best ``k`` leaves it.  More
+    queries never come to the driver: they are dealt into groups, as chunks are, and each
+    pair of groups is one product.  There a sample of the chunks first gives each query a score that ``k``
+    chunks reach, below which nothing leaves a task.  Either way it is one job for all
+    queries, of any length and id type; queries without a cosine (null ones, null
+    components) score 0.
     """
-    kind = chunks.schema["id"].dataType.simpleString()
-    rows = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).orderBy("query_id").toLocalIterator()
-    narrow, parts, rounds = chunks.select("id", "vector"), {}, []
+    few = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).limit(QUERY_ROUND + 1).collect()
+    narrow = chunks.select("id", "vector")
+    kinds = [queries.schema["query_id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()]
+    out = _few(narrow, few, k, kinds) if len(few) <= QUERY_ROUND else _grouped(narrow, queries, k, kinds)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def scored(some: list) -> DataFrame:
-        ids, vectors = [i for i, _ in some], [v for _, v in some]
-        return narrow.mapInArrow(lambda batches: M.best_cosines(batches, ids, vectors, k), f"query_id bigint, id {kind}, score double")
 
+def _few(narrow: DataFrame, rows: list, k: int, kinds: list[str]) -> DataFrame:
+    import pyarrow as pa
+
+    by_length: dict[int, list] = {}
     for r in rows:
-        fine = r.qvec is not None and None not in r.qvec
-        vector = list(r.qvec) if fine else []
-        parts.setdefault(len(vector), []).append((r.query_id, vector))
-        if len(parts[len(vector)]) == QUERY_ROUND:
-            rounds.append(scored(parts.pop(len(vector))))
-    rounds += [scored(some) for some in parts.values()]
-    if not rounds:
-        return narrow.selectExpr("cast(null as bigint) query_id", "id", "0D score", "0 rank").limit(0)
-    out = reduce(DataFrame.unionByName, rounds)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+        v = _usable(r.qvec)
+        by_length.setdefault(len(v), []).append((r.query_id, v))
+
+    def run(batches):
+        best = [M.BestCosines(pa.array([i for i, _ in some]), [v for _, v in some], k) for some in by_length.values()]
+        for b in batches:
+            for one in best:
+                yield from one.feed(b)
+
+    return narrow.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def _grouped(narrow: DataFrame, queries: DataFrame, k: int, kinds: list[str]) -> DataFrame:
+    v = F.col("qvec").cast("array<double>")
+    asked = queries.select("query_id", F.when(F.forall(v, lambda x: x.isNotNull()), v).otherwise(F.array().cast("array<double>")).alias("qvec"))
+    asked = asked.withColumn("qvec", F.coalesce("qvec", F.array().cast("array<double>"))).withColumn("length", F.size("qvec"))
+    sizes = {r.length: r["count"] for r in asked.groupBy("length").count().collect()}  # one number a length
+    n_chunks = narrow.count()
+    groups = -(-n_chunks // CHUNK_GROUP)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    split = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, -(-n // QUERY_GROUP))]), F.col("length"))
+    asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), split).cast("int"))
+    every = F.array(*[F.struct(F.lit(d).alias("length"), F.lit(i).alias("q")) for d, n in sizes.items() for i in range(-(-n // QUERY_GROUP))])
+    held = narrow.withColumn("c", part("id", max(1, groups)))
+
+    def met(questions: DataFrame, rows: DataFrame, sampled: bool) -> DataFrame:
+        left = questions.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1))))
+        right = rows.withColumn("g", F.explode(every)).select("id", "vector", "c", F.col("g.length").alias("length"), F.col("g.q").alias("q"))
+
+        def run(l, r):
+            import pyarrow as pa
+
+            none = pa.schema([("query_id", l.schema.field("query_id").type), ("id", r.schema.field("id").type), ("score", pa.float64())]).empty_table()
+            if not l.num_rows:
+                return none
+            l, r = l.combine_chunks(), r.select(["id", "vector"])
+            floor = l["floor"].to_numpy() if sampled else None
+            best = M.BestCosines(l["query_id"].combine_chunks(), l["qvec"].combine_chunks().flatten().to_numpy(), k, floor)
+            found = [x for b in r.to_batches() for x in best.feed(b)]
+            return pa.Table.from_batches(found) if found else none
+
+        keys = ["length", "q", "c"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+    if groups <= SAMPLED:
+        return met(asked, held, False)
+    some = met(asked, held.where(part("id", SAMPLE) == 0), False)
+    kth = F.element_at(F.sort_array(F.collect_list("score"), False), k)  # at most k rows a group and query, and few others
+    ranked = some.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("r") <= k)
+    floors = ranked.groupBy("query_id").agg(F.when(F.count("*") == k, kth).alias("floor"))
+    return met(asked.join(floors, "query_id", "left"), held, True)
 
 
 def budget(ranked: DataFrame, max_tokens: int, by: list[str] | None = None) -> DataFrame:

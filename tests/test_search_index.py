@@ -160,3 +160,20 @@ def test_versioned_tables(spark, tmp_path, chunks):
         tables.verify(spark, root, "m", 4)
     with pytest.raises(ValueError):
         tables.verify(spark, str(tmp_path / "none"), "m", 3)
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_queries_as_rows(spark, monkeypatch, groups):
+    """More queries than a task's code may hold: groups of both sides, ids of any type, a floor from a sample."""
+    import random
+
+    r = random.Random(groups)
+    vec = lambda n: [r.choice([-1.0, 0.5, 2.0, 0.0, 1.5]) for _ in range(n)]
+    df = spark.createDataFrame([(i, vec(5)) for i in range(400)] + [(1000, None), (1001, [1.0])], "id bigint, vector array<float>")
+    asked = [(f"q{i}", vec(5)) for i in range(60)] + [("none", None), ("empty", []), ("null", [1.0, None, 1.0, 1.0, 1.0]), ("one", [2.0]), ("zero", [0.0] * 5)]
+    queries = spark.createDataFrame(asked, "query_id string, qvec array<double>")
+    want = sorted((x.query_id, x.id, x.score, x["rank"]) for x in search.search_many(df, queries, 7).collect())
+    for name, value in (("QUERY_ROUND", 4), ("QUERY_GROUP", 25), ("CHUNK_GROUP", 400 // groups), ("SAMPLED", 2), ("SAMPLE", 4)):
+        monkeypatch.setattr(search, name, value)
+    assert sorted((x.query_id, x.id, x.score, x["rank"]) for x in search.search_many(df, queries, 7).collect()) == want
+    assert len(want) == 7 * len(asked)
