@@ -15,7 +15,7 @@ from tesserae.operators import drift, index, lifecycle, logs, memory, search, tr
 from tesserae.plans import queries as Q
 from tesserae.plans import stand_ins as S
 from tesserae.plans.queries import NOW, ORACLE_SQL, QUERIES, query
-from tesserae.sources import growing, readers, registry, tables
+from tesserae.sources import growing, readers, registry, tables, tree
 from tesserae.streaming import rules
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -37,6 +37,36 @@ def s7_sub_repo_index(spark, sf):
     return index.tag_sub_project(d, repos).groupBy("sub_project").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+_TREE = """d AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN source ELSE '' END AS project,
+  CASE WHEN doc_id % 11 = 0 THEN 'default' WHEN doc_id % 7 = 3 THEN 'user' WHEN doc_id % 13 = 5 AND text <> '' THEN 'binary' ELSE 'index' END AS reason FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"""
+
+
+@query(f"""WITH {_TREE}, r AS (
+  SELECT project, reason, count(*) AS n, coalesce(sum(CASE WHEN reason = 'index' THEN strlen(coalesce(text, '')) END), 0)::BIGINT AS bytes FROM d WHERE reason <> 'default' GROUP BY ALL
+  UNION ALL SELECT project, 'default', count(DISTINCT source || '/' || lang), 0 FROM d WHERE reason = 'default' GROUP BY ALL
+  UNION ALL SELECT DISTINCT '', 'sub_repo', (SELECT count(DISTINCT source) FROM d WHERE project <> ''), 0 FROM d
+  UNION ALL SELECT DISTINCT project, 'default', 1, 0 FROM d WHERE project <> '')
+SELECT project, reason, sum(n)::BIGINT AS n, sum(bytes)::BIGINT AS bytes FROM r GROUP BY ALL""")
+def s1_s7_a22_scan(spark, sf):
+    """The documents as files of a project with two repositories in it, scanned with them."""
+    top = growing.mounted(shared_folder(spark))
+    d = S.table(spark, sf, "documents").where("source is not null and lang is not null")
+    below = F.when(F.col("doc_id") % 11 == 0, F.concat_ws("/", "source", "lang", F.lit("node_modules"))).otherwise(F.concat_ws("/", "source", "lang"))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 3, ".min.txt").otherwise(".txt"))
+    body = F.when((F.col("doc_id") % 13 == 5) & (F.col("text") != ""), F.concat(F.lit("\0"), "text")).otherwise(F.coalesce("text", F.lit("")))
+
+    def write(rows):
+        for r in rows:
+            os.makedirs(f"{top}/{r.folder}", exist_ok=True)
+            if r.folder.split("/")[0] in ("src1", "src2"):
+                os.makedirs(f"{top}/{r.folder.split('/')[0]}/.git", exist_ok=True)
+            with open(f"{top}/{r.folder}/{r.name}", "wb") as f:
+                f.write(r.body.encode())
+
+    d.select(below.alias("folder"), name.alias("name"), body.alias("body")).foreachPartition(write)
+    return tree.counters(tree.scan_with_repos(spark, top, ["*.min.txt"]))
+
+
 _LINE = "concat(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), CASE WHEN k % 2 = 0 THEN ' INFO event=' ELSE ' WARN event=' END, event, ' project=p', k, ' session=', session)"
 
 
