@@ -104,12 +104,36 @@ def tokens_ceil(s: Column) -> Column:
     return F.floor((F.octet_length(s) + 3) / 4).cast("bigint")
 
 
+#: Words by which a topic's phrase is looked for at all.
+_PHRASES = {"ci": "ci/cd"}
+
+
 def tags(content: Column) -> Column:
-    """Topics in order, then up to five CamelCase words in lower case, distinct."""
-    low = F.lower(content)  # one plain alternation between two boundaries a topic, without case folding in the matcher
-    topics = F.array(*[F.when(low.rlike(f"{LEFT}(?:{words}){RIGHT}"), name) for name, words in TOPICS.items()])
+    """Topics in order, then up to five CamelCase words in lower case, distinct.
+
+    One pass over the words against the set of all topics' words; topics are then
+    looked for among the few that were found.  A phrase that ends in a word of its own
+    topic needs no look; others are matched only where their first word was found.
+    """
+    topics = {name: words.split("|") for name, words in TOPICS.items()}
+    known = sorted({w for words in topics.values() for w in words if w.isalnum()} | set(_PHRASES))
+    low = F.lower(content)
+    found = F.array_intersect(F.split(low, "[^A-Za-z0-9_]+"), F.array(*map(F.lit, known)))
     camel = F.regexp_extract_all(content, F.lit(rf"{LEFT}([A-Z][a-z]+(?:[A-Z][a-z]+)+){RIGHT}"), F.lit(1))
-    return F.array_distinct(F.concat(F.array_compact(topics), F.transform(F.slice(camel, 1, 5), F.lower)))
+
+    def named(found: Column) -> Column:
+        out = []
+        for name, words in topics.items():
+            hit = F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if w.isalnum()]))
+            for first, phrase in _PHRASES.items():
+                if phrase in words:
+                    hit = hit | (F.array_contains(found, first) & low.rlike(f"{LEFT}{phrase}{RIGHT}"))
+            out.append(F.when(hit, name))
+        return F.array_compact(F.array(*out))
+
+    # a lambda of one row, so that the words are looked up once
+    by_topic = F.flatten(F.transform(F.array(found), named))
+    return F.array_distinct(F.concat(by_topic, F.transform(F.slice(camel, 1, 5), F.lower)))
 
 
 def memory_type(content: Column) -> Column:

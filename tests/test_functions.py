@@ -136,3 +136,21 @@ def test_chunkers_take_time_in_proportion(spark):
     cuts = spark.createDataFrame([("aé中😀" * 5,)], "t string").select(*[X.byte_prefix(F.col("t"), n).alias(f"n{n}") for n in range(3, 40)]).first()
     for n in range(3, 40):
         assert cuts[f"n{n}"] == ("aé中😀" * 5).encode()[:n].decode("utf-8", "ignore")
+
+
+def test_topics_equal_their_patterns(spark):
+    """The words' look-up against each topic's alternation between boundaries."""
+    import random
+    import re
+
+    r = random.Random(6)
+    words = [w for t in X.TOPICS.values() for w in t.split("|")] + ["ci", "cd", "unit", "e2", "x", "é", "testé", "_db", "db_", "sql2", "PR", "HeapTop", "Kube"]
+    texts = ["".join(r.choice(words) + r.choice([" ", "", ".", "/", "_", "\n", "é", "-"]) for _ in range(r.randint(0, 6))) for _ in range(600)]
+    texts += ["ci/cd", "xci/cd", "CI/CD!", "ci/cdx", "unit  test", "unit test", "", "Kube", "ci cd"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.tags for x in rows.select("i", X.tags(F.col("t")).alias("tags")).collect()}
+    for i, t in enumerate(texts):
+        topics = [n for n, w in X.TOPICS.items() if re.search(rf"(?<![A-Za-z0-9_])(?:{w})(?![A-Za-z0-9_])", t.lower())]
+        camel = [c.lower() for c in re.findall(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])", t)][:5]
+        assert got[i] == list(dict.fromkeys(topics + camel)), t
+    assert spark.createDataFrame([(None,)], "t string").select(X.tags(F.col("t")).alias("x")).first().x is None
