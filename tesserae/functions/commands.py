@@ -6,20 +6,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RM = r"^rm\s+(?:-[a-zA-Z]*[rR][a-zA-Z]*[fF][a-zA-Z]*|-[a-zA-Z]*[fF][a-zA-Z]*[rR][a-zA-Z]*)\s+"
 #: Rules in order of precedence: id, class, pattern, why.  Ids, classes and patterns are fixed values.
 RULES = [
     ("GIT_PUSH_FORCE_WITH_LEASE", "allow", r"(?i)^git\s+push\s+(?:.*\s+)?--force-with-lease\b", "the lease makes it safe"),
-    ("RM_RF_ROOT", "block", _RM + r"/+\s*$", "deletes the whole file system"),
-    ("RM_RF_STAR_ROOT", "block", _RM + r"/\*", "deletes the whole file system"),
-    ("RM_RF_HOME", "block", _RM + r"(?:\$HOME|~)/?\s*$", "deletes the home directory"),
+    ("RM_RF_ROOT", "block", r"^rm\s+(?:-[a-zA-Z]*[rR][a-zA-Z]*[fF][a-zA-Z]*|-[a-zA-Z]*[fF][a-zA-Z]*[rR][a-zA-Z]*)\s+/+\s*$", "deletes the whole file system"),
+    ("RM_RF_STAR_ROOT", "block", r"^rm\s+(?:-[a-zA-Z]*[rR][a-zA-Z]*[fF][a-zA-Z]*|-[a-zA-Z]*[fF][a-zA-Z]*[rR][a-zA-Z]*)\s+/\*", "deletes the whole file system"),
+    ("RM_RF_HOME", "block", r"^rm\s+(?:-[a-zA-Z]*[rR][a-zA-Z]*[fF][a-zA-Z]*|-[a-zA-Z]*[fF][a-zA-Z]*[rR][a-zA-Z]*)\s+(?:\$HOME|~)/?\s*$", "deletes the home directory"),
     ("GIT_PUSH_FORCE_PROTECTED", "block", r"(?i)^git\s+push\s+(?:.*\s+)?(?:--force|-f)\b.*\b(?:main|master|prod|production|release/\S+)\b", "rewrites a shared branch"),
     ("GIT_RESET_HARD_PROTECTED", "block", r"(?i)^git\s+reset\s+--hard\s+(?:origin/)?(?:main|master|release/\S+|prod|production)\b", "throws local work away for a shared branch"),
     ("DROP_DATABASE", "block", r"(?i)\bdrop\s+database\b", "can't be undone"),
     ("DD_OF_DEV", "block", r"^(?:sudo\s+)?dd\b.*\bof=/dev/(?:sd|nvme|hd|vd|mmcblk|xvd)", "writes over a disk"),
     ("MKFS_ANY", "block", r"^(?:sudo\s+)?mkfs(?:\.[a-zA-Z0-9]+)?\s+/dev/", "formats a disk"),
     ("KUBECTL_DELETE_PROD", "block", r"^kubectl\s+delete\b.*(?:--namespace(?:=|\s+)prod(?:uction)?\b|-n\s+prod(?:uction)?\b|--context(?:=|\s+)\S*prod\S*)", "changes production by hand"),
-    ("RM_RF_DOT_GIT", "warn", _RM + r"\.git\b", "deletes a repository's history"),
+    ("RM_RF_DOT_GIT", "warn", r"^rm\s+(?:-[a-zA-Z]*[rR][a-zA-Z]*[fF][a-zA-Z]*|-[a-zA-Z]*[fF][a-zA-Z]*[rR][a-zA-Z]*)\s+\.git\b", "deletes a repository's history"),
     ("GIT_PUSH_FORCE_GENERIC", "warn", r"(?i)^git\s+push\s+(?:.*\s+)?(?:--force|-f)\b", "rewrites a remote branch"),
     ("GIT_RESET_HARD_GENERIC", "warn", r"(?i)^git\s+reset\s+--hard\b", "throws local work away"),
     ("GIT_CLEAN_FDX", "warn", r"(?i)^git\s+clean\s+-[a-zA-Z]*[fdx][a-zA-Z]*", "deletes files that git doesn't know"),
@@ -27,7 +26,7 @@ RULES = [
     ("KUBECTL_DELETE_GENERIC", "warn", r"^kubectl\s+delete\b", "changes a cluster"),
     ("CHMOD_777_RECURSIVE", "warn", r"^chmod\s+-R\s+0?7{3}\b", "opens files to everybody"),
     ("CURL_PIPE_BASH", "warn", r"^(?:curl|wget)\b[^|]*\|\s*(?:sudo\s+)?(?:bash|sh|zsh)\b", "runs what it downloads"),
-    ("RM_RF_RECURSIVE_GENERIC", "warn", _RM + r"\S", "deletes a tree"),
+    ("RM_RF_RECURSIVE_GENERIC", "warn", r"^rm\s+(?:-[a-zA-Z]*[rR][a-zA-Z]*[fF][a-zA-Z]*|-[a-zA-Z]*[fF][a-zA-Z]*[rR][a-zA-Z]*)\s+\S", "deletes a tree"),
 ]
 #: Normalisation steps in order: pattern and replacement; fixed values.
 STEPS = [

@@ -40,18 +40,20 @@ TYPE_PHRASES = {
 }
 #: Marker classes by priority, and what tells them; fixed values.
 MARKERS = {
-    "correction": r"<actually>|<no,?[\t\n\f\r ]|<don'?t>|<stop>|<instead>|<wrong>",
-    "workaround": r"<workaround>|<hack>|<trick>|<gotcha>",
-    "teaching": r"<turns out>|<fyi>|<heads up>|<for reference>",
-    "frustration": r"<fuck>|<why>|<broken>",
+    "correction": r"(?i)\bactually\b|\bno,?\s|\bdon['']?t\b|\bstop\b|\binstead\b|\bwrong\b",
+    "workaround": r"(?i)\bworkaround\b|\bhack\b|\btrick\b|\bgotcha\b",
+    "teaching": r"(?i)\bturns out\b|\bfyi\b|\bheads up\b|\bfor reference\b",
+    "frustration": r"(?i)\bfuck\b|\bwhy\b|\bbroken\b",
 }
 #: Opening messages that look back; fixed value.
-PLANNING = r"<past decisions?>|<plan(?:s|ning)?>|<architecture>|<prior(?:[\t\n\f\r ]+issues?)?>"
+PLANNING = r"(?i)\bpast decisions?\b|\bplan(s|ning)?\b|\barchitecture\b|\bprior(\s+issues?)?\b"
 
 
 def word_pattern(p: str) -> str:
-    """``<`` and ``>`` in ``p`` as ASCII word boundaries; case is ignored."""
-    return "(?i)(?:" + p.replace("<", "\0").replace(">", RIGHT).replace("\0", LEFT).replace(f"(?{LEFT}", "(?<") + ")"
+    """``p`` for Spark's matcher: word boundaries and white space are ASCII."""
+    inside = "[A-Za-z0-9_]"
+    boundary = f"(?:(?<={inside})(?!{inside})|(?<!{inside})(?={inside}))"
+    return p.replace(r"\b", boundary).replace(r"\s", SPACE)
 
 
 def collapse(s: Column) -> Column:

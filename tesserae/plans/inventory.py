@@ -193,7 +193,7 @@ def f13_size_limits(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", *[X.refusal(k, t).alias(k) for k in ("content", "query", "summary")])
 
 
-@query("SELECT doc_id, CASE WHEN len(string_split(left(text, 3000), ' ')) > 20 THEN 'too many tags' WHEN list_max(list_transform(string_split(left(text, 3000), ' '), lambda x: strlen(x))) > 100 THEN 'a tag is too long' END AS refused FROM documents")
+@query("SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 20 THEN 'too many tags' WHEN list_max(list_transform(string_split(text, ' '), lambda x: strlen(x))) > 100 THEN 'a tag is too long' END AS refused FROM documents")
 def f13_tag_limits(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", X.refused_tags(F.split("text", " ")).alias("refused"))
 

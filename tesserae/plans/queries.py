@@ -596,9 +596,14 @@ def w3_turn_index(spark, sf):
     return transcripts.turns(S.messages(spark, sf)).select("session", "idx", "turn")
 
 
-_WORDS = lambda p: "(?i)(?:" + p.replace("(?:", "\0").replace("<", "\\b").replace(">", "\\b").replace("\0", "(?:").replace("'’", "''’") + ")"
-_QUOTED = lambda p: _WORDS(p).replace("'", "''")
-_MARK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_QUOTED(p)}') THEN '{m}'" for m, p in X.MARKERS.items()) + " END"
+#: What marks messages; fixed values.
+_CORRECTION = r"(?i)\bactually\b|\bno,?\s|\bdon['']?t\b|\bstop\b|\binstead\b|\bwrong\b"
+_WORKAROUND = r"(?i)\bworkaround\b|\bhack\b|\btrick\b|\bgotcha\b"
+_TEACHING = r"(?i)\bturns out\b|\bfyi\b|\bheads up\b|\bfor reference\b"
+_FRUSTRATION = r"(?i)\bfuck\b|\bwhy\b|\bbroken\b"
+_LOOKS_BACK = r"(?i)\bpast decisions?\b|\bplan(s|ning)?\b|\barchitecture\b|\bprior(\s+issues?)?\b"
+_QUOTED = lambda p: p.replace("'", "''")
+_MARK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_QUOTED(p)}') THEN '{m}'" for m, p in (("correction", _CORRECTION), ("workaround", _WORKAROUND), ("teaching", _TEACHING), ("frustration", _FRUSTRATION))) + " END"
 _HITS = f"""(SELECT session, idx, marker, {prefix_sql('text', 200)} AS excerpt, concat(CASE WHEN pr = 'assistant' AND pt <> '' THEN concat('assistant: ', {prefix_sql('pt', 800)}, chr(10), chr(10)) ELSE '' END, 'user: ', {prefix_sql('text', 800)}) AS "window"
  FROM (SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt, {_MARK_SQL} AS marker FROM messages WINDOW w AS (PARTITION BY session ORDER BY idx)) WHERE role = 'user' AND marker IS NOT NULL)"""
 
@@ -628,8 +633,8 @@ def x23_session_summary(spark, sf):
     return transcripts.session_summary(S.messages(spark, sf)).select("session", F.sha2("summary", 256).alias("summary"))
 
 
-_FIX = _QUOTED(X.MARKERS["correction"])
-_PLAN = _QUOTED(X.PLANNING)
+_FIX = _QUOTED(_CORRECTION)
+_PLAN = _QUOTED(_LOOKS_BACK)
 
 
 def _rules(spark, sf) -> DataFrame:
