@@ -19,7 +19,7 @@ class Boosted:
 
         w = np.ones(len(y)) if weight is None else np.asarray(weight, "f8")
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        b, (n, d) = self._bin(x), x.shape
+        b, (n, d) = np.asfortranarray(self._bin(x)), x.shape
         self.base = float(np.log((w @ y + 1) / (w @ (1 - y) + 1)))
         margin = np.full(n, self.base)
         self.feature, self.cut, self.value = [], [], []

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from tesserae.llm.boost import Boosted
 
 #: Pages that the model is trained on.
-EXAMPLES = 500
+EXAMPLES = 1200
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -324,17 +324,29 @@ def example_page(r: random.Random) -> tuple[str, str]:
             parts.append(keep("p", prose(1 if r.random() < 0.1 else 4), shut=not loose or r.random() < 0.7))
         if r.random() < 0.06:
             parts.append(r.choice([ad, notice, form, side])())
-    box = r.choice([("article", ""), ("article", ""), ("article", attr("post", "story")), ("main", ""), ("div", attr("content", "post-body", "article", "entry-content", "main")), ("section", attr("story", "content")), ("div", "")])
-    core = f"<{box[0]}{box[1]}>{''.join(parts)}{r.choice(['', '', '', comments()])}</{box[0]}>"
-    if r.random() < 0.3:
-        core = f"<div{names('', attr('wrapper', 'container', 'page', 'row'))}>{core}{side() if r.random() < 0.5 else ''}</div>"
-    front = [f() for f in (head, nav, ad, notice, side, form) if r.random() < 0.4]
+    if r.random() < 0.06:  # paragraphs parted by line ends alone
+        more = [_words(r, 8, 70) for _ in range(r.randint(2, 7))]
+        article += more
+        parts += [names("<br><br>", "<br>", "<br />\n<br />").join(more)]
+    token = f"{_words(r, 1, 1)[:-1].lower()}{names('', '-body', '-text', '-8', '_inner', 'Wrap')}"
+    box = r.choice([("article", ""), ("article", ""), ("article", attr("post", "story")), ("main", ""), ("main", ""), ("div", attr("content", "post-body", "article", "entry-content", "main")), ("section", attr("story", "content")), ("div", ""), ("div", attr(token)), ("div", ' role="main"'), ("td", ""), None, None, None])
+    core = "".join(parts) + r.choice(["", "", "", comments()])
+    if box:
+        core = f"<{box[0]}{box[1]}>{core}</{box[0]}>"
+        if box[0] == "td":
+            core = f"<table><tr>{names('', f'<td>{items(3)}</td>', f'<td>{links(4)}</td>')}{core}</tr></table>"
+    for _ in range(r.choice([0, 0, 0, 0, 1, 2])):
+        core = f"<div{names('', attr('wrapper', 'container', 'page', 'row', token))}>{core}{side() if r.random() < 0.3 else ''}</div>"
+    bare = r.random() < 0.2  # little or nothing around the article
+    front = [f() for f in (head, nav, ad, notice, side, form) if r.random() < (0.05 if bare else 0.4)]
     r.shuffle(front)
-    back = [f() for f in (comments, side, ad, form, nav) if r.random() < 0.3]
+    back = [f() for f in (comments, side, ad, form, nav) if r.random() < (0.05 if bare else 0.3)]
     r.shuffle(back)
-    if r.random() < 0.8:
+    if r.random() < (0.3 if bare else 0.8):
         back.append(foot())
     page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{''.join(front)}{core}{''.join(back)}"
+    if bare and r.random() < 0.2:
+        page = page[page.index("<body>") + 6 :]
     return page + names("</body></html>", "</body></html>", ""), " ".join(" ".join(article).split())
 
 
