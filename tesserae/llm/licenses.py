@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine to templates, then inheritance from directories.
 
 A *passage* is a run of neighbouring lines that hold a licence cue, with the
-lines between them if they are few; whole texts are searched.  Lines can be long,
+lines between them if they are few and some that follow; whole texts are searched.  Lines can be long,
 so a passage stands for itself and for *windows* in it: runs of up to ``RUN``
 sentences around a cue, and of a sentence over ``LONG`` words, pieces about as
 long as the templates around each cue.  The best of them counts.  Windows and
@@ -41,8 +41,10 @@ from tesserae.llm.common import cut
 
 LEAST = 0.6
 GAP = 2  #: lines without a cue that a passage may run over
+TAIL = 5  #: lines that follow a passage's last cue: wrapped sentences end there
 BODY = 0.9  #: share of a text that makes it a licence file
 RUN, LONG = 4, 60  #: sentences of a window, and words of a sentence that is cut into pieces
+WHOLE = 28  #: words of templates that pieces over several sentences are made for
 
 #: Licence ids and the notices that stand for them.  Fixed values.
 TEMPLATES = [
@@ -69,6 +71,29 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal, public domain."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Proprietary and confidential. Unauthorized copying of this file is prohibited. All rights reserved."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 Free Software Foundation, Inc. 51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002 Copyright (C) 2000,2001,2002 Free Software Foundation, Inc. 51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008 Copyright (C) 2000, 2001, 2002, 2007, 2008 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions. 1.0.1. \"Commercial Use\" means distribution or otherwise making the Covered Code available to a third party. 1.1. \"Contributor\" means each entity that creates or contributes to the creation of Modifications."),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1 --------------- 1. Definitions."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
+    ("Artistic-1.0", "The \"Artistic License\" Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software."),
+    ("PSF-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2 1. This LICENSE AGREEMENT is between the Python Software Foundation (\"PSF\"), and the Individual or Organization (\"Licensee\") accessing and otherwise using this software (\"Python\") in source or binary form and its associated documentation."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP."),
 ]
 
 #: What a line has to hold, in any case.
@@ -86,10 +111,10 @@ def terms(text: str) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
-def passages(text: str | None) -> list[str]:
-    """Runs of lines with licence cues."""
+def _runs(text: str | None) -> tuple[list[str], list[list[int]]]:
+    """The lines of a text, and the runs of them with licence cues."""
     if not text or not any(c in low for low in (text.lower(),) for c in CUES):
-        return []
+        return [], []
     lines = text.split("\n")
     hits = [i for i, line in enumerate(lines) if _CUE.search(line)]
     out: list[list[int]] = []
@@ -98,7 +123,20 @@ def passages(text: str | None) -> list[str]:
             out[-1][1] = i
         else:
             out.append([i, i])
-    return ["\n".join(lines[a : b + 1]) for a, b in out]
+    return lines, out
+
+
+def passages(text: str | None) -> list[str]:
+    """Runs of lines with licence cues."""
+    lines, runs = _runs(text)
+    return ["\n".join(lines[a : b + 1]) for a, b in runs]
+
+
+def searched(text: str | None, sizes: tuple[int, ...]):
+    """The windows of all passages, and of these with the lines that follow them."""
+    lines, runs = _runs(text)
+    for a, b in runs:
+        yield from dict.fromkeys([*windows("\n".join(lines[a : b + 1]), sizes), *windows("\n".join(lines[a : b + 1 + TAIL]), sizes)])
 
 
 def windows(passage: str, sizes: tuple[int, ...]) -> list[str]:
@@ -121,6 +159,18 @@ def windows(passage: str, sizes: tuple[int, ...]) -> list[str]:
             for n in sizes:
                 for a in {max(0, at - k) for k in (0, n // 3, 2 * n // 3, n - 1)}:
                     out[sentences[i][spans[a][0] : spans[min(a + n, len(spans)) - 1][1]]] = None
+    # from each such sentence on as many words as the longer templates have
+    words = [m.span() for m in _WORD.finditer(passage)]
+    starts, at = [], 0
+    for i, x in enumerate(sentences):
+        at = passage.index(x, at)
+        if i == 0 or _CUE.search(x):
+            starts.append(bisect_left(words, (at, at)))
+        at += len(x)
+    for a in starts:
+        for n in sizes:
+            if n >= WHOLE and a + n // 2 < len(words):
+                out[passage[words[a][0] : words[min(a + n, len(words)) - 1][1]]] = None
     return list(out)
 
 
@@ -131,7 +181,8 @@ class Matcher:
         self.rare = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
         self.names = [name for name, _ in templates]
-        self.sizes = tuple(sorted({len(text.split()) for _, text in templates}))
+        self.words = [len(text.split()) for _, text in templates]
+        self.sizes = tuple(sorted(set(self.words)))
         self.rows: dict[str, list[tuple[int, float]]] = {}
         for k, (_, text) in enumerate(templates):
             for t, w in self._vector(text).items():
@@ -144,23 +195,30 @@ class Matcher:
 
     def of_text(self, text: str | None, least: float) -> tuple[float, str | None, float]:
         """Score and name of the best window of a whole text, and the largest share of the text that a matching window is."""
-        best, share = (0.0, None), 0.0
-        for p in passages(text):
-            for w in windows(p, self.sizes):
-                score, name = self.best(w)
-                if score > best[0] or score == best[0] and name and name < (best[1] or name + "x"):
-                    best = score, name
-                if score >= least:
-                    share = max(share, len(w) / len(text))
-        return *best, share
+        best, share = (0.0, 0.0, None), 0.0
+        for w in searched(text, self.sizes):
+            score, name, words = self._best(w)
+            evidence = (score - 0.5) * math.sqrt(words) if score >= least else 0.0
+            if (evidence, score) > best[:2] or (evidence, score) == best[:2] and name and name < (best[2] or name + "x"):
+                best = evidence, score, name
+            if score >= least:
+                share = max(share, len(w) / len(text))
+        return *best[1:], share
 
     def best(self, passage: str) -> tuple[float, str | None]:
+        return self._best(passage)[:2]
+
+    def _best(self, passage: str) -> tuple[float, str | None, int]:
+        """The best template's cosine, its name and its words; ties go to the smaller name, then to the longer template."""
         dots = [0.0] * len(self.names)
         for t, w in self._vector(passage).items():
             for k, x in self.rows.get(t, ()):
                 dots[k] += w * x
         score = round(max(dots), 9)  # equal texts and equal scores tie whatever the order of their sums
-        return (score, min(n for n, d in zip(self.names, dots) if round(d, 9) >= score)) if score > 0 else (0.0, None)
+        if score <= 0:
+            return 0.0, None, 0
+        name, words = min((n, -k) for n, k, d in zip(self.names, self.words, dots, strict=True) if round(d, 9) >= score)
+        return score, name, -words
 
 
 @cache

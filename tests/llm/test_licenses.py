@@ -1,3 +1,5 @@
+from collections import Counter
+from pathlib import Path
 import pytest
 
 from tesserae.llm import licenses
@@ -95,9 +97,15 @@ def test_scan_against_brute_force(spark):
     sizes = tuple(sorted({len(t.split()) for _, t in licenses.TEMPLATES}))
     own, gives = {}, {}
     for i, path, t in rows:
-        found = [(round(cosine(w, body), 9), name, len(w)) for p in licenses.passages(t) for w in licenses.windows(p, sizes) for name, body in licenses.TEMPLATES]
-        score = max((f[0] for f in found), default=0.0)
-        name = min((f[1] for f in found if f[0] >= score), default=None)
+        found, ranked = [], []
+        for w in licenses.searched(t, sizes):  # of each window the best template; of all windows the one with the most evidence
+            every = [(round(cosine(w, body), 9), name, len(body.split())) for name, body in licenses.TEMPLATES]
+            found += [(c, name, len(w)) for c, name, _ in every]
+            most = max(c for c, _, _ in every)
+            c, name, n = min((x for x in every if x[0] >= most), key=lambda x: (x[1], -x[2]))
+            ranked.append(((c - 0.5) * np.sqrt(n) if c >= licenses.LEAST else 0.0, c, name))
+        score = max(((e, c) for e, c, _ in ranked), default=(0.0, 0.0))[1]
+        name = min((n for e, c, n in ranked if (e, c) == max((e, c) for e, c, _ in ranked)), default=None)
         folder, _, file = path.rpartition("/")
         if score >= licenses.LEAST:
             own[i] = (name, score)
@@ -122,3 +130,36 @@ def test_kept_names_that_clash(spark):
     files = spark.createDataFrame([("a", "b", "c")], "path string, text string, score string")
     with pytest.raises(ValueError):
         licenses.scan(files, keep=["score"])
+
+
+def _own_matcher():
+    df = Counter()
+    for _, body in licenses.TEMPLATES:
+        df.update([*licenses.terms(body), ""])
+    n = df.pop("")
+    return licenses.Matcher(tuple(licenses.TEMPLATES), df, n)
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "CC0-1.0", "GFDL-1.3", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-2.0", "BSD"])
+def test_whole_licenses_are_told_right(name):
+    """License files as a system brings them, where it does."""
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no such file here")
+    want = {"BSD": "BSD-3-Clause", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}.get(name, name)
+    assert _own_matcher().of_text(path.read_text(errors="replace"), licenses.LEAST)[1] == want
+
+
+def test_a_whole_text_outweighs_two_words():
+    m = _own_matcher()
+    two = "Copyright (c) 2020, A. Author\nAll rights reserved.\n\n" + [t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause"][-1]
+    three = "Copyright 2021 B\nAll rights reserved.\n\n" + [t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause"][-1]
+    assert m.of_text(two, licenses.LEAST)[1] == "BSD-2-Clause" and m.of_text(three, licenses.LEAST)[1] == "BSD-3-Clause"
+    assert m.of_text("x\nAll rights reserved.\ny", licenses.LEAST)[1] == "Proprietary"
+
+
+def test_license_files_by_name_give_to_their_folders(spark):
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("GNU"))
+    rows = [("a/COPYING", gpl + "\n" + "Preamble and much more text of it. " * 50), ("a/b/x.c", "int x;"), ("c/y.c", "int y;"), ("c/UNLICENSE", next(t for n, t in licenses.TEMPLATES if n == "Unlicense"))]
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/COPYING": ("GPL-3.0", "own"), "a/b/x.c": ("GPL-3.0", "inherited"), "c/y.c": ("Unlicense", "inherited"), "c/UNLICENSE": ("Unlicense", "own")}
