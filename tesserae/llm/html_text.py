@@ -385,7 +385,7 @@ def model(examples: int = EXAMPLES, seed: int = 17) -> Boosted:
         x += features(page)
         y += _labels(page, text)
         w += [0.3 + math.log1p(k) for k in page.own]
-    return Boosted(trees=40, depth=5).fit(np.array(x, "f8"), np.array(y), np.array(w) / 3)
+    return Boosted(trees=60, depth=5).fit(np.array(x, "f8"), np.array(y), np.array(w) / 3)
 
 
 def extract(sources: list[str | None], trees: Boosted) -> list[str]:

@@ -127,3 +127,31 @@ def test_pages_written_by_hand(trees):
         total += len(have)
         wrong += sum(w not in have for w in got)
     assert found >= 0.7 * total and wrong <= 0.1 * total  # as the README states: articles without a box of their own suffer
+
+
+_PROSE = [
+    "The river rises in the northern hills and flows for ninety miles before it meets the sea, where a small harbour town has stood for centuries.",
+    "Its upper course is steep and wooded; in spring, meltwater makes it dangerous to cross, and several bridges have been lost to floods.",
+    "Farmers in the lower valley depend on it for irrigation. A treaty divides the water between the two provinces, though both complain about it.",
+    "In recent years, scientists have measured falling levels of oxygen in the estuary, which they blame on fertiliser washed in from the fields.",
+    "The council has promised to plant trees along the banks, to shade the water and to hold back the soil when heavy rain comes down.",
+    "Whether that will be enough is disputed, but most people who live there agree that something had to be done.",
+]
+_P, _NAV = "".join(f"<p>{x}</p>" for x in _PROSE), '<nav><a href="/">Home</a> <a href="/a">About</a> <a href="/c">Contact</a></nav>'
+_FOOT = '<footer><p>Copyright 2024 Example Ltd.</p><a href="/p">Privacy</a></footer>'
+_H = "<h1>The river and the town</h1>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body>{_H}{_P}{_FOOT}</body></html>", f"<html><body>{_NAV}{_H}{_P}{_FOOT}</body></html>", f"<html><body><main>{_P}</main></body></html>", f"<html><body><main>{_H}{_P}</main></body></html>",
+        f'<html><body><div class="topic-body">{_P}</div></body></html>', f"<html><body>{_NAV}<article>{_H}{_P}</article>{_FOOT}</body></html>", f"<html><body>{_NAV}<div>{_H}{_P}</div>{_FOOT}</body></html>",
+        _P, _PROSE[0] + " " + " ".join(_PROSE[1:]), f"<html><body>{_NAV}{_H}{'<br><br>'.join(_PROSE)}{_FOOT}</body></html>", f"<html><body><table><tr><td>{_NAV}</td><td>{_H}{_P}</td></tr></table>{_FOOT}</body></html>",
+        f'<html><body><div id="root"><div class="layout"><div class="col-8">{_H}{_P}</div><div class="col-4 sidebar"><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div></div></div>{_FOOT}</body></html>',
+    ],
+)
+def test_articles_without_a_box_of_their_own(page):
+    (got,) = html_text.extract([page], html_text.model())
+    title = "The river and the town " if _H in page else ""
+    assert got == title + " ".join(_PROSE)
