@@ -5,13 +5,16 @@ addresses, IBANs, access keys and assigned secrets, and names after a title
 (initials too).  A secret runs to its closing quote or the next white space.
 An entity is a kind and a canonical value (digits of a number, lower case of an
 address or name), so the mentions of one entity share it whatever their format.
-A card number is one that an issuer may give (first digit 2 to 6) and whose check
-digit is right; an unquoted secret after a colon holds a digit or both cases.
+A card number is one that an issuer may give (first digit 2 to 6), and it and an IBAN
+have the right check digits; an unquoted secret after a colon holds a digit or both cases.
 
 A surrogate comes from a keyed Feistel permutation of the value's own format:
 digits to digits, letters to letters of the same script and case (vowels to
-vowels in names), with check digits made right again and given names exchanged
-within the list of their gender.  Permutations keep different values different.
+vowels in names; in scripts without a list here to letters of one kind among the
+64 code points around), with check digits made right again, the digits that tell a
+card's issuer kept, social security numbers such as are given out, and given names
+exchanged within the list of their gender.  A name that was found after a title is replaced
+wherever the document has it in capitals, and a phone number also as plain digits.  Permutations keep different values different.
 What they can't see is whether a surrogate is another entity's real value; so
 the distinct entities of all documents are joined with their surrogates, and
 whoever meets a real value or another surrogate tries the next permutation until
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -61,6 +65,7 @@ _SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|passphrase|pwd|secret|to
 _LOCAL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _DIGIT = re.compile(r"\d")
+_RUN_OF_DIGITS = re.compile(r"(?<![\w.-])\d{7,15}(?![\w-])")
 
 #: Titles that a name follows.  Fixed values.
 TITLES = (
@@ -99,14 +104,28 @@ def _classes(sets: list[str]) -> dict[str, tuple[str, int]]:
 _PLAIN, _NAMES, _HEX = _classes(_PLAIN_SETS), _classes(_NAME_SETS), {c: ("0123456789abcdef", i) for i, c in enumerate("0123456789abcdef")}
 
 
+@lru_cache(maxsize=65_536)
+def _block(c: str) -> tuple[str, int] | None:
+    """The class of a letter or digit that no list holds: its like among the 64 code points around it, else among 1024; None for others."""
+    if not c.isalnum() or c in _PLAIN:
+        return None
+    kind = unicodedata.category(c)
+    for wide in (64, 1024):
+        first = ord(c) // wide * wide
+        like = "".join(x for x in map(chr, range(first, first + wide)) if x not in _PLAIN and x.isalnum() and unicodedata.category(x) == kind)
+        if len(like) > 1:
+            return like, like.index(c)
+    return None
+
+
 def permute(value: str, tag: str, key: bytes, classes: dict | None = None) -> str:
     """A keyed bijection of the strings of ``value``'s format; symbols of no class stay."""
-    classes = _PLAIN if classes is None else classes
-    at = [i for i, c in enumerate(value) if c in classes]
+    found = [_PLAIN.get(c) or _block(c) for c in value] if classes is None else list(map(classes.get, value))
+    at = [i for i, s in enumerate(found) if s]
     if not at:
         return value
-    sets = [classes[value[i]] for i in at]
-    shape = "".join(f"{len(s)}," if c in classes else c for c, s in ((c, classes.get(c, ("", 0))[0]) for c in value))
+    sets = [found[i] for i in at]
+    shape = "".join(f"{len(s[0])}," if s else c for c, s in zip(value, found, strict=True))
     half = len(at) // 2
 
     def number(some):
@@ -153,6 +172,11 @@ def _walk(value: str, step, shape) -> str:
     return x
 
 
+def _issued(number: str) -> bool:
+    """Whether a social security number can have been given out."""
+    return number[:3] not in ("000", "666") and number[0] != "9" and number[3:5] != "00" and number[5:] != "0000"
+
+
 def _reach(address: str) -> int:
     """Public addresses, private ones and others, told apart; ``address`` as 8 hex digits."""
     a, b = int(address[:2], 16), int(address[2:4], 16)
@@ -166,8 +190,11 @@ def surrogate(kind: str, value: str, attempt: int = 0, *, key: bytes) -> str:
     tag = f"{kind}|{attempt}"
     wider = attempt >= WIDER
     if kind == "card":
-        body = value[0] + permute(value[1:-1], tag + value[0], key)
+        head = value[: 2 if value[0] == "3" else 1]  # what tells the issuer stays
+        body = head + permute(value[len(head) : -1], tag + head, key)
         return f"{body}{_luhn(body)}"
+    if kind == "ssn" and not wider:
+        return _walk(value, lambda x: permute(x, tag, key), _issued)
     if kind == "ip":
         address = bytes(map(int, value.split("."))).hex()
         return ".".join(map(str, bytes.fromhex(_walk(address, lambda x: permute(x, tag, key, _HEX), _reach))))
@@ -227,7 +254,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind != "card" or value[0] in "23456" and _luhn(value[:-1]) == int(value[-1]):
                 found.append((*m.span(), kind, value))
         for m in _IBAN.finditer(text):
-            found.append((*m.span(), "iban", m[0].replace(" ", "")))
+            value = m[0].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+                found.append((*m.span(), "iban", value))
     if "AKIA" in text or "ASIA" in text:
         found += [(*m.span(), "access", m[0]) for m in _ACCESS.finditer(text)]
     if "=" in text or ":" in text:
@@ -255,6 +284,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                     elif w[part.end() : part.end() + 1] not in ("'", "’"):  # the O of O'Brien stays
                         found.append((a, b, "initial", low))
                 start += len(w) + 1
+    found += _again(text, found)
     found.sort(key=lambda f: (f[0], -f[1]))
     out, end = [], 0
     for f in found:
@@ -264,6 +294,22 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _again(text: str, found: list) -> list[tuple[int, int, str, str]]:
+    """Other mentions of what was found: names without their title, phone numbers without their format."""
+    more = []
+    names = {value: kind for _, _, kind, value in found if kind in ("given", "family") and len(value) > 2}
+    if names:
+        for m in _LETTERS.finditer(text):
+            low = m[0].lower()
+            a, b = m.span()
+            if low in names and m[0][0].isupper() and not (text[a - 1 : a].isdigit() or text[b : b + 1].isdigit() or "_" in (text[a - 1 : a], text[b : b + 1])):
+                more.append((a, b, names[low], low))
+    phones = {value for _, _, kind, value in found if kind == "phone"}
+    if phones:
+        more += [(*m.span(), "phone", m[0]) for m in _RUN_OF_DIGITS.finditer(text) if m[0] in phones]
+    return more
+
+
 def render(mention: str, kind: str, value: str) -> str:
     """``value`` in the format and case of ``mention``."""
     if kind in ("phone", "card", "ssn"):

@@ -155,3 +155,37 @@ def test_table_against_brute_force(spark):
     tries = {f"{k}|{v}": n for (k, v), n in attempt.items() if n}
     want = {r.doc_id: None if r.text is None else replace(r.text, tries)[0] for r in rows}
     assert {r.doc_id: r.text for r in pii.pseudonymise(docs, KEY).collect()} == want
+
+
+@pytest.mark.parametrize("secret", ["密码密码密码密码密码", "пароль密码7गुप्त", "सुरक्षित१२३४", "סיסמה־חזקה", "비밀번호비밀번호", "パスワードです", "𠮷野家𠮷野家x"])
+def test_secrets_in_any_script(secret):
+    text = f'password: "{secret}" and more'
+    new, n = pii.replace(text, key=KEY)
+    got = new[len('password: "') : -len('" and more')]
+    assert n == 1 and len(got) == len(secret) and got != secret
+    assert all(a != b or not a.isalnum() for a, b in zip(got, secret)) or sum(a != b for a, b in zip(got, secret)) * 2 > sum(c.isalnum() for c in secret)
+
+
+def test_permutations_of_other_scripts_stay_different():
+    values = ["".join(chr(0x4E00 + (i * 7 + k * 13) % 64) for k in range(3)) for i in range(64)]
+    assert len({pii.surrogate("secret", v, key=KEY) for v in values}) == len(set(values))
+
+
+def test_later_mentions_of_a_name_and_a_number():
+    text = "Mr John Smith called (415) 555-2671. Later Smith said so, SMITH and John did; blacksmith, a smith and Smith2 did not. Ring 4155552671, not 24155552671."
+    new, n = pii.replace(text, key=KEY)
+    assert n == 7 and "John" not in new and "Smith " not in new and "SMITH" not in new and "4155552671," not in new.replace("24155552671", "")
+    assert "blacksmith, a smith and Smith2 did not" in new and "24155552671" in new
+    family = pii.surrogate("family", "smith", key=KEY)
+    assert new.count(family.capitalize()) == 2 and family.upper() in new
+    digits = pii.surrogate("phone", "4155552671", key=KEY)
+    assert f"({digits[:3]}) {digits[3:6]}-{digits[6:]}" in new and f"Ring {digits}," in new
+
+
+def test_numbers_stay_of_their_kind():
+    for i in range(300):
+        ssn = pii.surrogate("ssn", f"{100 + i:03d}{1 + i % 99:02d}{1 + i:04d}", key=KEY)
+        assert pii._issued(ssn)
+    amex = "37828224631000"
+    card = amex + str(pii._luhn(amex))
+    assert all(pii.surrogate("card", card, a, key=KEY)[:2] == "37" for a in range(5))
