@@ -153,8 +153,9 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "u1").reshape(b.num_rows, -1) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= likely(least)))
 
-    made = texts.mapInArrow(keyed, "h bigint, keys array<bigint>, sign binary, fp bigint, s binary")
-    nodes = staged(made.dropDuplicates(["h"]), "near-sets")
+    # sets lie where they were made until a candidate needs them; copies go by what is narrow
+    made = staged(texts.mapInArrow(keyed, "h bigint, keys array<bigint>, sign binary, fp bigint, s binary"), "near-sets")
+    nodes = cut(made.select("h", "keys", "sign", "fp").dropDuplicates(["h"]))
     bands = nodes.select("h", F.explode("keys").alias("key"))
     crowded = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1")
     members = cut(bands.join(crowded, "key"))
@@ -170,7 +171,7 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
         return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(judged, "a bigint, b bigint"))
 
     def sets_of(hs: DataFrame) -> DataFrame:
-        return nodes.select("h", "s").join(hs.distinct(), "h", "left_semi")
+        return made.select("h", "s").join(hs.distinct(), "h", "left_semi").dropDuplicates(["h"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = likely_pairs(pairs)
@@ -190,7 +191,7 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
 
     many = rest.where(F.col("n") > SMALL).drop("n")
     bits = F.transform("keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))  # of a band's keys 32 bits are enough to tell which is shared first
-    many = many.join(nodes.select("h", bits.alias("keys"), "s"), "h")
+    many = many.join(nodes.select("h", bits.alias("keys")), "h").join(sets_of(many.select("h")), "h")
     slices = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum(F.octet_length("s")) / SLICE_BYTES)).cast("int").alias("slices"))
     side = F.pmod(F.xxhash64("h"), F.col("slices")).cast("int")
     cells = many.join(slices, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -207,5 +208,5 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     # dealt by tile: the join before leaves a key's rows together, which would do all its tiles in one task
     tiled = cells.repartition("key", "s1", "s2").groupBy("key", "s1", "s2").applyInArrow(tile, "a bigint, b bigint")
     found = cut(stars.unionByName(verify(others)).unionByName(tiled))
-    drop_staged(nodes)
+    drop_staged(made)
     return found
