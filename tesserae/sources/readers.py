@@ -170,27 +170,89 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embed_column(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "content", to: str = "vector", batch: int = EMBED_BATCH, tries: int = 3) -> DataFrame:
-    """``df`` with vectors of ``text``, in batches of ``batch``; time-outs alone are tried again, a failed batch gives nulls."""
+#: Requests of a task that are under way at once; seconds that a request may take, and more for each of its texts.
+EMBED_WORKERS, EMBED_SECONDS, EMBED_SECONDS_EACH = 4, 30.0, 2.0
+
+
+def embed_column(
+    df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "content", to: str = "vector", batch: int = EMBED_BATCH, tries: int = 3,
+    workers: int = EMBED_WORKERS, seconds: float = EMBED_SECONDS, seconds_each: float = EMBED_SECONDS_EACH,
+) -> DataFrame:
+    """``df`` with vectors of ``text``.
+
+    A task gathers requests of ``batch`` texts, whatever the sizes of Spark's own
+    batches, and has up to ``workers`` of them under way at once; rows keep their order, and memory
+    holds the rows of these requests.  A request may take ``seconds`` and
+    ``seconds_each`` for each text; one that is late, or times out by itself, is made
+    again, up to ``tries`` times.  Any other failure, or a wrong number of vectors, is
+    final for its batch and gives nulls.  A call that never comes back is left behind.
+    """
+    rest = [c for c in df.columns if c != to]
+    narrow = df.select(*rest)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema), f"`{to}` array<float>"])
+    at = rest.index(text)
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        out: list = []
-        for at in range(0, len(s), batch):
-            some = s.iloc[at : at + batch].fillna("").tolist()
-            for k in range(tries):
-                try:
-                    out += embedder(some)
-                    break
-                except TimeoutError:
-                    if k == tries - 1:
-                        out += [None] * len(some)
-                except Exception:  # an embedder's other failures are final for its batch
-                    out += [None] * len(some)
-                    break
-        return pd.Series(out, index=s.index)
-
-    return df.withColumn(to, run(F.col(text)))
+    def run(batches):
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pyarrow as pa
+
+        def requests():
+            held, n = [], 0
+            for b in batches:
+                lo = 0
+                while lo < b.num_rows:
+                    some = b.slice(lo, batch - n)
+                    held.append(some)
+                    lo, n = lo + some.num_rows, n + some.num_rows
+                    if n == batch:
+                        yield pa.Table.from_batches(held).combine_chunks()
+                        held, n = [], 0
+            if n:
+                yield pa.Table.from_batches(held).combine_chunks()
+
+        def done(table, future):
+            vectors = future.result() or [None] * len(table)
+            column = pa.array(vectors, pa.list_(pa.float32()))
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), column], names=[*rest, to])
+
+        under_way: deque = deque()
+        with ThreadPoolExecutor(workers) as pool:
+            for table in requests():
+                texts = [x or "" for x in table.column(at).to_pylist()]
+                under_way.append((table, pool.submit(_asked, embedder, texts, tries, seconds + seconds_each * len(texts))))
+                if len(under_way) == workers:
+                    yield done(*under_way.popleft())
+            while under_way:
+                yield done(*under_way.popleft())
+
+    return narrow.mapInArrow(run, schema).select(*[c if c != to else F.col(to) for c in [*df.columns, *([] if to in df.columns else [to])]])
+
+
+def _asked(embedder: Callable, texts: list[str], tries: int, limit: float) -> list | None:
+    """The vectors of ``texts``, or None; no try takes longer than ``limit`` seconds."""
+    import queue
+    import threading
+
+    def call(box: queue.Queue) -> None:
+        try:
+            box.put(list(embedder(texts)))
+        except Exception as e:  # noqa: BLE001
+            box.put(e)
+
+    for _ in range(tries):
+        box: queue.Queue = queue.Queue(1)
+        threading.Thread(target=call, args=(box,), daemon=True).start()
+        try:
+            got = box.get(timeout=limit)
+        except queue.Empty:
+            continue
+        if not isinstance(got, Exception):
+            return got if len(got) == len(texts) else None
+        if not isinstance(got, TimeoutError):
+            return None
+    return None
 
 
 def lookup_embedder(df: DataFrame, known: DataFrame, dim: int, text: str = "content", to: str = "vector") -> DataFrame:
