@@ -18,6 +18,8 @@ from tesserae.sources.shared import cut
 
 SIMILAR = 0.92
 RECALL_DEFAULT, RECALL_MOST = 5, 100
+#: Rows of a block of either side that looks for similar ones.
+BLOCK = 4096
 #: ``most`` of the store's contract: above so many memories no similar ones are looked for.
 CACHE_MOST = 10_000
 
@@ -81,7 +83,7 @@ def similar(new: DataFrame, memories: DataFrame, threshold: float = SIMILAR, mos
 
     by = pivots.choose(memories) if found_by is None else found_by
     angle = pivots.reach(threshold)
-    sides = pivots.blocks(asked, "key", "new_vector", by, angle), pivots.blocks(known, "id", "vector", by, angle)
+    sides = pivots.blocks(asked, "key", "new_vector", by, angle, BLOCK), pivots.blocks(known, "id", "vector", by, angle, BLOCK)
     best = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")
     kind = new.schema["new_id"].dataType.simpleString()
     top = pivots.join(*sides, by, threshold, found, f"key {kind}, id {id_type}, score double").groupBy("key").agg(best)
@@ -172,7 +174,7 @@ def leaders(rows: DataFrame, by: pivots.Pivots, threshold: float, prefix: int =
     total, start = placed.count(), 0
     found, size = None, prefix
     while start < total:
-        batch = pivots.blocks(placed.where((F.col("n") >= start) & (F.col("n") < start + size)), "n", "new_vector", by, angle)
+        batch = pivots.blocks(placed.where((F.col("n") >= start) & (F.col("n") < start + size)), "n", "new_vector", by, angle, BLOCK)
         if found is not None:
             near = linked(batch, found, by, threshold).select(F.col("b").alias("key")).distinct()
             batch = cut(batch.join(near, "key", "left_anti"))
@@ -272,7 +274,7 @@ def ingest_sessions(memories: DataFrame, chunks: DataFrame, now: int, threshold:
         made = leaders(heads.join(best, "new_id", "left_anti"), own, threshold, prefix, fold)
         made = cut(heads.join(made, "new_id", "left_semi"))
         angle = pivots.reach(threshold)
-        links = linked(*(pivots.blocks(t, "new_id", "new_vector", own, angle) for t in (heads, made)), own, threshold)
+        links = linked(*(pivots.blocks(t, "new_id", "new_vector", own, angle, BLOCK) for t in (heads, made)), own, threshold)
         when = lambda c: heads.select(F.col("new_id").alias(c), F.col("place").alias(f"{c}_place"))
         earlier = links.join(when("b"), "b").join(when("a"), "a").where("a_place < b_place")
         new = earlier.groupBy("b").agg(F.min(F.struct((-F.col("score")).alias("s"), "a")).alias("m")).select(F.col("b").alias("new_id"), "m.a", (-F.col("m.s")).alias("score"))

@@ -29,8 +29,6 @@ from tesserae.sources.shared import cut
 PIVOTS = 12
 #: Vectors that pivots are chosen from: these with the least hashes.
 SAMPLE = 2048
-#: Rows of a block.
-BLOCK = 4096
 #: More than angles are off by rounding.
 SLACK = 1e-6
 
@@ -97,7 +95,7 @@ def _angles(column: str, pivots: Pivots):
     return run(column)
 
 
-def blocks(rows: DataFrame, key: str, vector: str, pivots: Pivots, angle: float, rows_a_block: int = BLOCK) -> DataFrame:
+def blocks(rows: DataFrame, key: str, vector: str, pivots: Pivots, angle: float, rows_a_block: int = 4096) -> DataFrame:
     """``key, v, angles, block`` of the rows that have a direction; written once."""
     placed = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), _angles(vector, pivots).alias("angles")).where("angles is not null")
     least = F.array_min("angles")

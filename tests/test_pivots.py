@@ -23,7 +23,7 @@ def _rows(m, letter):
 
 @pytest.mark.parametrize(("threshold", "noise"), [(0.92, 0.1), (0.5, 0.6), (0.0, 1.0)])
 def test_similar_equals_all_pairs(spark, monkeypatch, threshold, noise):
-    monkeypatch.setattr(pivots.blocks, "__defaults__", (16,))
+    monkeypatch.setattr(memory, "BLOCK", 16)
     rng = np.random.default_rng(4)
     x, y = _clustered(rng, 150, 12, 20, noise), _clustered(rng, 260, 12, 20, noise)
     y[:40] = x[:40] * 3  # ties of copies
