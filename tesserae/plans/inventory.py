@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,6 +170,31 @@ def s28_dimension_guard(spark, sf):
     return fine.agg(F.count("vector").alias("n")).withColumn("same", F.lit(search.same_model("bge-m3:latest", "bge-m3")))
 
 
+@query("SELECT event_id, 1 AS runs FROM events")
+def r13_resume(spark, sf):
+    """Edits are re-indexed batch by batch; the run is interrupted once and goes on at its checkpoint."""
+    folder = shared_folder(spark)
+    edits = S.table(spark, sf, "events").select("event_id")
+    edits.repartition(4).write.parquet(f"{folder}/in")
+    interrupted = []
+
+    def run(batch, number):
+        if number == 1 and not interrupted:
+            interrupted.append(number)
+            raise InterruptedError("the run is stopped in its second batch")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that runs again replaces what it left
+
+    for _ in range(2):
+        stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        q = rules.reindex(stream, run, f"{folder}/check")
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if not interrupted:
+                raise
+    return spark.read.schema("event_id bigint").parquet(f"{folder}/out").groupBy("event_id").agg(F.count("*").cast("int").alias("runs"))
+
+
 # -- sinks ------------------------------------------------------------------------
 
 

@@ -145,9 +145,14 @@ def debounced_from_first(edits: DataFrame, wait: str = "2 seconds", late: str =
     return groups.withColumn("start", F.timestamp_micros("start"))
 
 
-def reindex(stream: DataFrame, run: Callable[[DataFrame], None], checkpoint: str):
-    """Feed each micro-batch of edited files to ``run``, once each; the checkpoint takes the place of a resume marker."""
-    return stream.writeStream.foreachBatch(lambda batch, _: run(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def reindex(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str):
+    """Feed each micro-batch of edited files and its number to ``run``; the checkpoint takes the place of a resume marker.
+
+    After an interruption a query with the same checkpoint gives the batch that was
+    under way again, with its number and its rows, and then the rest; so what ``run`` leaves
+    should be replaced by number.
+    """
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def follow(spark, folder: str, pattern: str = "*") -> DataFrame:
