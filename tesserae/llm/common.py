@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import warnings
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,18 @@ def pii_key(spark: SparkSession) -> bytes:
     return (key or DEMONSTRATION).encode()
 
 
+#: Rows whose Python values a worker holds side by side: an Arrow batch may have 10 000 whole texts.
+SLICE_ROWS = 512
+
+
+def slices(batches, rows: int = SLICE_ROWS):
+    """The rows of Arrow batches, ``rows`` at a time, so that a worker's memory doesn't grow with a batch's texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -15,8 +15,8 @@ The driver holds about ``labelled`` labelled rows (those with the least hashes o
 their ids; a documented bound and a parameter) of about 130 numbers: a threshold
 on the hash is applied where the rows are, so no more are sent whatever the number
 of partitions.  Rows that the views give each other stay distributed; a fit takes
-sums over them, 27 kB a task and step from ``SUMS`` tasks at most.  Texts are never shuffled, and
-features are made once.
+sums over them, 27 kB a task and step from ``SUMS`` tasks at most, which get ``SUM_ROWS`` rows or more.  Texts are never
+shuffled or written again: :func:`keep_good` makes features a second time where it scores.
 
 Edge cases: a null text is an empty one; null metadata is a value of its own;
 repeated labels of one id are averaged, a tie counts as no label; labels without
@@ -38,9 +38,8 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tesserae.llm.common import cut, staged
+from tesserae.llm.common import cut, slices
 
 LABELLED = 20_000
 PER_ROUND = 400
@@ -54,6 +53,7 @@ SHAPES = 17
 N_TEXT, N_META = SHAPES + WORDS, 10 + SOURCES + LANGS
 
 SUMS = 1024  #: most tasks that send the driver a sum
+SUM_ROWS = 2048  #: a task sums so many rows or more, as far as there are
 FLAT = 1e-6  #: added to a column's deviation, so one without any has no say
 
 _CUTS = re.compile(r"[.!?\n]+")
@@ -194,7 +194,7 @@ def featurise(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             t, m = _views(*(b.column(i).to_pylist() for i in (2, 3, 4)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], names=["doc_id", "h", "t", "m"])
 
@@ -240,7 +240,7 @@ def summing(state: DataFrame, side: int):
     import numpy as np
 
     rows = cut(state.where(F.col(f"y{side}").isNotNull()).select("m" if side else "t", f"y{side}"))
-    few = rows.coalesce(SUMS)
+    few = rows.coalesce(min(SUMS, 1 + rows.count() // SUM_ROWS))
     width = N_META if side else N_TEXT
 
     def more(f):
@@ -323,29 +323,23 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, untouched.
 
-    The rows are written once with their features beside them, so that scoring
-    the table neither makes features again nor moves a text.
+    Training works on narrow features; the rows are scored where they are read, by
+    features made again.  So no copy of the texts lies on disk until the result,
+    which is lazy, has been written.
     """
     if clash := {"__t", "__m"} & set(docs.columns):
         raise ValueError(f"the input already has {sorted(clash)}")
-    at = [docs.columns.index(c) for c in (text, lang, source)]
-
-    def make(batches):
-        for b in batches:
-            t, m = _views(*(b.column(i).cast(pa.string()).to_pylist() for i in at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], names=[*b.schema.names, "__t", "__m"])
-
-    both = staged(docs.mapInArrow(make, T.StructType([*docs.schema, *T.StructType.fromDDL("__t array<float>, __m array<float>")])), "quality")
-    features = both.select(F.col("doc_id"), F.xxhash64(text).alias("h"), F.col("__t").alias("t"), F.col("__m").alias("m"))
+    features = cut(featurise(docs, text, lang, source))
     model = train(features, labels, label)
-    columns = docs.columns
     if model is None:
-        return both.select(*columns)
+        return docs
+    at = [docs.columns.index(c) for c in (text, lang, source)]
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                good = model.score(*(_matrix(b.column(len(columns) + k), n) for k, n in ((0, N_TEXT), (1, N_META)))) >= threshold
-                yield pa.RecordBatch.from_arrays(b.columns[:-2], names=columns).filter(pa.array(good))
+        import numpy as np
+
+        for b in slices(batches):
+            t, m = _views(*(b.column(i).cast(pa.string()).to_pylist() for i in at))
+            yield b.filter(pa.array(model.score(np.asarray(t, "f4"), np.asarray(m, "f4")) >= threshold))
 
-    return both.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

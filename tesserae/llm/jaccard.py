@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import simhash
-from tesserae.llm.common import components, cut, drop_staged, staged
+from tesserae.llm.common import components, cut, drop_staged, slices, staged
 
 BANDS, ROWS = 24, 5
 SEED = 42
@@ -133,25 +133,24 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     import numpy as np
 
     def keyed(batches):
-        for b in batches:
+        for b in slices(batches):
             hashes = [simhash.shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
             fps = np.array([simhash.of_hashes(x) for x in hashes], "u8").view("i8")
             hashes = [np.unique(x) for x in hashes]
-            keys, signs = zip(*map(band_keys, hashes), strict=True) if hashes else ((), ())
+            keys, signs = zip(*map(band_keys, hashes), strict=True)
             sets = pa.array([small_set(x).tobytes() for x in hashes], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(fps), sets], names=["h", "keys", "sign", "fp", "s"])
 
     def verified(batches):
-        for b in batches:
+        for b in slices(batches):
             x, y = ([np.frombuffer(v.as_py(), "<u4") for v in b.column(i)] for i in (2, 3))
             near = [min(len(p), len(q)) >= least * max(len(p), len(q)) and jaccard(p, q) >= least for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def judged(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "u1").reshape(b.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= likely(least)))
+        for b in slices(batches):
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "u1").reshape(b.num_rows, -1) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= likely(least)))
 
     # sets lie where they were made until a candidate needs them; copies go by what is narrow
     made = staged(texts.mapInArrow(keyed, "h bigint, keys array<bigint>, sign binary, fp bigint, s binary"), "near-sets")
@@ -192,9 +191,9 @@ def links(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     many = rest.where(F.col("n") > SMALL).drop("n")
     bits = F.transform("keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))  # of a band's keys 32 bits are enough to tell which is shared first
     many = many.join(nodes.select("h", bits.alias("keys")), "h").join(sets_of(many.select("h")), "h")
-    slices = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum(F.octet_length("s")) / SLICE_BYTES)).cast("int").alias("slices"))
+    counted = many.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum(F.octet_length("s")) / SLICE_BYTES)).cast("int").alias("slices"))
     side = F.pmod(F.xxhash64("h"), F.col("slices")).cast("int")
-    cells = many.join(slices, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = many.join(counted, "key").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     cells = cells.select("key", F.least("side", "other").alias("s1"), F.greatest("side", "other").alias("s2"), "side", "h", "root", "keys", "s")
 
     def tile(key, table):

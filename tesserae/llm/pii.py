@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, slices
 
 ROUNDS = 8
 #: From this attempt on a surrogate has two symbols more, for formats that are used up.
@@ -399,7 +399,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", count: str | N
     rest = [c for c in columns if c != text]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             new, n = [], []
             for t, o in zip(b.column(len(rest)), b.column(len(rest) + 1), strict=True):
                 t = t.as_py()

@@ -2,10 +2,13 @@ import hashlib
 import math
 import re
 from collections import defaultdict
+from pathlib import Path
+
+import pyarrow as pa
 
 import corpus_pipeline
 from tesserae.llm import cotrain, pii
-from tesserae.llm.common import pii_key, staged
+from tesserae.llm.common import pii_key, shared_dir, slices, staged
 from tests.conftest import SF
 from tests.llm.test_jaccard import survivors
 from tests.llm.test_mixing import fill
@@ -63,3 +66,20 @@ def test_every_stage_on_odd_tables(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_no_stage_leaves_a_copy_of_the_texts(spark):
+    """What a stage writes for itself is gone once its result has been written; later stages had the first one's copy beside them."""
+    top = Path(shared_dir(spark).removeprefix("file:")) / "tesserae"
+    folders = lambda: {p.name for p in top.glob("*")}
+    before = folders()
+    docs = staged(corpus_pipeline.quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), "alone")
+    assert {re.sub("-[0-9a-f]{32}", "", x) for x in folders() - before} == {"alone"}
+    staged(corpus_pipeline.near_dedup(spark, docs, SF), "alone")
+    assert {re.sub("-[0-9a-f]{32}", "", x) for x in folders() - before} == {"alone"}
+
+
+def test_slices_hold_all_rows_and_few_at_once():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 1300), (1300, 1300), (1300, 1301))]
+    got = [b.column(0).to_pylist() for b in slices(iter(batches))]
+    assert sum(got, []) == list(range(1301)) and [len(x) for x in got] == [512, 512, 276, 1]
