@@ -94,3 +94,23 @@ def test_table_of_documents(spark, tok, library, monkeypatch):
     assert [g for g in got if g[0] != 7] == [w for w in want if w[0] != 7]
     none = docs.limit(0)
     assert rans.read_back(*rans.write(none, FILE, 1)).count() == 0
+
+
+def test_groups_meet_distinct_chunks_once(spark, library, monkeypatch):
+    """Texts of a group that share chunks, begin or end in blanks or are null; groups by rows and by bytes."""
+    t = rans.ChunkTokenizer(FILE)
+    asked, fill = [], t._fill
+    t._fill = lambda missing: (asked.extend(missing), fill(missing))
+    texts = ["same words### here%%%", None, " \n", "same  words### \té here%%%\r", "", "x&&& $$$ É*** same"] * 40
+    got = [np.frombuffer(x, t.word).tolist() for x in t.encode(texts)]
+    assert got == [library.encode(x or "", add_special_tokens=False).ids for x in texts] and sorted(asked) == sorted({"same", "words###", "here%%%", "x&&&", "É***"})  # the probes had the rest
+    assert t.encode([]) == []
+    sent, encode = [], t._encode
+    t._encode = lambda chunks: (sent.extend(chunks), encode(chunks))[1]
+    t.encode([f"Tail{c}###" for c in "abcdefghij"] + ["Tail***", "tail&%$"])  # letters go to the model, tails to the library once
+    assert not any(x.lower().startswith("tail") for x in sent)
+    monkeypatch.setattr(rans, "GROUP_ROWS", 7)
+    monkeypatch.setattr(rans, "GROUP_BYTES", 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = {r.doc_id: np.frombuffer(r.ids, t.word).tolist() for r in rans.tokenize(docs, FILE, 1).collect()}
+    assert made == {i: [*x, 1] for i, x in enumerate(got)}
