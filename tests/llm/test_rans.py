@@ -114,3 +114,30 @@ def test_groups_meet_distinct_chunks_once(spark, library, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     made = {r.doc_id: np.frombuffer(r.ids, t.word).tolist() for r in rans.tokenize(docs, FILE, 1).collect()}
     assert made == {i: [*x, 1] for i, x in enumerate(got)}
+
+
+def test_a_mark_behind_a_word_is_no_new_word(library):
+    """A single mark is a chunk of its own; words of letters go to the model in runs, the ids are the library's."""
+    t = rans.ChunkTokenizer(FILE)
+    asked, alone, fill, word = [], [], t._fill, t._word
+    t._fill = lambda missing: (asked.extend(missing), fill(missing))
+    t._word = lambda low: (alone.append(low), word(low))[1]
+    texts = ["zyxab, Zyxab. zyxab; ñandúx: zyxab", None, ",", "é.", ",a", "", "×. ÷, ÿ;\tÞ!", "ñandúx? 7% x7% zyxab!? 文. ́a.", "a,\n"]
+    assert [np.frombuffer(x, t.word).tolist() for x in t.encode(texts)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert {"zyxab", "Zyxab", "ñandúx"} < set(asked) and not {"zyxab,", "Zyxab.", "ñandúx:", "x7%"} & set(asked) and not alone
+    t = rans.ChunkTokenizer(FILE)
+    t.runs = None  # as for a model that doesn't mark where a word ends
+    assert [np.frombuffer(x, t.word).tolist() for x in t.encode(texts)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_a_full_cache_keeps_the_words_of_the_last_group(monkeypatch):
+    monkeypatch.setattr(rans, "CACHE_BYTES", 100_000)
+    t = rans.ChunkTokenizer(FILE)
+    asked, fill = [], t._fill
+    t._fill = lambda missing: (asked.extend(missing), fill(missing))
+    letters = "qzxkjvwbpg"
+    first, group = (["".join(letters[int(c)] for c in str(i * 7919 + 10**8)) for i in some] for some in (range(300), range(300, 500)))
+    t.encode([" ".join(first)])
+    ids = t.encode([" ".join(group)])  # more than the cache may hold
+    assert t.held < 100_000 and len(t.cache) < 300 and len(asked) == 500
+    assert t.encode([" ".join(group)]) == ids and len(asked) == 500
