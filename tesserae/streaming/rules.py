@@ -161,8 +161,19 @@ def follow(spark, folder: str, pattern: str = "*") -> DataFrame:
 
 
 def replay(spark, df: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, files: int = 2) -> DataFrame:
-    """Run ``transform`` as a stream over ``df`` (written to ``folder`` in ``files`` parts) to its end; the result as a table."""
-    df.repartition(files).write.mode("overwrite").parquet(f"{folder}/in")
+    """Run ``transform`` as a stream over ``df`` (written to ``folder`` in ``files`` parts) to its end; the result as a table.
+
+    The parts hold the rows in the order of ``df`` and come one after another in it: a part that was written
+    late, or is read out of turn behind a row that moves the watermark on, would lose its rows as late ones.
+    """
+    rows = df.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(files, "__at").sortWithinPartitions("__at").drop("__at")
+    rows.write.mode("overwrite").parquet(f"{folder}/in")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f for f in store.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    first = max((f.getModificationTime() for f in parts), default=0) - 1000 * len(parts)
+    for k, f in enumerate(parts):  # a stream of files goes by their times
+        store.setTimes(f.getPath(), first + 1000 * k, -1)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     q = transform(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()

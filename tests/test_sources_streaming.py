@@ -137,3 +137,15 @@ def test_debounce_counts_from_the_first_edit(spark, tmp_path):
     for parts in (1, 3):
         got = rules.replay(spark, df, lambda s: rules.debounced_from_first(s, "2 seconds", "1000 seconds"), str(tmp_path / str(parts)), parts)
         assert {(r.project, r.us, tuple(r.paths)) for r in got.withColumn("us", F.unix_micros("start")).collect()} == want
+
+
+def test_a_replay_keeps_the_order_of_its_rows(spark, tmp_path):
+    """However many parts there are, no row comes behind a later one: neither state nor the watermark runs ahead."""
+    tries = [("f", ok) for ok in (False, False, False, True, False, False, True, False, False, False)]
+    edits = [("p", "a", 2), ("q", "x", 5), ("p", "b", 3), ("p", "c", 8), ("q", "y", 6), ("p", "d", 4), ("r", "z", 9), ("end", "", 1020)]
+    df = spark.createDataFrame(edits, "project string, path string, s bigint").select("project", "path", F.timestamp_seconds("s").alias("ts"))
+    for parts in (2, 5, 8):
+        got = rules.replay(spark, spark.createDataFrame(tries, "file string, ok boolean"), rules.attempts, str(tmp_path / f"a{parts}"), parts)
+        assert sorted(r.attempt for r in got.collect()) == [0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
+        groups = rules.replay(spark, df, lambda s: rules.debounced_from_first(s, "2 seconds", "1000 seconds"), str(tmp_path / f"d{parts}"), parts)
+        assert {(r.project, tuple(r.paths)) for r in groups.collect()} == {("p", ("a", "b")), ("p", ("d",)), ("p", ("c",)), ("q", ("x", "y")), ("r", ("z",))}
