@@ -68,7 +68,8 @@ class ChunkTokenizer:
     a text are those of its chunks between ASCII blanks; and the ids of a chunk
     that ends in an ASCII letter or digit and a run of ``.,!?;:#%&$*`` are those of
     the two parts.  A chunk of Latin letters is one piece to the library's BPE model,
-    which then gets it in lower case and in its byte alphabet.  A group of texts
+    which then gets it in lower case and in its byte alphabet, in runs of words where
+    its tokens tell the end of a word.  A group of texts
     is one column of chunks, which Arrow encodes as a dictionary, so that Python sees
     each distinct chunk of a group once.  Chunks met before come from a cache of
     bounded bytes.  That holds for tokenizers that drop white
