@@ -141,7 +141,7 @@ def s22_prompt_vectors(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE 1 END AS norm, true AS repeatable FROM documents WHERE text IS NOT NULL AND trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
 def s23_embed_batches(spark, sf):
-    d = S.table(spark, sf, "documents").where(F.coalesce(X.trim(F.col("text")), F.lit("")) != "").select("doc_id", F.col("text").alias("content"))
+    d = S.table(spark, sf, "documents").where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select("doc_id", F.col("text").alias("content"))
     embedder = readers.hashing_embedder(16)
     twice = readers.embed_column(readers.embed_column(d, embedder), embedder, to="again")
     square = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, b: a + b * b)

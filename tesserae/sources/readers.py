@@ -153,17 +153,26 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic, offline embedder: signed feature hashing of words, unit length."""
+    """A deterministic, offline embedder: signed feature hashing of words, unit length.
+
+    A text whose words cancel each other out, or that is white space of other scripts alone,
+    counts as one word; only a blank one has the zero vector.
+    """
 
     def embed(texts: list[str]) -> list[list[float]]:
         import numpy as np
         import xxhash
 
+        def add(i: int, w: str) -> None:
+            h = xxhash.xxh64_intdigest(w.encode())
+            out[i, h % dim] += 1 if h >> 63 else -1
+
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = xxhash.xxh64_intdigest(w.encode())
-                out[i, h % dim] += 1 if h >> 63 else -1
+                add(i, w)
+            if not out[i].any() and t.strip(" \t\n\v\f\r"):
+                add(i, t)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).astype("f4").tolist()
 

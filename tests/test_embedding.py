@@ -62,3 +62,16 @@ def test_a_column_is_replaced_in_place(spark):
     got = readers.embed_column(df, lambda t: [[float(len(x))] for x in t])
     assert got.columns == ["content", "vector", "z"] and [tuple(r) for r in got.collect()] == [(None, [0.0], "k"), ("ab", [2.0], "l")]
     assert readers.embed_column(df.limit(0), readers.hashing_embedder(4)).collect() == []
+
+
+def test_texts_whose_words_cancel_have_unit_vectors(spark, tmp_path):
+    import duckdb
+    from tesserae.plans.inventory import ORACLE_SQL, QUERIES
+
+    texts = ["Anouble thwh.", "two words", "\u00a0", "\x1c", "\x0b", " \t\n", "", None, "\x0b a"]
+    assert [round(sum(x * x for x in v), 6) for v in readers.hashing_embedder(16)([t or "" for t in texts])] == [1, 1, 1, 1, 0, 0, 0, 0, 1]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["s23_embed_batches"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert got == sorted(db.execute(ORACLE_SQL["s23_embed_batches"]).fetchall()) and [i for i, *_ in got] == [0, 1, 2, 3, 8]
