@@ -150,9 +150,12 @@ class BestCosines:
             with np.errstate(all="ignore"):
                 n = np.sqrt(dots(m, m))
                 fine &= ~(n <= 0)
-                rough = np.where(fine[:, None], (m / np.where(fine, n, 1.0)[:, None]) @ self.unit, 0.0)
-            rough = np.where(np.isnan(rough), np.inf, rough)
-            some = rough.T if len(rough) <= self.k else np.partition(rough, len(rough) - self.k, axis=0)[-self.k :].T
+                rough = (m / np.where(fine, n, 1.0)[:, None]) @ self.unit
+            if not fine.all():
+                rough[~fine] = 0.0
+            if np.isnan(rough.max(axis=0)).any():
+                rough[np.isnan(rough)] = np.inf
+            some = rough.T if len(rough) <= self.k else rough.max(axis=0)[:, None] if self.k == 1 else np.partition(rough, len(rough) - self.k, axis=0)[-self.k :].T
             both = np.concatenate([self.seen, some], axis=1)
             self.seen = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
             r, q = np.nonzero(rough >= np.maximum(self.seen.min(axis=1), self.least) - self.SLACK)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as X
 from tesserae.functions import vector as M
 from tesserae.operators.search import search_many
+from tesserae.sources.shared import cut
 
 LABELS = ("truly_redundant", "truly_missed", "neither", "unclear")
 
@@ -24,22 +25,45 @@ def best_hit(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(hits, "turn_id").groupBy("turn_id").agg(F.max(M.cosine(F.col("qvec"), F.col("hvec"))).alias("best_hit"))
 
 
-def replay(prompts: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """``turn_id, best_chunk``: the best cosine of each prompt (``turn_id, pvec``) over all chunks."""
-    got = search_many(chunks, prompts.select(F.col("turn_id").alias("query_id"), F.col("pvec").alias("qvec")), k)
-    return got.where("rank = 1").select(F.col("query_id").alias("turn_id"), F.greatest("score", F.lit(0.0)).alias("best_chunk"))
+#: Chunks that a replay with ``enough`` tries first, and how many times as many it has tried after each next round.
+FIRST, GROWTH = 2048, 4
 
 
-def evidence(turns: DataFrame, prompts: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+def replay(prompts: DataFrame, chunks: DataFrame, k: int = 10, enough: float | None = None) -> DataFrame:
+    """``turn_id, best_chunk``: the best cosine of each prompt (``turn_id, pvec``) over all chunks.
+
+    Who only asks whether it is above some thresholds names the greatest of them as ``enough``: then a prompt with a chunk above it
+    gets that chunk's cosine and meets no more of them, while any other meets all chunks and gets its best.
+    Chunks come in rounds of growing parts, so the work is that of all pairs only where no chunk is above.
+    """
+    asked = prompts.select(F.col("turn_id").alias("query_id"), F.col("pvec").alias("qvec"))
+    if enough is None:
+        got = search_many(chunks, asked, k)
+        return got.where("rank = 1").select(F.col("query_id").alias("turn_id"), F.greatest("score", F.lit(0.0)).alias("best_chunk"))
+    asked, some = cut(asked), cut(chunks.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("at")))
+    total, tried, lo = some.count(), FIRST, 0
+    found = asked.select("query_id", F.lit(0.0).alias("score")).limit(0)
+    while lo < 1 << 30 and not asked.isEmpty():
+        hi = 1 << 30 if tried * GROWTH > total else (tried << 30) // total
+        part = some.where((F.col("at") >= lo) & (F.col("at") < hi))
+        best = cut(search_many(part, asked, 1).select("query_id", "score"))
+        found = found.unionByName(best)
+        asked = cut(asked.join(best.where(F.col("score") > enough), "query_id", "left_anti"))
+        lo, tried = hi, tried * GROWTH
+    return found.groupBy(F.col("query_id").alias("turn_id")).agg(F.greatest(F.max("score"), F.lit(0.0)).alias("best_chunk"))
+
+
+def evidence(turns: DataFrame, prompts: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10, replayed: DataFrame | None = None) -> DataFrame:
     """All that a turn's verdict needs, once for every grid point.
 
-    ``turns``: ``turn_id, hit_ids, n_queries, n_tools, label``.
+    ``turns``: ``turn_id, hit_ids, n_queries, n_tools, label``; ``replayed``: a :func:`replay` of the prompts, else they are replayed against ``chunks``.
     """
+    replayed = replay(prompts, chunks, k) if replayed is None else replayed
     hits = hit_vectors(turns, chunks)
     n_hits = hits.groupBy("turn_id").agg(F.count("*").alias("found"))
     has = prompts.select("turn_id", F.lit(True).alias("has_prompt"))
     embedded = queries.groupBy("turn_id").agg(F.count("*").alias("embedded"))
-    out = turns.join(has, "turn_id", "left").join(n_hits, "turn_id", "left").join(embedded, "turn_id", "left").join(best_hit(queries, hits), "turn_id", "left").join(replay(prompts, chunks, k), "turn_id", "left")
+    out = turns.join(has, "turn_id", "left").join(n_hits, "turn_id", "left").join(embedded, "turn_id", "left").join(best_hit(queries, hits), "turn_id", "left").join(replayed, "turn_id", "left")
     return out.na.fill(0, ["found", "embedded"]).na.fill(False, ["has_prompt"])
 
 

@@ -106,3 +106,41 @@ def test_skipped_turns(spark):
     rows = [(1, ["x"], 1, 1, "neither", True, 0, 1, None, 0.9), (2, [], 0, 0, "neither", False, 0, 0, None, None), (3, [], 0, 0, "unclear", True, 0, 0, None, 0.9), (4, ["x"], 1, 1, "neither", True, 1, 0, None, 0.1)]
     r = drift.confusion(drift.verdicts(spark.createDataFrame(rows, kind), [(0.5, 0.5)])).first()
     assert r.n_turns_scored == 1 and r.fp_missed == 0 and r.precision_missed == 0
+
+
+def test_a_replay_stops_at_enough(spark, monkeypatch):
+    """Above ``enough`` any chunk's cosine does; at or below it the best of all counts."""
+    chunks = spark.createDataFrame([(f"c{i}", [1.0, i / 40, 0.0]) for i in range(40)] + [("no", None), ("zero", [0.0, 0.0, 0.0])], "id string, vector array<float>")
+    prompts = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 0.0, 1.0]), (3, [0.0, 1.0, 1.0]), (4, None), (5, [0.0, -1.0, 0.0]), (6, [-1.0, 0.0, 0.0])], "turn_id bigint, pvec array<float>")
+    best = {r.turn_id: r.best_chunk for r in drift.replay(prompts, chunks, 1).collect()}
+    for first in (1, 7, 2048):
+        monkeypatch.setattr(drift, "FIRST", first)
+        for enough in (0.3, 0.45, 0.6, best[3], 1.0):
+            got = {r.turn_id: r.best_chunk for r in drift.replay(prompts, chunks, 1, enough).collect()}
+            assert got.keys() == best.keys() and all(enough < got[i] <= x if x > enough else got[i] == x for i, x in best.items())
+    assert drift.replay(prompts, chunks.limit(0), 1, 0.5).count() == 0 == drift.replay(prompts.limit(0), chunks, 1, 0.5).count()
+
+
+@pytest.mark.parametrize("name", ["a19_drift_report"])
+def test_reports_meet_each_chunk_once_at_most(spark, monkeypatch, name):
+    """Prompts are replayed once, in rounds, against the chunks that count; the results are those of the SQL."""
+    import duckdb
+    from .conftest import SF
+    from tesserae.plans.queries import ORACLE_SQL, QUERIES
+
+    pairs, search = [], drift.search_many
+
+    def counted(chunks, queries, k):
+        pairs.append(chunks.count() * queries.count())
+        return search(chunks, queries, k)
+
+    monkeypatch.setattr(drift, "search_many", counted)
+    monkeypatch.setattr(drift, "FIRST", 8, raising=False)
+    got = QUERIES[name](spark, SF).collect()
+    with duckdb.connect() as db:
+        for t in ("embeddings", "documents"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+        want = db.execute(ORACLE_SQL[name]).fetchall()
+        names = [x[0] for x in db.description]
+        all_pairs = db.execute("SELECT count(*) FILTER (vec_id % 11 <> 0) * count(*) FILTER (vec_id % 4 IN (1, 2)) FROM embeddings JOIN documents ON vec_id = doc_id").fetchone()[0]
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(want) and sum(pairs) < all_pairs
