@@ -397,10 +397,10 @@ def r2_debounced(spark, sf):
 g AS (SELECT project, min(ts) AS start FROM e GROUP BY project UNION ALL SELECT g.project, min(e.ts) FROM g JOIN e ON e.project = g.project AND e.ts >= g.start + INTERVAL 2 HOURS GROUP BY g.project, g.start)
 SELECT g.project, g.start, list_sort(list_distinct(list(e.path))) AS paths FROM g JOIN e ON e.project = g.project AND e.ts >= g.start AND e.ts < g.start + INTERVAL 2 HOURS GROUP BY 1, 2""")
 def r2_debounced_from_first(spark, sf):
-    """As a stream; an edit far ahead ends the groups, and a watermark as far behind counts none as late."""
+    """As a stream in the order of time, so that state holds the edits of a part and those of the wait; an edit far ahead ends the groups."""
     e = _edits(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     ahead = e.agg(F.max("ts").alias("ts")).selectExpr("'end' project", "'' path", "ts + interval 30000 days ts")
-    groups = rules.replay(spark, e.unionByName(ahead), lambda s: rules.debounced_from_first(s, "2 hours", "20000 days"), shared_folder(spark))
+    groups = rules.replay(spark, e.unionByName(ahead), lambda s: rules.debounced_from_first(s, "2 hours", "1 minute"), shared_folder(spark), max(2, -(-e.count() // rules.PART)), "ts")
     return groups.where("project <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

@@ -122,25 +122,25 @@ def debounced_from_first(edits: DataFrame, wait: str = "2 seconds", late: str =
     wait_us = int(pd.Timedelta(wait) / pd.Timedelta(microseconds=1))
 
     def step(key, batches, state):
-        held = list(zip(*state.get)) if state.exists else []
+        held = [pd.DataFrame(dict(zip(["at", "path"], state.get)))] if state.exists else []
         if not state.hasTimedOut:
-            held += [r for pdf in batches for r in zip(pdf["at"].tolist(), pdf["path"].tolist())]
-        held.sort()
-        out, passed = [], state.getCurrentWatermarkMs() * 1000
-        while held and held[0][0] + wait_us <= passed:
-            start = held[0][0]
-            n = next((i for i, (t, _) in enumerate(held) if t >= start + wait_us), len(held))
-            out.append((*key, start, sorted({p for _, p in held[:n]})))
-            held = held[n:]
-        if held:
-            state.update(tuple(map(list, zip(*held))))
-            state.setTimeoutTimestamp((held[0][0] + wait_us) // 1000 + 1)
+            held += [pdf[["at", "path"]] for pdf in batches]
+        held = pd.concat(held).drop_duplicates().sort_values("at")
+        at, path = held["at"].to_numpy(), held["path"].to_numpy()
+        out, lo, passed = [], 0, state.getCurrentWatermarkMs() * 1000
+        while lo < len(at) and at[lo] + wait_us <= passed:
+            hi = int(at.searchsorted(at[lo] + wait_us))
+            out.append((*key, int(at[lo]), sorted(set(path[lo:hi]))))
+            lo = hi
+        if lo < len(at):
+            state.update((at[lo:].tolist(), path[lo:].tolist()))
+            state.setTimeoutTimestamp((int(at[lo]) + wait_us) // 1000 + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["project", "start", "paths"])
 
     kind = edits.schema["project"].dataType.simpleString()
-    rows = edits.withWatermark("ts", late).select("project", "path", "ts", F.unix_micros("ts").alias("at"))
+    rows = edits.withWatermark("ts", late).where("ts is not null").select("project", "path", "ts", F.unix_micros("ts").alias("at"))
     groups = rows.groupBy("project").applyInPandasWithState(step, f"project {kind}, start bigint, paths array<string>", "at array<bigint>, path array<string>", "append", GroupStateTimeout.EventTimeTimeout)
     return groups.withColumn("start", F.timestamp_micros("start"))
 
@@ -160,13 +160,19 @@ def follow(spark, folder: str, pattern: str = "*") -> DataFrame:
     return growing.lines(spark, folder, pattern).select("value")
 
 
-def replay(spark, df: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, files: int = 2) -> DataFrame:
+#: Rows of a part of a replay that goes by time.
+PART = 1 << 20
+
+
+def replay(spark, df: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, files: int = 2, by: str | None = None) -> DataFrame:
     """Run ``transform`` as a stream over ``df`` (written to ``folder`` in ``files`` parts) to its end; the result as a table.
 
     The parts hold the rows in the order of ``df`` and come one after another in it: a part that was written
     late, or is read out of turn behind a row that moves the watermark on, would lose its rows as late ones.
+    With ``by``, a time, they hold the rows in its order instead, rows of one time in one part: then none is late however soon the watermark
+    follows, and state need only hold what it has not passed.
     """
-    rows = df.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(files, "__at").sortWithinPartitions("__at").drop("__at")
+    rows = df.repartitionByRange(files, by).sortWithinPartitions(by) if by else df.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(files, "__at").sortWithinPartitions("__at").drop("__at")
     rows.write.mode("overwrite").parquet(f"{folder}/in")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

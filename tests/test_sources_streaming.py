@@ -149,3 +149,24 @@ def test_a_replay_keeps_the_order_of_its_rows(spark, tmp_path):
         assert sorted(r.attempt for r in got.collect()) == [0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
         groups = rules.replay(spark, df, lambda s: rules.debounced_from_first(s, "2 seconds", "1000 seconds"), str(tmp_path / f"d{parts}"), parts)
         assert {(r.project, tuple(r.paths)) for r in groups.collect()} == {("p", ("a", "b")), ("p", ("d",)), ("p", ("c",)), ("q", ("x", "y")), ("r", ("z",))}
+
+
+def test_debounce_by_time_holds_a_part_of_the_edits(spark, tmp_path, monkeypatch):
+    """Edits of 100 days out of order: the groups of the SQL, and no state with more than two parts of them."""
+    import duckdb
+    from tesserae.plans import inventory
+
+    monkeypatch.setattr(rules, "PART", 200, raising=False)
+    monkeypatch.setattr(inventory, "shared_folder", lambda spark: str(tmp_path / "run"))
+    e = spark.range(2000).selectExpr("id event_id", "id % 7 user_id", "if(id = 99, null, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 7919 % 2000 div 2 * 8641)) ts")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.project, r.start, list(r.paths)) for r in inventory.QUERIES["r2_debounced_from_first"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        assert got == sorted(db.execute(inventory.ORACLE_SQL["r2_debounced_from_first"]).fetchall())
+    batches = sorted(int(p.name) for p in (tmp_path / "run/check/commits").iterdir() if p.name.isdigit())
+    held = []
+    for b in batches:
+        state = spark.read.format("statestore").option("batchId", b).load(str(tmp_path / "run/check"))
+        held.append(state.select(F.sum(F.size("value.groupState.at"))).first()[0] or 0)
+    assert 100 < max(held) <= 400
