@@ -23,13 +23,25 @@ def unquote(value: Column) -> Column:
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Entries of text lines; lines without a good time, level or event go.  A repeated key's last value counts."""
-    rest = F.regexp_extract(column, _LINE, 3)
-    keys, values = (F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(i)) for i in (1, 2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), unquote(v).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    rows = lines.where(F.col(column).rlike(_LINE)).select(F.try_to_timestamp(F.regexp_extract(column, _LINE, 1)).alias("ts"), F.regexp_extract(column, _LINE, 2).alias("level"), F.map_from_entries(last).alias("fields"))
-    rows = rows.where(F.col("ts").isNotNull() & (F.coalesce(F.col("fields")["event"], F.lit("")) != ""))
+    """Entries of text lines; lines without a good time, level or event go.  A repeated key's last value counts.
+
+    Each step is a generator of one row: conditions and lambdas after it read its columns, where after a plain projection they
+    would make them again, with all that they are made of.
+    """
+    step = lambda df, **columns: df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    key = lambda p: F.substring_index(p, "=", 1)
+
+    def pair(p):
+        value = F.substr(p, F.length(key(p)) + 2)
+        return F.struct(key(p).alias("k"), F.when(value.startswith('"'), unquote(value)).otherwise(value).alias("v"))
+
+    rows = step(lines, line=F.col(column)).where(F.col("line").rlike(_LINE))
+    at, level, rest = (F.regexp_extract("line", _LINE, i) for i in (1, 2, 3))
+    rows = step(rows, ts=F.try_to_timestamp(at), level=level, pairs=F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(0))).where("ts is not null")
+    rows = step(rows, ts=F.col("ts"), level=F.col("level"), pairs=F.col("pairs"), keys=F.transform("pairs", key))
+    last = F.filter("pairs", lambda p, i: ~F.array_contains(F.slice("keys", i + 2, F.size("keys")), key(p)))
+    rows = step(rows, ts=F.col("ts"), level=F.col("level"), fields=F.map_from_entries(F.transform(last, pair)))
+    rows = rows.where(F.coalesce(F.col("fields")["event"], F.lit("")) != "")
     return rows.select("ts", "level", F.col("fields")["event"].alias("event"), F.coalesce(F.col("fields")["session"], F.lit("")).alias("session"), F.map_filter("fields", lambda k, _: ~k.isin("event", "session")).alias("fields"))
 
 

@@ -175,3 +175,15 @@ def test_ingested_table_with_near_copies_among_new_chunks(spark, tmp_path):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
         want = sorted(db.execute(ORACLE_SQL["k5_r5_ingested_table"]).fetchall())
     assert got == want and sum(x[1].startswith("only") for x in got) == 4
+
+
+def test_a_line_is_taken_apart_once(spark):
+    """Conditions on an entry don't make its line and fields again; of a repeated key the last value counts."""
+    from tesserae.plans.queries import QUERIES
+
+    plan = QUERIES["s12_parse_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"{f}(") for f in ("regexp_extract_all", "map_from_entries", "get_json_object")] == [1, 1, 1]
+    tails = ['event=a k=1 k="2 \\"x\\" k=3" j= k=4', "event=a event=b", "event=", "", 'event="q r" session=s session="" x="', "event=a " + " ".join(f"k{i % 50}={i}" for i in range(2000))]
+    lines = spark.createDataFrame([(f"2026-04-18T10:00:0{i}Z INFO {t}",) for i, t in enumerate(tails)] + [(None,)], "value string")
+    got = {r.ts.second: (r.event, r.session, r.fields) for r in logs.parse(lines).collect()}
+    assert got == {0: ("a", "", {"k": "4", "j": ""}), 1: ("b", "", {}), 4: ("q r", "", {"x": '"'}), 5: ("a", "", {f"k{i}": str(1950 + i) for i in range(50)})}
